@@ -27,7 +27,11 @@ def query(name: str, views: tuple[str, ...] = (), sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = (with_views(*views) if views else "") + sql
+            body = sql.lstrip()
+            if views and body[:5].upper() == "WITH ":
+                ORACLE[name] = with_views(*views).rstrip() + ",\n" + body[5:]
+            else:
+                ORACLE[name] = (with_views(*views) if views else "") + sql
         return fn
 
     return deco

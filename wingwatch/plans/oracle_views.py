@@ -232,3 +232,20 @@ def with_views(*names: str) -> str:
     for n in names:
         add(n)
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in ordered) + "\n"
+
+view("incident_wx", """
+SELECT f.*,
+  TRY_CAST(json_extract_string(weather_data, '$.weather_risk_score') AS DOUBLE) AS wx_risk,
+  TRY_CAST(json_extract_string(weather_data, '$.visibility_m') AS DOUBLE) AS wx_visibility,
+  TRY_CAST(json_extract_string(weather_data, '$.wind_speed_kt') AS DOUBLE) AS wx_wind,
+  json_extract_string(weather_data, '$.weather_condition') AS wx_type
+FROM incident_features f
+""", ("incident_features",))
+
+view("airports", """
+SELECT ident AS icao_code, type, name, latitude_deg AS latitude, longitude_deg AS longitude,
+  elevation_ft, iso_country AS country, iso_region AS region, municipality AS city,
+  CAST(CASE type WHEN 'large_airport' THEN 80 WHEN 'medium_airport' THEN 50
+       WHEN 'small_airport' THEN 30 END AS INTEGER) AS complexity_score
+FROM airports_raw WHERE type IN ('large_airport', 'medium_airport', 'small_airport')
+""", ("airports_raw",))
