@@ -75,4 +75,4 @@ def source_composite_risk(fatigue_index: Column, overdue: Column, items: Column,
 
 def actual_departure(scheduled: Column, deviation_minutes: Column) -> Column:
     """Scheduled + deviation minutes."""
-    return F.timestampadd("MINUTE", deviation_minutes, scheduled)
+    return F.timestamp_add("MINUTE", deviation_minutes, scheduled)
