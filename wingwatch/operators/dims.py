@@ -17,7 +17,7 @@ from wingwatch.functions import constants as K
 from wingwatch.functions.incident import lookup
 
 AIRCRAFT_SCHEMA = StructType([
-    StructField("make", StringType()), StructField("model", StringType()),
+    StructField("_ord", IntegerType()), StructField("make", StringType()), StructField("model", StringType()),
     StructField("category", StringType()), StructField("engine_type", StringType()),
     StructField("engines", IntegerType()), StructField("seats", IntegerType()),
     StructField("mtow_lbs", IntegerType()), StructField("risk_factor", DoubleType()),
@@ -34,7 +34,7 @@ AIRPORT_CSV_SCHEMA = StructType([
 
 def aircraft_types(spark: SparkSession) -> DataFrame:
     """The 24-row aircraft reference dimension with C29 base risk score."""
-    df = spark.createDataFrame(K.AIRCRAFT_TYPES, AIRCRAFT_SCHEMA)
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(K.AIRCRAFT_TYPES)], AIRCRAFT_SCHEMA)
     return df.withColumn("base_risk_score", F.col("risk_factor") * 100.0)
 
 
