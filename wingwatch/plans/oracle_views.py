@@ -60,7 +60,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey
 
 view("operational_data", """
 SELECT 'F-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' ||
-       CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS id,
+       CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-' || strftime(l_shipdate, '%Y%m%d') AS id,
   CAST(l_shipdate AS DATE) AS date,
   'N' || CAST(l_suppkey AS VARCHAR) AS aircraft_id,
   'FL' || CAST(l_orderkey AS VARCHAR) AS flight_id,

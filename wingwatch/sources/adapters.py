@@ -107,7 +107,8 @@ def operational_data(t: Tables) -> DataFrame:
     ok = F.col("l_orderkey")
     return li.select(
         F.concat_ws("-", F.lit("F"), ok.cast("string"), F.col("l_linenumber").cast("string"),
-                    p.cast("string"), F.col("l_suppkey").cast("string")).alias("id"),
+                    p.cast("string"), F.col("l_suppkey").cast("string"),
+                    F.date_format("l_shipdate", "yyyyMMdd")).alias("id"),
         F.col("l_shipdate").cast("date").alias("date"),
         F.concat(F.lit("N"), F.col("l_suppkey").cast("string")).alias("aircraft_id"),
         F.concat(F.lit("FL"), ok.cast("string")).alias("flight_id"),
