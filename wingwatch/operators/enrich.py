@@ -90,14 +90,17 @@ def apply_weather_update(incidents: DataFrame, parsed: DataFrame) -> DataFrame:
     """Incidents with coordinates and no weather take the landed,
     parsed payload with the same id: ``weather_data`` becomes the payload JSON
     and ``weather_conditions`` IMC/VMC by visibility (missing -> 10000)."""
-    new = parsed.filter("parsed").select(
-        F.col("id").alias("_pid"),
+    # ``parsed`` is tested after the join, not filtered before it: a filter
+    # on it would be pushed under the projection and re-parse the JSON once
+    # per referenced field
+    new = parsed.select(
+        F.col("id").alias("_pid"), F.col("parsed").alias("_ok"),
         F.to_json(F.struct("temperature_c", "visibility_m", "wind_speed_kt", "weather_condition",
                            "severe_weather_flag", "weather_risk_score")).alias("_wd"),
         F.when(F.coalesce(F.col("visibility_m"), F.lit(10000.0)) < 5000, "IMC").otherwise("VMC").alias("_wc"))
     backlog = (F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("weather_data").isNull())
     j = incidents.join(new, (incidents.id == new._pid) & backlog, "left")
-    upd = F.col("_pid").isNotNull()
+    upd = F.col("_pid").isNotNull() & F.coalesce(F.col("_ok"), F.lit(False))
     cols = [F.when(upd, F.col("_wd")).otherwise(F.col("weather_data")).alias("weather_data")
             if c == "weather_data" else
             F.when(upd, F.col("_wc")).otherwise(F.col("weather_conditions")).alias("weather_conditions")

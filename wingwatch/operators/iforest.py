@@ -1,9 +1,10 @@
 """Isolation forest (Liu, Ting & Zhou 2008) as Spark stages.
 
 Training never looks at more than a bounded sample per tree:
-* row r is a candidate for tree t when ``pmod(xxhash64(key, t), N) < 2 * psi``
-  (one scan, a narrow ``filter(sequence(0, T-1))`` + ``explode``), so every
-  tree sees about 2 * psi candidates whatever N is;
+* one hash per row draws a uniform pool of about 8 * T * psi rows; a row of
+  the pool is a candidate for tree t when ``pmod(xxhash64(key, t), P) < 2 * psi``
+  (a narrow ``filter(sequence(0, T-1))`` + ``explode``), so every tree sees
+  about 2 * psi candidates whatever N is;
 * ``groupBy(tree).applyInPandas`` keeps the psi lowest hashes (sampling
   without replacement) and grows one isolation tree per group to height
   ceil(log2 psi) with seeded random splits;
@@ -75,10 +76,16 @@ def fit(df: DataFrame, features: list[str], key: str, n_trees: int = 100, max_sa
     n = df.count()
     psi = int(min(max_samples, n))
     limit = int(math.ceil(math.log2(max(psi, 2))))
-    h = lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(max(n, 1)))
-    cand = (df.select(key, *features,
-                      F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                                         lambda t: h(t) < 2 * psi)).alias("tree"))
+    # a uniform pool of about 8 x trees x psi rows is drawn with ONE hash per
+    # row; the per-tree candidates (about 2 x psi each) are drawn from the
+    # pool, so the 100 per-tree hashes run on the pool, not on every row
+    pool = min(n, 8 * n_trees * psi)
+    in_pool = F.pmod(F.xxhash64(F.col(key), F.lit(-1), F.lit(seed)), F.lit(max(n, 1))) < pool
+    h = lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(max(pool, 1)))
+    cand = (df.filter(in_pool).select(
+                key, *features,
+                F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                                   lambda t: h(t) < 2 * psi)).alias("tree"))
             .withColumn("h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,20 +2,24 @@
 
 ``percentile()`` keeps every distinct value of a group in one aggregation
 buffer; for a global percentile that is the whole column in one task.  Here
-each needed order statistic is found by range narrowing:
+each needed order statistic is found by range narrowing, for any number of
+columns at once:
 
-1. one aggregate gives n, min, max;
-2. while a rank's bracket still holds more than ``max_collect`` values, one
-   pass buckets the rows of every open bracket into ``buckets`` equal-width
-   bins (``groupBy(bracket, bin)`` with count/min/max - a partial aggregate,
+1. one aggregate gives n, min, max of every column;
+2. while a bracket (a value range of one column holding a needed rank) still
+   has more than ``max_collect`` values, one pass over the data buckets the
+   rows of every open bracket of every column into ``buckets`` equal-width
+   bins (``explode`` of at most one (bracket, bin) pair per column and row,
+   then ``groupBy(bracket, bin)`` with count/min/max - a partial aggregate,
    so the shuffle is at most brackets x bins rows) and the bracket shrinks to
    the bin holding the rank;
-3. a bracket with at most ``max_collect`` values (or a single distinct value)
-   is resolved exactly.
+3. brackets with at most ``max_collect`` values (or one distinct value) are
+   resolved exactly from their values, fetched for all of them in one pass.
 
-For continuous data each pass divides a bracket by ~``buckets``, so a
-trillion rows need about three passes.  Quantiles interpolate linearly
-between the two neighbouring order statistics (numpy/pandas default).
+For continuous data a pass divides a bracket by ~``buckets``, so a trillion
+rows need about three passes however many columns are asked for.  Quantiles
+interpolate linearly between the neighbouring order statistics (numpy and
+pandas defaults).
 """
 
 from __future__ import annotations
@@ -26,72 +30,109 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def order_statistics(df: DataFrame, col: str, ranks: set[int], n: int, lo: float, hi: float,
-                     max_collect: int = 50_000, buckets: int = 4096) -> dict[int, float]:
-    """Exact k-th smallest non-NULL values (0-based ranks) of ``col``."""
-    x = F.col(col).cast("double")
-    base = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    # bracket: (a, b, below, count) with values in [a, b]; below = #values < a
-    brackets: dict[tuple, set[int]] = {(lo, hi, 0, n): set(ranks)}
-    result: dict[int, float] = {}
-    while brackets:
-        refine = {}
-        for (a, b, below, cnt), rs in brackets.items():
+def order_statistics(df: DataFrame, wanted: dict[str, set[int]], stats: dict[str, tuple],
+                     max_collect: int = 50_000, buckets: int = 4096) -> dict[str, dict[int, float]]:
+    """Exact k-th smallest non-NULL values (0-based ranks) of several columns.
+
+    ``stats[col] = (n, lo, hi)``.  Returns ``{col: {rank: value}}``.
+    """
+    cols = list(wanted)
+    base = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    # open brackets: (col_idx, a, b, below, count) -> ranks ; values of the column in [a, b]
+    open_: dict[tuple, set[int]] = {}
+    result: dict[str, dict[int, float]] = {c: {} for c in cols}
+    for i, c in enumerate(cols):
+        n, lo, hi = stats[c]
+        if n and wanted[c]:
+            open_[(i, lo, hi, 0, n)] = set(wanted[c])
+    while open_:
+        small, large = {}, {}
+        for key, rs in open_.items():
+            i, a, b, below, cnt = key
             if a == b:
                 for r in rs:
-                    result[r] = a
+                    result[cols[i]][r] = a
             elif cnt <= max_collect:
-                vals = sorted(v[0] for v in base.filter((F.col("x") >= a) & (F.col("x") <= b)).collect())
-                for r in rs:
-                    result[r] = vals[r - below]
+                small[key] = rs
             else:
-                refine[(a, b, below, cnt)] = rs
-        if not refine:
+                large[key] = rs
+        if small:
+            keys = list(small)
+            picks = [F.when((F.col(f"c{k[0]}") >= k[1]) & (F.col(f"c{k[0]}") <= k[2]),
+                            F.struct(F.lit(j).alias("j"), F.col(f"c{k[0]}").alias("v")))
+                     for j, k in enumerate(keys)]
+            rows = base.select(F.explode(F.filter(F.array(*picks), lambda s: s.isNotNull())).alias("p")) \
+                       .select("p.j", "p.v").collect()
+            vals: dict[int, list] = {}
+            for r in rows:
+                vals.setdefault(r["j"], []).append(r["v"])
+            for j, k in enumerate(keys):
+                v = sorted(vals.get(j, []))
+                for r in small[k]:
+                    result[cols[k[0]]][r] = v[r - k[3]]
+        if not large:
             break
-        keys = list(refine)
+        keys = list(large)
         parts = []
-        for j, (a, b, _, _) in enumerate(keys):
+        for j, (i, a, b, _, _) in enumerate(keys):
+            x = F.col(f"c{i}")
             w = (b - a) / buckets
-            binx = F.least(F.floor((F.col("x") - F.lit(a)) / F.lit(w)).cast("int"), F.lit(buckets - 1))
-            parts.append(F.when((F.col("x") >= a) & (F.col("x") <= b),
-                                F.struct(F.lit(j).alias("j"), binx.alias("bin"))))
-        hist = (base.select("x", F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("k"))
+            binx = F.least(F.floor((x - F.lit(a)) / F.lit(w)).cast("int"), F.lit(buckets - 1))
+            parts.append(F.when((x >= a) & (x <= b), F.struct(F.lit(j).alias("j"), binx.alias("bin"),
+                                                               x.alias("x"))))
+        hist = (base.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("k"))
                 .groupBy("k.j", "k.bin")
-                .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
+                .agg(F.count(F.lit(1)).alias("c"), F.min("k.x").alias("mn"), F.max("k.x").alias("mx"))
                 .collect())
         by_bracket: dict[int, list] = {}
         for row in hist:
             by_bracket.setdefault(row["j"], []).append((row["bin"], row["c"], row["mn"], row["mx"]))
-        brackets = {}
+        open_ = {}
         for j, key in enumerate(keys):
-            _, _, below, _ = key
+            i, _, _, below, _ = key
             bins = sorted(by_bracket.get(j, []))
-            for r in refine[key]:
+            for r in large[key]:
                 acc = below
                 for _, c, mn, mx in bins:
                     if r < acc + c:
-                        brackets.setdefault((mn, mx, acc, c), set()).add(r)
+                        open_.setdefault((i, mn, mx, acc, c), set()).add(r)
                         break
                     acc += c
     return result
 
 
+def multi_quantiles(df: DataFrame, probs_by_col: dict[str, list[float]], **kw) -> dict[str, dict]:
+    """Linear-interpolated quantiles of several columns (NULLs ignored)."""
+    cols = list(probs_by_col)
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    st = df.agg(*aggs).first()
+    stats, wanted, pos = {}, {}, {}
+    for i, c in enumerate(cols):
+        n = st[f"n{i}"]
+        stats[c] = (n, st[f"lo{i}"], st[f"hi{i}"])
+        pos[c] = {p: p * (n - 1) for p in probs_by_col[c]} if n else {}
+        wanted[c] = ({int(math.floor(h)) for h in pos[c].values()}
+                     | {int(math.ceil(h)) for h in pos[c].values()})
+    osx = order_statistics(df, wanted, stats, **kw)
+    out: dict[str, dict] = {}
+    for c in cols:
+        if not stats[c][0]:
+            out[c] = {p: None for p in probs_by_col[c]}
+            continue
+        out[c] = {}
+        for p, h in pos[c].items():
+            lo_r, hi_r = int(math.floor(h)), int(math.ceil(h))
+            v_lo, v_hi = osx[c][lo_r], osx[c][hi_r]
+            out[c][p] = v_lo + (v_hi - v_lo) * (h - lo_r)
+    return out
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], **kw) -> dict[float, float | None]:
     """Linear-interpolated quantiles of the non-NULL values of ``col``."""
-    st = df.agg(F.count(col).alias("n"), F.min(F.col(col).cast("double")).alias("lo"),
-                F.max(F.col(col).cast("double")).alias("hi")).first()
-    n = st["n"]
-    if n == 0:
-        return {p: None for p in probs}
-    pos = {p: p * (n - 1) for p in probs}
-    ranks = {int(math.floor(h)) for h in pos.values()} | {int(math.ceil(h)) for h in pos.values()}
-    stats = order_statistics(df, col, ranks, n, st["lo"], st["hi"], **kw)
-    out = {}
-    for p, h in pos.items():
-        lo_r, hi_r = int(math.floor(h)), int(math.ceil(h))
-        v_lo, v_hi = stats[lo_r], stats[hi_r]
-        out[p] = v_lo + (v_hi - v_lo) * (h - lo_r)
-    return out
+    return multi_quantiles(df, {col: list(probs)}, **kw)[col]
 
 
 def quantile_frame(df: DataFrame, col: str, probs: list[float], label: str = "percentile",
@@ -104,5 +145,7 @@ def quantile_frame(df: DataFrame, col: str, probs: list[float], label: str = "pe
 
 
 def medians(df: DataFrame, cols: list[str], **kw) -> dict[str, float | None]:
-    """Exact medians per column (pandas ``median``: mean of the middle pair)."""
-    return {c: exact_quantiles(df, c, [0.5], **kw)[0.5] for c in cols}
+    """Exact medians per column (pandas ``median``: mean of the middle pair),
+    all columns refined together."""
+    q = multi_quantiles(df, {c: [0.5] for c in cols}, **kw)
+    return {c: q[c][0.5] for c in cols}

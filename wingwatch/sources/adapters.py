@@ -41,15 +41,15 @@ def pick(values: list, index: Column) -> Column:
 
 
 def _geo(t: Tables) -> DataFrame:
-    n = t.read("nation", ["n_nationkey", "n_name", "n_regionkey"])
-    r = t.read("region", ["r_regionkey", "r_name"])
+    n = t.read("nation", ["n_nationkey", "n_name", "n_regionkey"], spread=False)
+    r = t.read("region", ["r_regionkey", "r_name"], spread=False)
     return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).drop("r_regionkey")
 
 
 def incidents(t: Tables) -> DataFrame:
     o = t.read("orders", ["o_orderkey", "o_custkey", "o_orderstatus",
                           "o_orderdate", "o_orderpriority"])
-    c = t.read("customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
+    c = t.read("customer", ["c_custkey", "c_nationkey", "c_mktsegment"], spread=False)
     j = (o.join(c, o.o_custkey == c.c_custkey)
           .join(F.broadcast(_geo(t)), F.col("c_nationkey") == F.col("n_nationkey")))
     k = F.col("o_orderkey")
@@ -160,7 +160,7 @@ def weather_conditions(t: Tables) -> DataFrame:
 def airports(t: Tables) -> DataFrame:
     """Raw airport list (before the B2 type filter)."""
     s = F.col("s_suppkey")
-    sup = t.read("supplier", ["s_suppkey", "s_nationkey"])
+    sup = t.read("supplier", ["s_suppkey", "s_nationkey"], spread=False)
     return sup.filter((s < 60) & (s % 3 < 2)).select(
         F.when(s % 3 == 0, F.concat(F.lit("A"), s.cast("string")))
          .otherwise(F.concat(F.lit("KA"), s.cast("string"))).alias("ident"),
@@ -207,7 +207,7 @@ def raw_events(t: Tables) -> DataFrame:
 
 def raw_aircraft(t: Tables) -> DataFrame:
     li = t.read("lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    p = t.read("part", ["p_partkey", "p_brand", "p_type"])
+    p = t.read("part", ["p_partkey", "p_brand", "p_type"], spread=False)
     return li.join(p, li.l_partkey == p.p_partkey).select(
         F.concat(F.lit("E"), F.col("l_orderkey").cast("string")).alias("ev_id"),
         F.col("l_linenumber").cast("int").alias("line_no"),

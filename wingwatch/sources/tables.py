@@ -29,9 +29,23 @@ class Tables:
     def path(self, name: str) -> str:
         return os.path.join(self.root, f"{name}.parquet")
 
-    def read(self, name: str, columns: list[str] | None = None) -> DataFrame:
+    def read(self, name: str, columns: list[str] | None = None, spread: bool = True) -> DataFrame:
+        """Pruned scan of one table.
+
+        A source with fewer input splits than the cluster's default
+        parallelism (a small file with one row group) is spread round-robin
+        after pruning, so the narrow stages above it use every core.  Large
+        inputs already have more splits than cores and are left untouched;
+        filters are still pushed below the exchange into the scan.  Dimension
+        reads pass ``spread=False`` (they are broadcast anyway).
+        """
         df = self.spark.read.parquet(self.path(name))
-        return df.select(*columns) if columns else df
+        if columns:
+            df = df.select(*columns)
+        want = self.spark.sparkContext.defaultParallelism
+        if spread and df.rdd.getNumPartitions() < want:
+            df = df.repartition(want)
+        return df
 
     def exists(self, name: str) -> bool:
         return os.path.exists(self.path(name))
