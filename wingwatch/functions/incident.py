@@ -13,8 +13,26 @@ from pyspark.sql import functions as F
 from wingwatch.functions import constants as K
 
 
-def lookup(col: Column, mapping: dict, default=None) -> Column:
-    """Small constant map lookup as a CASE chain (stays inside codegen)."""
+def _sql_lit(v) -> str:
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, float):
+        return f"CAST({v!r} AS DOUBLE)"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def lookup(col: Column | str, mapping: dict, default=None) -> Column:
+    """Small constant map lookup as a CASE (stays inside codegen).
+
+    Given a column *name* the CASE is built as SQL text: one parse instead of
+    one JVM call per branch when the plan is constructed.
+    """
+    if isinstance(col, str):
+        parts = " ".join(f"WHEN {_sql_lit(k)} THEN {_sql_lit(v)}" for k, v in mapping.items())
+        tail = f" ELSE {_sql_lit(default)}" if default is not None else ""
+        return F.expr(f"CASE `{col}` {parts}{tail} END")
     expr = None
     for key, value in mapping.items():
         expr = F.when(col == key, F.lit(value)) if expr is None else expr.when(col == key, F.lit(value))
@@ -40,17 +58,17 @@ def date_features(date: Column) -> dict[str, Column]:
     }
 
 
-def severity_code(severity: Column) -> Column:
+def severity_code(severity: Column | str) -> Column:
     """NONE 0 / MINOR 1 / SERIOUS 3 / FATAL 5, unmapped 0."""
     return lookup(severity, K.SEVERITY_WEIGHTS, 0).cast("int")
 
 
-def severity_class(severity: Column) -> Column:
+def severity_class(severity: Column | str) -> Column:
     """Classifier encoding NONE 0 / MINOR 1 / SERIOUS 2 / FATAL 3, unmapped 0."""
     return lookup(severity, K.SEVERITY_CLASSES, 0).cast("int")
 
 
-def phase_risk(phase: Column) -> Column:
+def phase_risk(phase: Column | str) -> Column:
     """Phase risk weight, unknown/NULL -> 1.0."""
     return lookup(phase, K.PHASE_RISK, K.PHASE_RISK_DEFAULT).cast("double")
 
@@ -70,7 +88,7 @@ def injury_columns(fatal: Column, serious: Column, minor: Column,
     }
 
 
-def weather_risk(conditions: Column) -> Column:
+def weather_risk(conditions: Column | str) -> Column:
     """VMC 0.3 / IMC 0.8 / else 0.5."""
     return lookup(conditions, K.WEATHER_CONDITION_RISK,
                   K.WEATHER_CONDITION_RISK_DEFAULT).cast("double")
@@ -79,13 +97,13 @@ def weather_risk(conditions: Column) -> Column:
 def incident_features(df: DataFrame) -> DataFrame:
     """C1-C6 in one projection (``IncidentTransformer.transform``)."""
     cols = dict(date_features(F.col("incident_date")))
-    cols["severity_code"] = severity_code(F.col("severity"))
+    cols["severity_code"] = severity_code("severity")
     cols["is_serious"] = flag(F.col("severity").isin("SERIOUS", "FATAL"))
-    cols["phase_risk"] = phase_risk(F.col("phase_of_flight"))
+    cols["phase_risk"] = phase_risk("phase_of_flight")
     cols.update(injury_columns(F.col("injuries_fatal"), F.col("injuries_serious"),
                                F.col("injuries_minor"), F.col("injuries_uninjured")))
     cols["has_coordinates"] = (F.col("latitude").isNotNull()
                                & F.col("longitude").isNotNull()).cast("int")
     cols["is_us"] = flag(F.col("country") == "USA")
-    cols["weather_risk"] = weather_risk(F.col("weather_conditions"))
+    cols["weather_risk"] = weather_risk("weather_conditions")
     return df.withColumns(cols)

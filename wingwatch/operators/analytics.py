@@ -20,22 +20,34 @@ def r6(col: Column) -> Column:
     return F.round(col, 6)
 
 
+def mean6(col: Column | str) -> Column:
+    """Reported mean: exact decimal sum, HALF_UP to 6 places, as double.
+
+    A double ``avg`` depends on the order partial sums meet in the shuffle,
+    so a mean that sits on a rounding tie could flip between runs; the
+    decimal sum makes the reported value independent of partitioning.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(F.avg(c.cast("double").cast("decimal(38,12)")), 6).cast("double")
+
+
 def pct(part: Column, whole: Column) -> Column:
-    """part / whole * 100, 0 when whole is 0 (no ANSI divide-by-zero)."""
-    return F.when(whole > 0, part.cast("double") / whole.cast("double") * 100.0).otherwise(F.lit(0.0))
+    """part / whole * 100 exactly (decimal), HALF_UP to 6 places; 0 when whole is 0."""
+    exact = part.cast("decimal(38,0)") * 100 / whole.cast("decimal(38,0)")
+    return F.when(whole > 0, F.round(exact, 6).cast("double")).otherwise(F.lit(0.0))
 
 
 def monthly_incident_profile(features: DataFrame) -> DataFrame:
     """Incident profile per (year, month); NULL keys dropped like pandas."""
     return (features.filter(F.col("year").isNotNull() & F.col("month").isNotNull())
             .groupBy("year", "month")
-            .agg(r6(F.avg("severity_code")).alias("avg_severity"),
+            .agg(mean6("severity_code").alias("avg_severity"),
                  F.max("severity_code").cast("bigint").alias("max_severity"),
                  F.count("severity_code").alias("incident_count"),
                  F.sum("is_serious").cast("bigint").alias("serious_count"),
                  F.sum("injury_score").cast("bigint").alias("total_injury_score"),
-                 r6(F.avg("phase_risk")).alias("avg_phase_risk"),
-                 r6(F.avg("weather_risk")).alias("avg_weather_risk")))
+                 mean6("phase_risk").alias("avg_phase_risk"),
+                 mean6("weather_risk").alias("avg_weather_risk")))
 
 
 # ---- payload parsing (C31) --------------------------------------------------
@@ -69,8 +81,8 @@ def dashboard_summary(features: DataFrame) -> DataFrame:
         F.count_if(sev == "NONE").alias("none_count"),
         F.count_if(src == "NTSB").alias("ntsb"),
         F.count_if(src == "ASRS").alias("asrs"),
-        r6(pct(F.count_if(sev == "FATAL"), total)).alias("fatal_rate"),
-        r6(F.avg("injury_score")).alias("avg_injury_score"),
+        pct(F.count_if(sev == "FATAL"), total).alias("fatal_rate"),
+        mean6("injury_score").alias("avg_injury_score"),
     )
 
 
@@ -136,9 +148,9 @@ def severity_by_weather(features: DataFrame) -> DataFrame:
     """Weather payload averages per severity, ordered by avg risk."""
     return (with_weather_payload(features.filter(F.col("weather_data").isNotNull()))
             .groupBy("severity")
-            .agg(r6(F.avg("wx_risk")).alias("avg_weather_risk"),
-                 r6(F.avg("wx_visibility")).alias("avg_visibility"),
-                 r6(F.avg("wx_wind")).alias("avg_wind"),
+            .agg(mean6("wx_risk").alias("avg_weather_risk"),
+                 mean6("wx_visibility").alias("avg_visibility"),
+                 mean6("wx_wind").alias("avg_wind"),
                  F.count(F.lit(1)).alias("count"))
             .orderBy(F.desc_nulls_last("avg_weather_risk"), "severity"))
 
@@ -149,11 +161,11 @@ def safety_kpis(incidents: DataFrame, ops: DataFrame) -> DataFrame:
     total = F.count(F.lit(1))
     inc = wx.agg(total.alias("total_incidents"),
                  F.count_if(F.col("severity") == "FATAL").alias("fatal_incidents"),
-                 r6(pct(F.count_if(F.col("severity") == "FATAL"), total)).alias("fatal_rate_percent"),
-                 r6(pct(F.count_if(F.col("severity") == "NONE"), total)).alias("no_injury_rate_percent"),
-                 r6(F.avg("wx_risk")).alias("avg_weather_risk"))
+                 pct(F.count_if(F.col("severity") == "FATAL"), total).alias("fatal_rate_percent"),
+                 pct(F.count_if(F.col("severity") == "NONE"), total).alias("no_injury_rate_percent"),
+                 mean6("wx_risk").alias("avg_weather_risk"))
     op = ops.agg(F.count(F.lit(1)).alias("total_operations"),
-                 r6(F.avg("operational_risk_score")).alias("avg_operational_risk"))
+                 mean6("operational_risk_score").alias("avg_operational_risk"))
     targets = [F.lit(v).alias(k) for k, v in K.KPI_TARGETS.items()]
     return inc.crossJoin(op).select("*", *targets)
 
@@ -175,13 +187,13 @@ def weather_distribution(incidents: DataFrame) -> DataFrame:
     """Count and avg risk by (conditions, payload weather type)."""
     return (with_weather_payload(incidents.filter(F.col("weather_data").isNotNull()))
             .groupBy("weather_conditions", "wx_type")
-            .agg(F.count(F.lit(1)).alias("count"), r6(F.avg("wx_risk")).alias("avg_risk")))
+            .agg(F.count(F.lit(1)).alias("count"), mean6("wx_risk").alias("avg_risk")))
 
 
 def ops_summary(ops: DataFrame) -> DataFrame:
     """Operational record count and average risk."""
     return ops.agg(F.count(F.lit(1)).alias("records"),
-                   r6(F.avg("operational_risk_score")).alias("avg_risk"))
+                   mean6("operational_risk_score").alias("avg_risk"))
 
 
 def value_distribution(df: DataFrame, column: str, top_n: int | None = None) -> DataFrame:
@@ -189,7 +201,7 @@ def value_distribution(df: DataFrame, column: str, top_n: int | None = None) ->
     window over the (small) grouped result, not over raw rows."""
     g = df.groupBy(F.col(column).cast("string").alias("value")).agg(
         F.count(F.lit(1)).alias("count"))
-    g = g.withColumn("share_pct", r6(F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy())))
+    g = g.withColumn("share_pct", pct(F.col("count"), F.sum("count").over(Window.partitionBy())))
     if top_n:
         g = g.orderBy(F.desc("count"), F.asc_nulls_last("value")).limit(top_n)
     return g.select(F.lit(column).alias("dimension"), "value", "count", "share_pct")
@@ -199,7 +211,7 @@ def ops_profile(ops: DataFrame, high_risk: float = 70.0) -> DataFrame:
     """Profile of the operational risk column."""
     r = F.col("operational_risk_score")
     return ops.agg(r6(F.min(r)).alias("min_risk"), r6(F.max(r)).alias("max_risk"),
-                   r6(F.avg(r)).alias("mean_risk"),
+                   mean6(r).alias("mean_risk"),
                    F.countDistinct("aircraft_id").alias("unique_aircraft"),
                    F.countDistinct("flight_id").alias("unique_flights"),
                    F.min("date").alias("first_date"), F.max("date").alias("last_date"),
@@ -214,7 +226,7 @@ def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
                for i, c in enumerate(columns)]
     return (row.select("n", F.inline(F.array(*entries)))
             .select("column_name", "null_count",
-                    r6(pct(F.col("null_count"), F.col("n"))).alias("null_pct")))
+                    pct(F.col("null_count"), F.col("n")).alias("null_pct")))
 
 
 def feature_means(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -228,9 +240,8 @@ def feature_means(df: DataFrame, columns: list[str]) -> DataFrame:
 def severity_distribution(features: DataFrame) -> DataFrame:
     """Severity counts, real percentages and average payload risk."""
     g = with_weather_payload(features).groupBy("severity").agg(
-        F.count(F.lit(1)).alias("count"), r6(F.avg("wx_risk")).alias("avg_risk_score"))
-    return g.withColumn("percentage",
-                        r6(F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy())))
+        F.count(F.lit(1)).alias("count"), mean6("wx_risk").alias("avg_risk_score"))
+    return g.withColumn("percentage", pct(F.col("count"), F.sum("count").over(Window.partitionBy())))
 
 
 def seasonality(features: DataFrame) -> DataFrame:
@@ -243,7 +254,7 @@ def seasonality(features: DataFrame) -> DataFrame:
 def hour_profile(df: DataFrame, ts: str, risk: str) -> DataFrame:
     """Rows and mean risk per hour of day."""
     return (df.filter(F.col(ts).isNotNull()).groupBy(F.hour(ts).cast("int").alias("hour"))
-            .agg(F.count(F.lit(1)).alias("observations"), r6(F.avg(risk)).alias("avg_risk")))
+            .agg(F.count(F.lit(1)).alias("observations"), mean6(risk).alias("avg_risk")))
 
 
 def weekly_series(features: DataFrame) -> DataFrame:
@@ -252,16 +263,15 @@ def weekly_series(features: DataFrame) -> DataFrame:
     total = F.count(F.lit(1))
     return (wx.groupBy(F.date_trunc("week", "incident_date").cast("date").alias("week_start"))
             .agg(total.alias("incidents"),
-                 r6(pct(F.count_if(F.col("severity") == "FATAL"), total)).alias("fatal_rate"),
-                 r6(F.avg("wx_risk")).alias("avg_risk")))
+                 pct(F.count_if(F.col("severity") == "FATAL"), total).alias("fatal_rate"),
+                 mean6("wx_risk").alias("avg_risk")))
 
 
 def region_distribution(incidents: DataFrame) -> DataFrame:
     """Incidents per region (suffix of the location text)."""
     region = F.coalesce(F.regexp_extract(F.col("location"), r", (.*)$", 1), F.lit("Unknown"))
     g = incidents.groupBy(region.alias("region")).agg(F.count(F.lit(1)).alias("incidents"))
-    return g.withColumn("share_pct",
-                        r6(F.col("incidents") * 100.0 / F.sum("incidents").over(Window.partitionBy())))
+    return g.withColumn("share_pct", pct(F.col("incidents"), F.sum("incidents").over(Window.partitionBy())))
 
 
 def factor_correlation(df: DataFrame, factors: list[str]) -> DataFrame:
@@ -284,7 +294,7 @@ def kpi_status(features: DataFrame, warning_factor: float = 1.2,
     total = F.count(F.lit(1))
     yearly = wx.groupBy("year").agg(
         pct(F.count_if(F.col("severity") == "FATAL"), total).alias("fatal_rate"),
-        F.avg("wx_risk").alias("avg_weather_risk"))
+        mean6("wx_risk").alias("avg_weather_risk"))
     kpis = [("SPI-001", "fatal_rate", K.KPI_TARGETS["fatal_rate_target"]),
             ("SPI-002", "avg_weather_risk", K.KPI_TARGETS["weather_risk_target"])]
     entries = [F.struct(F.lit(code).alias("code"), F.lit(name).alias("name"),

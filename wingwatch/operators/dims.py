@@ -15,6 +15,7 @@ from pyspark.sql.types import (DoubleType, IntegerType, StringType, StructField,
 
 from wingwatch.functions import constants as K
 from wingwatch.functions.incident import lookup
+from wingwatch.operators.analytics import mean6
 
 AIRCRAFT_SCHEMA = StructType([
     StructField("_ord", IntegerType()), StructField("make", StringType()), StructField("model", StringType()),
@@ -58,7 +59,7 @@ def airport_projection(raw: DataFrame) -> DataFrame:
 def aircraft_category_stats(aircraft: DataFrame) -> DataFrame:
     """Aircraft count and mean risk factor per category."""
     return aircraft.groupBy("category").agg(F.count(F.lit(1)).alias("count"),
-                                            F.round(F.avg("risk_factor"), 6).alias("mean_risk_factor"))
+                                            mean6("risk_factor").alias("mean_risk_factor"))
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wingwatch.operators.analytics import mean6
+
 from wingwatch.operators.dims import bounded_broadcast
 
 AIRPORT_BROADCAST_MAX_ROWS = 2_000_000
@@ -83,7 +85,7 @@ def aircraft_category(matches: DataFrame) -> DataFrame:
     per aircraft category (category of the first matching type)."""
     return (matches.filter("matched").groupBy(F.col("first_category").alias("category"))
             .agg(F.count(F.lit(1)).alias("incidents"),
-                 F.round(F.avg("first_risk_factor"), 6).alias("mean_risk_factor")))
+                 mean6("first_risk_factor").alias("mean_risk_factor")))
 
 
 def apply_weather_update(incidents: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -117,4 +119,4 @@ def prediction_lineage(incidents: DataFrame, predictions: DataFrame, recs: DataF
     return j.groupBy("severity").agg(
         F.countDistinct("id").alias("incidents"), F.count("prediction_id").alias("predictions"),
         F.coalesce(F.sum("n_recs"), F.lit(0)).cast("bigint").alias("recommendations"),
-        F.round(F.avg("risk_score"), 6).alias("avg_risk_score"))
+        mean6("risk_score").alias("avg_risk_score"))

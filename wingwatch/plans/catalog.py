@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wingwatch.plans.oracle_views import with_views
+from wingwatch.plans.oracle_views import rewrite_means, with_views
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -27,11 +27,11 @@ def query(name: str, views: tuple[str, ...] = (), sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            body = sql.lstrip()
+            body = rewrite_means(sql).lstrip()
             if views and body[:5].upper() == "WITH ":
                 ORACLE[name] = with_views(*views).rstrip() + ",\n" + body[5:]
             else:
-                ORACLE[name] = (with_views(*views) if views else "") + sql
+                ORACLE[name] = (with_views(*views) if views else "") + body
         return fn
 
     return deco

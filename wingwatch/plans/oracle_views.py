@@ -19,6 +19,48 @@ def _pick(values, index_sql: str) -> str:
     return f"CASE {parts} END"
 
 
+def avg6(expr: str) -> str:
+    """Exact mean HALF_UP to 6 places (the library's ``mean6``): values enter
+    as their shortest decimal text at scale 12, the sum is exact, and the
+    division is rounded with integer arithmetic."""
+    d = (f"CASE WHEN ({expr}) IS NULL THEN NULL ELSE "
+         f"CAST(format('{{}}', CAST(({expr}) AS DOUBLE)) AS DECIMAL(38, 12)) END")
+    u = f"CAST(replace(CAST(sum({d}) AS VARCHAR), '.', '') AS HUGEINT)"
+    n = f"CAST(count({expr}) AS HUGEINT)"
+    return (f"(CASE WHEN count({expr}) = 0 THEN NULL ELSE CAST(sign({u}) * ((2 * abs({u}) + {n} * 1000000) "
+            f"// (2 * {n} * 1000000)) AS DOUBLE) / 1000000 END)")
+
+
+def pct6(part: str, whole: str) -> str:
+    """Exact ``part / whole * 100`` HALF_UP to 6 places (the library's ``pct``)."""
+    p = f"CAST({part} AS HUGEINT)"
+    w = f"CAST({whole} AS HUGEINT)"
+    return (f"(CASE WHEN {w} > 0 THEN CAST(sign({p}) * ((2 * abs({p}) * 100000000 + {w}) // (2 * {w})) AS DOUBLE) "
+            f"/ 1000000 ELSE CAST(0 AS DOUBLE) END)")
+
+
+def rewrite_means(sql: str) -> str:
+    """Replace every ``round(avg(<expr>), 6)`` with the exact ``avg6``."""
+    out, i, tok = [], 0, "round(avg("
+    while True:
+        j = sql.find(tok, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        k, depth = j + len(tok), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        expr = sql[j + len(tok):k - 1]
+        tail = sql[k:k + 4]
+        if tail != ", 6)":
+            out.append(sql[i:k])
+            i = k
+            continue
+        out.append(sql[i:j] + avg6(expr))
+        i = k + 4
+
+
 VIEWS: dict[str, str] = {}
 DEPS: dict[str, tuple[str, ...]] = {}
 

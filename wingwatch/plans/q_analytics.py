@@ -11,6 +11,7 @@ from wingwatch.operators import dims
 from wingwatch.plans.catalog import query
 from wingwatch.sources import adapters as A
 from wingwatch.sources.tables import Tables
+from wingwatch.plans.oracle_views import pct6
 
 INC_AS_OF = "2001-07-01"
 OPS_AS_OF = "2001-11-04"
@@ -25,8 +26,7 @@ def _feat(spark, sf_dir):
 
 
 def _pct_sql(part: str, whole: str) -> str:
-    return (f"CASE WHEN {whole} > 0 THEN CAST({part} AS DOUBLE) / CAST({whole} AS DOUBLE) * 100 "
-            f"ELSE CAST(0 AS DOUBLE) END")
+    return pct6(part, whole)
 
 
 # ---- A1 / A8 scans and counts ----------------------------------------------
@@ -272,14 +272,14 @@ def ops_summary(spark, sf_dir):
     return AN.ops_summary(A.operational_data(_t(spark, sf_dir)))
 
 
-@query("value_distribution", ("incident_features", "airports"), """
+@query("value_distribution", ("incident_features", "airports"), f"""
 WITH g AS (
   SELECT 'severity' AS dimension, severity AS value, count(*) AS count FROM incident_features GROUP BY 2
   UNION ALL SELECT 'severity_class', CAST(CASE severity WHEN 'NONE' THEN 0 WHEN 'MINOR' THEN 1
       WHEN 'SERIOUS' THEN 2 WHEN 'FATAL' THEN 3 ELSE 0 END AS VARCHAR), count(*) FROM incident_features GROUP BY 2
   UNION ALL SELECT 'type', type, count(*) FROM airports GROUP BY 2),
 c AS (SELECT 'country' AS dimension, country AS value, count(*) AS count FROM incident_features GROUP BY 2),
-s AS (SELECT dimension, value, count, round(count * 100.0 / sum(count) OVER (PARTITION BY dimension), 6) AS share_pct
+s AS (SELECT dimension, value, count, {pct6("count", "sum(count) OVER (PARTITION BY dimension)")} AS share_pct
       FROM (SELECT * FROM g UNION ALL SELECT * FROM c) u)
 SELECT * FROM s WHERE dimension <> 'country'
 UNION ALL
@@ -330,8 +330,8 @@ def feature_means(spark, sf_dir):
     return AN.feature_means(_feat(spark, sf_dir), _MEAN_COLS)
 
 
-@query("severity_distribution", ("incident_wx",), """
-SELECT severity, count, avg_risk_score, round(count * 100.0 / sum(count) OVER (), 6) AS percentage
+@query("severity_distribution", ("incident_wx",), f"""
+SELECT severity, count, avg_risk_score, {pct6("count", "sum(count) OVER ()")} AS percentage
 FROM (SELECT severity, count(*) AS count, round(avg(wx_risk), 6) AS avg_risk_score FROM incident_wx GROUP BY severity) g
 """)
 def severity_distribution(spark, sf_dir):
@@ -356,8 +356,8 @@ def weekly_series(spark, sf_dir):
     return AN.weekly_series(_feat(spark, sf_dir))
 
 
-@query("region_distribution", ("incidents",), """
-SELECT region, incidents, round(incidents * 100.0 / sum(incidents) OVER (), 6) AS share_pct
+@query("region_distribution", ("incidents",), f"""
+SELECT region, incidents, {pct6("incidents", "sum(incidents) OVER ()")} AS share_pct
 FROM (SELECT COALESCE(regexp_extract(location, ', (.*)$', 1), 'Unknown') AS region, count(*) AS incidents
       FROM incidents GROUP BY 1) g
 """)
@@ -379,7 +379,7 @@ def factor_correlation(spark, sf_dir):
 
 @query("kpi_status", ("incident_wx",), f"""
 WITH yearly AS (
-  SELECT year, {_pct_sql("count_if(severity = 'FATAL')", "count(*)")} AS fatal_rate, avg(wx_risk) AS avg_weather_risk
+  SELECT year, {_pct_sql("count_if(severity = 'FATAL')", "count(*)")} AS fatal_rate, round(avg(wx_risk), 6) AS avg_weather_risk
   FROM incident_wx WHERE year IS NOT NULL GROUP BY year),
 lng AS (
   SELECT 'SPI-001' AS code, 'fatal_rate' AS name, year, fatal_rate AS value, CAST(15.0 AS DOUBLE) AS target_value FROM yearly

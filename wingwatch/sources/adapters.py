@@ -3,23 +3,20 @@
 These only *lay out* input rows (see FIXTURES.md section 3); NULLs and bad
 values are injected on purpose because the driver tables have none.  No job
 result is computed here, and no job relies on how these rows were made.
-Joins use Spark's planner: nation (25 rows) and region (5 rows) are fixed-size
-by the TPC-H definition and are broadcast; customer/orders grow with scale and
-are left to AQE (broadcast below the threshold, sort-merge above it).
+Each view is one ``selectExpr`` (SQL expression text: one parse instead of
+hundreds of Column calls).  Joins use Spark's planner: nation (25 rows) and
+region (5 rows) are fixed-size by the TPC-H definition and are broadcast;
+customer/orders grow with scale and are left to AQE (broadcast below the
+threshold, sort-merge above it).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wingwatch.sources.tables import Tables
 
-
-def _null_str() -> Column:
-    return F.lit(None).cast("string")
-
-
 INCIDENT_PHASES = [
     "TAKEOFF", "LANDING", "APPROACH", "CLIMB", "DESCENT", "CRUISE", "TAXI",
     "PREFLIGHT", "POST_FLIGHT", "UNKNOWN", "GO_AROUND", None,
@@ -29,15 +26,28 @@ INCIDENT_MAKES = [
     "Mooney", None,
 ]
 INCIDENT_MODELS = ["172", "PA-28-140", "737-800", "XX9", None]
+RAW_PHASE_CODES = ["TKOF", "LDG", "APPR", "MANEUVERING", "STANDING", "ZZZ", None]
+REPORT_DATES = ["202301", "2023-01", "01/2023", "2023", "20230115", "1/5/2023", "junk", None]
+REPORT_RESULTS = ["Ground Collision", "Runway excursion", "altitude DEVIATION",
+                  "None Reported", None]
+REPORT_ANOMALIES = ["Airborne collision threat", "deviation", None, None]
+REPORT_PHASES = ["Initial Climb", "Final Approach", "Taxi", "Parked", "Takeoff; Landing",
+                 "Cruise", "Hover", "", None]
+WEATHER_BY_EVENT = [("error", "Thunderstorm"), ("click", "Fog"), ("signup", "Rain"),
+                    ("purchase", "Clouds")]
+
 
+def _lit(v) -> str:
+    return "CAST(NULL AS STRING)" if v is None else "'" + str(v).replace("'", "\\'") + "'"
 
-def pick(values: list, index: Column) -> Column:
-    """``values[index]`` as a CASE chain (index is a 0-based int column)."""
-    expr = None
-    for i, v in enumerate(values):
-        lit_v = F.lit(v) if v is not None else _null_str()
-        expr = F.when(index == i, lit_v) if expr is None else expr.when(index == i, lit_v)
-    return expr
+
+def pick(values: list, index_sql: str) -> str:
+    """``values[index]`` as a SQL CASE (index is a 0-based integer expression)."""
+    return "CASE " + " ".join(f"WHEN {index_sql} = {i} THEN {_lit(v)}" for i, v in enumerate(values)) + " END"
+
+
+def _event_condition() -> str:
+    return "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in WEATHER_BY_EVENT) + " ELSE 'Clear' END"
 
 
 def _geo(t: Tables) -> DataFrame:
@@ -47,241 +57,179 @@ def _geo(t: Tables) -> DataFrame:
 
 
 def incidents(t: Tables) -> DataFrame:
-    o = t.read("orders", ["o_orderkey", "o_custkey", "o_orderstatus",
-                          "o_orderdate", "o_orderpriority"])
+    o = t.read("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"])
     c = t.read("customer", ["c_custkey", "c_nationkey", "c_mktsegment"], spread=False)
     j = (o.join(c, o.o_custkey == c.c_custkey)
           .join(F.broadcast(_geo(t)), F.col("c_nationkey") == F.col("n_nationkey")))
-    k = F.col("o_orderkey")
-    cu = F.col("o_custkey")
-    prio = F.col("o_orderpriority")
-    return j.select(
-        k.cast("bigint").alias("id"),
-        F.when(k % 97 == 0, "BOGUS").when(k % 103 == 0, _null_str())
-         .when(k % 10 < 6, "NTSB").when(k % 10 < 9, "ASRS").otherwise("FAA")
-         .alias("source"),
-        F.when(k % 101 == 0, F.lit(None).cast("timestamp_ntz"))
-         .when(k % 499 == 0, F.lit("1949-06-01 00:00:00").cast("timestamp_ntz"))
-         .otherwise(F.col("o_orderdate").cast("timestamp_ntz")).alias("incident_date"),
-        F.when(prio == "1-URGENT", "FATAL").when(prio == "2-HIGH", "SERIOUS")
-         .when(prio == "3-MEDIUM", "MINOR").otherwise("NONE").alias("severity"),
-        F.when(prio == "1-URGENT", cu % 4).when(k % 997 == 0, -1).otherwise(0)
-         .cast("int").alias("injuries_fatal"),
-        F.when(prio.isin("1-URGENT", "2-HIGH"), k % 3)
-         .when(k % 13 == 0, F.lit(None)).otherwise(0).cast("int").alias("injuries_serious"),
-        F.when(prio == "3-MEDIUM", 1 + k % 5).otherwise(0).cast("int").alias("injuries_minor"),
-        (cu % 6).cast("int").alias("injuries_uninjured"),
-        F.when(k % 7 == 0, F.lit(None)).when(k % 211 == 0, 95)
-         .otherwise(k % 181 - 90).cast("double").alias("latitude"),
-        F.when(k % 11 == 0, F.lit(None)).otherwise(cu % 361 - 180)
-         .cast("double").alias("longitude"),
-        F.when(F.col("n_regionkey") == 1, "USA").otherwise(F.col("n_name")).alias("country"),
-        F.when(k % 5 == 0, _null_str())
-         .otherwise(F.concat(F.lit("CITY_"), (cu % 50).cast("string"), F.lit(", "),
-                             F.col("r_name"))).alias("location"),
-        pick(INCIDENT_PHASES, k % 12).alias("phase_of_flight"),
-        F.when(F.col("o_orderstatus") == "F", "IMC")
-         .when(F.col("o_orderstatus") == "O", "VMC").otherwise(_null_str())
-         .alias("weather_conditions"),
-        F.when(k % 6 == 0, _null_str()).otherwise(F.concat(
-            F.lit('{"weather_risk_score": '), (cu % 101).cast("string"),
-            F.lit(', "visibility_m": '), (100 * (k % 120)).cast("string"),
-            F.lit(', "wind_speed_kt": '), (k % 41).cast("string"), F.lit("}"),
-        )).alias("weather_data"),
-        F.when(k % 9 == 0, _null_str())
-         .when(k % 4 == 0, F.concat(F.lit("a"), (cu % 60).cast("string")))
-         .otherwise(F.concat(F.lit("A"), (cu % 60).cast("string"))).alias("airport_code"),
-        pick(INCIDENT_MAKES, k % 8).alias("aircraft_make"),
-        pick(INCIDENT_MODELS, cu % 5).alias("aircraft_model"),
-        F.when(k % 3 == 0, _null_str())
-         .otherwise(F.repeat(F.concat(F.col("c_mktsegment"), F.lit(" cause ")),
-                             (1 + k % 40).cast("int"))).alias("probable_cause"),
+    k, cu, prio = "o_orderkey", "o_custkey", "o_orderpriority"
+    return j.selectExpr(
+        f"CAST({k} AS BIGINT) AS id",
+        f"CASE WHEN {k} % 97 = 0 THEN 'BOGUS' WHEN {k} % 103 = 0 THEN CAST(NULL AS STRING) "
+        f"WHEN {k} % 10 < 6 THEN 'NTSB' WHEN {k} % 10 < 9 THEN 'ASRS' ELSE 'FAA' END AS source",
+        f"CASE WHEN {k} % 101 = 0 THEN CAST(NULL AS TIMESTAMP_NTZ) "
+        f"WHEN {k} % 499 = 0 THEN TIMESTAMP_NTZ '1949-06-01 00:00:00' "
+        f"ELSE CAST(o_orderdate AS TIMESTAMP_NTZ) END AS incident_date",
+        f"CASE {prio} WHEN '1-URGENT' THEN 'FATAL' WHEN '2-HIGH' THEN 'SERIOUS' "
+        f"WHEN '3-MEDIUM' THEN 'MINOR' ELSE 'NONE' END AS severity",
+        f"CAST(CASE WHEN {prio} = '1-URGENT' THEN {cu} % 4 WHEN {k} % 997 = 0 THEN -1 ELSE 0 END AS INT) "
+        f"AS injuries_fatal",
+        f"CAST(CASE WHEN {prio} IN ('1-URGENT', '2-HIGH') THEN {k} % 3 WHEN {k} % 13 = 0 THEN NULL ELSE 0 END "
+        f"AS INT) AS injuries_serious",
+        f"CAST(CASE WHEN {prio} = '3-MEDIUM' THEN 1 + {k} % 5 ELSE 0 END AS INT) AS injuries_minor",
+        f"CAST({cu} % 6 AS INT) AS injuries_uninjured",
+        f"CAST(CASE WHEN {k} % 7 = 0 THEN NULL WHEN {k} % 211 = 0 THEN 95 ELSE {k} % 181 - 90 END AS DOUBLE) "
+        f"AS latitude",
+        f"CAST(CASE WHEN {k} % 11 = 0 THEN NULL ELSE {cu} % 361 - 180 END AS DOUBLE) AS longitude",
+        "CASE WHEN n_regionkey = 1 THEN 'USA' ELSE n_name END AS country",
+        f"CASE WHEN {k} % 5 = 0 THEN CAST(NULL AS STRING) "
+        f"ELSE concat('CITY_', CAST({cu} % 50 AS STRING), ', ', r_name) END AS location",
+        f"{pick(INCIDENT_PHASES, f'{k} % 12')} AS phase_of_flight",
+        "CASE o_orderstatus WHEN 'F' THEN 'IMC' WHEN 'O' THEN 'VMC' ELSE CAST(NULL AS STRING) END "
+        "AS weather_conditions",
+        f"CASE WHEN {k} % 6 = 0 THEN CAST(NULL AS STRING) ELSE concat('{{\"weather_risk_score\": ', "
+        f"CAST({cu} % 101 AS STRING), ', \"visibility_m\": ', CAST(100 * ({k} % 120) AS STRING), "
+        f"', \"wind_speed_kt\": ', CAST({k} % 41 AS STRING), '}}') END AS weather_data",
+        f"CASE WHEN {k} % 9 = 0 THEN CAST(NULL AS STRING) WHEN {k} % 4 = 0 THEN concat('a', CAST({cu} % 60 AS STRING)) "
+        f"ELSE concat('A', CAST({cu} % 60 AS STRING)) END AS airport_code",
+        f"{pick(INCIDENT_MAKES, f'{k} % 8')} AS aircraft_make",
+        f"{pick(INCIDENT_MODELS, f'{cu} % 5')} AS aircraft_model",
+        f"CASE WHEN {k} % 3 = 0 THEN CAST(NULL AS STRING) "
+        f"ELSE repeat(concat(c_mktsegment, ' cause '), CAST(1 + {k} % 40 AS INT)) END AS probable_cause",
     )
 
 
 def operational_data(t: Tables) -> DataFrame:
-    li = t.read("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                             "l_quantity", "l_discount", "l_tax", "l_returnflag",
-                             "l_shipdate"])
-    p = F.col("l_partkey")
-    ok = F.col("l_orderkey")
-    return li.select(
-        F.concat_ws("-", F.lit("F"), ok.cast("string"), F.col("l_linenumber").cast("string"),
-                    p.cast("string"), F.col("l_suppkey").cast("string"),
-                    F.date_format("l_shipdate", "yyyyMMdd")).alias("id"),
-        F.col("l_shipdate").cast("date").alias("date"),
-        F.concat(F.lit("N"), F.col("l_suppkey").cast("string")).alias("aircraft_id"),
-        F.concat(F.lit("FL"), ok.cast("string")).alias("flight_id"),
-        F.col("l_shipdate").cast("timestamp_ntz").alias("scheduled_departure"),
-        F.when(p % 23 == 0, F.lit(None)).otherwise(F.col("l_quantity") * 0.25)
-         .cast("double").alias("crew_duty_hours"),
-        F.when(p % 29 == 0, F.lit(None)).otherwise(F.col("l_discount") * 150)
-         .cast("double").alias("crew_rest_hours"),
-        (ok % 105).cast("double").alias("crew_fatigue_index"),
-        F.when(p % 31 == 0, F.lit(None)).otherwise(p % 41).cast("double")
-         .alias("aircraft_age_years"),
-        (F.col("l_returnflag") == "R").alias("maintenance_overdue_flag"),
-        F.col("l_linenumber").cast("int").alias("open_maintenance_items"),
-        (ok % 211 - 30).cast("int").alias("schedule_deviation_minutes"),
-        (20 + p % 160).cast("int").alias("turnaround_time_minutes"),
-        (F.col("l_tax") * 1250).cast("double").alias("operational_risk_score"),
+    li = t.read("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                             "l_discount", "l_tax", "l_returnflag", "l_shipdate"])
+    return li.selectExpr(
+        "concat_ws('-', 'F', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), "
+        "CAST(l_suppkey AS STRING), date_format(l_shipdate, 'yyyyMMdd')) AS id",
+        "CAST(l_shipdate AS DATE) AS date",
+        "concat('N', CAST(l_suppkey AS STRING)) AS aircraft_id",
+        "concat('FL', CAST(l_orderkey AS STRING)) AS flight_id",
+        "CAST(l_shipdate AS TIMESTAMP_NTZ) AS scheduled_departure",
+        "CAST(CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE l_quantity * CAST(0.25 AS DOUBLE) END AS DOUBLE) "
+        "AS crew_duty_hours",
+        "CAST(CASE WHEN l_partkey % 29 = 0 THEN NULL ELSE l_discount * CAST(150 AS DOUBLE) END AS DOUBLE) "
+        "AS crew_rest_hours",
+        "CAST(l_orderkey % 105 AS DOUBLE) AS crew_fatigue_index",
+        "CAST(CASE WHEN l_partkey % 31 = 0 THEN NULL ELSE l_partkey % 41 END AS DOUBLE) AS aircraft_age_years",
+        "l_returnflag = 'R' AS maintenance_overdue_flag",
+        "CAST(l_linenumber AS INT) AS open_maintenance_items",
+        "CAST(l_orderkey % 211 - 30 AS INT) AS schedule_deviation_minutes",
+        "CAST(20 + l_partkey % 160 AS INT) AS turnaround_time_minutes",
+        "CAST(l_tax * CAST(1250 AS DOUBLE) AS DOUBLE) AS operational_risk_score",
     )
 
 
-WEATHER_BY_EVENT = [("error", "Thunderstorm"), ("click", "Fog"), ("signup", "Rain"),
-                    ("purchase", "Clouds")]
-
-
-def _event_condition() -> Column:
-    et = F.col("event_type")
-    expr = None
-    for src, cond in WEATHER_BY_EVENT:
-        expr = F.when(et == src, cond) if expr is None else expr.when(et == src, cond)
-    return expr.otherwise("Clear")
-
-
 def weather_conditions(t: Tables) -> DataFrame:
     ev = t.read("events", ["event_id", "ts", "user_id", "event_type"])
-    e = F.col("event_id")
-    return ev.select(
-        e.cast("bigint").alias("id"),
-        F.col("ts").cast("date").alias("date"),
-        F.hour("ts").cast("int").alias("hour"),
-        F.concat(F.lit("AP"), (F.col("user_id") % 50).cast("string")).alias("airport_code"),
-        (e * 37 % 15000).cast("double").alias("visibility_m"),
-        (e * 13 % 36).cast("double").alias("wind_speed_ms"),
-        (e * 5 % 50).cast("double").alias("wind_gust_ms"),
-        (e * 7 % 60 - 15).cast("double").alias("temperature_c"),
-        (e * 11 % 101).cast("double").alias("cloud_cover_percent"),
-        _event_condition().alias("weather_condition"),
+    return ev.selectExpr(
+        "CAST(event_id AS BIGINT) AS id", "CAST(ts AS DATE) AS date", "CAST(hour(ts) AS INT) AS hour",
+        "concat('AP', CAST(user_id % 50 AS STRING)) AS airport_code",
+        "CAST(event_id * 37 % 15000 AS DOUBLE) AS visibility_m",
+        "CAST(event_id * 13 % 36 AS DOUBLE) AS wind_speed_ms",
+        "CAST(event_id * 5 % 50 AS DOUBLE) AS wind_gust_ms",
+        "CAST(event_id * 7 % 60 - 15 AS DOUBLE) AS temperature_c",
+        "CAST(event_id * 11 % 101 AS DOUBLE) AS cloud_cover_percent",
+        f"{_event_condition()} AS weather_condition",
     )
 
 
 def airports(t: Tables) -> DataFrame:
     """Raw airport list (before the B2 type filter)."""
-    s = F.col("s_suppkey")
     sup = t.read("supplier", ["s_suppkey", "s_nationkey"], spread=False)
-    return sup.filter((s < 60) & (s % 3 < 2)).select(
-        F.when(s % 3 == 0, F.concat(F.lit("A"), s.cast("string")))
-         .otherwise(F.concat(F.lit("KA"), s.cast("string"))).alias("ident"),
-        pick(["large_airport", "medium_airport", "small_airport", "heliport"], s % 4).alias("type"),
-        F.concat(F.lit("Airport "), s.cast("string")).alias("name"),
-        (s - 50).cast("double").alias("latitude_deg"),
-        (2 * s - 100).cast("double").alias("longitude_deg"),
-        (s * 10).cast("int").alias("elevation_ft"),
-        F.when(F.col("s_nationkey") == 1, "US").otherwise("XX").alias("iso_country"),
-        F.concat(F.lit("R-"), (s % 5).cast("string")).alias("iso_region"),
-        F.concat(F.lit("CITY_"), (s % 50).cast("string")).alias("municipality"),
+    s = "s_suppkey"
+    return sup.filter(f"{s} < 60 AND {s} % 3 < 2").selectExpr(
+        f"CASE WHEN {s} % 3 = 0 THEN concat('A', CAST({s} AS STRING)) ELSE concat('KA', CAST({s} AS STRING)) END "
+        f"AS ident",
+        f"{pick(['large_airport', 'medium_airport', 'small_airport', 'heliport'], f'{s} % 4')} AS type",
+        f"concat('Airport ', CAST({s} AS STRING)) AS name",
+        f"CAST({s} - 50 AS DOUBLE) AS latitude_deg", f"CAST(2 * {s} - 100 AS DOUBLE) AS longitude_deg",
+        f"CAST({s} * 10 AS INT) AS elevation_ft",
+        "CASE WHEN s_nationkey = 1 THEN 'US' ELSE 'XX' END AS iso_country",
+        f"concat('R-', CAST({s} % 5 AS STRING)) AS iso_region",
+        f"concat('CITY_', CAST({s} % 50 AS STRING)) AS municipality",
     )
 
 
-RAW_PHASE_CODES = ["TKOF", "LDG", "APPR", "MANEUVERING", "STANDING", "ZZZ", None]
-
-
 def raw_events(t: Tables) -> DataFrame:
     o = t.read("orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
-    k = F.col("o_orderkey")
-    cu = F.col("o_custkey")
-    prio = F.col("o_orderpriority")
-    return o.select(
-        F.concat(F.lit("E"), k.cast("string")).alias("ev_id"),
-        F.when(k % 101 == 0, _null_str())
-         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("ev_date"),
-        F.year("o_orderdate").cast("int").alias("ev_year"),
-        F.when(k % 5 == 0, _null_str())
-         .otherwise(F.concat(F.lit("CITY_"), (cu % 50).cast("string"))).alias("ev_city"),
-        F.when(k % 3 == 0, _null_str())
-         .otherwise(F.concat(F.lit("S"), (cu % 7).cast("string"))).alias("ev_state"),
-        F.when(k % 17 == 0, "n/a").when(k % 7 == 0, _null_str())
-         .otherwise((k % 181 - 90).cast("string")).alias("dec_latitude"),
-        F.when(prio == "1-URGENT", "FATL").when(prio == "2-HIGH", "SERS")
-         .when(prio == "3-MEDIUM", "MINR").when(prio == "5-LOW", "NONE")
-         .otherwise(_null_str()).alias("ev_highest_injury"),
-        pick(RAW_PHASE_CODES, k % 7).alias("phase_flt_spec"),
-        F.when(k % 19 == 0, "x").when(k % 6 == 0, _null_str())
-         .otherwise((cu % 4).cast("string")).alias("inj_tot_f"),
-        F.when(k % 4 == 0, F.lit(None)).otherwise(cu % 41).cast("double").alias("wind_vel_kts"),
-        F.when(k % 8 == 0, F.lit(None)).otherwise(cu % 11).cast("double").alias("vis_sm"),
+    k, cu = "o_orderkey", "o_custkey"
+    return o.selectExpr(
+        f"concat('E', CAST({k} AS STRING)) AS ev_id",
+        f"CASE WHEN {k} % 101 = 0 THEN CAST(NULL AS STRING) ELSE date_format(o_orderdate, 'yyyy-MM-dd') END AS ev_date",
+        "CAST(year(o_orderdate) AS INT) AS ev_year",
+        f"CASE WHEN {k} % 5 = 0 THEN CAST(NULL AS STRING) ELSE concat('CITY_', CAST({cu} % 50 AS STRING)) END AS ev_city",
+        f"CASE WHEN {k} % 3 = 0 THEN CAST(NULL AS STRING) ELSE concat('S', CAST({cu} % 7 AS STRING)) END AS ev_state",
+        f"CASE WHEN {k} % 17 = 0 THEN 'n/a' WHEN {k} % 7 = 0 THEN CAST(NULL AS STRING) "
+        f"ELSE CAST({k} % 181 - 90 AS STRING) END AS dec_latitude",
+        "CASE o_orderpriority WHEN '1-URGENT' THEN 'FATL' WHEN '2-HIGH' THEN 'SERS' WHEN '3-MEDIUM' THEN 'MINR' "
+        "WHEN '5-LOW' THEN 'NONE' ELSE CAST(NULL AS STRING) END AS ev_highest_injury",
+        f"{pick(RAW_PHASE_CODES, f'{k} % 7')} AS phase_flt_spec",
+        f"CASE WHEN {k} % 19 = 0 THEN 'x' WHEN {k} % 6 = 0 THEN CAST(NULL AS STRING) "
+        f"ELSE CAST({cu} % 4 AS STRING) END AS inj_tot_f",
+        f"CAST(CASE WHEN {k} % 4 = 0 THEN NULL ELSE {cu} % 41 END AS DOUBLE) AS wind_vel_kts",
+        f"CAST(CASE WHEN {k} % 8 = 0 THEN NULL ELSE {cu} % 11 END AS DOUBLE) AS vis_sm",
     )
 
 
 def raw_aircraft(t: Tables) -> DataFrame:
     li = t.read("lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
     p = t.read("part", ["p_partkey", "p_brand", "p_type"], spread=False)
-    return li.join(p, li.l_partkey == p.p_partkey).select(
-        F.concat(F.lit("E"), F.col("l_orderkey").cast("string")).alias("ev_id"),
-        F.col("l_linenumber").cast("int").alias("line_no"),
-        F.col("l_partkey").cast("bigint").alias("part_no"),
-        F.col("l_suppkey").cast("bigint").alias("supp_no"),
-        F.col("p_brand").alias("acft_make"),
-        F.col("p_type").alias("acft_model"),
-        F.concat(F.lit("N"), F.col("l_suppkey").cast("string")).alias("regis_no"),
+    return li.join(p, li.l_partkey == p.p_partkey).selectExpr(
+        "concat('E', CAST(l_orderkey AS STRING)) AS ev_id", "CAST(l_linenumber AS INT) AS line_no",
+        "CAST(l_partkey AS BIGINT) AS part_no", "CAST(l_suppkey AS BIGINT) AS supp_no",
+        "p_brand AS acft_make", "p_type AS acft_model", "concat('N', CAST(l_suppkey AS STRING)) AS regis_no",
     )
 
 
-REPORT_DATES = ["202301", "2023-01", "01/2023", "2023", "20230115", "1/5/2023", "junk", None]
-REPORT_RESULTS = ["Ground Collision", "Runway excursion", "altitude DEVIATION",
-                  "None Reported", None]
-REPORT_ANOMALIES = ["Airborne collision threat", "deviation", None, None]
-REPORT_PHASES = ["Initial Climb", "Final Approach", "Taxi", "Parked", "Takeoff; Landing",
-                 "Cruise", "Hover", "", None]
-
-
 def raw_reports(t: Tables) -> DataFrame:
     o = t.read("orders", ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"])
-    k = F.col("o_orderkey")
-    cu = F.col("o_custkey")
-    return o.select(
-        k.cast("bigint").alias("acn"),
-        pick(REPORT_DATES, k % 8).alias("date_raw"),
-        pick(REPORT_RESULTS, cu % 5).alias("result"),
-        pick(REPORT_ANOMALIES, cu % 4).alias("anomaly"),
-        pick(REPORT_PHASES, k % 9).alias("flight_phase"),
-        F.when(k % 3 == 0, _null_str())
-         .otherwise(F.concat(F.lit("Synopsis of report "), k.cast("string"))).alias("synopsis"),
-        F.when(k % 5 == 0, _null_str())
-         .otherwise(F.repeat(F.concat(F.lit("Narrative "), F.col("o_orderpriority"), F.lit(" ")),
-                             (1 + k % 400).cast("int"))).alias("narrative"),
-        F.concat(F.lit("S"), (cu % 7).cast("string")).alias("state_reference"),
-        F.col("o_orderstatus").alias("flight_conditions"),
+    k, cu = "o_orderkey", "o_custkey"
+    return o.selectExpr(
+        f"CAST({k} AS BIGINT) AS acn",
+        f"{pick(REPORT_DATES, f'{k} % 8')} AS date_raw",
+        f"{pick(REPORT_RESULTS, f'{cu} % 5')} AS result",
+        f"{pick(REPORT_ANOMALIES, f'{cu} % 4')} AS anomaly",
+        f"{pick(REPORT_PHASES, f'{k} % 9')} AS flight_phase",
+        f"CASE WHEN {k} % 3 = 0 THEN CAST(NULL AS STRING) ELSE concat('Synopsis of report ', CAST({k} AS STRING)) END "
+        f"AS synopsis",
+        f"CASE WHEN {k} % 5 = 0 THEN CAST(NULL AS STRING) "
+        f"ELSE repeat(concat('Narrative ', o_orderpriority, ' '), CAST(1 + {k} % 400 AS INT)) END AS narrative",
+        f"concat('S', CAST({cu} % 7 AS STRING)) AS state_reference",
+        "o_orderstatus AS flight_conditions",
     )
 
 
 def weather_payloads(t: Tables) -> DataFrame:
     """Landed weather API payloads, three shapes by event id."""
     ev = t.read("events", ["event_id", "event_type"])
-    e = F.col("event_id")
-    temp = (e * 7 % 60 - 15).cast("string")
-    vis = (e * 37 % 15000).cast("string")
-    speed = (e * 13 % 36).cast("string")
-    gust = (e * 5 % 50).cast("string")
-    hum = (e * 3 % 100).cast("string")
+    temp = "CAST(event_id * 7 % 60 - 15 AS STRING)"
+    vis = "CAST(event_id * 37 % 15000 AS STRING)"
+    speed = "CAST(event_id * 13 % 36 AS STRING)"
+    gust = "CAST(event_id * 5 % 50 AS STRING)"
+    hum = "CAST(event_id * 3 % 100 AS STRING)"
     cond = _event_condition()
-    history = F.concat(F.lit('{"data": [{"temp": '), temp, F.lit(', "visibility": '), vis,
-                       F.lit(', "speed": '), speed, F.lit(', "weather": [{"main": "'),
-                       cond, F.lit('"}]}]}'))
-    current = F.concat(F.lit('{"main": {"temp": '), temp, F.lit(', "humidity": '), hum,
-                       F.lit('}, "wind": {"speed": '), speed, F.lit(', "gust": '), gust,
-                       F.lit('}, "visibility": '), vis, F.lit(', "weather": [{"main": "'),
-                       cond, F.lit('"}]}'))
-    return ev.select(
-        e.cast("bigint").alias("id"),
-        F.when(e % 3 == 0, history).when(e % 3 == 1, current).otherwise(F.lit("{}"))
-         .alias("payload"),
+    history = (f"concat('{{\"data\": [{{\"temp\": ', {temp}, ', \"visibility\": ', {vis}, ', \"speed\": ', {speed}, "
+               f"', \"weather\": [{{\"main\": \"', {cond}, '\"}}]}}]}}')")
+    current = (f"concat('{{\"main\": {{\"temp\": ', {temp}, ', \"humidity\": ', {hum}, "
+               f"'}}, \"wind\": {{\"speed\": ', {speed}, ', \"gust\": ', {gust}, '}}, \"visibility\": ', {vis}, "
+               f"', \"weather\": [{{\"main\": \"', {cond}, '\"}}]}}')")
+    return ev.selectExpr(
+        "CAST(event_id AS BIGINT) AS id",
+        f"CASE WHEN event_id % 3 = 0 THEN {history} WHEN event_id % 3 = 1 THEN {current} ELSE '{{}}' END AS payload",
     )
 
 
 def scored(t: Tables) -> DataFrame:
     """Deterministic pseudo-predictions for the metric operators."""
     o = t.read("orders", ["o_orderkey", "o_custkey"])
-    k = F.col("o_orderkey")
-    cu = F.col("o_custkey")
-    return o.select(
-        k.cast("bigint").alias("id"),
-        (cu % 21).cast("double").alias("y"),
-        ((cu % 21) + (k % 9 - 4) * 0.5).cast("double").alias("y_hat"),
-        (cu % 4).cast("int").alias("class_actual"),
-        F.when(k % 5 == 0, (cu + 1) % 4).otherwise(cu % 4).cast("int").alias("class_pred"),
-        ((k * 31 % 1000) * 0.001 - 0.5).cast("double").alias("anomaly_score"),
-        (k * 31 % 1000 < 50).alias("is_anomaly"),
+    return o.selectExpr(
+        "CAST(o_orderkey AS BIGINT) AS id", "CAST(o_custkey % 21 AS DOUBLE) AS y",
+        "CAST(o_custkey % 21 AS DOUBLE) + CAST(o_orderkey % 9 - 4 AS DOUBLE) * CAST(0.5 AS DOUBLE) AS y_hat",
+        "CAST(o_custkey % 4 AS INT) AS class_actual",
+        "CAST(CASE WHEN o_orderkey % 5 = 0 THEN (o_custkey + 1) % 4 ELSE o_custkey % 4 END AS INT) AS class_pred",
+        "CAST(o_orderkey * 31 % 1000 AS DOUBLE) * CAST(0.001 AS DOUBLE) - CAST(0.5 AS DOUBLE) AS anomaly_score",
+        "o_orderkey * 31 % 1000 < 50 AS is_anomaly",
     )

@@ -19,6 +19,9 @@ TABLE_NAMES = (
 )
 
 
+_BASE: dict[tuple[str, str], tuple[DataFrame, int]] = {}
+
+
 class Tables:
     """Lazy handle on a directory of ``<name>.parquet`` tables."""
 
@@ -39,13 +42,21 @@ class Tables:
         filters are still pushed below the exchange into the scan.  Dimension
         reads pass ``spread=False`` (they are broadcast anyway).
         """
-        df = self.spark.read.parquet(self.path(name))
-        if columns:
-            df = df.select(*columns)
+        base, splits = self._base(name)
+        df = base.select(*columns) if columns else base
         want = self.spark.sparkContext.defaultParallelism
-        if spread and df.rdd.getNumPartitions() < want:
+        if spread and splits < want:
             df = df.repartition(want)
         return df
 
+    def _base(self, name: str) -> tuple[DataFrame, int]:
+        """Reader and split count per (application, path), built once: file
+        listing and footer reads are not repeated for every query."""
+        key = (self.spark.sparkContext.applicationId, self.path(name))
+        if key not in _BASE:
+            df = self.spark.read.parquet(self.path(name))
+            _BASE[key] = (df, df.rdd.getNumPartitions())
+        return _BASE[key]
+
     def exists(self, name: str) -> bool:
         return os.path.exists(self.path(name))
