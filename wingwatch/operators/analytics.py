@@ -395,3 +395,28 @@ def trailing_window(df: DataFrame, date_col: str, as_of: str, days: int) -> Data
     """A2/A3: rows of the last ``days`` days before ``as_of`` (pushed to the scan)."""
     since = F.date_sub(F.lit(as_of).cast("date"), days)
     return df.filter(F.col(date_col) >= since.cast(df.schema[date_col].dataType))
+
+
+ALERT_RULES = [  # (condition column, threshold, alert type), first match wins
+    ("crew_fatigue_index", 80, "Fatigue Warning"),
+    ("maintenance_risk", 60, "Maintenance Due"),
+    ("operational_risk_score", 70, "High Operational Risk"),
+]
+
+
+def alert_feed(ops: DataFrame, limit: int = 100) -> DataFrame:
+    """Operations over an alert threshold, typed and levelled (C30 on
+    the operational risk), newest first; the feed length is the feature."""
+    from wingwatch.functions.risk import risk_level
+
+    cond = F.lit(False)
+    typ = None
+    for col, thr, label in ALERT_RULES:
+        c = F.coalesce(F.col(col) > thr, F.lit(False))
+        cond = cond | c
+        typ = F.when(c, label) if typ is None else typ.when(c, label)
+    alerts = ops.filter(cond).select(
+        "id", "date", "aircraft_id", typ.alias("alert_type"),
+        risk_level(F.col("operational_risk_score")).alias("risk_level"),
+        F.round("operational_risk_score", 6).alias("operational_risk_score"))
+    return alerts.orderBy(F.desc("date"), F.asc("id")).limit(limit)

@@ -461,3 +461,19 @@ def top_risk(spark, sf_dir):
     return top.select("id", "aircraft_id", "date",
                       *[F.round(c, 9).alias(c) for c in
                         ("operational_risk_score", "fatigue_risk", "maintenance_risk", "schedule_risk")])
+
+
+@query("alert_feed", ("ops_features",), """
+SELECT id, date, aircraft_id,
+  CASE WHEN COALESCE(crew_fatigue_index > 80, FALSE) THEN 'Fatigue Warning'
+       WHEN COALESCE(maintenance_risk > 60, FALSE) THEN 'Maintenance Due'
+       WHEN COALESCE(operational_risk_score > 70, FALSE) THEN 'High Operational Risk' END AS alert_type,
+  CASE WHEN operational_risk_score >= 75 THEN 'CRITICAL' WHEN operational_risk_score >= 50 THEN 'HIGH'
+       WHEN operational_risk_score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+  round(operational_risk_score, 6) AS operational_risk_score
+FROM ops_features
+WHERE COALESCE(crew_fatigue_index > 80, FALSE) OR COALESCE(maintenance_risk > 60, FALSE)
+   OR COALESCE(operational_risk_score > 70, FALSE)
+ORDER BY date DESC, id LIMIT 100""")
+def alert_feed(spark, sf_dir):
+    return AN.alert_feed(ops_features(A.operational_data(_t(spark, sf_dir))))

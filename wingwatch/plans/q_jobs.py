@@ -150,3 +150,15 @@ ORACLE["etl_summary"] = (
     with_views("incidents", "incident_features", "operational_data").rstrip() + "\n" + _INC_SQL + _INC_SCORES
     + """, dq AS (SELECT completeness_score * 0.3 + consistency_score * 0.4 + accuracy_score * 0.3 AS overall_score
     FROM s),""" + _ETL_SQL)
+
+
+@query("scan_airport_csv", ("airports",), "SELECT * FROM airports")
+def scan_airport_csv(spark, sf_dir):
+    """A19 + A10: the airport list is written as CSV, scanned back with an
+    explicit schema (no inference pass) and projected (B1, B2, C29)."""
+    from wingwatch.operators import dims
+
+    path = _run_root(spark, "airports-csv")
+    A.airports(Tables(spark, sf_dir)).write.option("header", True).csv(path)
+    raw = dims.read_dimension_csv(spark, path, dims.AIRPORT_CSV_SCHEMA)
+    return dims.airport_projection(raw)

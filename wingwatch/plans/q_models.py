@@ -169,3 +169,38 @@ def what_if_model(spark, sf_dir):
     """I16: base vs scenario risk per incident with the fitted model."""
     b = risk_bundle(spark, sf_dir)
     return TR.what_if_frame(b["data"], b["ens"], b["features"], "id", WHAT_IF_SCENARIOS)
+
+
+@query("feature_select")
+def feature_select(spark, sf_dir):
+    """The feature lists each model resolves from the available columns."""
+    inc, ops = _frames(spark, sf_dir)
+    sets = M.model_feature_sets(inc, ops)
+    return spark.createDataFrame([(m, i, f) for m, fs in sets.items() for i, f in enumerate(fs)],
+                                 "model string, position int, feature string")
+
+
+@query("example_predictions")
+def example_predictions(spark, sf_dir):
+    """A seeded sample of held-out rows, actual vs predicted."""
+    return ST.seeded_sample(risk_model_scores(spark, sf_dir), "id", 10, seed=42)
+
+
+@query("model_results_sink")
+def model_results_sink(spark, sf_dir):
+    """Anomaly scores and Shapley values written with their row key, read back."""
+    import os
+    import uuid
+
+    from wingwatch.session import checkpoint_dir
+    from wingwatch.sources import sinks as S
+
+    root = os.path.join(checkpoint_dir(spark), f"results-{uuid.uuid4().hex}")
+    S.write_table(anomaly_scores(spark, sf_dir), os.path.join(root, "anomaly_scores"), "replace")
+    S.write_table(shap_values(spark, sf_dir), os.path.join(root, "shap_values"), "replace")
+    a = spark.read.parquet(os.path.join(root, "anomaly_scores"))
+    s = spark.read.parquet(os.path.join(root, "shap_values"))
+    return (a.agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_anomaly").alias("flagged"))
+            .select(F.lit("anomaly_scores").alias("table_name"), "rows", "flagged")
+            .unionByName(s.agg(F.count(F.lit(1)).alias("rows")).select(
+                F.lit("shap_values").alias("table_name"), "rows", F.lit(None).cast("bigint").alias("flagged"))))

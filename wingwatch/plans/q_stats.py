@@ -212,7 +212,8 @@ def shap_importance(spark, sf_dir):
 @query("explain_extremes", ("ops_features",), f"""WITH {_CONTRIB_SQL}, {_HEUR_SQL},
 ex AS (SELECT * FROM (SELECT 'highest' AS which, id FROM heur ORDER BY heuristic_risk DESC, id LIMIT 1)
        UNION ALL SELECT * FROM (SELECT 'lowest', id FROM heur ORDER BY heuristic_risk, id LIMIT 1))
-SELECT which, id, CAST(rk AS INTEGER) AS rank, feature, contribution FROM (
+SELECT which, id, CAST(rk AS INTEGER) AS rank, feature, contribution,
+  CASE WHEN contribution > 0 THEN 'increases risk' ELSE 'decreases risk' END AS direction FROM (
   SELECT ex.which, lng.*, row_number() OVER (PARTITION BY ex.which ORDER BY abs(contribution) DESC, feature) AS rk
   FROM ex JOIN lng ON ex.id = lng.id WHERE contribution IS NOT NULL) x WHERE rk <= 5""")
 def explain_extremes(spark, sf_dir):
@@ -221,7 +222,8 @@ def explain_extremes(spark, sf_dir):
     contrib = linear_contributions(ops).join(F.broadcast(ext), "id")   # 2 rows: bounded
     top = ST.top_abs_contributions(contrib, "id", CONTRIB_COLS, 5)
     return top.join(F.broadcast(ext), "id").select("which", "id", F.col("rank").cast("int").alias("rank"),
-                                                   "feature", "contribution")
+                                                   "feature", "contribution",
+                                                   R.direction(F.col("contribution")).alias("direction"))
 
 
 def _linear_score(v):
