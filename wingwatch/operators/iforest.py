@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wingwatch.session import materialize
+
 from wingwatch.operators import quantiles as Q
 
 EULER = 0.5772156649
@@ -153,7 +155,7 @@ def detect(df: DataFrame, model: dict, key: str, contamination: float = 0.05) ->
     """Decision score and anomaly flag with the contamination offset."""
     # written once to the shared checkpoint folder: the quantile passes and the
     # final projection read it instead of re-running the Python scorer
-    scored = score_samples(df, model, key).checkpoint(eager=True)
+    scored = materialize(score_samples(df, model, key))
     offset = Q.exact_quantiles(scored, "score", [contamination])[contamination]
     return scored.select(key, F.col("score").alias("score_sample"),
                          (F.col("score") - F.lit(offset)).alias("anomaly_score"),

@@ -20,7 +20,8 @@ from wingwatch.operators import analytics as AN
 from wingwatch.operators import enrich as EN
 from wingwatch.operators import quality as Q
 from wingwatch.operators import rules as RU
-from wingwatch.session import checkpoint_dir
+from wingwatch.operators import setops as SO
+from wingwatch.session import checkpoint_dir, materialize
 from wingwatch.sources import adapters as A
 from wingwatch.sources import sinks as S
 from wingwatch.sources.tables import Tables
@@ -69,8 +70,8 @@ def daily_etl(spark: SparkSession, tables: Tables, out_root: str, incidents_as_o
     if operational_days_back is not None:
         ops = AN.trailing_window(ops, "date", ops_as_of, operational_days_back)
     # read once: validation, features, store and summary all reuse these rows
-    inc = inc.checkpoint(eager=True)
-    ops = ops.checkpoint(eager=True)
+    inc = materialize(inc)
+    ops = materialize(ops)
     inc_scores = Q.validate_incidents(inc, incidents_as_of)
     ops_scores = Q.validate_ops(ops)
     inc_feat, ops_feat, monthly = training_frames(inc, ops)
@@ -87,7 +88,7 @@ def recommendation_run(spark: SparkSession, tables: Tables, out_root: str, top_n
     """The top-n riskiest operations -> rules -> JSON + CSV exports -> summary."""
     ops = ops_features(A.operational_data(tables))
     top = AN.top_k(ops, "operational_risk_score", top_n)
-    recs = RU.recommendations(top, key="id").checkpoint(eager=True)
+    recs = materialize(RU.recommendations(top, key="id"))
     S.export_records(recs, os.path.join(out_root, "recommendations_json"), "json")
     S.export_records(RU.to_export(recs).drop("json"), os.path.join(out_root, "recommendations_csv"), "csv")
     return RU.recommendation_summary(recs)
@@ -96,9 +97,13 @@ def recommendation_run(spark: SparkSession, tables: Tables, out_root: str, top_n
 def weather_enrichment(spark: SparkSession, tables: Tables, out_root: str) -> DataFrame:
     """Backlog incidents take their landed payloads; incidents are
     rewritten and the parsed observations deduplicated on their natural key."""
-    parsed = W.flatten_weather_payload(A.weather_payloads(tables))
+    parsed = materialize(W.flatten_weather_payload(A.weather_payloads(tables)))
     updated = EN.apply_weather_update(A.incidents(tables), parsed)
     S.write_table(updated.drop("updated"), os.path.join(out_root, "incidents_enriched"), "replace")
+    keys = A.weather_conditions(tables).select("id", "date", "hour", "airport_code")
+    observations = SO.dedup_by_key(keys.join(parsed.filter("parsed"), "id"),
+                                   ["date", "hour", "airport_code"], ["id"])
+    S.write_table(observations, os.path.join(out_root, "weather_observations"), "replace")
     return updated.groupBy("updated").agg(F.count(F.lit(1)).alias("incidents"))
 
 

@@ -15,6 +15,7 @@ from wingwatch.operators import stats as ST
 from wingwatch.operators import trees as TR
 from wingwatch.plans.catalog import query
 from wingwatch.sources import adapters as A
+from wingwatch.session import materialize
 from wingwatch.sources.tables import Tables
 
 # model parameters (the reference's, see SURVEY I2/I5/I9)
@@ -41,7 +42,7 @@ def risk_bundle(spark, sf_dir, **params):
         inc, ops = _frames(spark, sf_dir)
         feats = M.model_feature_sets(inc, ops)["risk"]
         data, med = M.prepare(inc, "id", feats, "injury_score")
-        data = ST.hash_split(data, "id").checkpoint(eager=True)
+        data = materialize(ST.hash_split(data, "id"))
         model = M.fit_risk_model(data.filter("split = 'train'"), feats, "injury_score", **p)
         ens = TR.ensemble_arrays(spark, model.stages[-1], len(feats))
         _CACHE[key] = dict(model=model, features=feats, data=data, medians=med, ens=ens)
@@ -55,7 +56,7 @@ def severity_bundle(spark, sf_dir, **params):
         inc, ops = _frames(spark, sf_dir)
         feats = M.model_feature_sets(inc, ops)["severity"]
         data, med = M.prepare(inc, "id", feats, "severity_class")
-        data = ST.with_class_weight(ST.hash_split(data, "id"), "severity_class").checkpoint(eager=True)
+        data = materialize(ST.with_class_weight(ST.hash_split(data, "id"), "severity_class"))
         model = M.fit_severity_model(data.filter("split = 'train'"), feats, "severity_class", **p)
         _CACHE[key] = dict(model=model, features=feats, data=data, medians=med)
     return _CACHE[key]
@@ -68,7 +69,7 @@ def anomaly_bundle(spark, sf_dir, **params):
         inc, ops = _frames(spark, sf_dir)
         feats = M.model_feature_sets(inc, ops)["anomaly"]
         data, med = M.prepare(ops, "id", feats)
-        data = data.checkpoint(eager=True)
+        data = materialize(data)
         model = M.fit_anomaly_model(data, feats, "id", **p)
         _CACHE[key] = dict(model=model, features=feats, data=data, medians=med, ops=ops)
     return _CACHE[key]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -22,10 +23,33 @@ RUNTIME_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``wingwatch`` importable in the Python workers (the Arrow stages
+    pickle functions of this package by reference).  The package is zipped
+    once per application and distributed with ``addPyFile``."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="wingwatch-pkg-"), "wingwatch.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
@@ -52,6 +76,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def materialize(df):
+    """Cut lineage reliably: write ``df`` once to the shared checkpoint folder
+    (``Dataset.checkpoint``) so later actions read it instead of recomputing,
+    and a lost executor does not force a recompute from the sources."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app: str = "wingwatch") -> SparkSession:
     builder = SparkSession.builder.appName(app)
