@@ -20,6 +20,7 @@ TABLE_NAMES = (
 
 
 _BASE: dict[tuple[str, str], tuple[DataFrame, int]] = {}
+SPREAD_MAX_SPLITS = 16
 
 
 class Tables:
@@ -35,17 +36,19 @@ class Tables:
     def read(self, name: str, columns: list[str] | None = None, spread: bool = True) -> DataFrame:
         """Pruned scan of one table.
 
-        A source with fewer input splits than the cluster's default
-        parallelism (a small file with one row group) is spread round-robin
-        after pruning, so the narrow stages above it use every core.  Large
-        inputs already have more splits than cores and are left untouched;
-        filters are still pushed below the exchange into the scan.  Dimension
-        reads pass ``spread=False`` (they are broadcast anyway).
+        A *small* source - fewer than ``SPREAD_MAX_SPLITS`` input splits (at
+        most ~2 GB) and fewer splits than the default parallelism, e.g. a file
+        with one row group - is spread round-robin after pruning, so the
+        narrow stages above it use every core for the price of a small
+        shuffle.  Anything larger keeps its file splits: a mid-sized table is
+        never shuffled just to match the core count.  Filters are still pushed
+        below the exchange into the scan.  Dimension reads pass
+        ``spread=False`` (they are broadcast anyway).
         """
         base, splits = self._base(name)
         df = base.select(*columns) if columns else base
         want = self.spark.sparkContext.defaultParallelism
-        if spread and splits < want:
+        if spread and splits < min(want, SPREAD_MAX_SPLITS):
             df = df.repartition(want)
         return df
 
