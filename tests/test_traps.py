@@ -177,3 +177,12 @@ def test_api_rules_zero_does_not_fire(spark):
 def test_safe_int_rules(spark):
     df = spark.createDataFrame([("2",), (" 3 ",), ("2.5",), ("x",), (None,)], "v string")
     assert [r[0] for r in df.select(T.safe_int(F.col("v"))).collect()] == [2, 3, 0, 0, 0]
+
+
+def test_bounded_broadcast_guard(spark):
+    df = spark.range(100)
+    big = spark.range(1000)
+    small_plan = big.join(dims.bounded_broadcast(df, 1000), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in small_plan.lower()
+    over = dims.bounded_broadcast(df, 10)
+    assert over is df                                  # above the bound: no hint, the planner decides

@@ -1,7 +1,10 @@
 """Dimension enrichment and keyed updates.
 
 Small dimensions are broadcast (airports behind a proven row bound, aircraft
-types fixed at 24 rows); fact tables are never shuffled for a lookup.
+types fixed at 24 rows), so dimension lookups (D2, D3) leave the fact table
+where it is.  The keyed update D7 joins two large tables on the record id
+and is planned by AQE (sort-merge with skew splitting above the broadcast
+threshold).
 """
 
 from __future__ import annotations

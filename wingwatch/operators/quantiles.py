@@ -13,8 +13,10 @@ columns at once:
    then ``groupBy(bracket, bin)`` with count/min/max - a partial aggregate,
    so the shuffle is at most brackets x bins rows) and the bracket shrinks to
    the bin holding the rank;
-3. brackets with at most ``max_collect`` values (or one distinct value) are
-   resolved exactly from their values, fetched for all of them in one pass.
+3. brackets small enough for their share of the ``max_collect`` budget (or
+   holding one distinct value) are resolved exactly from their values,
+   fetched for all of them in one pass; per round the driver holds at most
+   about ``max_collect`` values (64 per bracket when there are very many).
 
 For continuous data a pass divides a bracket by ~``buckets``, so a trillion
 rows need about three passes however many columns are asked for.  Quantiles
@@ -47,12 +49,16 @@ def order_statistics(df: DataFrame, wanted: dict[str, set[int]], stats: dict[str
             open_[(i, lo, hi, 0, n)] = set(wanted[c])
     while open_:
         small, large = {}, {}
+        # ``max_collect`` is a budget for the whole round, shared by the
+        # open brackets, so many requested ranks never pull more than
+        # ``max_collect`` values to the driver at once
+        per_bracket = max(64, max_collect // max(1, len(open_)))
         for key, rs in open_.items():
             i, a, b, below, cnt = key
             if a == b:
                 for r in rs:
                     result[cols[i]][r] = a
-            elif cnt <= max_collect:
+            elif cnt <= per_bracket:
                 small[key] = rs
             else:
                 large[key] = rs

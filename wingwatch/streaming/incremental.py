@@ -46,11 +46,15 @@ def incremental_features(spark: SparkSession, landing: str, schema: StructType,
 
 def severe_alert_stream(observations: DataFrame, watermark: str = "1 day",
                         window: str = "1 hour") -> DataFrame:
-    """K2: streaming (or batch) frame of severe-weather counts per airport and window."""
+    """K2: severe-weather counts per airport and window.
+
+    On a stream, duplicates are dropped within the watermark (bounded state);
+    on a batch frame (replay, backfill) the same key is deduplicated with
+    ``dropDuplicates``.
+    """
     # event-time watermarks need a zoned timestamp; the session zone is UTC
-    obs = (observations.withColumn("ts", F.col("ts").cast("timestamp"))
-           .withWatermark("ts", watermark)
-           .dropDuplicatesWithinWatermark(["id"]))
+    obs = observations.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    obs = obs.dropDuplicatesWithinWatermark(["id"]) if obs.isStreaming else obs.dropDuplicates(["id"])
     kt = W.mps_to_knots(F.col("wind_speed_ms"))
     severe = obs.filter(W.severe_weather_kt(F.col("weather_condition"), kt))
     return (severe.groupBy(F.window("ts", window).alias("w"), "airport_code")
