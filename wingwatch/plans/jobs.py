@@ -89,8 +89,9 @@ def recommendation_run(spark: SparkSession, tables: Tables, out_root: str, top_n
     ops = ops_features(A.operational_data(tables))
     top = AN.top_k(ops, "operational_risk_score", top_n)
     recs = materialize(RU.recommendations(top, key="id"))
-    S.export_records(recs, os.path.join(out_root, "recommendations_json"), "json")
-    S.export_records(RU.to_export(recs).drop("json"), os.path.join(out_root, "recommendations_csv"), "csv")
+    ordered = RU.sorted_recommendations(recs).coalesce(1)        # top-n run: a few dozen rows
+    S.export_records(ordered, os.path.join(out_root, "recommendations_json"), "json")
+    S.export_records(RU.to_export(ordered).drop("json"), os.path.join(out_root, "recommendations_csv"), "csv")
     return RU.recommendation_summary(recs)
 
 
@@ -99,7 +100,8 @@ def weather_enrichment(spark: SparkSession, tables: Tables, out_root: str) -> Da
     rewritten and the parsed observations deduplicated on their natural key."""
     parsed = materialize(W.flatten_weather_payload(A.weather_payloads(tables)))
     updated = EN.apply_weather_update(A.incidents(tables), parsed)
-    S.write_table(updated.drop("updated"), os.path.join(out_root, "incidents_enriched"), "replace")
+    S.write_table(updated.drop("updated").withColumn("incident_year", F.year("incident_date")),
+                  os.path.join(out_root, "incidents_enriched"), "replace", partition_by=["incident_year"])
     keys = A.weather_conditions(tables).select("id", "date", "hour", "airport_code")
     observations = SO.dedup_by_key(keys.join(parsed.filter("parsed"), "id"),
                                    ["date", "hour", "airport_code"], ["id"])
