@@ -186,3 +186,13 @@ def test_bounded_broadcast_guard(spark):
     assert "broadcast" in small_plan.lower()
     over = dims.bounded_broadcast(df, 10)
     assert over is df                                  # above the bound: no hint, the planner decides
+
+
+def test_c25_unit_conversions(spark):
+    df = spark.createDataFrame([(10.0, 20.0, 60.0), (0.0, 20.0, None)], "ms double, t double, lat double")
+    rows = df.select(W.mps_to_knots(F.col("ms")).alias("kt"),
+                     W.feels_like(F.col("t"), F.lit(10.0)).alias("fl"),
+                     W.latitude_temperature(F.col("t"), F.col("lat")).alias("lt")).collect()
+    assert rows[0]["kt"] == pytest.approx(19.4384) and rows[1]["kt"] == 0.0
+    assert rows[0]["fl"] == 17.0
+    assert rows[0]["lt"] == pytest.approx(20.0 - (60 - 40) / 50 * 5) and rows[1]["lt"] == 20.0
