@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wingwatch.plans.oracle_views import rewrite_means, with_views
+from wingwatch.plans.oracle_views import rewrite_means, with_views, wrap_counts
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +27,7 @@ def query(name: str, views: tuple[str, ...] = (), sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            body = rewrite_means(sql).lstrip()
+            body = wrap_counts(rewrite_means(sql)).lstrip()
             if views and body[:5].upper() == "WITH ":
                 ORACLE[name] = with_views(*views).rstrip() + ",\n" + body[5:]
             else:

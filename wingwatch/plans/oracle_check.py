@@ -51,6 +51,11 @@ def _rows(cols, rows):
     return sorted(out, key=repr)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+                 "smallint": "SMALLINT", "float": "FLOAT", "tinyint": "TINYINT"}
+
+
 def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     from wingwatch.plans.catalog import ORACLE, QUERIES
 
@@ -65,10 +70,17 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     rel = con.execute(ORACLE[name])
     d_cols = [d[0] for d in rel.description]
     d_rows = rel.fetchall()
+    d_types = dict(zip(d_cols, (str(t) for t in con.sql(ORACLE[name]).types)))
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in sdf.schema.fields}
     res["duck_rows"] = len(d_rows)
     if sorted(s_cols) != sorted(d_cols):
         res["status"] = f"COLUMNS differ: spark={sorted(s_cols)} duck={sorted(d_cols)}"
         return res
+    type_diff = {c: (s_types[c], d_types.get(c)) for c in s_types if s_types[c] != d_types.get(c)}
+    if type_diff:
+        res["status"] = f"TYPES differ: {type_diff}"
+        return res
     a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
     if len(a) != len(b):
         res["status"] = "ROWCOUNT differs"

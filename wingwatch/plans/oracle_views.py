@@ -39,6 +39,23 @@ def pct6(part: str, whole: str) -> str:
             f"/ 1000000 ELSE CAST(0 AS DOUBLE) END)")
 
 
+def wrap_counts(sql: str) -> str:
+    """``count_if`` is HUGEINT in DuckDB; Spark's is BIGINT: cast each call."""
+    out, i, tok = [], 0, "count_if("
+    while True:
+        j = sql.find(tok, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        k, depth = j + len(tok), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = wrap_counts(sql[j + len(tok):k - 1])
+        out.append(sql[i:j] + "CAST(" + tok + inner + ") AS BIGINT)")
+        i = k
+
+
 def rewrite_means(sql: str) -> str:
     """Replace every ``round(avg(<expr>), 6)`` with the exact ``avg6``."""
     out, i, tok = [], 0, "round(avg("

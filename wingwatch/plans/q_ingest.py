@@ -291,7 +291,7 @@ SELECT CAST(acn AS VARCHAR) AS external_id,
   COALESCE({_DATE_SQL}, TIMESTAMP '2020-01-01 00:00:00') AS incident_date,
   COALESCE(NULLIF(substring(state_reference, 1, 255), ''), 'USA') AS location,
   {_PHASE_SQL} AS phase_of_flight, {_SEV_SQL} AS severity,
-  length(COALESCE(NULLIF(substring(synopsis, 1, 2000), ''), NULLIF(substring(narrative, 1, 5000), ''))) AS cause_length,
+  CAST(length(COALESCE(NULLIF(substring(synopsis, 1, 2000), ''), NULLIF(substring(narrative, 1, 5000), ''))) AS INTEGER) AS cause_length,
   COALESCE(substring(NULLIF(substring(anomaly, 1, 255), ''), 1, 100), 'Near Miss') AS event_type,
   NULLIF(substring(flight_conditions, 1, 255), '') AS weather_conditions
 FROM raw_reports""")

@@ -65,7 +65,7 @@ def _recs_sql(source: str) -> str:
             f"CAST({r['risk_reduction']} AS DOUBLE) AS risk_reduction_percent, '{r['cost']}' AS cost_level, "
             f"'{r['sms_pillar']}' AS sms_pillar, CAST(0.0 AS DOUBLE) AS shap_contribution, "
             f"{v} AS trigger_value, CAST({thr} AS DOUBLE) AS trigger_threshold, "
-            f"to_json({[x for x in r['regulations']]}) AS regulatory_refs "
+            f"CAST(to_json({[x for x in r['regulations']]}) AS VARCHAR) AS regulatory_refs "
             f"FROM {source} WHERE {_cond_sql(v, r)}")
     return "\nUNION ALL ".join(branches)
 
@@ -125,7 +125,7 @@ def _api_sql() -> str:
     n = " + ".join(f"CAST(COALESCE({c}, FALSE) AS INTEGER)" for _, _, _, c, _ in ordered)
     red = " + ".join(f"CASE WHEN COALESCE({c}, FALSE) THEN {r} ELSE 0.0 END" for _, _, _, c, r in ordered)
     return (f"SELECT record_id, {n} AS total_recommendations, concat_ws('|', {ids}) AS recommendation_ids, "
-            f"least({red}, 95.0) AS total_risk_reduction FROM records")
+            f"CAST(least({red}, 95.0) AS DOUBLE) AS total_risk_reduction FROM records")
 
 
 @query("recommendations_api", ("ops_features", "incident_wx"), f"WITH {_RECORDS_SQL}\n{_api_sql()}")

@@ -155,8 +155,8 @@ def anomaly_vs_normal(spark, sf_dir):
     return ST.anomaly_vs_normal(ops, "flag", ANOMALY_COLS)
 
 
-@query("score_percentiles", ("scored",), "SELECT unnest([" + ", ".join(str(p * 100) for p in PROBS)
-       + "]) AS percentile, round(unnest(quantile_cont(anomaly_score, [" + ", ".join(map(str, PROBS))
+@query("score_percentiles", ("scored",), "SELECT CAST(unnest([" + ", ".join(str(p * 100) for p in PROBS)
+       + "]) AS DOUBLE) AS percentile, round(unnest(quantile_cont(anomaly_score, [" + ", ".join(map(str, PROBS))
        + "])), 6) AS value FROM scored")
 def score_percentiles(spark, sf_dir):
     q = Q.quantile_frame(A.scored(_t(spark, sf_dir)), "anomaly_score", PROBS)
