@@ -231,8 +231,8 @@ def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def feature_means(df: DataFrame, columns: list[str]) -> DataFrame:
     """Sample feature means, long form."""
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)])
-    entries = [F.struct(F.lit(c).alias("feature"), r6(F.col(f"m{i}")).alias("mean"))
+    row = df.agg(*[mean6(c).alias(f"m{i}") for i, c in enumerate(columns)])
+    entries = [F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean"))
                for i, c in enumerate(columns)]
     return row.select(F.inline(F.array(*entries)))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wingwatch.operators import quantiles as Q
+from wingwatch.operators.analytics import mean6
 
 R6 = 6
 
@@ -137,8 +138,8 @@ def anomaly_vs_normal(df: DataFrame, flag: str, features: list[str]) -> DataFram
     """Mean per feature for anomalous vs normal rows (one conditional
     aggregate), difference %, and band (>50 high, >20 medium, else low)."""
     a = F.col(flag)
-    row = df.agg(*[F.avg(F.when(a, F.col(c))).alias(f"a{i}") for i, c in enumerate(features)],
-                 *[F.avg(F.when(~a, F.col(c))).alias(f"n{i}") for i, c in enumerate(features)])
+    row = df.agg(*[mean6(F.when(a, F.col(c))).alias(f"a{i}") for i, c in enumerate(features)],
+                 *[mean6(F.when(~a, F.col(c))).alias(f"n{i}") for i, c in enumerate(features)])
     entries = [F.struct(F.lit(c).alias("feature"), F.col(f"a{i}").alias("anomaly_mean"),
                         F.col(f"n{i}").alias("normal_mean")) for i, c in enumerate(features)]
     long = row.select(F.inline(F.array(*entries)))
@@ -203,7 +204,7 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def mean_abs_importance(contrib: DataFrame, contrib_cols: list[str]) -> DataFrame:
     """Mean |contribution| per feature, ranked."""
-    row = contrib.agg(*[F.avg(F.abs(F.col(c))).alias(f"m{i}") for i, c in enumerate(contrib_cols)])
+    row = contrib.agg(*[mean6(F.abs(F.col(c))).alias(f"m{i}") for i, c in enumerate(contrib_cols)])
     long = row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean_abs"))
                                          for i, c in enumerate(contrib_cols)])))
     rank = F.row_number().over(Window.orderBy(F.desc("mean_abs"), "feature"))

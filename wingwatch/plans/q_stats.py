@@ -147,7 +147,8 @@ def median_impute(spark, sf_dir):
   round(CASE WHEN n <> 0 THEN (a - n) / n * 100 ELSE 0.0 END, 6) AS diff_pct,
   CASE WHEN abs(CASE WHEN n <> 0 THEN (a - n) / n * 100 ELSE 0.0 END) > 50 THEN 'high'
        WHEN abs(CASE WHEN n <> 0 THEN (a - n) / n * 100 ELSE 0.0 END) > 20 THEN 'medium' ELSE 'low' END AS band
-FROM (SELECT avg(CASE WHEN flag THEN {c} END) AS a, avg(CASE WHEN NOT flag THEN {c} END) AS n FROM f) x"""
+FROM (SELECT round(avg(CASE WHEN flag THEN {c} END), 6) AS a, round(avg(CASE WHEN NOT flag THEN {c} END), 6) AS n
+      FROM f) x"""
            for c in ANOMALY_COLS))
 def anomaly_vs_normal(spark, sf_dir):
     ops = _ops(spark, sf_dir).withColumn("flag", R.heuristic_anomaly(
@@ -203,7 +204,7 @@ def seeded_sample(spark, sf_dir):
 
 @query("shap_importance", ("ops_features",), f"""WITH {_CONTRIB_SQL}
 SELECT feature, round(mean_abs, 6) AS mean_abs_shap, CAST(row_number() OVER (ORDER BY mean_abs DESC, feature) AS INTEGER) AS rank
-FROM (SELECT feature, avg(abs(contribution)) AS mean_abs FROM lng GROUP BY feature) x""")
+FROM (SELECT feature, round(avg(abs(contribution)), 6) AS mean_abs FROM lng GROUP BY feature) x""")
 def shap_importance(spark, sf_dir):
     r = ST.mean_abs_importance(linear_contributions(_ops(spark, sf_dir)), CONTRIB_COLS)
     return r.withColumn("rank", F.col("rank").cast("int"))
