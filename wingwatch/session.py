@@ -34,7 +34,18 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="wingwatch-pkg-"), "wingwatch.zip")
+    if sc.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="wingwatch-pkg-")
+    else:
+        # on a cluster only the shared folder is used; without one the package
+        # is expected to be installed on the executors already
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared:
+            _SHIPPED.add(sc.applicationId)
+            return
+        folder = os.path.join(shared, f"pkg-{sc.applicationId}")
+        os.makedirs(folder, exist_ok=True)
+    out = os.path.join(folder, "wingwatch.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
         for root, _, files in os.walk(pkg):
             for f in files:
