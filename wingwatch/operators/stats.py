@@ -115,14 +115,18 @@ def class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 # ---- I8 standardisation, E20 imputation ---------------------------------------------------
 
 def standardize(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
-    """I8: (x - mean) / population std (std 0 -> 1), one stats pass joined as
-    a single broadcast row."""
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in features],
-                   *[F.stddev_pop(c).alias(f"s_{c}") for c in features])
-    j = df.crossJoin(F.broadcast(stats))
-    return j.select(*keep, *[((F.col(c) - F.col(f"m_{c}"))
-                              / F.when(F.col(f"s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"s_{c}")))
-                             .alias(c) for c in features])
+    """I8: (x - mean) / population std (std 0 -> 1).  One aggregate pass
+    yields two numbers per feature; they enter the projection as literals."""
+    st = df.agg(*[F.avg(c).alias(f"m_{c}") for c in features],
+                *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
+
+    def z(c):
+        m, s = st[f"m_{c}"], st[f"s_{c}"]
+        if m is None:
+            return F.lit(None).cast("double")
+        return (F.col(c) - F.lit(m)) / F.lit(s if s else 1.0)
+
+    return df.select(*keep, *[z(c).alias(c) for c in features])
 
 
 def median_impute(df: DataFrame, features: list[str], **kw) -> tuple[DataFrame, dict]:

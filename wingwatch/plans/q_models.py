@@ -177,8 +177,16 @@ def feature_select(spark, sf_dir):
     """The feature lists each model resolves from the available columns."""
     inc, ops = _frames(spark, sf_dir)
     sets = M.model_feature_sets(inc, ops)
-    return spark.createDataFrame([(m, i, f) for m, fs in sets.items() for i, f in enumerate(fs)],
-                                 "model string, position int, feature string")
+    frames = {"risk": inc, "severity": inc, "anomaly": ops}
+    out = None
+    for m, fs in sets.items():
+        # coverage of each selected feature over the whole table (one aggregate)
+        counts = frames[m].agg(*[F.count(f).alias(f"n{i}") for i, f in enumerate(fs)])
+        rows = counts.select(F.inline(F.array(*[
+            F.struct(F.lit(m).alias("model"), F.lit(i).alias("position"), F.lit(f).alias("feature"),
+                     F.col(f"n{i}").alias("non_null")) for i, f in enumerate(fs)])))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("example_predictions")
