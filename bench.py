@@ -42,15 +42,28 @@ def main() -> None:
     # "cold" the first one.
     cold: dict[str, float] = {}
     warm: dict[str, float] = {}
+    errors: dict[str, str] = {}
     for name in names:
-        for store in (cold, warm):
-            t0 = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            store[name] = round(time.perf_counter() - t0, 3)
-    sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_queries_total_wall_time", "value": round(sum(warm.values()), 3),
-                      "unit": "sec", "queries": warm, "cold_total": round(sum(cold.values()), 3),
-                      "cold": cold, "sf": sf, "cpus": cpus}))
+        try:
+            for store in (cold, warm):
+                t0 = time.perf_counter()
+                QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                store[name] = round(time.perf_counter() - t0, 3)
+        except Exception as exc:  # keep measuring the others; report the failure
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
+            cold.pop(name, None)
+            warm.pop(name, None)
+    sf_name = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        sf: float | str = float(sf_name)
+    except ValueError:
+        sf = sf_name
+    out = {"metric": "headline_queries_total_wall_time", "value": round(sum(warm.values()), 3),
+           "unit": "sec", "queries": warm, "cold_total": round(sum(cold.values()), 3),
+           "cold": cold, "sf": sf, "cpus": cpus}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
