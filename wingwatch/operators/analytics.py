@@ -28,7 +28,7 @@ def mean6(col: Column | str) -> Column:
     decimal sum makes the reported value independent of partitioning.
     """
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(F.avg(c.cast("double").cast("decimal(38,12)")), 6).cast("double")
+    return F.round(F.avg(c.cast("decimal(38,12)")), 6).cast("double")
 
 
 def pct(part: Column, whole: Column) -> Column:
