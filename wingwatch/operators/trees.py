@@ -23,7 +23,6 @@ import uuid
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -220,4 +219,4 @@ def what_if_frame(df: DataFrame, ens: dict, feature_cols: list[str], key: str,
 
 
 __all__ = ["ensemble_arrays", "predict_arrays", "shap_arrays", "predict_frame", "shap_frame",
-           "what_if_frame", "pd"]
+           "what_if_frame"]
