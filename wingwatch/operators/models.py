@@ -61,6 +61,19 @@ def prepare(df: DataFrame, key: str, features: list[str], target: str | None = N
     return ST.median_impute(df, features)
 
 
+TRAIN_ROWS_PER_PARTITION = 1_000_000
+
+
+def sized_for_training(df: DataFrame, rows_per_partition: int = TRAIN_ROWS_PER_PARTITION) -> DataFrame:
+    """Tree learners run several jobs per boosting round, each paying a fixed
+    cost per task: a training frame gets about one partition per
+    ``rows_per_partition`` rows (never more than it has), so small frames
+    train on few tasks and large ones keep their parallelism."""
+    n = df.count()
+    target = max(1, -(-n // rows_per_partition))
+    return df.coalesce(target) if target < df.rdd.getNumPartitions() else df
+
+
 def fit_risk_model(train: DataFrame, features: list[str], target: str, max_iter: int = 100,
                    max_depth: int = 6, step: float = 0.1, subsample: float = 0.8,
                    col_sample: str = "0.8", seed: int = 42):

@@ -43,7 +43,7 @@ def risk_bundle(spark, sf_dir, **params):
         feats = M.model_feature_sets(inc, ops)["risk"]
         data, med = M.prepare(inc, "id", feats, "injury_score")
         data = materialize(ST.hash_split(data, "id"))
-        model = M.fit_risk_model(data.filter("split = 'train'"), feats, "injury_score", **p)
+        model = M.fit_risk_model(M.sized_for_training(data.filter("split = 'train'")), feats, "injury_score", **p)
         ens = TR.ensemble_arrays(spark, model.stages[-1], len(feats))
         _CACHE[key] = dict(model=model, features=feats, data=data, medians=med, ens=ens)
     return _CACHE[key]
@@ -57,7 +57,8 @@ def severity_bundle(spark, sf_dir, **params):
         feats = M.model_feature_sets(inc, ops)["severity"]
         data, med = M.prepare(inc, "id", feats, "severity_class")
         data = materialize(ST.with_class_weight(ST.hash_split(data, "id"), "severity_class"))
-        model = M.fit_severity_model(data.filter("split = 'train'"), feats, "severity_class", **p)
+        model = M.fit_severity_model(M.sized_for_training(data.filter("split = 'train'")), feats,
+                                     "severity_class", **p)
         _CACHE[key] = dict(model=model, features=feats, data=data, medians=med)
     return _CACHE[key]
 
