@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 RUNTIME_CONF = {
@@ -23,44 +23,20 @@ RUNTIME_CONF = {
 }
 
 
-_SHIPPED: set[str] = set()
+def ship_package() -> None:
+    """Make functions of this package usable in the Python workers: they are
+    pickled by value, so nothing has to be installed on, or copied to, the
+    executors (the Arrow stages otherwise pickle them by reference)."""
+    import wingwatch
 
-
-def ship_package(spark: SparkSession) -> None:
-    """Make ``wingwatch`` importable in the Python workers (the Arrow stages
-    pickle functions of this package by reference).  The package is zipped
-    once per application and distributed with ``addPyFile``."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    if sc.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="wingwatch-pkg-")
-    else:
-        # on a cluster only the shared folder is used; without one the package
-        # is expected to be installed on the executors already
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if not shared:
-            _SHIPPED.add(sc.applicationId)
-            return
-        folder = os.path.join(shared, f"pkg-{sc.applicationId}")
-        os.makedirs(folder, exist_ok=True)
-    out = os.path.join(folder, "wingwatch.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
-        for root, _, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(root, f)
-                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(out)
-    _SHIPPED.add(sc.applicationId)
+    cloudpickle.register_pickle_by_value(wingwatch)
 
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
-    ship_package(spark)
+    ship_package()
     return spark
 
 
