@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from wingwatch.llm import mixing, secrets
+from wingwatch.llm import hostrules, mixing, secrets
 from wingwatch.llm.common import table
 
 QUERIES = {
+    "op6_host_rules": lambda spark, d: hostrules.op6_host_rules(table(spark, d, "documents")),
     "op9_find_secrets": lambda spark, d: secrets.op9_find_secrets(table(spark, d, "documents")),
     "op8_mix_sources": lambda spark, d: mixing.op8_mix_sources(table(spark, d, "documents")),
 }
 
 ORACLE = {
+    "op6_host_rules": hostrules.OP6_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }
