@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from wingwatch.llm import hostrules, mixing, secrets
+from wingwatch.llm import (
+    chat, decontam, hostrules, langid, minhash, mixing, quality, secrets, suffix, tokens)
 from wingwatch.llm.common import table
 
 QUERIES = {
+    "op1_identify_language": lambda spark, d: langid.op1_identify_language(table(spark, d, "documents")),
+    "op2_near_duplicates": lambda spark, d: minhash.op2_near_duplicates(table(spark, d, "documents")),
+    "op3_quality": lambda spark, d: quality.op3_quality(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op4_count_tokens": lambda spark, d: tokens.op4_count_tokens(table(spark, d, "documents")),
+    "op5_format_chat": lambda spark, d: chat.op5_format_chat(table(spark, d, "conversations")),
     "op6_host_rules": lambda spark, d: hostrules.op6_host_rules(table(spark, d, "documents")),
+    "op7_decontaminate": lambda spark, d: decontam.op7_decontaminate(
+        table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_find_secrets": lambda spark, d: secrets.op9_find_secrets(table(spark, d, "documents")),
     "op8_mix_sources": lambda spark, d: mixing.op8_mix_sources(table(spark, d, "documents")),
+    "op10_remove_repeats": lambda spark, d: suffix.op10_remove_repeats(table(spark, d, "documents")),
 }
 
 ORACLE = {
