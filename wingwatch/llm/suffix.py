@@ -428,11 +428,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         sample = b"".join(bytes(r["hashes"]) for r in marks.filter("bucket = -1").select("hashes").collect())
         leading = np.sort(np.frombuffer(sample, BODY))
         splitters = np.unique(leading[np.linspace(0, len(leading), n_buckets + 1)[1:-1].astype(int)]) if len(leading) else leading
-        flags = marks.filter("bucket >= 0").groupBy("bucket").applyInArrow(_flags, _sql(FLAGS))
+        flags = marks.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda k, t: _flags(k, t), _sql(FLAGS))
         stretched = saved(blocks.groupBy("block").cogroup(flags.groupBy("block"))
                           .applyInArrow(lambda t, f: _collapse(t, f, n_buckets, splitters), _sql(PARTS)))
         inside = stretched.filter("bucket = -1").select("block", "docs", "tags", F.col("start"), F.col("sizes").alias("end"))
-        found = saved(stretched.filter("bucket >= 0").groupBy("bucket").applyInArrow(_sorted_bucket, _sql(SPANS)))
+        found = saved(stretched.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t), _sql(SPANS)))
         held = found.filter("string IS NOT NULL")
         least = held.groupBy("string").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
         across = held.join(least, "string").filter("doc > low").select("block", "docs", "tags", "start", "end")
