@@ -200,23 +200,22 @@ def _key_words(body: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.hstack([as_words(body[:, :WIDTH]), as_words(body[:, WIDTH:]), as_words(sizes)])
 
 
-def smallest_holders(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, class of each row in it) for equal rows, the smallest doc first in its class."""
+def by_class(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in sorted order; the first column at which each differs from the one before; and the
+    smallest doc among the rows equal to each."""
     order, differs = multikey_order(words)
-    cls = np.cumsum(differs < words.shape[1]) - 1 if len(order) else np.zeros(0, np.int64)
-    inner = np.lexsort((doc[order], cls))
-    return order[inner], cls
+    if not len(order):
+        return order, differs, order
+    first = np.flatnonzero(differs < words.shape[1])
+    low = np.minimum.reduceat(doc[order], first)
+    return order, differs, np.repeat(low, np.diff(np.append(first, len(order))))
 
 
 def repeats(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows whose string a smaller doc holds too, one row per distinct string with its smallest doc)."""
-    order, cls = smallest_holders(words, doc)
-    if not len(order):
-        return order, order
-    head = np.ones(len(order), bool)
-    head[1:] = cls[1:] != cls[:-1]
-    low = doc[order][np.flatnonzero(head)][cls]
-    return order[doc[order] > low], order[head]
+    """(rows that a smaller doc has too, the others: every row of a class's smallest doc)."""
+    order, _, low = by_class(words, doc)
+    again = doc[order] > low
+    return order[again], order[~again]
 
 
 # --- the steps -----------------------------------------------------------------------------
@@ -316,18 +315,13 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
             blocks.append(np.full(len(number), block, np.int32))
     doc, tag, start, size, body, block = (np.concatenate(x) for x in (docs, tags, starts, sizes, bodies, blocks))
     words = _key_words(body, size)
-    order, differs = multikey_order(words)
-    cls = np.cumsum(differs < words.shape[1]) - 1
+    order, differs, low = by_class(words, doc)
     run = np.cumsum(differs < GRAM // 8) - 1  # suffixes with the same leading gram
-    inner = np.lexsort((doc[order], cls))
-    order = order[inner]
-    head = np.ones(len(order), bool)
-    head[1:] = cls[1:] != cls[:-1]
-    heads = np.flatnonzero(head)
-    again = order[doc[order] > doc[order][heads][cls]]
+    later = doc[order] > low
+    again = order[later]
     found = [(again, start[again], start[again] + size[again, 1] + size[again, 0].astype(np.int64))]
-    # distinct stretches of one run may share some of their strings
-    distinct, its_run = order[heads], run[heads]
+    # the stretches of one run that are left may share some of their strings
+    distinct, its_run = order[~later], run[~later]
     edge = (its_run == 0) | (its_run == its_run[-1])
     mixed = np.bincount(its_run)[its_run] > 1
     border = []
