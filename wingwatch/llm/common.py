@@ -77,6 +77,14 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("t"), F.md5(text_of(text))))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # --- byte-level helpers for Arrow stages -------------------------------------------------
 
 def text_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

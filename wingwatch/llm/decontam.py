@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wingwatch.llm.common import doc_key, let, saved, text_of
+from wingwatch.llm.common import doc_key, fresh, let, saved, text_of
 
 WINDOW, MIN_WINDOW = 8, 5
 #: fewer plain words than this in a window: its values must match too
@@ -130,5 +130,6 @@ def op7_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that leak an item."""
-    bad = leaks(docs, benchmark).select(F.col("key").alias("_leak")).distinct()
-    return docs.withColumn("_key", doc_key()).join(bad, F.col("_key") == F.col("_leak"), "left_anti").drop("_key")
+    mine, leak = fresh(docs, "doc_key"), fresh(docs, "leak_key")
+    bad = leaks(docs, benchmark).select(F.col("key").alias(leak)).distinct()
+    return docs.withColumn(mine, doc_key()).join(bad, F.col(mine) == F.col(leak), "left_anti").select(*docs.columns)

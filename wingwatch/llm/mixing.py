@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wingwatch.llm.common import saved, text_of, words
+from wingwatch.llm.common import fresh, saved, text_of, words
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
@@ -54,8 +54,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return per.select("mix_key", "source_size", F.least(F.col("cap"), level * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, carry: list[str], weights=WEIGHTS, share: float = SHARE, cap: float = CAP,
-        seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, carry: list[str], **how) -> DataFrame:
     """Copies per document: ``carry`` columns plus size, source_size, target and copies.
 
     ``docs`` has doc_id, text and source.  A null text has size 0, a null source is a source of
@@ -63,8 +62,15 @@ def mix(docs: DataFrame, carry: list[str], weights=WEIGHTS, share: float = SHARE
     the multiset of results is the same in every run.  Empty tables give an empty result; a
     source without words takes none.
     """
+    return _placed(docs, carry, **how).select(
+        *[F.col(f"`c_{c}`").alias(c) for c in carry], "size", "source_size", "target", "copies")
+
+
+def _placed(docs: DataFrame, carry: list[str], weights=WEIGHTS, share: float = SHARE, cap: float = CAP,
+            seed: int = 11) -> DataFrame:
+    """Columns ``c_<name>`` for ``carry``, and those that ``mix`` adds."""
     keyed = docs.select(
-        *[F.col(c).alias(f"c_{c}") for c in carry],
+        *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry],
         F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("mix_key"),
         F.size(words(text_of())).cast("long").alias("size"),
         F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), text_of())).alias("digest"))
@@ -88,14 +94,16 @@ def mix(docs: DataFrame, carry: list[str], weights=WEIGHTS, share: float = SHARE
     start = _unit(F.concat_ws("|", F.lit(str(seed)), F.col("mix_key")))
     rank = F.col("first") + F.col("place")
     copies = F.least(F.floor(rank * rate + start) - F.floor((rank - 1) * rate + start), F.ceil(rate))
-    return ranked.select(*[F.col(f"c_{c}").alias(c) for c in carry], "size", "source_size", "target",
-                         copies.cast("long").alias("copies"))
+    return ranked.select(*[f"`c_{c}`" for c in carry], "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
-def emit(mixed: DataFrame, copy_col: str = "copy") -> DataFrame:
-    """One row per copy; the copy's number (from 1) in ``copy_col``."""
-    kept = mixed.filter(F.col("copies") > 0)
-    return kept.withColumn(copy_col, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+def emit(docs: DataFrame, **how) -> DataFrame:
+    """Every row of ``docs`` once per copy that the mix takes of it, with the copy's number from 1
+    in a new last column (``copy``, lengthened where the name is taken)."""
+    taken = _placed(docs, docs.columns, **how).filter(F.col("copies") > 0)
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return taken.withColumn("number", number).select(
+        *[F.col(f"`c_{c}`").alias(c) for c in docs.columns], F.col("number").alias(fresh(docs, "copy")))
 
 
 def op8_mix_sources(docs: DataFrame) -> DataFrame:

@@ -103,20 +103,23 @@ def statistics(array: pa.Array, hasher: WordHasher) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """``carry`` columns plus one double column ``q_<statistic>`` each."""
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col("text").alias("q_text"))
+    """Columns c0, c1, ... (those of ``carry``) plus one double column ``q_<statistic>`` each."""
+    own = carry.index("text") if "text" in carry else None
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
+    rows = docs.select(*columns) if own is not None else docs.select(*columns, F.col("text").alias("q_text"))
     names = [f"c{i}" for i in range(len(carry))] + [f"q_{s}" for s in STATS]
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:len(carry)]]
                        + [f"q_{s} double" for s in STATS])
+    text = "q_text" if own is None else f"c{own}"
 
     def run(batches):
         hasher = WordHasher()
         for b in batches:
-            stats = statistics(b.column("q_text"), hasher)
+            stats = statistics(b.column(text), hasher)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], *[pa.array(np.ascontiguousarray(stats[:, i])) for i in range(len(STATS))]], names)
+                [*b.columns[:len(carry)], *[pa.array(np.ascontiguousarray(stats[:, i])) for i in range(len(STATS))]], names)
 
-    return rows.mapInArrow(run, schema).withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
+    return rows.mapInArrow(run, schema)
 
 
 def tree_rules(debug: str) -> list[tuple[tuple[int, str, float], ...]]:
@@ -156,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     drawn = known.filter(draw < min(1.0, max_train_rows / max(n, 1)))
     # the drawn labels are at most about max_train_rows rows, whatever the size of the tables
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    table = saved(with_statistics(sample, ["doc_id", "label"]).repartition(2, "doc_id").sortWithinPartitions("doc_id"))
+    table = saved(with_statistics(sample, ["doc_id", "label"]).withColumnsRenamed({"c0": "doc_id", "c1": "label"})
+                  .repartition(2, "doc_id").sortWithinPartitions("doc_id"))
     seen = table.groupBy("label").count().collect()
     if len(seen) < 2:
         share = seen[0]["label"] if seen else 0.5
@@ -186,7 +190,7 @@ def score(model) -> Column:
 def scored(docs: DataFrame, model, carry: list[str]) -> DataFrame:
     """``carry`` columns plus score (0 to 1); a null or empty text gets the score of its
     statistics, all of them 0."""
-    return with_statistics(docs, carry).select(*carry, score(model).alias("score"))
+    return with_statistics(docs, carry).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], score(model).alias("score"))
 
 
 def op3_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -199,5 +203,5 @@ def op3_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score ``THRESHOLD`` or more, learned on ``train_docs``."""
-    out = scored(docs, fit(train_docs, labels), docs.columns)
-    return out.filter(F.col("score") >= THRESHOLD).select(*docs.columns)
+    good = with_statistics(docs, docs.columns).filter(score(fit(train_docs, labels)) >= THRESHOLD)
+    return good.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

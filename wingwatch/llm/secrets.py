@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wingwatch.llm.common import let, saved, text_of
+from wingwatch.llm.common import fresh, let, saved, text_of
 
 SCOPE, BIN = 200, 512
 
@@ -144,14 +144,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     islands = (cut.withColumn("opens", opens)
                .withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
                .groupBy("key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")))
-    per = islands.groupBy(F.col("key").alias("_cut_key")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    text, cuts = F.col("text"), F.col("_cuts")
+    key, cut_key, listed = (fresh(docs, n) for n in ("scan_key", "cut_key", "cuts"))
+    per = islands.groupBy(F.col("key").alias(cut_key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(listed))
+    text, cuts = F.col("text"), F.col(listed)
     kept = F.transform(cuts, lambda s, i: F.substring(
         text, F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0)).cast("int") + 1,
         (s["start"] - F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0))).cast("int")))
     tail = F.substring(text, F.element_at(cuts, -1)["end"].cast("int") + 1, F.length(text))
     clean = F.concat(F.array_join(F.transform(kept, lambda s: F.concat(s, F.lit(mark))), ""), tail)
-    joined = docs.withColumn("_scan_key", scan_key()).join(per, F.col("_scan_key") == F.col("_cut_key"), "left")
+    joined = docs.withColumn(key, scan_key()).join(per, F.col(key) == F.col(cut_key), "left")
     new_text = F.when(cuts.isNull(), text).otherwise(clean)
     out = {"text": new_text}
     if "n_chars" in docs.columns:
