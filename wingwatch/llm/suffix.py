@@ -42,7 +42,7 @@ WIDTH, GRAM = 50, 16
 SPAN = WIDTH - GRAM + 1  # grams in a string
 LEFT = WIDTH - GRAM  # most bytes of a stretch before its anchor
 PART = 4000  # stretches whose strings a task holds at a time
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 SAMPLE = 20_000
 BODY = f"S{WIDTH + LEFT}"  # a suffix as it is sorted: the bytes from the anchor on, then those before it
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -220,6 +220,7 @@ def repeats(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 # --- the steps -----------------------------------------------------------------------------
 
+PACKED = pa.schema([("block", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())])
 MARKS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("many", pa.binary())])
 FLAGS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary())])
 PARTS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()),
@@ -239,11 +240,48 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
 
 
-def _marks(table: pa.Table, n_buckets: int, sample_above: int) -> pa.Table:
-    """Step 2, a block's side: its distinct anchor hashes, and which of them two documents share;
-    rows with bucket -1 hold a sample of the suffixes."""
-    block, doc = table.column("block")[0].as_py(), _column(table, "doc_id")
-    data, offsets = text_buffer(table.column("text"))
+def _pack(batches):
+    """Step 1: the documents of a batch that go to one block as one compressed row."""
+    for b in batches:
+        doc, tag, block = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag", "block"))
+        data, offsets = text_buffer(b.column("text"))
+        order, rows = np.argsort(block, kind="stable"), []
+        edges = np.append(np.flatnonzero(np.diff(block[order])) + 1, len(order))
+        a = 0
+        for z in edges:
+            x = order[a:z]
+            if len(x):
+                body = b"".join([data[offsets[i]:offsets[i + 1]].tobytes() for i in x])
+                rows.append((int(block[x[0]]), _squeeze(doc[x]), _squeeze(tag[x]), _squeeze(offsets[x + 1] - offsets[x]),
+                             zstandard.ZstdCompressor(level=3).compress(body)))
+            a = z
+        yield from _batch(rows, PACKED).to_batches()
+
+
+def _unpack(table: pa.Table):
+    """(doc_ids, tags, bytes, offsets) of a block."""
+    doc, tag, size, body = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for d, t, n, z in zip(*(table.column(c).to_pylist() for c in ("docs", "tags", "sizes", "body"))):
+        doc.append(_expand(d, np.int64))
+        tag.append(_expand(t, np.int64))
+        size.append(_expand(n, np.int64))
+        body.append(zstandard.ZstdDecompressor().decompress(z))
+    offsets = np.append(0, np.cumsum(np.concatenate(size)))
+    return np.concatenate(doc), np.concatenate(tag), np.frombuffer(b"".join(body), np.uint8), offsets
+
+
+def _sampled(batches):
+    """Suffixes of the anchors of some documents, as sorted by step 4."""
+    for b in batches:
+        data, offsets = text_buffer(b.column("text"))
+        row, s, e, anchor, _ = all_stretches(data, offsets)
+        yield pa.RecordBatch.from_arrays([pa.array([_body(data, offsets, row, s, e, anchor)[0].tobytes()], pa.binary())], ["bodies"])
+
+
+def _marks(table: pa.Table, n_buckets: int) -> pa.Table:
+    """Step 2, a block's side: its distinct anchor hashes, and which of them two documents share."""
+    block = table.column("block")[0].as_py()
+    doc, _, data, offsets = _unpack(table)
     row, s, e, anchor, h = all_stretches(data, offsets)
     order = np.lexsort((doc[row], h))
     hs, ds = h[order], doc[row][order]
@@ -256,8 +294,6 @@ def _marks(table: pa.Table, n_buckets: int, sample_above: int) -> pa.Table:
     edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
     rows = [(k, block, _five(hs[a:b]), np.packbits(many[a:b]).tobytes())
             for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
-    drawn = np.flatnonzero(mix64(h) >= np.uint64(sample_above))
-    rows.append((-1, block, _body(data, offsets, row[drawn], s[drawn], e[drawn], anchor[drawn])[0].tobytes(), b""))
     return _batch(rows, MARKS)
 
 
@@ -275,11 +311,11 @@ def _flags(key, table: pa.Table) -> pa.Table:
 
 
 def _collapse(texts: pa.Table, flags: pa.Table, n_hash_buckets: int, splitters: np.ndarray) -> pa.Table:
-    """Step 3.  Rows with bucket -1 hold spans that repeat within the block."""
+    """Step 3.  Rows without a body hold spans that repeat within the block."""
     if not texts.num_rows or not flags.num_rows:
         return _batch([], PARTS)
-    block, doc, tag = texts.column("block")[0].as_py(), _column(texts, "doc_id"), _column(texts, "tag")
-    data, offsets = text_buffer(texts.column("text"))
+    block = texts.column("block")[0].as_py()
+    doc, tag, data, offsets = _unpack(texts)
     row, s, e, anchor, h = all_stretches(data, offsets)
     mark = (_bucket_of(h, n_hash_buckets).astype(np.uint64) << np.uint64(40)) | (h & _LOW40)
     wanted = np.concatenate([_unfive(x.as_py()) | (np.uint64(k.as_py()) << np.uint64(40)) for x, k in zip(flags.column("hashes"), flags.column("bucket"))])
@@ -290,7 +326,8 @@ def _collapse(texts: pa.Table, flags: pa.Table, n_hash_buckets: int, splitters:
     again, heads = repeats(words, doc[row])
     rows = []
     if len(again):
-        rows.append((-1, block, _squeeze(doc[row[again]]), _squeeze(tag[row[again]]), b"", _squeeze(s[again]), _squeeze(e[again] + WIDTH), b""))
+        rows.append((block % (len(splitters) + 1), block, _squeeze(doc[row[again]]), _squeeze(tag[row[again]]), b"", _squeeze(s[again]),
+                     _squeeze(e[again] + WIDTH), None))
     key = np.ascontiguousarray(body[heads]).view(BODY).ravel()
     bucket = np.searchsorted(splitters, key, side="right") if len(splitters) else np.zeros(len(heads), np.int64)
     for k in np.unique(bucket):
@@ -302,10 +339,14 @@ def _collapse(texts: pa.Table, flags: pa.Table, n_hash_buckets: int, splitters:
 
 
 def _sorted_bucket(table: pa.Table) -> pa.Table:
-    """Step 4.  Rows with a string are holders that step 5 compares across buckets."""
-    docs, tags, starts, sizes, bodies, blocks = [], [], [], [], [], []
+    """Step 4.  Rows with a string are holders that step 5 compares across buckets; the spans of
+    step 3 are passed on."""
+    docs, tags, starts, sizes, bodies, blocks, rows = [], [], [], [], [], [], []
     for r in table.to_batches():
         for block, d, t, n, s, z, b in zip(*(r.column(c).to_pylist() for c in ("block", "docs", "tags", "row", "start", "sizes", "body"))):
+            if b is None:
+                rows.append((block, d, t, s, z, None, None))
+                continue
             number = _expand(n, np.int32)
             docs.append(_expand(d, np.int64)[number])
             tags.append(_expand(t, np.int64)[number])
@@ -313,6 +354,8 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
             sizes.append(_expand(z, np.uint8).reshape(-1, 2))
             bodies.append(_expand(b, np.uint8).reshape(-1, WIDTH + LEFT))
             blocks.append(np.full(len(number), block, np.int32))
+    if not docs:
+        return _batch(rows, SPANS)
     doc, tag, start, size, body, block = (np.concatenate(x) for x in (docs, tags, starts, sizes, bodies, blocks))
     words = _key_words(body, size)
     order, differs, low = by_class(words, doc)
@@ -339,7 +382,6 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
         found.append((hit, start[hit] + offset[rep], start[hit] + offset[rep] + WIDTH))
         out = hold[part_edge[who[hold]]]
         border.append((distinct[x][who[out]], offset[out], string[out]))
-    rows = []
     who, s, e = (np.concatenate(x) for x in zip(*found))
     by = np.argsort(block[who], kind="stable")
     who, s, e = who[by], s[by], e[by]
@@ -369,8 +411,7 @@ def _strings(body: np.ndarray, size: np.ndarray):
 
 def _cut(texts: pa.Table, spans: pa.Table, with_text: bool) -> pa.Table:
     """Step 6: a block's documents without their repeated bytes."""
-    doc, tag = _column(texts, "doc_id") if texts.num_rows else [], _column(texts, "tag") if texts.num_rows else []
-    data, offsets = text_buffer(texts.column("text"))
+    doc, tag, data, offsets = _unpack(texts)
     per: dict[tuple[int, int], list] = {}
     for d, t, s, e in zip(*(spans.column(c).to_pylist() for c in ("docs", "tags", "start", "end"))):
         d, t, s, e = (_expand(x, np.int64) for x in (d, t, s, e))
@@ -380,7 +421,7 @@ def _cut(texts: pa.Table, spans: pa.Table, with_text: bool) -> pa.Table:
         for a, b in zip(np.append(0, cuts), np.append(cuts, len(d))):
             per.setdefault((int(d[a]), int(t[a])), []).append((s[a:b], e[a:b]))
     rows = []
-    for i in range(texts.num_rows):
+    for i in range(len(doc)):
         text = data[offsets[i]:offsets[i + 1]]
         removed = runs = 0
         if found := per.get((int(doc[i]), int(tag[i]))):
@@ -410,27 +451,26 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
     n_blocks, n_buckets = max(1, math.ceil(total / BLOCK_BYTES)), max(1, math.ceil(total / BUCKET_BYTES))
-    drawn = min(1.0, SAMPLE / max(1.0, total * 2 / (SPAN + 1)))
-    sample_above = min(int((1 - drawn) * 2**64), 2**64 - 1)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = (rows.filter("doc_id IS NOT NULL")
-              .withColumn("block", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(n_blocks)).cast("int"))
-              .repartition(parts, "block").persist(StorageLevel.DISK_ONLY))
+    known = rows.filter("doc_id IS NOT NULL")
+    # a hash sample of documents with about SAMPLE suffixes, whatever the input
+    share = min(1.0, SAMPLE * (SPAN + 1) / 2 / max(total, 1))
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id", "tag", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    bodies = b"".join(bytes(r["bodies"]) for r in drawn.select("text").mapInArrow(_sampled, "bodies binary").collect())
+    leading = np.sort(np.frombuffer(bodies, BODY))
+    splitters = np.unique(leading[np.linspace(0, len(leading), n_buckets + 1)[1:-1].astype(int)]) if len(leading) else leading
+    blocks = (known.withColumn("block", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(n_blocks)).cast("int"))
+              .mapInArrow(_pack, _sql(PACKED)).repartition(parts, "block").persist(StorageLevel.DISK_ONLY))
     try:
-        marks = saved(blocks.groupBy("block").applyInArrow(lambda t: _marks(t, n_buckets, sample_above), _sql(MARKS)))
-        # about SAMPLE suffixes, whatever the input
-        sample = b"".join(bytes(r["hashes"]) for r in marks.filter("bucket = -1").select("hashes").collect())
-        leading = np.sort(np.frombuffer(sample, BODY))
-        splitters = np.unique(leading[np.linspace(0, len(leading), n_buckets + 1)[1:-1].astype(int)]) if len(leading) else leading
-        flags = marks.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda k, t: _flags(k, t), _sql(FLAGS))
-        stretched = saved(blocks.groupBy("block").cogroup(flags.groupBy("block"))
-                          .applyInArrow(lambda t, f: _collapse(t, f, n_buckets, splitters), _sql(PARTS)))
-        inside = stretched.filter("bucket = -1").select("block", "docs", "tags", F.col("start"), F.col("sizes").alias("end"))
-        found = saved(stretched.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t), _sql(SPANS)))
+        marks = blocks.groupBy("block").applyInArrow(lambda t: _marks(t, n_buckets), _sql(MARKS))
+        flags = marks.groupBy("bucket").applyInArrow(lambda k, t: _flags(k, t), _sql(FLAGS))
+        stretched = (blocks.groupBy("block").cogroup(flags.groupBy("block"))
+                     .applyInArrow(lambda t, f: _collapse(t, f, n_buckets, splitters), _sql(PARTS)))
+        found = saved(stretched.groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t), _sql(SPANS)))
         held = found.filter("string IS NOT NULL")
         least = held.groupBy("string").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
         across = held.join(least, "string").filter("doc > low").select("block", "docs", "tags", "start", "end")
-        spans = (found.filter("string IS NULL").select("block", "docs", "tags", "start", "end").unionByName(inside).unionByName(across))
+        spans = found.filter("string IS NULL").select("block", "docs", "tags", "start", "end").unionByName(across)
         done = saved(blocks.groupBy("block").cogroup(spans.groupBy("block"))
                      .applyInArrow(lambda t, s: _cut(t, s, with_text), _sql(RESULT)))
     finally:
