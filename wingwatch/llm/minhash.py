@@ -4,7 +4,9 @@ A document's set is its distinct shingles.  Documents with equal sets form a cla
 its smallest doc_id.  Representatives get MinHash values, cut into bands whose hashes are the
 buckets, and an odd sketch: every (function, value) sample flips one bit of a bitmap, so equal
 samples cancel in the XOR of two sketches and its population count estimates how many samples
-differ.  The sketch passes on candidates that are similar enough, and the full sets then decide.
+differ.  A second odd sketch folds the shingles themselves: the population count of its XOR never
+exceeds the number of shingles in which two sets differ, so it rules out pairs for certain.  The
+sketches pass on candidates that are similar enough, and the full sets then decide.
 
 No bucket is expanded into all its pairs.  Every member meets the smallest and the largest member of its
 bucket; confirmed links give components.  Only where a bucket then still holds members of several
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from wingwatch.llm.common import WordHasher, mix64, row_chunks, saved, text_buffer
 
 BANDS, ROWS = 24, 4
-SKETCH_WORDS = 8  # 512 bits
+SKETCH_WORDS = 8  # 512 bits of MinHash samples
+SET_WORDS = 32  # 2,048 bits of shingles
 #: the sketch lets candidates pass down to this estimate, nearly five standard errors below 0.8
 SKETCH_SLACK = 0.21
 _rng = np.random.default_rng(20)
@@ -65,12 +68,23 @@ def band_hashes(low: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def odd_sketch(low: np.ndarray) -> np.ndarray:
-    bits = 64 * SKETCH_WORDS
-    place = (mix64(low ^ _SALT) >> np.uint64(64 - int(math.log2(bits)))).astype(np.int64)
+def _parity(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Bitmap in which each hash flips one bit."""
+    bits = 64 * words
+    place = (hashes >> np.uint64(64 - int(math.log2(bits)))).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
+def odd_sketch(low: np.ndarray) -> np.ndarray:
+    """Odd sketch of the MinHash samples."""
+    return _parity(mix64(low ^ _SALT), SKETCH_WORDS)
+
+
+def set_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Odd sketch of the set itself."""
+    return _parity(shingles, SET_WORDS)
+
+
 def sketch_limit(similarity: float) -> int:
     """Population count of the XOR that is expected at the lowest similarity let through."""
     flips = 2 * BANDS * ROWS * (1 - (similarity - SKETCH_SLACK))
@@ -91,7 +105,7 @@ def _rows_of_words(array: pa.Array, hasher: WordHasher):
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n, fp1, fp2 (digest of the set), bands and sketch; the last two are null where n is 0."""
+    """doc_id, n, fp1, fp2 (digest of the set), bands and sketch (both kinds in one); the last two are null where n is 0."""
     def run(batches):
         hasher = WordHasher()
         for b in batches:
@@ -103,7 +117,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 n[i] = len(s)
                 if len(s):
                     low = signature(s)
-                    bands[i], sketches[i] = band_hashes(low), odd_sketch(low)
+                    bands[i], sketches[i] = band_hashes(low), np.concatenate([odd_sketch(low), set_sketch(s)])
                     fp[0, i] = mix64(s).sum(dtype=np.uint64).astype(np.int64)
                     fp[1, i] = mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)
             longs = pa.list_(pa.int64())
@@ -133,10 +147,16 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _alike(a: str, b: str, similarity: int) -> Column:
-    """Pairs of representatives worth an exact comparison: sizes and sketches allow ``similarity`` %."""
+    """Pairs of representatives worth an exact comparison: sizes and sketches allow ``similarity`` %.
+    Sets of n and m shingles that differ in d of them have similarity (n + m - d) / (n + m + d)."""
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    differing = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    return (100 * small >= similarity * large) & (differing <= sketch_limit(similarity / 100))
+
+    def flips(first: int, last: int) -> Column:
+        return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(first, last)), F.lit(0))
+
+    samples, shingles = flips(0, SKETCH_WORDS), flips(SKETCH_WORDS, SKETCH_WORDS + SET_WORDS)
+    return ((100 * small >= similarity * large) & (samples <= sketch_limit(similarity / 100))
+            & (shingles * (100 + similarity) <= (small + large) * (100 - similarity)))
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
@@ -183,7 +203,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
     classes = saved(filled.groupBy("n", "fp1", "fp2").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     reps = classes.filter("rep IS NOT NULL").select(
-        "rep", "n", "fp1", "fp2", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
+        "rep", "n", "fp1", "fp2", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS + SET_WORDS)])
     light = reps.drop("bands", "fp1", "fp2")
 
     member = reps.select("rep", F.explode("bands").alias("bucket"))
