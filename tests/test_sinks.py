@@ -52,7 +52,8 @@ def test_tsv_header_resolution(spark):
     path = os.path.join(_root(spark), "r.tsv")
     spark.createDataFrame([("1", "202301", "Ground collision")], "`ACN` string, `Time / Date` string, "
                           "`Events / Result` string").write.option("sep", "\t").option("header", True).csv(path)
-    raw = IN.read_delimited(spark, path)
+    raw, rejects = IN.read_delimited(spark, path)
+    assert rejects.isEmpty()
     res = IN.resolve_report_columns(raw)
     assert set(res.columns) == {"acn", "date_raw", "result"}
     row = IN.normalize_reports(res).first()

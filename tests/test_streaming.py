@@ -8,27 +8,21 @@ from wingwatch.sources.tables import Tables
 
 
 def test_incremental_features_upsert(spark, catalog):
+    """Two drains; the values are checked against the oracle in test_oracle."""
     queries, _ = catalog
     out = queries["stream_incremental_etl"](spark, SF_SMALL)
     inc = A.incidents(Tables(spark, SF_SMALL))
-    assert out.count() == inc.count()
-    assert out.select("id").distinct().count() == inc.count()      # one row per id after upserts
-    assert {"severity_code", "injury_score", "batch_id"} <= set(out.columns)
+    assert out.count() == inc.count() == out.select("id").distinct().count()
+    assert {r["batch_id"] for r in out.select("batch_id").distinct().collect()} == {0, 1}
 
 
-def test_alert_windows(spark, catalog):
+def test_all_alert_windows(spark, catalog):
+    """The drained table equals a batch recount, the last windows included."""
+    from wingwatch.streaming.incremental import severe_alert_stream
+
     queries, _ = catalog
-    out = queries["stream_alert_counts"](spark, SF_SMALL)
-    rows = out.collect()
-    assert rows
-    for r in rows:
-        assert (r["window_end"] - r["window_start"]).total_seconds() == 3600
-        assert r["severe_observations"] >= 1
-    # every emitted window is complete: its count equals a batch recount of the same hour
+    out = queries["stream_alert_counts"](spark, SF_SMALL).collect()
     t = Tables(spark, SF_SMALL)
     obs = A.weather_conditions(t).join(t.read("events", ["event_id", "ts"]), F.col("id") == F.col("event_id"))
-    from wingwatch.streaming.incremental import severe_alert_stream
-    batch = {(r["window_start"], r["airport_code"]): r["severe_observations"]
-             for r in severe_alert_stream(obs).collect()}
-    for r in rows:
-        assert batch[(r["window_start"], r["airport_code"])] == r["severe_observations"]
+    batch = {(r["window_start"], r["airport_code"]): r["severe_observations"] for r in severe_alert_stream(obs).collect()}
+    assert {(r["window_start"], r["airport_code"]): r["severe_observations"] for r in out} == batch

@@ -95,9 +95,8 @@ def test_t14_zero_visibility(spark):
 
 def test_t15_empty_model_needle(spark):
     inc = inc_rows(spark, [{"aircraft_make": "ZZZZZZ"}]).withColumn("aircraft_model", F.lit(None).cast("string"))
-    ac = dims.aircraft_types(spark)
-    fixed = EN.aircraft_matches(inc, ac).first()
-    legacy = EN.aircraft_matches(inc, ac, legacy_empty_match=True).first()
+    fixed = EN.aircraft_matches(inc).first()
+    legacy = EN.aircraft_matches(inc, legacy_empty_match=True).first()
     assert fixed["match_count"] == 0 and legacy["match_count"] == 24
 
 
@@ -179,15 +178,6 @@ def test_safe_int_rules(spark):
     assert [r[0] for r in df.select(T.safe_int(F.col("v"))).collect()] == [2, 3, 0, 0, 0]
 
 
-def test_bounded_broadcast_guard(spark):
-    df = spark.range(100)
-    big = spark.range(1000)
-    small_plan = big.join(dims.bounded_broadcast(df, 1000), "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in small_plan.lower()
-    over = dims.bounded_broadcast(df, 10)
-    assert over is df                                  # above the bound: no hint, the planner decides
-
-
 def test_c25_unit_conversions(spark):
     df = spark.createDataFrame([(10.0, 20.0, 60.0), (0.0, 20.0, None)], "ms double, t double, lat double")
     rows = df.select(W.mps_to_knots(F.col("ms")).alias("kt"),

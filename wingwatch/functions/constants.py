@@ -144,8 +144,6 @@ RISK_FEATURES = [
     "severity_code", "phase_risk_factor", "total_injuries", "injury_rate",
     "has_coordinates", "is_us", "weather_risk_score",
 ]
-SEVERITY_FEATURES = ["weather_risk_score", "crew_fatigue_index", "maintenance_risk",
-                     "visibility_m", "wind_speed_kt"]
 ANOMALY_FEATURES = ["operational_risk_score", "fatigue_risk", "maintenance_risk",
                     "schedule_risk", "crew_duty_hours", "crew_rest_hours",
                     "schedule_deviation_mins", "turnaround_time_mins",

@@ -104,6 +104,7 @@ def incident_features(df: DataFrame) -> DataFrame:
                                F.col("injuries_minor"), F.col("injuries_uninjured")))
     cols["has_coordinates"] = (F.col("latitude").isNotNull()
                                & F.col("longitude").isNotNull()).cast("int")
-    cols["is_us"] = flag(F.col("country") == "USA")
+    if "country" in df.columns:
+        cols["is_us"] = flag(F.col("country") == "USA")
     cols["weather_risk"] = weather_risk("weather_conditions")
     return df.withColumns(cols)

@@ -32,6 +32,28 @@ RISK_REQUEST_RULES = [
     ("weather_risk_score", 0.0, 100.0, False),
 ]
 
+SEVERITY_REQUEST_RULES = [
+    ("weather_risk_score", 0.0, 100.0, False),
+    ("crew_fatigue_index", 0.0, 100.0, False),
+    ("maintenance_risk", 0.0, 100.0, False),
+    ("aircraft_age_years", 0, 60, False),
+    ("visibility_m", 0.0, None, False),
+    ("wind_speed_kt", 0.0, None, False),
+    ("crew_experience_hours", 0, None, False),
+]
+RECOMMENDATION_REQUEST_RULES = [
+    ("weather_risk_score", 0.0, 100.0, False),
+    ("visibility_m", 0.0, None, False),
+    ("wind_speed_kt", 0.0, None, False),
+    ("crew_fatigue_index", 0.0, 100.0, False),
+    ("crew_duty_hours", 0.0, 20.0, False),
+    ("maintenance_risk", 0.0, 100.0, False),
+    ("maintenance_overdue_flag", 0, 1, False),
+    ("turnaround_time_mins", 0.0, None, False),
+    ("injury_score", 0.0, None, False),
+    ("severity_code", 0, 3, False),
+]
+
 
 def risk_level(score: Column) -> Column:
     """>=75 CRITICAL, >=50 HIGH, >=25 MEDIUM, else LOW."""

@@ -16,15 +16,10 @@ from wingwatch.functions.incident import lookup
 
 def safe_int(v: Column) -> Column:
     """C11 ``safe_int``: int(text) or 0.  Text must be an integer literal
-    (Python ``int('2.5')`` fails); numbers truncate toward zero."""
+    (Python ``int('2.5')`` fails); one that does not fit an integer column is 0."""
     s = F.trim(v.cast("string"))
-    if_text = F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint"))
-    return F.coalesce(if_text, F.lit(0)).cast("int")
-
-
-def safe_int_num(v: Column) -> Column:
-    """C11 for numeric columns: truncation, NULL -> 0."""
-    return F.coalesce(v.cast("bigint"), F.lit(0)).cast("int")
+    if_text = F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("int"))
+    return F.coalesce(if_text, F.lit(0))
 
 
 def safe_float(v: Column) -> Column:

@@ -122,7 +122,7 @@ def flatten_weather_payload(df: DataFrame, col: str = "payload") -> DataFrame:
     p = F.from_json(F.col(col), PAYLOAD_SCHEMA)
     d = df.withColumn("_p", p)
     hist = F.col("_p.data").isNotNull()
-    h0 = F.element_at(F.col("_p.data"), 1)
+    h0 = F.get(F.col("_p.data"), 0)
     main = F.coalesce(F.col("_p.main"), F.col("_p.current"))
     empty = (F.col("_p.main").isNull() & F.col("_p.current").isNull() & F.col("_p.wind").isNull()
              & F.col("_p.clouds").isNull() & F.col("_p.weather").isNull()
@@ -137,7 +137,7 @@ def flatten_weather_payload(df: DataFrame, col: str = "payload") -> DataFrame:
                       F.coalesce(F.col("_p.visibility"), main["visibility"], F.lit(10000.0)))
     speed = pick(h0["speed"], F.col("_p.wind.speed"))
     gust = pick(h0["gust"], F.col("_p.wind.gust"))
-    wx = pick(F.element_at(h0["weather"], 1), F.element_at(F.col("_p.weather"), 1))
+    wx = pick(F.get(h0["weather"], 0), F.get(F.col("_p.weather"), 0))
     cond_main = wx["main"]
     clouds = pick(F.coalesce(h0["all"], h0["clouds"]),
                   F.coalesce(F.col("_p.clouds.all"), main["clouds"]))

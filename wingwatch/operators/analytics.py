@@ -99,7 +99,7 @@ def period_series(features: DataFrame, period: str, as_of: str, months_back: int
 
     ``yearly`` uses all dated rows (last 10 years); ``monthly`` uses rows since
     ``as_of - months_back`` (last 24 months).  ``daily``/``weekly`` are the
-    extensions the API accepted but ignored.
+    extensions the API accepted but ignored; they have no limit of their own.
     """
     d = F.col("incident_date")
     if period == "yearly":
@@ -112,11 +112,12 @@ def period_series(features: DataFrame, period: str, as_of: str, months_back: int
         key = F.date_format(base, fmt)
         since = F.add_months(F.lit(as_of).cast("date"), -months_back).cast("timestamp_ntz")
         rows = features.filter(d >= since)
-        last_n = last_n or 24
-    return (rows.groupBy(key.alias("period"))
-            .agg(F.count(F.lit(1)).alias("count"),
-                 F.count_if(F.col("severity") == "FATAL").alias("fatal_count"))
-            .orderBy(F.desc("period")).limit(last_n))
+        last_n = last_n or (24 if period == "monthly" else None)
+    series = (rows.groupBy(key.alias("period"))
+              .agg(F.count(F.lit(1)).alias("count"),
+                   F.count_if(F.col("severity") == "FATAL").alias("fatal_count"))
+              .orderBy(F.desc("period")))
+    return series if last_n is None else series.limit(last_n)
 
 
 def trend_direction(series: DataFrame, period_type: str) -> DataFrame:
@@ -197,11 +198,11 @@ def ops_summary(ops: DataFrame) -> DataFrame:
 
 
 def value_distribution(df: DataFrame, column: str, top_n: int | None = None) -> DataFrame:
-    """Value counts with share of total.  The share's denominator is a
-    window over the (small) grouped result, not over raw rows."""
+    """Value counts with share of total.  The total is a one-row aggregate of the grouped
+    result, joined back to it."""
     g = df.groupBy(F.col(column).cast("string").alias("value")).agg(
         F.count(F.lit(1)).alias("count"))
-    g = g.withColumn("share_pct", pct(F.col("count"), F.sum("count").over(Window.partitionBy())))
+    g = g.crossJoin(F.broadcast(g.agg(F.sum("count").alias("_total")))).withColumn("share_pct", pct(F.col("count"), F.col("_total")))
     if top_n:
         g = g.orderBy(F.desc("count"), F.asc_nulls_last("value")).limit(top_n)
     return g.select(F.lit(column).alias("dimension"), "value", "count", "share_pct")
@@ -271,7 +272,9 @@ def region_distribution(incidents: DataFrame) -> DataFrame:
     """Incidents per region (suffix of the location text)."""
     region = F.coalesce(F.regexp_extract(F.col("location"), r", (.*)$", 1), F.lit("Unknown"))
     g = incidents.groupBy(region.alias("region")).agg(F.count(F.lit(1)).alias("incidents"))
-    return g.withColumn("share_pct", pct(F.col("incidents"), F.sum("incidents").over(Window.partitionBy())))
+    total = g.agg(F.sum("incidents").alias("_total"))  # one row
+    return g.crossJoin(F.broadcast(total)).select(
+        "region", "incidents", pct(F.col("incidents"), F.col("_total")).alias("share_pct"))
 
 
 def factor_correlation(df: DataFrame, factors: list[str]) -> DataFrame:
@@ -332,9 +335,13 @@ def period_delta(features: DataFrame) -> DataFrame:
 # ---- lists, paging, top-k ---------------------------------------------------
 
 def incident_page(incidents: DataFrame, severity: str | None = None, source: str | None = None,
-                  limit: int = 50, offset: int = 0) -> DataFrame:
+                  limit: int = 50, offset: int = 0, after: tuple | None = None, cause_chars: int = 200) -> DataFrame:
     """Filtered page, newest first (NULL dates first, as PostgreSQL
-    DESC), ties broken by id; display projection; total matching count."""
+    DESC), ties broken by id; display projection; total matching count.
+
+    ``after`` = (date or None, id) of the last row seen pages by key: only rows behind it are
+    ordered, whatever the depth, where ``offset`` orders all rows before the page as well.  A page
+    past the end is one row with NULL columns and the total."""
     if not 1 <= limit <= 500 or offset < 0:
         raise ValueError("limit must be 1..500 and offset >= 0")
     cond = F.lit(True)
@@ -344,6 +351,11 @@ def incident_page(incidents: DataFrame, severity: str | None = None, source: str
         cond = cond & (F.col("source") == F.lit(source))
     rows = incidents.filter(cond)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
+    if after is not None:
+        date, last = F.lit(after[0]).cast("timestamp_ntz"), F.col("id") > F.lit(after[1])
+        d = F.col("incident_date")
+        rows = rows.filter((d.isNull() & last) | d.isNotNull() if after[0] is None else
+                           (d < date) | ((d == date) & last))
     page = (rows.orderBy(F.desc_nulls_first("incident_date"), F.asc("id"))
             .offset(offset).limit(limit)
             .select("id", "source", F.col("incident_date").cast("date").alias("date"), "severity",
@@ -352,8 +364,8 @@ def incident_page(incidents: DataFrame, severity: str | None = None, source: str
                            F.concat(F.col("aircraft_make"), F.lit(" "),
                                     F.coalesce(F.col("aircraft_model"), F.lit("None"))))
                      .otherwise(F.lit("Unknown")).alias("aircraft"),
-                    F.substring("probable_cause", 1, 200).alias("cause")))
-    return page.crossJoin(total)
+                    F.substring("probable_cause", 1, cause_chars).alias("cause")))
+    return F.broadcast(total).join(page, F.lit(True), "left").select(*page.columns, "total")
 
 
 def enrichment_backlog(incidents: DataFrame) -> DataFrame:
@@ -404,9 +416,9 @@ ALERT_RULES = [  # (condition column, threshold, alert type), first match wins
 ]
 
 
-def alert_feed(ops: DataFrame, limit: int = 100) -> DataFrame:
+def alert_feed(ops: DataFrame, limit: int | None = None) -> DataFrame:
     """Operations over an alert threshold, typed and levelled (C30 on
-    the operational risk), newest first; the feed length is the feature."""
+    the operational risk), newest first; ``limit`` shortens the feed."""
     from wingwatch.functions.risk import risk_level
 
     cond = F.lit(False)
@@ -419,4 +431,5 @@ def alert_feed(ops: DataFrame, limit: int = 100) -> DataFrame:
         "id", "date", "aircraft_id", typ.alias("alert_type"),
         risk_level(F.col("operational_risk_score")).alias("risk_level"),
         F.round("operational_risk_score", 6).alias("operational_risk_score"))
-    return alerts.orderBy(F.desc("date"), F.asc("id")).limit(limit)
+    alerts = alerts.orderBy(F.desc("date"), F.asc("id"))
+    return alerts if limit is None else alerts.limit(limit)

@@ -1,9 +1,7 @@
 """Dimension tables.
 
-Dimensions are small by nature (airports: tens of thousands of rows world-wide,
-aircraft types: 24 fixed rows), so they are broadcast to the fact-side joins.
-Airports still go through ``bounded_broadcast`` because their size depends on
-the source file.
+The 24 aircraft types are fixed values and become literals where they are matched.  Airports come
+from a file of any size; the planner chooses their join.
 """
 
 from __future__ import annotations
@@ -15,7 +13,6 @@ from pyspark.sql.types import (DoubleType, IntegerType, StringType, StructField,
 
 from wingwatch.functions import constants as K
 from wingwatch.functions.incident import lookup
-from wingwatch.operators.analytics import mean6
 
 AIRCRAFT_SCHEMA = StructType([
     StructField("_ord", IntegerType()), StructField("make", StringType()), StructField("model", StringType()),
@@ -54,20 +51,3 @@ def airport_projection(raw: DataFrame) -> DataFrame:
                     F.col("municipality").alias("city"),
                     lookup(F.col("type"), K.AIRPORT_COMPLEXITY).cast("int")
                     .alias("complexity_score")))
-
-
-def aircraft_category_stats(aircraft: DataFrame) -> DataFrame:
-    """Aircraft count and mean risk factor per category."""
-    return aircraft.groupBy("category").agg(F.count(F.lit(1)).alias("count"),
-                                            mean6("risk_factor").alias("mean_risk_factor"))
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it is proven to hold at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a limit pushed into the
-    scan); above the bound the frame is returned as is and the planner picks a
-    shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -1,10 +1,8 @@
 """Dimension enrichment and keyed updates.
 
-Small dimensions are broadcast (airports behind a proven row bound, aircraft
-types fixed at 24 rows), so dimension lookups (D2, D3) leave the fact table
-where it is.  The keyed update D7 joins two large tables on the record id
-and is planned by AQE (sort-merge with skew splitting above the broadcast
-threshold).
+The aircraft types (24 fixed values) are matched inside one projection (D3).  Airports (D2) and
+the keyed update (D7) are joins that AQE plans: broadcast while a side is small, sort-merge with
+skew splitting beyond.
 """
 
 from __future__ import annotations
@@ -12,26 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wingwatch.functions import constants as K
 from wingwatch.operators.analytics import mean6
 
-from wingwatch.operators.dims import bounded_broadcast
 
-AIRPORT_BROADCAST_MAX_ROWS = 2_000_000
-
-
-def airport_coords(incidents: DataFrame, airports: DataFrame,
-                   max_broadcast_rows: int = AIRPORT_BROADCAST_MAX_ROWS) -> DataFrame:
+def airport_coords(incidents: DataFrame, airports: DataFrame) -> DataFrame:
     """Fill coordinates of backlog incidents (code present, a coordinate
     missing) from the airport table, trying ``code``, ``'K' + code`` and
     ``upper(code)`` in that order; a match overwrites both coordinates.
 
-    Three left joins against the (deduplicated, broadcast) airport table keep
-    the incident side in place: no shuffle of the fact table at all.
+    Three left joins of the backlog against the deduplicated airport table; AQE broadcasts it while
+    it is small and splits hot codes where it is not.
     """
     ap = (airports.groupBy("icao_code")
           .agg(F.min(F.struct("latitude", "longitude")).alias("c"))
           .select("icao_code", F.col("c.latitude").alias("ap_lat"), F.col("c.longitude").alias("ap_lon")))
-    ap = bounded_broadcast(ap, max_broadcast_rows)
     code = F.col("airport_code")
     backlog = incidents.filter(code.isNotNull() & (F.col("latitude").isNull() | F.col("longitude").isNull()))
     cands = [code, F.concat(F.lit("K"), code), F.upper(code)]
@@ -50,37 +43,34 @@ def airport_coords(incidents: DataFrame, airports: DataFrame,
         F.when(matched.isNotNull(), pick("lon")).otherwise(F.col("longitude")).alias("longitude"))
 
 
-def aircraft_matches(incidents: DataFrame, aircraft: DataFrame,
-                     legacy_empty_match: bool = False) -> DataFrame:
+def aircraft_matches(incidents: DataFrame, types: list[tuple] = K.AIRCRAFT_TYPES, make_chars: int = 4,
+                     model_chars: int = 3, legacy_empty_match: bool = False) -> DataFrame:
     """D3: substring match of incident make/model against the aircraft types.
 
-    A type matches when its make contains the first 4 characters of the
-    incident make, or its model contains the first 3 of the incident model
-    (upper-cased, literal).  An empty needle (missing model) matches nothing
-    unless ``legacy_empty_match`` (the reference's ``contains('')`` matches
-    every row).  The theta join runs on DISTINCT (make, model) pairs against
-    the broadcast dimension, then joins back on the pair: its cost grows with
-    the vocabulary, not with the incident count.
+    A type matches when its make contains the first ``make_chars`` characters of the incident make,
+    or its model contains the first ``model_chars`` of the incident model (upper-cased, literal).
+    An empty needle (missing model) matches nothing unless ``legacy_empty_match`` (the reference's
+    ``contains('')`` matches every row).  The fixed types are a literal array, filtered inside one
+    projection: no join and no shuffle of the incidents.
     """
-    inc = incidents.filter(F.col("aircraft_make").isNotNull()).select(
-        "id", F.upper(F.col("aircraft_make")).alias("mk"),
-        F.upper(F.coalesce(F.col("aircraft_model"), F.lit(""))).alias("md"))
-    pairs = inc.select("mk", "md").distinct()
-    dim = aircraft.select(F.col("_ord"), F.upper("make").alias("d_make"), F.upper("model").alias("d_model"),
-                          "category", "risk_factor", "base_risk_score")
-    n_make = F.substring("mk", 1, 4)
-    n_model = F.substring("md", 1, 3)
-    ok_make = F.lit(True) if legacy_empty_match else (n_make != "")
-    ok_model = F.lit(True) if legacy_empty_match else (n_model != "")
-    cond = (ok_make & F.col("d_make").contains(n_make)) | (ok_model & F.col("d_model").contains(n_model))
-    m = pairs.join(F.broadcast(dim), cond, "left")
-    per_pair = m.groupBy("mk", "md").agg(
-        F.count("_ord").alias("match_count"), F.max("base_risk_score").alias("max_base_risk"),
-        F.min_by("category", "_ord").alias("first_category"),
-        F.min_by("risk_factor", "_ord").alias("first_risk_factor"))
-    return inc.join(per_pair, ["mk", "md"]).select(
-        "id", (F.col("match_count") > 0).alias("matched"), "match_count", "max_base_risk",
-        "first_category", "first_risk_factor")
+    literal = F.array(*[F.struct(F.lit(t[0].upper()).alias("make"), F.lit(t[1].upper()).alias("model"),
+                                 F.lit(t[2]).alias("category"), F.lit(float(t[7])).alias("risk_factor"))
+                        for t in types])
+    n_make = F.substring(F.upper("aircraft_make"), 1, make_chars)
+    n_model = F.substring(F.upper(F.coalesce("aircraft_model", F.lit(""))), 1, model_chars)
+
+    def matches(d):
+        by_make, by_model = d["make"].contains(n_make), d["model"].contains(n_model)
+        if legacy_empty_match:
+            return by_make | by_model
+        return ((n_make != "") & by_make) | ((n_model != "") & by_model)
+
+    inc = incidents.filter(F.col("aircraft_make").isNotNull()).select("id", F.filter(literal, matches).alias("m"))
+    first = F.get("m", 0)
+    return inc.select(
+        "id", (F.size("m") > 0).alias("matched"), F.size("m").cast("bigint").alias("match_count"),
+        F.array_max(F.transform("m", lambda d: d["risk_factor"] * 100.0)).alias("max_base_risk"),
+        first["category"].alias("first_category"), first["risk_factor"].alias("first_risk_factor"))
 
 
 def aircraft_category(matches: DataFrame) -> DataFrame:
@@ -95,22 +85,23 @@ def apply_weather_update(incidents: DataFrame, parsed: DataFrame) -> DataFrame:
     """Incidents with coordinates and no weather take the landed,
     parsed payload with the same id: ``weather_data`` becomes the payload JSON
     and ``weather_conditions`` IMC/VMC by visibility (missing -> 10000)."""
-    # ``parsed`` is tested after the join, not filtered before it: a filter
-    # on it would be pushed under the projection and re-parse the JSON once
-    # per referenced field
+    # one payload per incident: a parsed one before others, then the greatest text
     new = parsed.select(
-        F.col("id").alias("_pid"), F.col("parsed").alias("_ok"),
-        F.to_json(F.struct("temperature_c", "visibility_m", "wind_speed_kt", "weather_condition",
-                           "severe_weather_flag", "weather_risk_score")).alias("_wd"),
-        F.when(F.coalesce(F.col("visibility_m"), F.lit(10000.0)) < 5000, "IMC").otherwise("VMC").alias("_wc"))
-    backlog = (F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("weather_data").isNull())
-    j = incidents.join(new, (incidents.id == new._pid) & backlog, "left")
-    upd = F.col("_pid").isNotNull() & F.coalesce(F.col("_ok"), F.lit(False))
-    cols = [F.when(upd, F.col("_wd")).otherwise(F.col("weather_data")).alias("weather_data")
-            if c == "weather_data" else
-            F.when(upd, F.col("_wc")).otherwise(F.col("weather_conditions")).alias("weather_conditions")
-            if c == "weather_conditions" else F.col(c) for c in incidents.columns]
-    return j.select(*cols, upd.alias("updated"))
+        F.col("id").alias("_pid"),
+        F.struct(F.coalesce("parsed", F.lit(False)).alias("ok"),
+                 F.to_json(F.struct("temperature_c", "visibility_m", "wind_speed_kt", "weather_condition",
+                                    "severe_weather_flag", "weather_risk_score")).alias("wd"),
+                 F.when(F.coalesce(F.col("visibility_m"), F.lit(10000.0)) < 5000, "IMC").otherwise("VMC").alias("wc"))
+        .alias("_new")).groupBy("_pid").agg(F.max("_new").alias("_new"))
+    backlog = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("weather_data").isNull()
+    # only the backlog is joined; the other incidents stay where they are
+    rest = incidents.filter(~backlog).withColumn("updated", F.lit(False))
+    open_ = incidents.filter(backlog)
+    j = open_.join(new, open_.id == new._pid, "left")
+    upd = F.coalesce(F.col("_new.ok"), F.lit(False))
+    taken = {"weather_data": "_new.wd", "weather_conditions": "_new.wc"}
+    cols = [F.when(upd, F.col(taken[c])).otherwise(F.col(c)).alias(c) if c in taken else F.col(c) for c in incidents.columns]
+    return rest.unionByName(j.select(*cols, upd.alias("updated")))
 
 
 def prediction_lineage(incidents: DataFrame, predictions: DataFrame, recs: DataFrame) -> DataFrame:

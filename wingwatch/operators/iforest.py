@@ -78,13 +78,9 @@ def fit(df: DataFrame, features: list[str], key: str, n_trees: int = 100, max_sa
     n = df.count()
     psi = int(min(max_samples, n))
     limit = int(math.ceil(math.log2(max(psi, 2))))
-    # a uniform pool of about 8 x trees x psi rows is drawn with ONE hash per
-    # row; the per-tree candidates (about 2 x psi each) are drawn from the
-    # pool, so the 100 per-tree hashes run on the pool, not on every row
-    pool = min(n, 8 * n_trees * psi)
-    in_pool = F.pmod(F.xxhash64(F.col(key), F.lit(-1), F.lit(seed)), F.lit(max(n, 1))) < pool
-    h = lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(max(pool, 1)))
-    cand = (df.filter(in_pool).select(
+    # every tree draws its candidates (about 2 x psi rows) from the whole table by a hash of its own
+    h = lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(max(n, 1)))
+    cand = (df.select(
                 key, *features,
                 F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                                    lambda t: h(t) < 2 * psi)).alias("tree"))

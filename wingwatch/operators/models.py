@@ -61,17 +61,14 @@ def prepare(df: DataFrame, key: str, features: list[str], target: str | None = N
     return ST.median_impute(df, features)
 
 
-TRAIN_ROWS_PER_PARTITION = 1_000_000
+MAX_TRAIN_ROWS = 2_000_000
 
 
-def sized_for_training(df: DataFrame, rows_per_partition: int = TRAIN_ROWS_PER_PARTITION) -> DataFrame:
-    """Tree learners run several jobs per boosting round, each paying a fixed
-    cost per task: a training frame gets about one partition per
-    ``rows_per_partition`` rows (never more than it has), so small frames
-    train on few tasks and large ones keep their parallelism."""
-    n = df.count()
-    target = max(1, -(-n // rows_per_partition))
-    return df.coalesce(target) if target < df.rdd.getNumPartitions() else df
+def training_sample(df: DataFrame, key: str, max_train_rows: int = MAX_TRAIN_ROWS, seed: int = 42) -> DataFrame:
+    """The labelled rows that the boosted trees learn from: a sample by a hash of the key, of about
+    ``max_train_rows`` rows (all rows of a smaller table)."""
+    share = min(1.0, max_train_rows / max(df.count(), 1))
+    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
 def fit_risk_model(train: DataFrame, features: list[str], target: str, max_iter: int = 100,

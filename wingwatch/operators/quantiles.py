@@ -1,27 +1,20 @@
 """Exact quantiles without funnelling a column through one task.
 
-``percentile()`` keeps every distinct value of a group in one aggregation
-buffer; for a global percentile that is the whole column in one task.  Here
-each needed order statistic is found by range narrowing, for any number of
-columns at once:
-
-1. one aggregate gives n, min, max of every column;
-2. while a bracket (a value range of one column holding a needed rank) still
-   has more than ``max_collect`` values, one pass over the data buckets the
-   rows of every open bracket of every column into ``buckets`` equal-width
-   bins (``explode`` of at most one (bracket, bin) pair per column and row,
-   then ``groupBy(bracket, bin)`` with count/min/max - a partial aggregate,
-   so the shuffle is at most brackets x bins rows) and the bracket shrinks to
-   the bin holding the rank;
-3. brackets small enough for their share of the ``max_collect`` budget (or
-   holding one distinct value) are resolved exactly from their values,
-   fetched for all of them in one pass; per round the driver holds at most
-   about ``max_collect`` values (64 per bracket when there are very many).
-
-For continuous data a pass divides a bracket by ~``buckets``, so a trillion
-rows need about three passes however many columns are asked for.  Quantiles
-interpolate linearly between the neighbouring order statistics (numpy and
-pandas defaults).
+``percentile()`` keeps every distinct value of a group in one aggregation buffer; for a global
+percentile that is the whole column in one task.  Here each needed order statistic is found by
+range narrowing, for any number of columns at once and in the same way for any number of rows:
+
+1. one aggregate counts the finite values and the infinities of every column and takes minimum,
+   maximum and approximate percentiles (mergeable sketches), which bracket each needed rank;
+2. one pass buckets the rows of every open bracket of every column into ``buckets`` bins
+   (``groupBy(bracket, bin)`` with count/min/max, a partial aggregate, so the shuffle is at most
+   brackets x bins rows); the bracket shrinks to the bin that holds the rank, until that bin holds a
+   single value.
+
+The brackets of step 1 hold about two in ``ACCURACY`` of the values, so step 2 usually takes one or
+two passes.  A bracket too narrow to be divided is grouped by its values instead.  NULL and NaN are
+left out; infinities rank below and above all finite values.  Quantiles interpolate linearly between
+the neighbouring order statistics (numpy and pandas defaults).
 """
 
 from __future__ import annotations
@@ -31,108 +24,106 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+ACCURACY = 5000
 
-def order_statistics(df: DataFrame, wanted: dict[str, set[int]], stats: dict[str, tuple],
-                     max_collect: int = 50_000, buckets: int = 4096) -> dict[str, dict[int, float]]:
-    """Exact k-th smallest non-NULL values (0-based ranks) of several columns.
 
-    ``stats[col] = (n, lo, hi)``.  Returns ``{col: {rank: value}}``.
+def _bins(x, a: float, b: float, buckets: int):
+    """Bin of ``x`` within [a, b]: equal widths, or the value itself where they vanish."""
+    width = (b - a) / buckets
+    if width <= 0 or not math.isfinite(width) or a + width == a or b - width == b:
+        return x
+    return F.least(F.floor((x - F.lit(a)) / F.lit(width)), F.lit(buckets - 1)).cast("double")
+
+
+def order_statistics(df: DataFrame, open_: dict[tuple, set[int]], cols: list[str],
+                     buckets: int = 4096) -> dict[str, dict[int, float]]:
+    """Exact k-th smallest finite values (0-based ranks) of the columns c0, c1, ... of ``df``.
+
+    ``open_``: (column number, low, high) -> ranks whose values lie in [low, high].
     """
-    cols = list(wanted)
-    base = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    # open brackets: (col_idx, a, b, below, count) -> ranks ; values of the column in [a, b]
-    open_: dict[tuple, set[int]] = {}
     result: dict[str, dict[int, float]] = {c: {} for c in cols}
-    for i, c in enumerate(cols):
-        n, lo, hi = stats[c]
-        if n and wanted[c]:
-            open_[(i, lo, hi, 0, n)] = set(wanted[c])
     while open_:
-        small, large = {}, {}
-        # ``max_collect`` is a budget for the whole round, shared by the
-        # open brackets, so many requested ranks never pull more than
-        # ``max_collect`` values to the driver at once
-        per_bracket = max(64, max_collect // max(1, len(open_)))
-        for key, rs in open_.items():
-            i, a, b, below, cnt = key
-            if a == b:
-                for r in rs:
-                    result[cols[i]][r] = a
-            elif cnt <= per_bracket:
-                small[key] = rs
-            else:
-                large[key] = rs
-        if small:
-            keys = list(small)
-            picks = [F.when((F.col(f"c{k[0]}") >= k[1]) & (F.col(f"c{k[0]}") <= k[2]),
-                            F.struct(F.lit(j).alias("j"), F.col(f"c{k[0]}").alias("v")))
-                     for j, k in enumerate(keys)]
-            rows = base.select(F.explode(F.filter(F.array(*picks), lambda s: s.isNotNull())).alias("p")) \
-                       .select("p.j", "p.v").collect()
-            vals: dict[int, list] = {}
-            for r in rows:
-                vals.setdefault(r["j"], []).append(r["v"])
-            for j, k in enumerate(keys):
-                v = sorted(vals.get(j, []))
-                for r in small[k]:
-                    result[cols[k[0]]][r] = v[r - k[3]]
-        if not large:
-            break
-        keys = list(large)
+        keys = list(open_)
         parts = []
-        for j, (i, a, b, _, _) in enumerate(keys):
+        for j, (i, a, b) in enumerate(keys):
             x = F.col(f"c{i}")
-            w = (b - a) / buckets
-            binx = F.least(F.floor((x - F.lit(a)) / F.lit(w)).cast("int"), F.lit(buckets - 1))
-            parts.append(F.when((x >= a) & (x <= b), F.struct(F.lit(j).alias("j"), binx.alias("bin"),
-                                                               x.alias("x"))))
-        hist = (base.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("k"))
-                .groupBy("k.j", "k.bin")
-                .agg(F.count(F.lit(1)).alias("c"), F.min("k.x").alias("mn"), F.max("k.x").alias("mx"))
-                .collect())
-        by_bracket: dict[int, list] = {}
-        for row in hist:
-            by_bracket.setdefault(row["j"], []).append((row["bin"], row["c"], row["mn"], row["mx"]))
-        open_ = {}
+            below = F.struct(F.lit(j).alias("j"), F.lit(-1.0).alias("bin"), F.lit(None).cast("double").alias("x"))
+            inside = F.struct(F.lit(j).alias("j"), _bins(x, a, b, buckets).alias("bin"), x.alias("x"))
+            parts.append(F.when(x < a, below).when(x <= b, inside))
+        hist = (df.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("k"))
+                .groupBy("k.j", F.col("k.x").isNull().alias("under"), "k.bin")
+                .agg(F.count(F.lit(1)).alias("c"), F.min("k.x").alias("mn"), F.max("k.x").alias("mx")).collect())
+        under = {j: 0 for j in range(len(keys))}
+        bins: dict[int, list] = {j: [] for j in range(len(keys))}
+        for r in hist:
+            if r["under"]:
+                under[r["j"]] += r["c"]
+            else:
+                bins[r["j"]].append((r["mn"], r["mx"], r["c"]))
+        left: dict[tuple, set[int]] = {}
         for j, key in enumerate(keys):
-            i, _, _, below, _ = key
-            bins = sorted(by_bracket.get(j, []))
-            for r in large[key]:
-                acc = below
-                for _, c, mn, mx in bins:
-                    if r < acc + c:
-                        open_.setdefault((i, mn, mx, acc, c), set()).add(r)
+            for rank in open_[key]:
+                at = under[j]
+                for mn, mx, c in sorted(bins[j]):
+                    if rank < at + c:
+                        if mn == mx:
+                            result[cols[key[0]]][rank] = mn
+                        else:
+                            left.setdefault((key[0], mn, mx), set()).add(rank)
                         break
-                    acc += c
+                    at += c
+        open_ = left
     return result
 
 
-def multi_quantiles(df: DataFrame, probs_by_col: dict[str, list[float]], **kw) -> dict[str, dict]:
-    """Linear-interpolated quantiles of several columns (NULLs ignored)."""
+def multi_quantiles(df: DataFrame, probs_by_col: dict[str, list[float]], accuracy: int = ACCURACY, **kw) -> dict[str, dict]:
+    """Linear-interpolated quantiles of several columns (NULL and NaN left out)."""
     cols = list(probs_by_col)
-    aggs = []
+    values = df.select(*[F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"c{i}") for i, c in enumerate(cols)])
+    inf = float("inf")
+    aggs, slack = [], 2.0 / accuracy
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    st = df.agg(*aggs).first()
-    stats, wanted, pos = {}, {}, {}
+        x = F.col(f"c{i}")
+        finite = F.when((x > -inf) & (x < inf), x)
+        ends = sorted({min(max(p + d, 0.0), 1.0) for p in probs_by_col[c] for d in (-slack, slack)} | {0.0, 1.0})
+        aggs += [F.count(finite).alias(f"n{i}"), F.count_if(x == -inf).alias(f"low{i}"), F.count_if(x == inf).alias(f"high{i}"),
+                 F.min(finite).alias(f"mn{i}"), F.max(finite).alias(f"mx{i}"),
+                 F.percentile_approx(finite, F.array(*[F.lit(e) for e in ends]), F.lit(accuracy)).alias(f"q{i}")]
+    st = values.agg(*aggs).first()
+    finite_rows = values.select(*[F.when((F.col(f"c{i}") > -inf) & (F.col(f"c{i}") < inf), F.col(f"c{i}")).alias(f"c{i}")
+                                  for i in range(len(cols))])
+    open_: dict[tuple, set[int]] = {}
+    ranks: dict[str, dict[float, float]] = {}
     for i, c in enumerate(cols):
-        n = st[f"n{i}"]
-        stats[c] = (n, st[f"lo{i}"], st[f"hi{i}"])
-        pos[c] = {p: p * (n - 1) for p in probs_by_col[c]} if n else {}
-        wanted[c] = ({int(math.floor(h)) for h in pos[c].values()}
-                     | {int(math.ceil(h)) for h in pos[c].values()})
-    osx = order_statistics(df, wanted, stats, **kw)
-    out: dict[str, dict] = {}
-    for c in cols:
-        if not stats[c][0]:
-            out[c] = {p: None for p in probs_by_col[c]}
+        n, low, high = st[f"n{i}"], st[f"low{i}"], st[f"high{i}"]
+        total = n + low + high
+        ranks[c] = {p: p * (total - 1) for p in probs_by_col[c]} if total else {}
+        if not n:
             continue
-        out[c] = {}
-        for p, h in pos[c].items():
-            lo_r, hi_r = int(math.floor(h)), int(math.ceil(h))
-            v_lo, v_hi = osx[c][lo_r], osx[c][hi_r]
-            out[c][p] = v_lo + (v_hi - v_lo) * (h - lo_r)
+        marks = [st[f"mn{i}"], *st[f"q{i}"], st[f"mx{i}"]]
+        ends = sorted({min(max(p + d, 0.0), 1.0) for p in probs_by_col[c] for d in (-slack, slack)} | {0.0, 1.0})
+        for h in ranks[c].values():
+            for rank in {math.floor(h) - low, math.ceil(h) - low}:
+                if 0 <= rank < n:
+                    share = rank / n
+                    # the sketch's rank error is at most n / accuracy, half the slack
+                    below = [m for e, m in zip(ends, marks[1:-1]) if e + slack / 2 <= share - 1.0 / n]
+                    above = [m for e, m in zip(ends, marks[1:-1]) if e - slack / 2 >= share + 1.0 / n]
+                    key = (i, max([marks[0], *below]), min([marks[-1], *above]))
+                    open_.setdefault(key, set()).add(rank)
+    exact = order_statistics(finite_rows, open_, cols, **kw)
+    out: dict[str, dict] = {}
+    for i, c in enumerate(cols):
+        n, low = st[f"n{i}"], st[f"low{i}"]
+
+        def value(rank: int) -> float:
+            rank -= low
+            return -inf if rank < 0 else inf if rank >= n else exact[c][rank]
+
+        out[c] = {p: None for p in probs_by_col[c]}
+        for p, h in ranks[c].items():
+            lo, hi = value(math.floor(h)), value(math.ceil(h))
+            out[c][p] = lo if lo == hi else lo + (hi - lo) * (h - math.floor(h))
     return out
 
 

@@ -22,12 +22,20 @@ def r6(c: Column) -> Column:
 
 # ---- I1 split -------------------------------------------------------------------
 
+SPLIT_BINS = 4096
+
+
+def split_hash(key: Column, seed: int = 42) -> Column:
+    """Portable number below 2^31 from an integer key (LCG step; no overflow for any bigint key
+    because the key is reduced mod 2^31 first)."""
+    m = 2147483648
+    return (F.pmod(key.cast("bigint"), F.lit(m)) * 1103515245 + 12345 + seed) % m
+
+
 def split_bucket(key: Column, seed: int = 42) -> Column:
     """Portable 0..99 bucket from an integer key (LCG step; no overflow for
     any bigint key because the key is reduced mod 2^31 first)."""
-    m = 2147483648
-    h = (F.pmod(key.cast("bigint"), F.lit(m)) * 1103515245 + 12345 + seed) % m
-    return (F.floor(h / 65536) % 100).cast("int")
+    return (F.floor(split_hash(key, seed) / 65536) % 100).cast("int")
 
 
 def hash_split(df: DataFrame, key: str, seed: int = 42, train_pct: int = 80) -> DataFrame:
@@ -37,6 +45,29 @@ def hash_split(df: DataFrame, key: str, seed: int = 42, train_pct: int = 80) ->
                          .otherwise("test"))
 
 
+def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42, train_pct: int = 80) -> DataFrame:
+    """Exact 80/20 split within every class, deterministic.
+
+    Rows of a class are ordered by a hash of the key.  Counts per (class, hash bin) show the bin in
+    which the class reaches its share; all bins before it train, all after it test, and only the rows
+    of that bin (one in ``SPLIT_BINS``) are ranked, so no class is gathered in a task.
+    """
+    rows = df.withColumn("_h", split_hash(F.col(key), seed)).withColumn("_bin", F.floor(F.col("_h") / (2147483648 // SPLIT_BINS)))
+    counts = rows.groupBy(label, "_bin").agg(F.count(F.lit(1)).alias("n"))
+    by_bin = Window.partitionBy(label).orderBy("_bin")  # at most SPLIT_BINS rows a class
+    upto = counts.withColumn("upto", F.sum("n").over(by_bin)).withColumn(
+        "want", F.floor((F.sum("n").over(Window.partitionBy(label)) * train_pct + 50) / 100))
+    edge = (upto.filter(F.col("upto") >= F.col("want")).groupBy(label)
+            .agg(F.min_by(F.struct("_bin", (F.col("want") - F.col("upto") + F.col("n")).alias("take")), "_bin").alias("e"))
+            .select(F.col(label).alias("_label"), F.col("e._bin").alias("_edge"), F.col("e.take").alias("_take")))
+    # one row per class
+    placed = rows.join(F.broadcast(edge), F.col(label).eqNullSafe(F.col("_label")))
+    within = F.row_number().over(Window.partitionBy(label, "_bin").orderBy("_h", key))
+    at_edge = (placed.filter("_bin = _edge").withColumn("split", F.when(within <= F.col("_take"), "train").otherwise("test")))
+    others = placed.filter("_bin <> _edge").withColumn("split", F.when(F.col("_bin") < F.col("_edge"), "train").otherwise("test"))
+    return others.unionByName(at_edge).select(*df.columns, "split")
+
+
 # ---- I3 regression metrics ----------------------------------------------------------
 
 def regression_metrics(df: DataFrame, y: str, y_hat: str) -> DataFrame:
@@ -199,9 +230,9 @@ def percentile_bucket(df: DataFrame, score: str, key: str, **kw) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """N rows by a seeded hash of the key: the same rows on every run and
-    every partitioning (``sample()`` is not stable under repartitioning)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """N rows by a seeded, portable hash of the key: the same rows on every run, partitioning
+    and engine (``sample()`` is not stable under repartitioning)."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)).limit(n)
 
 
 # ---- I14-I16 ---------------------------------------------------------------------------------

@@ -7,20 +7,19 @@ size is bounded by the model parameters (trees x 2^(depth+1) nodes), not by
 the data, so it is collected and broadcast to a ``mapInPandas`` stage that
 walks every tree for a whole Arrow batch at once.
 
-Shapley values use the path-dependent expectation of Lundberg et al. (2020):
-the value of a feature coalition S is the tree output when features in S
-follow the row and the others are averaged over the training cover of each
-split.  Each tree only uses a handful of distinct features (<= depth), so
-all 2^M coalitions are enumerated exactly per tree and combined with the
-Shapley weights; the sum over trees is weighted like the ensemble.
+Shapley values use the path-dependent expectation of Lundberg et al. (2020), leaf by leaf.  The path to
+a leaf has at most ``depth`` distinct features; for feature j let z_j be the share of the training cover
+that its splits let through, and o_j whether the row passes them.  A leaf of value v adds
+``v (o_j - z_j) * integral over t in [0, 1] of prod over i != j of (z_i (1 - t) + o_i t)`` to feature j:
+the integral of t^k (1 - t)^(M - 1 - k) is the Shapley weight k! (M - 1 - k)! / M!.  The integrand is a
+polynomial of degree M - 1, so Gauss-Legendre points integrate it exactly.  A leaf needs a table of 2^M
+patterns of o with M <= depth, whatever the number of features; rows only look their pattern up.
 """
 
 from __future__ import annotations
 
-import math
 import os
 import uuid
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -84,55 +83,60 @@ def predict_arrays(ens: dict, X: np.ndarray) -> np.ndarray:
     return out
 
 
-def _coalition_values(t: dict, X: np.ndarray, used: list[int]) -> np.ndarray:
-    """v[S, row] for every subset S (bitmask over ``used``) of one tree."""
-    M = len(used)
-    pos = {f: j for j, f in enumerate(used)}
-    masks = np.arange(1 << M)
-    n = X.shape[0]
-    v = np.zeros((1 << M, n))
-    stack = [(0, np.ones((1 << M, n)))]
+def _leaf_paths(t: dict):
+    """(leaf, {feature: (share of the cover, highest "greater than", lowest "at most")}) of each leaf."""
+    stack = [(0, {})]
     while stack:
-        node, w = stack.pop()
-        f = t["feat"][node]
+        node, path = stack.pop()
+        f = int(t["feat"][node])
         if f < 0:
-            v += w * t["value"][node]
+            yield node, path
             continue
-        l, r = t["left"][node], t["right"][node]
-        in_s = ((masks >> pos[f]) & 1).astype(bool)[:, None]
-        go_left = (X[:, f] <= t["thr"][node])[None, :]
-        cl, cr = t["cover"][l], t["cover"][r]
-        frac_l = cl / (cl + cr)
-        wl = np.where(in_s, w * go_left, w * frac_l)
-        wr = np.where(in_s, w * ~go_left, w * (1.0 - frac_l))
-        stack.append((l, wl))
-        stack.append((r, wr))
-    return v
-
-
-def shap_arrays(ens: dict, X: np.ndarray) -> tuple[np.ndarray, float]:
-    """Exact path-dependent Shapley values (rows x features) and base value."""
-    n, m = X.shape
-    phi = np.zeros((n, m))
-    base = 0.0
+        l, r = int(t["left"][node]), int(t["right"][node])
+        share = t["cover"][l] / (t["cover"][l] + t["cover"][r])
+        z, above, atmost = path.get(f, (1.0, -np.inf, np.inf))
+        thr = t["thr"][node]
+        stack.append((l, path | {f: (z * share, above, min(atmost, thr))}))
+        stack.append((r, path | {f: (z * (1.0 - share), max(above, thr), atmost)}))
+
+
+def _pattern_table(z: np.ndarray) -> np.ndarray:
+    """2^M x M: what a leaf of value 1 adds to each feature for every pattern of passed features."""
+    m = len(z)
+    o = ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).astype(float)
+    points, weights = np.polynomial.legendre.leggauss(m // 2 + 1)
+    total = np.zeros_like(o)
+    for t, w in zip((points + 1) / 2, weights / 2):
+        factor = z * (1 - t) + o * t
+        ahead = np.hstack([np.ones((len(o), 1)), np.cumprod(factor, axis=1)[:, :-1]])
+        behind = np.hstack([np.cumprod(factor[:, ::-1], axis=1)[:, ::-1][:, 1:], np.ones((len(o), 1))])
+        total += w * ahead * behind
+    return (o - z) * total
+
+
+def leaf_tables(ens: dict) -> tuple[list, float]:
+    """([(features, above, at most, table)] per leaf, base value) of an ensemble."""
+    leaves, base = [], 0.0
     for t, wt in zip(ens["trees"], ens["weights"]):
-        used = sorted({int(f) for f in t["feat"] if f >= 0})
-        M = len(used)
-        v = _coalition_values(t, X, used)
-        base += wt * float(v[0, 0]) if n else 0.0
-        if M == 0:
-            continue
-        fact = [math.factorial(k) for k in range(M + 1)]
-        for j, f in enumerate(used):
-            bit = 1 << j
-            others = [b for b in range(M) if b != j]
-            acc = np.zeros(n)
-            for size in range(M):
-                wgt = fact[size] * fact[M - size - 1] / fact[M]
-                for combo in combinations(others, size):
-                    s = sum(1 << b for b in combo)
-                    acc += wgt * (v[s | bit] - v[s])
-            phi[:, f] += wt * acc
+        for leaf, path in _leaf_paths(t):
+            value = wt * t["value"][leaf]
+            z = np.array([p[0] for p in path.values()])
+            base += value * z.prod()
+            if len(z) and value:
+                leaves.append((np.array(list(path)), np.array([p[1] for p in path.values()]),
+                               np.array([p[2] for p in path.values()]), value * _pattern_table(z)))
+    return leaves, float(base)
+
+
+def shap_arrays(ens: dict, X: np.ndarray, tables: tuple | None = None) -> tuple[np.ndarray, float]:
+    """Exact path-dependent Shapley values (rows x features) and base value."""
+    leaves, base = tables or leaf_tables(ens)
+    phi = np.zeros(X.shape)
+    for feats, above, atmost, table in leaves:
+        x = X[:, feats]
+        # "at most" sends the rest right, missing values too
+        passed = ~(x <= above) & ((x <= atmost) | np.isinf(atmost))
+        phi[:, feats] += table[passed @ (1 << np.arange(len(feats)))]
     return phi, base
 
 
@@ -170,7 +174,9 @@ def shap_frame(df: DataFrame, ens: dict, feature_cols: list[str], key: str) -> D
         # identical feature vectors share their Shapley values: solve each
         # distinct vector of the batch once, then scatter back
         uniq, inverse = np.unique(X, axis=0, return_inverse=True)
-        phi_u, base = shap_arrays(ens, uniq)
+        if "tables" not in ens:
+            ens["tables"] = leaf_tables(ens)  # once a task
+        phi_u, base = shap_arrays(ens, uniq, ens["tables"])
         phi = phi_u[inverse.reshape(-1)]
         out = keys.copy()
         for i, nm in enumerate(names):

@@ -27,23 +27,23 @@ from wingwatch.sources import sinks as S
 from wingwatch.sources.tables import Tables
 
 
-def _counts_text(df: DataFrame, col: str) -> DataFrame:
-    """value:count pairs (NULL values excluded, like pandas value_counts),
-    sorted by value, as one text cell."""
-    g = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return g.agg(F.concat_ws(",", F.array_sort(F.collect_list(
-        F.concat(F.col(col).cast("string"), F.lit(":"), F.col("n").cast("string"))))).alias(f"by_{col}"))
+def etl_summary(inc_feat: DataFrame, ops_feat: DataFrame, inc_scores: DataFrame) -> DataFrame:
+    """Records, feature counts, quality score, by-source and by-severity counts in one row.
 
+    The incidents are read by one grouped aggregate (grouping sets source and severity); the by_*
+    lists, value:count with NULL left out, have one entry per distinct value."""
+    groups = inc_feat.groupingSets([["source"], ["severity"]], "source", "severity").agg(
+        F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"))
 
-def etl_summary(inc_feat: DataFrame, ops_feat: DataFrame, inc_scores: DataFrame) -> DataFrame:
-    """Records, feature counts, quality score, by-source and by-severity
-    counts in one row (each part is a small aggregate; the by_* lists have
-    one entry per distinct value)."""
-    inc = inc_feat.agg(F.count(F.lit(1)).alias("incident_records"))
+    def listed(name: str, g: int):
+        entry = F.concat(F.col(name), F.lit(":"), F.col("n").cast("string"))
+        return F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("g") == g, entry)))).alias(f"by_{name}")
+
+    inc = groups.agg(F.coalesce(F.sum(F.when(F.col("g") == 1, F.col("n"))), F.lit(0)).alias("incident_records"),
+                     listed("source", 1), listed("severity", 2))
     ops = ops_feat.agg(F.count(F.lit(1)).alias("operational_records"))
     q = inc_scores.select(F.round("overall_score", 6).alias("quality_score"))
-    return (inc.crossJoin(ops).crossJoin(q).crossJoin(_counts_text(inc_feat, "source"))
-            .crossJoin(_counts_text(inc_feat, "severity"))
+    return (inc.crossJoin(ops).crossJoin(q)
             .select("incident_records", F.lit(len(inc_feat.columns)).alias("incident_features_created"),
                     "quality_score", "by_source", "by_severity", "operational_records",
                     F.lit(len(ops_feat.columns)).alias("operational_features_created"),
@@ -63,7 +63,7 @@ def daily_etl(spark: SparkSession, tables: Tables, out_root: str, incidents_as_o
     """J1 (and J2 with ``*_days_back=None``): extract -> validate -> features
     -> feature store -> DQ log -> summary row."""
     run_date = run_date or incidents_as_of
-    inc = A.incidents(tables)
+    inc = A.incidents(tables, geo=True)
     ops = A.operational_data(tables)
     if incident_days_back is not None:
         inc = AN.trailing_window(inc, "incident_date", incidents_as_of, incident_days_back)
@@ -89,7 +89,7 @@ def recommendation_run(spark: SparkSession, tables: Tables, out_root: str, top_n
     ops = ops_features(A.operational_data(tables))
     top = AN.top_k(ops, "operational_risk_score", top_n)
     recs = materialize(RU.recommendations(top, key="id"))
-    ordered = RU.sorted_recommendations(recs).coalesce(1)        # top-n run: a few dozen rows
+    ordered = RU.sorted_recommendations(recs)  # part files are in this order
     S.export_records(ordered, os.path.join(out_root, "recommendations_json"), "json")
     S.export_records(RU.to_export(ordered).drop("json"), os.path.join(out_root, "recommendations_csv"), "csv")
     return RU.recommendation_summary(recs)
@@ -99,7 +99,7 @@ def weather_enrichment(spark: SparkSession, tables: Tables, out_root: str) -> Da
     """Backlog incidents take their landed payloads; incidents are
     rewritten and the parsed observations deduplicated on their natural key."""
     parsed = materialize(W.flatten_weather_payload(A.weather_payloads(tables)))
-    updated = EN.apply_weather_update(A.incidents(tables), parsed)
+    updated = EN.apply_weather_update(A.incidents(tables, geo=True), parsed)
     S.write_table(updated.drop("updated").withColumn("incident_year", F.year("incident_date")),
                   os.path.join(out_root, "incidents_enriched"), "replace", partition_by=["incident_year"])
     keys = A.weather_conditions(tables).select("id", "date", "hour", "airport_code")

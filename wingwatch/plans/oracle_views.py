@@ -161,7 +161,7 @@ SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'A' || CAST(s_suppkey AS VARCHAR) ELSE '
   CASE WHEN s_nationkey = 1 THEN 'US' ELSE 'XX' END AS iso_country,
   'R-' || CAST(s_suppkey % 5 AS VARCHAR) AS iso_region,
   'CITY_' || CAST(s_suppkey % 50 AS VARCHAR) AS municipality
-FROM supplier WHERE s_suppkey < 60 AND s_suppkey % 3 < 2
+FROM supplier
 """)
 
 view("raw_events", f"""

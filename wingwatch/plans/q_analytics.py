@@ -33,7 +33,7 @@ def _pct_sql(part: str, whole: str) -> str:
 
 @query("scan_incidents", ("incidents",), "SELECT * FROM incidents")
 def scan_incidents(spark, sf_dir):
-    return A.incidents(_t(spark, sf_dir))
+    return A.incidents(_t(spark, sf_dir), geo=True)
 
 
 @query("scan_ops", ("operational_data",), "SELECT * FROM operational_data")
@@ -176,6 +176,20 @@ FROM (SELECT count(*) AS periods,
      LATERAL (SELECT recent_i AS recent, older_i AS older) x"""
 
 
+@query("fine_trends", ("incidents",), f"""
+SELECT 'weekly' AS period_type, strftime(date_trunc('week', incident_date), '%Y-%m-%d') AS period, count(*) AS count,
+  count_if(severity = 'FATAL') AS fatal_count
+FROM incidents WHERE incident_date >= CAST('{INC_AS_OF}' AS TIMESTAMP) - INTERVAL 24 MONTH GROUP BY 1, 2
+UNION ALL
+SELECT 'daily', strftime(incident_date, '%Y-%m-%d'), count(*), count_if(severity = 'FATAL')
+FROM incidents WHERE incident_date >= CAST('{INC_AS_OF}' AS TIMESTAMP) - INTERVAL 24 MONTH GROUP BY 1, 2""")
+def fine_trends(spark, sf_dir):
+    """E5: weekly and daily series of the last 24 months."""
+    inc = A.incidents(_t(spark, sf_dir))
+    parts = [AN.period_series(inc, p, INC_AS_OF).withColumn("period_type", F.lit(p)) for p in ("weekly", "daily")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("trend_direction", ("incidents",),
        f"""SELECT period_type, periods, recent, older, trend_direction, change_percent FROM (
 SELECT 'yearly' AS period_type, * FROM (
@@ -288,7 +302,7 @@ SELECT * FROM (SELECT * FROM s WHERE dimension = 'country' ORDER BY count DESC,
 def value_distribution(spark, sf_dir):
     from wingwatch.functions.incident import severity_class
     t = _t(spark, sf_dir)
-    feat = _feat(spark, sf_dir).withColumn("severity_class", severity_class(F.col("severity")))
+    feat = incident_features(A.incidents(t, geo=True)).withColumn("severity_class", severity_class(F.col("severity")))
     ap = dims.airport_projection(A.airports(t))
     return (AN.value_distribution(feat, "severity")
             .unionByName(AN.value_distribution(feat, "severity_class"))
@@ -317,7 +331,7 @@ _NULL_COLS = ["source", "incident_date", "severity", "injuries_serious", "latitu
     f"round({_pct_sql(f'count_if({c} IS NULL)', 'count(*)')}, 6) AS null_pct FROM incidents"
     for c in _NULL_COLS))
 def null_profile(spark, sf_dir):
-    return AN.null_profile(A.incidents(_t(spark, sf_dir)), _NULL_COLS)
+    return AN.null_profile(A.incidents(_t(spark, sf_dir), geo=True), _NULL_COLS)
 
 
 _MEAN_COLS = ["severity_code", "phase_risk", "total_injuries", "injury_rate", "injury_score",
@@ -362,7 +376,7 @@ FROM (SELECT COALESCE(regexp_extract(location, ', (.*)$', 1), 'Unknown') AS regi
       FROM incidents GROUP BY 1) g
 """)
 def region_distribution(spark, sf_dir):
-    return AN.region_distribution(A.incidents(_t(spark, sf_dir)))
+    return AN.region_distribution(A.incidents(_t(spark, sf_dir), geo=True))
 
 
 _CORR_FACTORS = ["crew_fatigue_index", "fatigue_risk", "maintenance_risk", "schedule_deviation_minutes",
@@ -423,7 +437,7 @@ SELECT p.*, t.total FROM (
   (SELECT count(*) AS total FROM incidents WHERE severity = 'FATAL' AND source = 'NTSB') t
 """)
 def incident_page(spark, sf_dir):
-    return AN.incident_page(A.incidents(_t(spark, sf_dir)), severity="FATAL", source="NTSB",
+    return AN.incident_page(A.incidents(_t(spark, sf_dir), geo=True), severity="FATAL", source="NTSB",
                             limit=50, offset=10)
 
 
@@ -474,6 +488,6 @@ SELECT id, date, aircraft_id,
 FROM ops_features
 WHERE COALESCE(crew_fatigue_index > 80, FALSE) OR COALESCE(maintenance_risk > 60, FALSE)
    OR COALESCE(operational_risk_score > 70, FALSE)
-ORDER BY date DESC, id LIMIT 100""")
+""")
 def alert_feed(spark, sf_dir):
     return AN.alert_feed(ops_features(A.operational_data(_t(spark, sf_dir))))

@@ -59,7 +59,7 @@ m AS (SELECT inc.id, pp.match_count > 0 AS matched, pp.match_count, pp.max_base_
 
 
 def _matches(spark, sf_dir):
-    return EN.aircraft_matches(A.incidents(_t(spark, sf_dir)), dims.aircraft_types(spark))
+    return EN.aircraft_matches(A.incidents(_t(spark, sf_dir)))
 
 
 @query("match_aircraft_fuzzy", ("incidents",), f"WITH {_MATCH_SQL}\nSELECT * FROM m")

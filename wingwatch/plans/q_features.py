@@ -13,7 +13,7 @@ from wingwatch.sources.tables import Tables
 
 
 def incident_feature_frame(spark, sf_dir):
-    return incident_features(A.incidents(Tables(spark, sf_dir)))
+    return incident_features(A.incidents(Tables(spark, sf_dir), geo=True))
 
 
 def ops_feature_frame(spark, sf_dir):

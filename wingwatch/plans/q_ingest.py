@@ -286,33 +286,36 @@ def parse_dates(spark, sf_dir):
     return r.select("acn", "date_raw", T.parse_multi_date(F.col("date_raw")).alias("parsed_date"))
 
 
-@query("asrs_normalize", ("raw_reports",), f"""
+_REPORT_SQL = f"""
 SELECT CAST(acn AS VARCHAR) AS external_id,
   COALESCE({_DATE_SQL}, TIMESTAMP '2020-01-01 00:00:00') AS incident_date,
   COALESCE(NULLIF(substring(state_reference, 1, 255), ''), 'USA') AS location,
   {_PHASE_SQL} AS phase_of_flight, {_SEV_SQL} AS severity,
-  CAST(length(COALESCE(NULLIF(substring(synopsis, 1, 2000), ''), NULLIF(substring(narrative, 1, 5000), ''))) AS INTEGER) AS cause_length,
+  COALESCE(NULLIF(substring(synopsis, 1, 2000), ''), NULLIF(substring(narrative, 1, 5000), '')) AS probable_cause,
   COALESCE(substring(NULLIF(substring(anomaly, 1, 255), ''), 1, 100), 'Near Miss') AS event_type,
   NULLIF(substring(flight_conditions, 1, 255), '') AS weather_conditions
-FROM raw_reports""")
+FROM raw_reports"""
+_REPORT_COLUMNS = ["external_id", "incident_date", "location", "phase_of_flight", "severity", "probable_cause",
+                   "event_type", "weather_conditions"]
+
+
+@query("asrs_normalize", ("raw_reports",), _REPORT_SQL)
 def asrs_normalize(spark, sf_dir):
-    n = IN.normalize_reports(A.raw_reports(_t(spark, sf_dir)))
-    return n.select("external_id", "incident_date", "location", "phase_of_flight", "severity",
-                    F.length("probable_cause").alias("cause_length"), "event_type", "weather_conditions")
+    return IN.normalize_reports(A.raw_reports(_t(spark, sf_dir))).select(*_REPORT_COLUMNS)
 
 
 @query("union_sources", ("raw_events", "raw_reports"), f"""
-SELECT source, severity, count(*) AS incidents FROM (
-  SELECT 'NTSB' AS source, CASE ev_highest_injury WHEN 'FATL' THEN 'FATAL' WHEN 'SERS' THEN 'SERIOUS'
+SELECT source, external_id, severity FROM (
+  SELECT 'NTSB' AS source, ev_id AS external_id, CASE ev_highest_injury WHEN 'FATL' THEN 'FATAL' WHEN 'SERS' THEN 'SERIOUS'
     WHEN 'MINR' THEN 'MINOR' ELSE 'NONE' END AS severity FROM raw_events
-  UNION ALL SELECT 'ASRS', {_SEV_SQL} FROM raw_reports) GROUP BY 1, 2""")
+  UNION ALL SELECT 'ASRS', CAST(acn AS VARCHAR), {_SEV_SQL} FROM raw_reports)""")
 def union_sources(spark, sf_dir):
     t = _t(spark, sf_dir)
     u = IN.union_sources(IN.normalize_accidents(A.raw_events(t)), IN.normalize_reports(A.raw_reports(t)))
-    return u.groupBy("source", "severity").agg(F.count(F.lit(1)).alias("incidents"))
+    return u.select("source", "external_id", "severity")
 
 
-@query("scan_tsv_reports")
+@query("scan_tsv_reports", ("raw_reports",), _REPORT_SQL)
 def scan_tsv_reports(spark, sf_dir):
     """A9 + B8: land the reports as a TSV with vendor headers in the shared
     folder, scan it back with header resolution and normalise."""
@@ -324,12 +327,13 @@ def scan_tsv_reports(spark, sf_dir):
               "flight_conditions": "Environment / Flight Conditions"}
     r = A.raw_reports(_t(spark, sf_dir))
     r.select(*[F.col(k).alias(v) for k, v in vendor.items()]).write.mode("overwrite").option(
-        "sep", "\t").option("header", True).csv(path)
-    raw = IN.read_delimited(spark, path)
-    return IN.normalize_reports(IN.resolve_report_columns(raw))
+        "sep", "\t").option("header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(path)
+    raw, _ = IN.read_delimited(spark, path)
+    return IN.normalize_reports(IN.resolve_report_columns(raw)).select(*_REPORT_COLUMNS)
 
 
-@query("scan_narratives")
+@query("scan_narratives", ("raw_reports",),
+       "SELECT 'E' || CAST(acn AS VARCHAR) AS ev_id, narrative AS narr_text FROM raw_reports")
 def scan_narratives(spark, sf_dir):
     """Discover the narrative table case-insensitively in the catalog."""
     r = A.raw_reports(_t(spark, sf_dir))
@@ -462,3 +466,43 @@ def scoring_batch_constraints(spark, sf_dir):
         F.lit("accepted").alias("status"), F.lit(None).cast("string").alias("violation"))
     return rejected.unionByName(accepted).groupBy("status", "violation").agg(
         F.count(F.lit(1)).alias("records"))
+
+
+@query("request_constraints", ("ops_features",), """
+WITH v AS (
+  SELECT 'severity' AS request, unnest(list_filter([
+    CASE WHEN crew_fatigue_index < 0 THEN 'below_min:crew_fatigue_index' END,
+    CASE WHEN crew_fatigue_index > 100 THEN 'above_max:crew_fatigue_index' END,
+    CASE WHEN maintenance_risk < 0 THEN 'below_min:maintenance_risk' END,
+    CASE WHEN maintenance_risk > 100 THEN 'above_max:maintenance_risk' END,
+    CASE WHEN aircraft_age_years < 0 THEN 'below_min:aircraft_age_years' END,
+    CASE WHEN aircraft_age_years > 60 THEN 'above_max:aircraft_age_years' END], lambda x: x IS NOT NULL)) AS violation
+  FROM ops_features
+  UNION ALL
+  SELECT 'recommendation', unnest(list_filter([
+    CASE WHEN crew_fatigue_index < 0 THEN 'below_min:crew_fatigue_index' END,
+    CASE WHEN crew_fatigue_index > 100 THEN 'above_max:crew_fatigue_index' END,
+    CASE WHEN crew_duty_hours < 0 THEN 'below_min:crew_duty_hours' END,
+    CASE WHEN crew_duty_hours > 20 THEN 'above_max:crew_duty_hours' END,
+    CASE WHEN maintenance_risk < 0 THEN 'below_min:maintenance_risk' END,
+    CASE WHEN maintenance_risk > 100 THEN 'above_max:maintenance_risk' END,
+    CASE WHEN turnaround_time_minutes < 0 THEN 'below_min:turnaround_time_mins' END], lambda x: x IS NOT NULL))
+  FROM ops_features
+  UNION ALL
+  SELECT 'risk', unnest(['missing:incident_year', 'missing:incident_month', 'missing:incident_day_of_week'])
+  FROM ops_features)
+SELECT request, violation, count(*) AS records FROM v GROUP BY 1, 2""")
+def request_constraints(spark, sf_dir):
+    """The severity, recommendation and risk request checks over a batch of operations (which
+    lack the risk request's required dates)."""
+    o = _ops(spark, sf_dir).withColumnRenamed("turnaround_time_minutes", "turnaround_time_mins")
+    rules = {"severity": R.SEVERITY_REQUEST_RULES, "recommendation": R.RECOMMENDATION_REQUEST_RULES,
+             "risk": R.RISK_REQUEST_RULES}
+    o = o.drop("weather_risk_score", "maintenance_overdue_flag")
+
+    def named(kind):
+        return F.transform(R.constraint_violations(o, rules[kind]),
+                           lambda v: F.struct(F.lit(kind).alias("request"), v.alias("violation")))
+
+    rows = F.explode(F.concat(*[named(kind) for kind in rules]))
+    return o.select(rows.alias("v")).groupBy("v.request", "v.violation").agg(F.count(F.lit(1)).alias("records"))

@@ -16,6 +16,7 @@ from wingwatch.session import checkpoint_dir
 from wingwatch.sources import adapters as A
 from wingwatch.sources import sinks as S
 from wingwatch.sources.tables import Tables
+from wingwatch.plans.q_ingest import _KT
 from wingwatch.streaming import incremental as K
 
 INC_AS_OF = "2001-07-01"
@@ -44,7 +45,7 @@ FROM src, sev"""
 def etl_summary(spark, sf_dir):
     """E14 over the full tables (the J2 script run)."""
     t = Tables(spark, sf_dir)
-    inc = A.incidents(t)
+    inc = A.incidents(t, geo=True)
     return J.etl_summary(incident_features(inc), ops_features(A.operational_data(t)),
                          Q.validate_incidents(inc, INC_AS_OF))
 
@@ -78,7 +79,7 @@ def weather_enrichment_job(spark, sf_dir):
 def training_frames_job(spark, sf_dir):
     """The three training frames; returns the monthly aggregate."""
     t = Tables(spark, sf_dir)
-    _, _, monthly = J.training_frames(A.incidents(t), A.operational_data(t))
+    _, _, monthly = J.training_frames(A.incidents(t, geo=True), A.operational_data(t))
     return monthly
 
 
@@ -86,59 +87,80 @@ def training_frames_job(spark, sf_dir):
 def sink_roundtrip(spark, sf_dir):
     """Replace-mode write of the incident table, read back, counted."""
     path = _run_root(spark, "sink")
-    S.write_table(A.incidents(Tables(spark, sf_dir)), path, "replace")
+    S.write_table(A.incidents(Tables(spark, sf_dir), geo=True), path, "replace")
     return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("count"))
 
 
-@query("feature_store_roundtrip")
+@query("feature_store_roundtrip", ("incidents",), """
+SELECT id, severity, 'incident_features' AS feature_set_name, DATE '2001-07-01' AS run_date
+FROM incidents WHERE severity = 'FATAL'""")
 def feature_store_roundtrip(spark, sf_dir):
     """A15 + A16: two runs of a feature set; loading returns the latest run."""
     root = _run_root(spark, "store")
-    feats = incident_features(A.incidents(Tables(spark, sf_dir)))
+    feats = incident_features(A.incidents(Tables(spark, sf_dir), geo=True))
     S.save_features(feats, root, "incident_features", "2001-06-30", "2001-06-30 00:00:00")
     S.save_features(feats.filter(F.col("severity") == "FATAL"), root, "incident_features", "2001-07-01",
                     "2001-07-01 00:00:00")
-    return S.load_features(spark, root, "incident_features")
+    return S.load_features(spark, root, "incident_features").select("id", "severity", "feature_set_name", "run_date")
 
 
-@query("feature_store_list")
+@query("feature_store_list", ("incidents", "operational_data"), """
+SELECT 'incident_features' AS feature_set_name, DATE '2001-07-01' AS run_date, count(*) AS records FROM incidents
+UNION ALL SELECT 'operational_features', DATE '2001-07-01', count(*) FROM operational_data""")
 def feature_store_list(spark, sf_dir):
     """Feature sets and runs present in the store."""
     root = _run_root(spark, "store")
     t = Tables(spark, sf_dir)
-    S.save_features(incident_features(A.incidents(t)), root, "incident_features", "2001-07-01",
+    S.save_features(incident_features(A.incidents(t, geo=True)), root, "incident_features", "2001-07-01",
                     "2001-07-01 00:00:00")
     S.save_features(ops_features(A.operational_data(t)), root, "operational_features", "2001-07-01",
                     "2001-07-01 00:00:00")
     return S.list_feature_sets(spark, root)
 
 
-@query("stream_incremental_etl")
+@query("stream_incremental_etl", ("incidents",), """
+SELECT id, CASE WHEN id % 50 = 0 THEN 'MINOR' ELSE severity END AS severity,
+  CASE WHEN id % 100 = 0 THEN NULL ELSE CAST(year(incident_date) AS INTEGER) END AS year,
+  CAST(CASE WHEN id % 10 = 7 OR id % 50 = 0 THEN 1 ELSE 0 END AS BIGINT) AS batch_id
+FROM incidents""")
 def stream_incremental_etl(spark, sf_dir):
-    """K1: incidents land as two file batches; the stream upserts features."""
+    """K1: incidents land and are drained; then new ones land with corrections of old ones (another
+    severity; some lose their date and so move to the NULL partition) and are drained again."""
     root = _run_root(spark, "k1")
     inc = A.incidents(Tables(spark, sf_dir))
-    landing = os.path.join(root, "landing")
-    inc.filter(F.year("incident_date") < 1998).write.mode("append").parquet(landing)
-    inc.filter(~(F.year("incident_date") < 1998) | F.col("incident_date").isNull()).write.mode(
-        "append").parquet(landing)
-    table = os.path.join(root, "features")
+    landing, table = os.path.join(root, "landing"), os.path.join(root, "features")
+    late = F.col("id") % 10 == 7
+    inc.filter(~late).write.mode("append").parquet(landing)
+    K.incremental_features(spark, landing, inc.schema, table, root)
+    corrected = inc.filter(F.col("id") % 50 == 0).withColumns({
+        "severity": F.lit("MINOR"), "incident_date": F.when(F.col("id") % 100 != 0, F.col("incident_date"))})
+    inc.filter(late).unionByName(corrected).write.mode("append").parquet(landing)
     K.incremental_features(spark, landing, inc.schema, table, root)
-    return spark.read.parquet(table)
+    return spark.read.parquet(table).select("id", "severity", "year", "batch_id")
+
+
+_ALERT_SQL = f"""
+SELECT date_trunc('hour', CAST(e.ts AS TIMESTAMP)) AS window_start,
+  date_trunc('hour', CAST(e.ts AS TIMESTAMP)) + INTERVAL 1 HOUR AS window_end, w.airport_code, count(*) AS severe_observations
+FROM weather_conditions w JOIN events e ON w.id = e.event_id
+WHERE COALESCE(w.weather_condition IN ('Thunderstorm', 'Tornado'), FALSE) OR COALESCE({_KT} > 25, FALSE)
+GROUP BY 1, 2, 3"""
 
 
-@query("stream_alert_counts")
+@query("stream_alert_counts", ("weather_conditions",), _ALERT_SQL)
 def stream_alert_counts(spark, sf_dir):
-    """K2: watermarked, deduplicated hourly severe-weather counts."""
+    """K2: watermarked, deduplicated hourly severe-weather counts, all windows."""
     root = _run_root(spark, "k2")
     t = Tables(spark, sf_dir)
     obs = A.weather_conditions(t).join(
         t.read("events", ["event_id", "ts"]), F.col("id") == F.col("event_id")).drop("event_id")
     landing = os.path.join(root, "landing")
     obs.write.mode("append").parquet(landing)
-    out = os.path.join(root, "alerts")
-    K.run_alert_stream(spark, landing, obs.schema, out, root)
-    return spark.read.parquet(out)
+    table = os.path.join(root, "alerts")
+    K.run_alert_stream(spark, landing, obs.schema, table, root)
+    return spark.read.parquet(table).select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        F.col("window_end").cast("timestamp_ntz").alias("window_end"), "airport_code", "severe_observations")
 
 
 # oracle: the DQ score CTEs of q_quality, then the summary
@@ -150,6 +172,8 @@ ORACLE["etl_summary"] = (
     with_views("incidents", "incident_features", "operational_data").rstrip() + "\n" + _INC_SQL + _INC_SCORES
     + """, dq AS (SELECT completeness_score * 0.3 + consistency_score * 0.4 + accuracy_score * 0.3 AS overall_score
     FROM s),""" + _ETL_SQL)
+# the full-table run returns the same summary row
+ORACLE["full_etl_job"] = ORACLE["etl_summary"]
 
 
 @query("scan_airport_csv", ("airports",), "SELECT * FROM airports")

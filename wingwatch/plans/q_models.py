@@ -1,7 +1,7 @@
 """Model queries (I2, I4, I5, I9-I14, I16): rows-only checks plus property tests.
 
-Fitted models are memoised per (table folder, parameters) inside the
-process, so the queries of one run share one fit per model.
+Fitted models are memoised per (application, input files with their sizes and times, parameters), so the
+queries of one run share one fit per model and a rewritten table gets a new one.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from wingwatch.operators import stats as ST
 from wingwatch.operators import trees as TR
 from wingwatch.plans.catalog import query
 from wingwatch.sources import adapters as A
-from wingwatch.session import materialize
+from wingwatch.session import file_versions, materialize
 from wingwatch.sources.tables import Tables
 
 # model parameters (the reference's, see SURVEY I2/I5/I9)
@@ -28,22 +28,29 @@ WHAT_IF_SCENARIOS = [{"severity_code": 0}, {"total_injuries": 0, "injury_rate":
 _CACHE: dict = {}
 
 
+def _version(spark, sf_dir):
+    """Identity of the data a model was fitted on."""
+    t = Tables(spark, sf_dir)
+    return (spark.sparkContext.applicationId,
+            tuple(file_versions(spark, t.path(n)) for n in ("orders", "customer", "nation", "region", "lineitem")))
+
+
 def _frames(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    inc = incident_features(A.incidents(t)).withColumn("severity_class", severity_class(F.col("severity")))
+    inc = incident_features(A.incidents(t, geo=True)).withColumn("severity_class", severity_class(F.col("severity")))
     ops = ops_features(A.operational_data(t))
     return inc, ops
 
 
 def risk_bundle(spark, sf_dir, **params):
     p = {**RISK_PARAMS, **params}
-    key = ("risk", sf_dir, tuple(sorted(p.items())))
+    key = ("risk", _version(spark, sf_dir), tuple(sorted(p.items())))
     if key not in _CACHE:
         inc, ops = _frames(spark, sf_dir)
         feats = M.model_feature_sets(inc, ops)["risk"]
         data, med = M.prepare(inc, "id", feats, "injury_score")
         data = materialize(ST.hash_split(data, "id"))
-        model = M.fit_risk_model(M.sized_for_training(data.filter("split = 'train'")), feats, "injury_score", **p)
+        model = M.fit_risk_model(M.training_sample(data.filter("split = 'train'"), "id"), feats, "injury_score", **p)
         ens = TR.ensemble_arrays(spark, model.stages[-1], len(feats))
         _CACHE[key] = dict(model=model, features=feats, data=data, medians=med, ens=ens)
     return _CACHE[key]
@@ -51,13 +58,13 @@ def risk_bundle(spark, sf_dir, **params):
 
 def severity_bundle(spark, sf_dir, **params):
     p = {**SEVERITY_PARAMS, **params}
-    key = ("severity", sf_dir, tuple(sorted(p.items())))
+    key = ("severity", _version(spark, sf_dir), tuple(sorted(p.items())))
     if key not in _CACHE:
         inc, ops = _frames(spark, sf_dir)
         feats = M.model_feature_sets(inc, ops)["severity"]
         data, med = M.prepare(inc, "id", feats, "severity_class")
-        data = materialize(ST.with_class_weight(ST.hash_split(data, "id"), "severity_class"))
-        model = M.fit_severity_model(M.sized_for_training(data.filter("split = 'train'")), feats,
+        data = materialize(ST.with_class_weight(ST.stratified_split(data, "id", "severity_class"), "severity_class"))
+        model = M.fit_severity_model(M.training_sample(data.filter("split = 'train'"), "id"), feats,
                                      "severity_class", **p)
         _CACHE[key] = dict(model=model, features=feats, data=data, medians=med)
     return _CACHE[key]
@@ -65,7 +72,7 @@ def severity_bundle(spark, sf_dir, **params):
 
 def anomaly_bundle(spark, sf_dir, **params):
     p = {**ANOMALY_PARAMS, **params}
-    key = ("anomaly", sf_dir, tuple(sorted(p.items())))
+    key = ("anomaly", _version(spark, sf_dir), tuple(sorted(p.items())))
     if key not in _CACHE:
         inc, ops = _frames(spark, sf_dir)
         feats = M.model_feature_sets(inc, ops)["anomaly"]

@@ -89,7 +89,7 @@ _REPORT_COLS = """SELECT check_order, check_name, is_valid, records_checked, rec
 
 
 def _inc_scored(spark, sf_dir):
-    return Q.validate_incidents(A.incidents(Tables(spark, sf_dir)), INCIDENTS_AS_OF)
+    return Q.validate_incidents(A.incidents(Tables(spark, sf_dir), geo=True), INCIDENTS_AS_OF)
 
 
 def _ops_scored(spark, sf_dir):

@@ -73,6 +73,18 @@ def split_counts(spark, sf_dir):
     return ST.hash_split(inc, "id").groupBy("split", "severity_class").agg(F.count(F.lit(1)).alias("records"))
 
 
+@query("stratified_split", ("incidents",), """
+SELECT id, severity_class, CASE WHEN rn <= (n * 80 + 50) // 100 THEN 'train' ELSE 'test' END AS split FROM (
+  SELECT id, severity_class, row_number() OVER (PARTITION BY severity_class ORDER BY h, id) AS rn,
+         count(*) OVER (PARTITION BY severity_class) AS n FROM (
+    SELECT id, ((id % 2147483648) * 1103515245 + 12345 + 42) % 2147483648 AS h,
+      CAST(CASE severity WHEN 'NONE' THEN 0 WHEN 'MINOR' THEN 1 WHEN 'SERIOUS' THEN 2 WHEN 'FATAL' THEN 3 ELSE 0 END AS INTEGER)
+        AS severity_class FROM incidents) a) b""")
+def stratified_split(spark, sf_dir):
+    inc = A.incidents(_t(spark, sf_dir)).select("id", severity_class(F.col("severity")).alias("severity_class"))
+    return ST.stratified_split(inc, "id", "severity_class")
+
+
 @query("regression_metrics", ("scored",), """
 SELECT n, round(sqrt(mse), 6) AS rmse, round(mae, 6) AS mae, round(r2, 6) AS r2,
   CASE WHEN r2 > 0.8 THEN 'excellent' WHEN r2 > 0.6 THEN 'good' WHEN r2 > 0.4 THEN 'moderate' ELSE 'poor' END AS quality
@@ -196,9 +208,10 @@ def percent_rank(spark, sf_dir):
     return ST.percentile_bucket(A.scored(_t(spark, sf_dir)), "anomaly_score", "id")
 
 
-@query("seeded_sample")
+@query("seeded_sample", ("ops_features",),
+       "SELECT id, date, operational_risk_score FROM ops_features ORDER BY md5('42|' || id), id LIMIT 1000")
 def seeded_sample(spark, sf_dir):
-    return ST.seeded_sample(_ops(spark, sf_dir), "id", 1000, seed=42)
+    return ST.seeded_sample(_ops(spark, sf_dir).select("id", "date", "operational_risk_score"), "id", 1000, seed=42)
 
 
 @query("shap_importance", ("ops_features",), f"""WITH {_CONTRIB_SQL}

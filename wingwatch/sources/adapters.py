@@ -51,18 +51,25 @@ def _event_condition() -> str:
 
 
 def _geo(t: Tables) -> DataFrame:
-    n = t.read("nation", ["n_nationkey", "n_name", "n_regionkey"], spread=False)
-    r = t.read("region", ["r_regionkey", "r_name"], spread=False)
+    n = t.read("nation", ["n_nationkey", "n_name", "n_regionkey"])
+    r = t.read("region", ["r_regionkey", "r_name"])
     return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).drop("r_regionkey")
 
 
-def incidents(t: Tables) -> DataFrame:
+#: incident columns that come from the customer and nation side
+GEO_COLUMNS = ("country", "location", "probable_cause")
+
+
+def incidents(t: Tables, geo: bool = False) -> DataFrame:
+    """Incident records.  ``geo`` adds ``GEO_COLUMNS``; without it the view is one scan of the order
+    table, so queries that need none of them pay for no join."""
     o = t.read("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"])
-    c = t.read("customer", ["c_custkey", "c_nationkey", "c_mktsegment"], spread=False)
-    j = (o.join(c, o.o_custkey == c.c_custkey)
-          .join(F.broadcast(_geo(t)), F.col("c_nationkey") == F.col("n_nationkey")))
+    if geo:
+        c = t.read("customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
+        o = (o.join(c, o.o_custkey == c.c_custkey)
+             .join(F.broadcast(_geo(t)), F.col("c_nationkey") == F.col("n_nationkey")))
     k, cu, prio = "o_orderkey", "o_custkey", "o_orderpriority"
-    return j.selectExpr(
+    view = [
         f"CAST({k} AS BIGINT) AS id",
         f"CASE WHEN {k} % 97 = 0 THEN 'BOGUS' WHEN {k} % 103 = 0 THEN CAST(NULL AS STRING) "
         f"WHEN {k} % 10 < 6 THEN 'NTSB' WHEN {k} % 10 < 9 THEN 'ASRS' ELSE 'FAA' END AS source",
@@ -80,9 +87,6 @@ def incidents(t: Tables) -> DataFrame:
         f"CAST(CASE WHEN {k} % 7 = 0 THEN NULL WHEN {k} % 211 = 0 THEN 95 ELSE {k} % 181 - 90 END AS DOUBLE) "
         f"AS latitude",
         f"CAST(CASE WHEN {k} % 11 = 0 THEN NULL ELSE {cu} % 361 - 180 END AS DOUBLE) AS longitude",
-        "CASE WHEN n_regionkey = 1 THEN 'USA' ELSE n_name END AS country",
-        f"CASE WHEN {k} % 5 = 0 THEN CAST(NULL AS STRING) "
-        f"ELSE concat('CITY_', CAST({cu} % 50 AS STRING), ', ', r_name) END AS location",
         f"{pick(INCIDENT_PHASES, f'{k} % 12')} AS phase_of_flight",
         "CASE o_orderstatus WHEN 'F' THEN 'IMC' WHEN 'O' THEN 'VMC' ELSE CAST(NULL AS STRING) END "
         "AS weather_conditions",
@@ -93,9 +97,16 @@ def incidents(t: Tables) -> DataFrame:
         f"ELSE concat('A', CAST({cu} % 60 AS STRING)) END AS airport_code",
         f"{pick(INCIDENT_MAKES, f'{k} % 8')} AS aircraft_make",
         f"{pick(INCIDENT_MODELS, f'{cu} % 5')} AS aircraft_model",
-        f"CASE WHEN {k} % 3 = 0 THEN CAST(NULL AS STRING) "
-        f"ELSE repeat(concat(c_mktsegment, ' cause '), CAST(1 + {k} % 40 AS INT)) END AS probable_cause",
-    )
+    ]
+    if geo:
+        view += [
+            "CASE WHEN n_regionkey = 1 THEN 'USA' ELSE n_name END AS country",
+            f"CASE WHEN {k} % 5 = 0 THEN CAST(NULL AS STRING) "
+            f"ELSE concat('CITY_', CAST({cu} % 50 AS STRING), ', ', r_name) END AS location",
+            f"CASE WHEN {k} % 3 = 0 THEN CAST(NULL AS STRING) "
+            f"ELSE repeat(concat(c_mktsegment, ' cause '), CAST(1 + {k} % 40 AS INT)) END AS probable_cause",
+        ]
+    return o.selectExpr(*view)
 
 
 def operational_data(t: Tables) -> DataFrame:
@@ -138,9 +149,9 @@ def weather_conditions(t: Tables) -> DataFrame:
 
 def airports(t: Tables) -> DataFrame:
     """Raw airport list (before the B2 type filter)."""
-    sup = t.read("supplier", ["s_suppkey", "s_nationkey"], spread=False)
+    sup = t.read("supplier", ["s_suppkey", "s_nationkey"])
     s = "s_suppkey"
-    return sup.filter(f"{s} < 60 AND {s} % 3 < 2").selectExpr(
+    return sup.selectExpr(
         f"CASE WHEN {s} % 3 = 0 THEN concat('A', CAST({s} AS STRING)) ELSE concat('KA', CAST({s} AS STRING)) END "
         f"AS ident",
         f"{pick(['large_airport', 'medium_airport', 'small_airport', 'heliport'], f'{s} % 4')} AS type",
@@ -176,7 +187,7 @@ def raw_events(t: Tables) -> DataFrame:
 
 def raw_aircraft(t: Tables) -> DataFrame:
     li = t.read("lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    p = t.read("part", ["p_partkey", "p_brand", "p_type"], spread=False)
+    p = t.read("part", ["p_partkey", "p_brand", "p_type"])
     return li.join(p, li.l_partkey == p.p_partkey).selectExpr(
         "concat('E', CAST(l_orderkey AS STRING)) AS ev_id", "CAST(l_linenumber AS INT) AS line_no",
         "CAST(l_partkey AS BIGINT) AS part_no", "CAST(l_suppkey AS BIGINT) AS supp_no",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from wingwatch.operators import setops as SO
+from wingwatch.session import delete_path, path_exists
 
 MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
 
@@ -42,8 +43,7 @@ def save_features(df: DataFrame, root: str, name: str, run_date: str, created_at
         "feature_set_name": F.lit(name), "run_date": F.lit(run_date).cast("date"),
         "created_at": F.lit(created_at).cast("timestamp_ntz")})
     path = os.path.join(root, "feature_store")
-    write_table(out, path, "append" if not os.path.exists(path) else "replace",
-                partition_by=["feature_set_name", "run_date"])
+    write_table(out, path, "replace", partition_by=["feature_set_name", "run_date"])
     return path
 
 
@@ -64,20 +64,29 @@ def list_feature_sets(spark: SparkSession, root: str) -> DataFrame:
 
 def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], order: list[str],
                  partition_col: str, staging_dir: str) -> None:
-    """H3: latest row per key, rewriting only the partitions the updates touch.
+    """H3: latest row per key, rewriting only the partitions involved: those the updates go to and
+    those that hold an older copy of an updated key (a key may have moved).  Partitions that this
+    empties are removed; a NULL partition value is a partition like any other.
 
-    The merged rows are materialised to ``staging_dir`` before the overwrite,
-    so the job never reads and overwrites the same files in one plan.
+    The merged rows are materialised to ``staging_dir`` before the overwrite, so the job never reads
+    and overwrites the same files in one plan; repeating it gives the same table.
     """
-    if not os.path.exists(path):
-        write_table(updates, path, "append", [partition_col])
+    if not path_exists(spark, path):
+        write_table(SO.dedup_by_key(updates, keys, order, latest=True), path, "replace", [partition_col])
         return
-    current = spark.read.parquet(path)
-    touched = updates.select(partition_col).distinct()
-    merged = SO.upsert(current.join(touched, partition_col, "left_semi"), updates, keys, order)
+    current = spark.read.schema(updates.schema).parquet(path)
+    moved = current.join(updates.select(*keys).distinct(), keys, "left_semi").select(partition_col)
+    touched = updates.select(partition_col).union(moved).distinct().withColumnRenamed(partition_col, "_touched")
+    here = F.col(partition_col).eqNullSafe(F.col("_touched"))
+    merged = SO.upsert(current.join(touched, here, "left_semi"), updates, keys, order)
     merged.write.mode("overwrite").parquet(staging_dir)
-    staged = spark.read.parquet(staging_dir)
+    staged = spark.read.schema(merged.schema).parquet(staging_dir)
+    # one row per partition that lost its last row
+    empty = [r[0] for r in touched.join(staged.select(partition_col).distinct(), here, "left_anti").collect()]
     write_table(staged, path, "replace", [partition_col])
+    for value in empty:
+        name = "__HIVE_DEFAULT_PARTITION__" if value is None else value
+        delete_path(spark, os.path.join(path, f"{partition_col}={name}"))
 
 
 def export_records(df: DataFrame, path: str, fmt: str = "json") -> None:

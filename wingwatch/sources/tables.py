@@ -10,7 +10,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wingwatch.session import configure
+from wingwatch.session import configure, path_exists
 
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -19,10 +19,6 @@ TABLE_NAMES = (
 )
 
 
-_BASE: dict[tuple[str, str], tuple[DataFrame, int]] = {}
-SPREAD_MAX_SPLITS = 16
-
-
 class Tables:
     """Lazy handle on a directory of ``<name>.parquet`` tables."""
 
@@ -33,33 +29,10 @@ class Tables:
     def path(self, name: str) -> str:
         return os.path.join(self.root, f"{name}.parquet")
 
-    def read(self, name: str, columns: list[str] | None = None, spread: bool = True) -> DataFrame:
-        """Pruned scan of one table.
-
-        A *small* source - fewer than ``SPREAD_MAX_SPLITS`` input splits (at
-        most ~2 GB) and fewer splits than the default parallelism, e.g. a file
-        with one row group - is spread round-robin after pruning, so the
-        narrow stages above it use every core for the price of a small
-        shuffle.  Anything larger keeps its file splits: a mid-sized table is
-        never shuffled just to match the core count.  Filters are still pushed
-        below the exchange into the scan.  Dimension reads pass
-        ``spread=False`` (they are broadcast anyway).
-        """
-        base, splits = self._base(name)
-        df = base.select(*columns) if columns else base
-        want = self.spark.sparkContext.defaultParallelism
-        if spread and splits < min(want, SPREAD_MAX_SPLITS):
-            df = df.repartition(want)
-        return df
-
-    def _base(self, name: str) -> tuple[DataFrame, int]:
-        """Reader and split count per (application, path), built once: file
-        listing and footer reads are not repeated for every query."""
-        key = (self.spark.sparkContext.applicationId, self.path(name))
-        if key not in _BASE:
-            df = self.spark.read.parquet(self.path(name))
-            _BASE[key] = (df, df.rdd.getNumPartitions())
-        return _BASE[key]
+    def read(self, name: str, columns: list[str] | None = None) -> DataFrame:
+        """Pruned scan of one table; its file splits are left as they are."""
+        df = self.spark.read.parquet(self.path(name))
+        return df.select(*columns) if columns else df
 
     def exists(self, name: str) -> bool:
-        return os.path.exists(self.path(name))
+        return path_exists(self.spark, self.path(name))
