@@ -32,7 +32,7 @@ def test_risk_scores_are_clipped(spark, rows):
        st.lists(st.floats(0, 1), min_size=1, max_size=5))
 def test_exact_quantiles_match_numpy(spark, values, probs):
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = Q.exact_quantiles(df, "x", probs, max_collect=7, buckets=4)    # forces refinement passes
+    got = Q.exact_quantiles(df, "x", probs, accuracy=5, buckets=4)    # forces refinement passes
     clean = np.array([v for v in values if v is not None])
     for p in probs:
         if clean.size == 0:
