@@ -8,6 +8,7 @@ strings have their anchors at equal places, and all strings with one anchor form
 around it.
 
 1. Documents are dealt into blocks; every later step on texts works block by block.
+   A text that equals one of a smaller doc_id goes as a whole and takes no further part.
 2. Each block reports its anchors' hashes, once each, as packed bytes by hash range; hashes that
    occur in two blocks, or in two documents of a block, come back to the blocks.  Anchors that
    nobody shares can have no repeated string and drop out.
@@ -41,11 +42,10 @@ from wingwatch.llm.common import _BYTES, mix64, row_chunks, saved, text_buffer,
 WIDTH, GRAM = 50, 16
 SPAN = WIDTH - GRAM + 1  # grams in a string
 LEFT = WIDTH - GRAM  # most bytes of a stretch before its anchor
-PART = 4000  # stretches whose strings a task holds at a time
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 SAMPLE = 20_000
 BODY = f"S{WIDTH + LEFT}"  # a suffix as it is sorted: the bytes from the anchor on, then those before it
-_LOW40 = np.uint64((1 << 40) - 1)
+_LOW32 = np.uint64((1 << 32) - 1)
 
 
 # --- anchors -------------------------------------------------------------------------------
@@ -122,16 +122,13 @@ def _expand(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
-def _five(h: np.ndarray) -> bytes:
-    """The low 40 bits of each hash."""
-    return np.ascontiguousarray((h & _LOW40).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _low(h: np.ndarray) -> bytes:
+    """The low 32 bits of each hash; with the bucket they tell apart what a bucket's size needs."""
+    return (h & _LOW32).astype(np.uint32).tobytes()
 
 
-def _unfive(raw: bytes) -> np.ndarray:
-    five = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
-    return out.view(np.uint64).ravel()
+def _unlow(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32).astype(np.uint64)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -223,10 +220,11 @@ def repeats(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 PACKED = pa.schema([("block", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())])
 MARKS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("many", pa.binary())])
 FLAGS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary())])
+COPIES = -1  # bucket of the rows that list a block's copies, as (doc_id, tag) pairs
 PARTS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()),
                    ("row", pa.binary()), ("start", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())])
 SPANS = pa.schema([("block", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()), ("start", pa.binary()),
-                   ("end", pa.binary()), ("doc", pa.int64()), ("string", pa.binary())])
+                   ("end", pa.binary()), ("doc", pa.int64()), ("tag", pa.int64()), ("place", pa.int64()), ("string", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                     ("kept_sha256", pa.string()), ("text", pa.binary())])
 
@@ -270,6 +268,27 @@ def _unpack(table: pa.Table):
     return np.concatenate(doc), np.concatenate(tag), np.frombuffer(b"".join(body), np.uint8), offsets
 
 
+def _without(doc: np.ndarray, tag: np.ndarray, data: np.ndarray, offsets: np.ndarray, copies: set):
+    """The block without its copies."""
+    if not copies:
+        return doc, tag, data, offsets
+    keep = np.array([(d, t) not in copies for d, t in zip(doc.tolist(), tag.tolist())], bool)
+    size = np.diff(offsets)
+    return doc[keep], tag[keep], data[np.repeat(keep, size)], np.append(0, np.cumsum(size[keep]))
+
+
+def _copies(packed) -> set:
+    return {tuple(x) for raw in packed for x in np.frombuffer(raw, np.int64).reshape(-1, 2).tolist()}
+
+
+def _listed(batches):
+    """(doc_id, tag) pairs of each batch, by block."""
+    for b in batches:
+        block, doc, tag = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "doc_id", "tag"))
+        rows = [(int(k), COPIES, np.stack([doc[block == k], tag[block == k]], axis=1).astype(np.int64).tobytes()) for k in np.unique(block)]
+        yield from _batch(rows, FLAGS).to_batches()
+
+
 def _sampled(batches):
     """Suffixes of the anchors of some documents, as sorted by step 4."""
     for b in batches:
@@ -278,10 +297,12 @@ def _sampled(batches):
         yield pa.RecordBatch.from_arrays([pa.array([_body(data, offsets, row, s, e, anchor)[0].tobytes()], pa.binary())], ["bodies"])
 
 
-def _marks(table: pa.Table, n_buckets: int) -> pa.Table:
+def _marks(table: pa.Table, copies: pa.Table, n_buckets: int) -> pa.Table:
     """Step 2, a block's side: its distinct anchor hashes, and which of them two documents share."""
+    if not table.num_rows:
+        return _batch([], MARKS)
     block = table.column("block")[0].as_py()
-    doc, _, data, offsets = _unpack(table)
+    doc, _, data, offsets = _without(*_unpack(table), _copies(copies.column("hashes").to_pylist()))
     row, s, e, anchor, h = all_stretches(data, offsets)
     order = np.lexsort((doc[row], h))
     hs, ds = h[order], doc[row][order]
@@ -292,7 +313,7 @@ def _marks(table: pa.Table, n_buckets: int) -> pa.Table:
     many, hs = ds[first] != ds[last], hs[first]
     bucket = _bucket_of(hs, n_buckets)
     edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
-    rows = [(k, block, _five(hs[a:b]), np.packbits(many[a:b]).tobytes())
+    rows = [(k, block, _low(hs[a:b]), np.packbits(many[a:b]).tobytes())
             for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
     return _batch(rows, MARKS)
 
@@ -300,13 +321,13 @@ def _marks(table: pa.Table, n_buckets: int) -> pa.Table:
 def _flags(key, table: pa.Table) -> pa.Table:
     """Step 2, a bucket's side: the hashes of each block that others have too."""
     block = _column(table, "block")
-    parts = [_unfive(x.as_py()) for x in table.column("hashes")]
+    parts = [_unlow(x.as_py()) for x in table.column("hashes")]
     many = np.concatenate([np.unpackbits(np.frombuffer(m.as_py(), np.uint8))[:len(p)] for m, p in zip(table.column("many"), parts)])
     sizes, all_h = np.array([len(p) for p in parts]), np.concatenate(parts)
     _, inverse, count = np.unique(all_h, return_inverse=True, return_counts=True)
     shared = (count > 1) | (np.bincount(inverse, many, len(count)) > 0)
     keep, ends = shared[inverse], np.cumsum(sizes)
-    rows = [(int(b), int(key[0].as_py()), _five(all_h[e - n:e][keep[e - n:e]])) for b, n, e in zip(block, sizes, ends) if keep[e - n:e].any()]
+    rows = [(int(b), int(key[0].as_py()), _low(all_h[e - n:e][keep[e - n:e]])) for b, n, e in zip(block, sizes, ends) if keep[e - n:e].any()]
     return _batch(rows, FLAGS)
 
 
@@ -315,10 +336,14 @@ def _collapse(texts: pa.Table, flags: pa.Table, n_hash_buckets: int, splitters:
     if not texts.num_rows or not flags.num_rows:
         return _batch([], PARTS)
     block = texts.column("block")[0].as_py()
-    doc, tag, data, offsets = _unpack(texts)
+    flagged = list(zip(flags.column("bucket").to_pylist(), flags.column("hashes").to_pylist()))
+    doc, tag, data, offsets = _without(*_unpack(texts), _copies([x for k, x in flagged if k == COPIES]))
+    flagged = [(k, x) for k, x in flagged if k != COPIES]
+    if not flagged:
+        return _batch([], PARTS)
     row, s, e, anchor, h = all_stretches(data, offsets)
-    mark = (_bucket_of(h, n_hash_buckets).astype(np.uint64) << np.uint64(40)) | (h & _LOW40)
-    wanted = np.concatenate([_unfive(x.as_py()) | (np.uint64(k.as_py()) << np.uint64(40)) for x, k in zip(flags.column("hashes"), flags.column("bucket"))])
+    mark = (_bucket_of(h, n_hash_buckets).astype(np.uint64) << np.uint64(32)) | (h & _LOW32)
+    wanted = np.concatenate([_unlow(x) | (np.uint64(k) << np.uint64(32)) for k, x in flagged])
     keep = np.flatnonzero(np.isin(mark, wanted))
     row, s, e, anchor = row[keep], s[keep], e[keep], anchor[keep]
     body, sizes = _body(data, offsets, row, s, e, anchor)
@@ -345,7 +370,7 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
     for r in table.to_batches():
         for block, d, t, n, s, z, b in zip(*(r.column(c).to_pylist() for c in ("block", "docs", "tags", "row", "start", "sizes", "body"))):
             if b is None:
-                rows.append((block, d, t, s, z, None, None))
+                rows.append((block, d, t, s, z, None, None, None, None))
                 continue
             number = _expand(n, np.int32)
             docs.append(_expand(d, np.int64)[number])
@@ -369,51 +394,78 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
     mixed = np.bincount(its_run)[its_run] > 1
     border = []
     look = np.flatnonzero(mixed | edge)
-    for at in range(0, len(look), PART):
-        x = look[at:at + PART]
-        # a run that the slice cuts is compared in step 5 as well
-        part_edge = edge[x].copy()
-        for outer, inner_run in ((at - 1, its_run[x[0]]), (at + PART, its_run[x[-1]])):
-            if 0 <= outer < len(look) and its_run[look[outer]] == inner_run:
-                part_edge |= its_run[x] == inner_run
-        who, string, offset = _strings(body[distinct[x]], size[distinct[x]])
-        rep, hold = repeats(as_words(string), doc[distinct[x]][who])
-        hit = distinct[x][who[rep]]
+    if len(look):
+        text, who, offset, h = _strings(body[distinct[look]], size[distinct[look]])
+        rep, hold = _repeated_strings(text, who, offset, h, doc[distinct[look]][who])
+        hit = distinct[look][who[rep]]
         found.append((hit, start[hit] + offset[rep], start[hit] + offset[rep] + WIDTH))
-        out = hold[part_edge[who[hold]]]
-        border.append((distinct[x][who[out]], offset[out], string[out]))
+        out = hold[edge[look][who[hold]]]
+        holder = distinct[look][who[out]]
+        for at in range(0, len(out), 4096):
+            x = slice(at, at + 4096)
+            string = text[who[out[x]][:, None], offset[out[x]][:, None] + np.arange(WIDTH)[None, :]]
+            border += [(int(block[w]), int(doc[w]), int(tag[w]), int(start[w] + o), r.tobytes()) for w, o, r in zip(holder[x], offset[out[x]], string)]
     who, s, e = (np.concatenate(x) for x in zip(*found))
     by = np.argsort(block[who], kind="stable")
     who, s, e = who[by], s[by], e[by]
     cuts = np.flatnonzero(np.diff(block[who])) + 1
     for w, a, b in zip(np.split(who, cuts), np.split(s, cuts), np.split(e, cuts)):
         if len(w):
-            rows.append((int(block[w[0]]), _squeeze(doc[w]), _squeeze(tag[w]), _squeeze(a), _squeeze(b), None, None))
-    for w, o, string in border:
-        for i in range(len(w)):
-            one = [doc[w[i]], tag[w[i]], start[w[i]] + o[i], start[w[i]] + o[i] + WIDTH]
-            rows.append((int(block[w[i]]), *[_squeeze(np.array([v], np.int64)) for v in one], int(doc[w[i]]), string[i].tobytes()))
+            rows.append((int(block[w[0]]), _squeeze(doc[w]), _squeeze(tag[w]), _squeeze(a), _squeeze(b), None, None, None, None))
+    rows += [(b, None, None, None, None, d, t, o, r) for b, d, t, o, r in border]
     return _batch(rows, SPANS)
 
 
 def _strings(body: np.ndarray, size: np.ndarray):
-    """(row, string, offset from the stretch's start) of every string of ``WIDTH`` bytes."""
+    """(stretches in reading order; row, offset and hash of every string of ``WIDTH`` bytes in them)."""
     right, left = size[:, 0].astype(np.int64), size[:, 1].astype(np.int64)
     count = right + left - WIDTH + 1
-    who = np.repeat(np.arange(len(body)), count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    # the stretch in reading order: the bytes before the anchor, then those from it on
+    straight = np.zeros((len(body), WIDTH + LEFT), np.uint8)
     col = np.arange(WIDTH + LEFT)
-    place = np.where(col[None, :] < left[:, None], WIDTH + col[None, :], np.minimum(col[None, :] - left[:, None], WIDTH - 1))
-    straight = np.take_along_axis(body, place, axis=1)
-    return who, straight[who[:, None], offset[:, None] + np.arange(WIDTH)[None, :]], offset
+    for at in range(0, len(body), 16384):
+        x = slice(at, at + 16384)
+        place = np.where(col[None, :] < left[x, None], WIDTH + col[None, :], np.clip(col[None, :] - left[x, None], 0, WIDTH - 1))
+        straight[x] = np.take_along_axis(body[x], place, axis=1)
+    who, offset, hashes = [], [], []
+    for o in range(int(count.max())):
+        rows = np.flatnonzero(count > o)
+        h = np.zeros(len(rows), np.uint64)
+        for i in range(o, o + WIDTH):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + _BYTES[straight[rows, i]]
+        who.append(rows)
+        offset.append(np.full(len(rows), o))
+        hashes.append(mix64(h))
+    return straight, np.concatenate(who), np.concatenate(offset), np.concatenate(hashes)
+
+
+def _repeated_strings(text, who, offset, h, doc) -> tuple[np.ndarray, np.ndarray]:
+    """``repeats`` for strings given by place, sorted by hash; equal hashes are compared by bytes."""
+    order = np.argsort(h, kind="stable")
+    head = np.ones(len(order), bool)
+    head[1:] = h[order][1:] != h[order][:-1]
+    first = np.flatnonzero(head)
+    of = np.cumsum(head) - 1
+    shared = np.flatnonzero(np.diff(np.append(first, len(order)))[of] > 1)
+    col = np.arange(WIDTH)
+    for at in range(0, len(shared), 65536):
+        x = order[shared[at:at + 65536]]
+        y = order[first[of[shared[at:at + 65536]]]]
+        if (text[who[x][:, None], offset[x][:, None] + col] != text[who[y][:, None], offset[y][:, None] + col]).any():
+            # two strings with one hash: sort the bytes instead
+            return repeats(as_words(text[who[:, None], offset[:, None] + col]), doc)
+    low = np.minimum.reduceat(doc[order], first)[of]
+    again = doc[order] > low
+    return order[again], order[~again]
 
 
 def _cut(texts: pa.Table, spans: pa.Table, with_text: bool) -> pa.Table:
     """Step 6: a block's documents without their repeated bytes."""
     doc, tag, data, offsets = _unpack(texts)
     per: dict[tuple[int, int], list] = {}
+    copies = _copies([x for x, e in zip(spans.column("docs").to_pylist(), spans.column("end").to_pylist()) if e is None])
     for d, t, s, e in zip(*(spans.column(c).to_pylist() for c in ("docs", "tags", "start", "end"))):
+        if e is None:
+            continue
         d, t, s, e = (_expand(x, np.int64) for x in (d, t, s, e))
         by = np.lexsort((t, d))
         d, t, s, e = d[by], t[by], s[by], e[by]
@@ -424,7 +476,9 @@ def _cut(texts: pa.Table, spans: pa.Table, with_text: bool) -> pa.Table:
     for i in range(len(doc)):
         text = data[offsets[i]:offsets[i + 1]]
         removed = runs = 0
-        if found := per.get((int(doc[i]), int(tag[i]))):
+        if (int(doc[i]), int(tag[i])) in copies:
+            n, removed, runs, text = len(text), len(text), 1, text[:0]
+        elif found := per.get((int(doc[i]), int(tag[i]))):
             change = np.zeros(len(text) + 1, np.int32)
             for s, e in found:
                 np.add.at(change, s, 1)
@@ -439,6 +493,30 @@ def _cut(texts: pa.Table, spans: pa.Table, with_text: bool) -> pa.Table:
     return _batch(rows, RESULT)
 
 
+def _placed(batches):
+    """Spans of single strings, packed by block."""
+    for b in batches:
+        block, doc, tag, place = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "doc", "tag", "place"))
+        rows = []
+        for k in np.unique(block):
+            x = block == k
+            rows.append((int(k), *[_squeeze(v[x].astype(np.int64)) for v in (doc, tag, place, place + WIDTH)], None, None, None, None))
+        yield from _batch(rows, SPANS).to_batches()
+
+
+def _splitters(leading: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Bucket bounds from sorted sample suffixes.  A bound is cut back to the leading gram, so that a
+    run of suffixes with one gram stays in one bucket; only a run that fills a bucket is split."""
+    if not len(leading):
+        return leading
+    bounds = leading[np.linspace(0, len(leading), n_buckets + 1)[1:-1].astype(int)]
+    out = []
+    for x in bounds:
+        gram = bytes(x).ljust(WIDTH + LEFT, b"\0")[:GRAM]
+        out.append(bytes(x) if out and out[-1].ljust(GRAM, b"\0")[:GRAM] == gram else gram)
+    return np.unique(np.array(out, dtype=leading.dtype)) if out else leading[:0]
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, where asked for, the bytes that stay.
 
@@ -458,19 +536,28 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     drawn = known.filter(F.pmod(F.xxhash64("doc_id", "tag", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
     bodies = b"".join(bytes(r["bodies"]) for r in drawn.select("text").mapInArrow(_sampled, "bodies binary").collect())
     leading = np.sort(np.frombuffer(bodies, BODY))
-    splitters = np.unique(leading[np.linspace(0, len(leading), n_buckets + 1)[1:-1].astype(int)]) if len(leading) else leading
-    blocks = (known.withColumn("block", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(n_blocks)).cast("int"))
-              .mapInArrow(_pack, _sql(PACKED)).repartition(parts, "block").persist(StorageLevel.DISK_ONLY))
+    splitters = _splitters(leading, n_buckets)
+    known = known.withColumn("block", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(n_blocks)).cast("int"))
+    blocks = known.mapInArrow(_pack, _sql(PACKED)).repartition(parts, "block").persist(StorageLevel.DISK_ONLY)
+    # texts that a smaller doc_id has too, by a digest of 128 bits and the length
+    ids = saved(known.select("doc_id", "tag", "block", F.octet_length("text").alias("n"), F.md5("text").alias("digest")).filter(F.col("n") >= WIDTH))
+    least = ids.groupBy("tag", "n", "digest").agg(F.min("doc_id").alias("low"))
+    copies = saved(ids.join(least, ["tag", "n", "digest"]).filter("doc_id > low").select("block", "doc_id", "tag")
+                   .mapInArrow(_listed, _sql(FLAGS)))
     try:
-        marks = blocks.groupBy("block").applyInArrow(lambda t: _marks(t, n_buckets), _sql(MARKS))
-        flags = marks.groupBy("bucket").applyInArrow(lambda k, t: _flags(k, t), _sql(FLAGS))
+        marks = (blocks.groupBy("block").cogroup(copies.groupBy("block"))
+                 .applyInArrow(lambda t, c: _marks(t, c, n_buckets), _sql(MARKS)))
+        flags = marks.groupBy("bucket").applyInArrow(lambda k, t: _flags(k, t), _sql(FLAGS)).unionByName(copies)
         stretched = (blocks.groupBy("block").cogroup(flags.groupBy("block"))
                      .applyInArrow(lambda t, f: _collapse(t, f, n_buckets, splitters), _sql(PARTS)))
         found = saved(stretched.groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t), _sql(SPANS)))
         held = found.filter("string IS NOT NULL")
         least = held.groupBy("string").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
-        across = held.join(least, "string").filter("doc > low").select("block", "docs", "tags", "start", "end")
-        spans = found.filter("string IS NULL").select("block", "docs", "tags", "start", "end").unionByName(across)
+        across = (held.join(least, "string").filter("doc > low").select("block", "doc", "tag", "place")
+                  .mapInArrow(_placed, _sql(SPANS)))
+        whole = copies.select("block", F.col("hashes").alias("docs"), *[F.lit(None).cast("binary").alias(c) for c in ("tags", "start", "end")])
+        spans = (found.filter("string IS NULL").select("block", "docs", "tags", "start", "end")
+                 .unionByName(across.select("block", "docs", "tags", "start", "end")).unionByName(whole))
         done = saved(blocks.groupBy("block").cogroup(spans.groupBy("block"))
                      .applyInArrow(lambda t, s: _cut(t, s, with_text), _sql(RESULT)))
     finally:
