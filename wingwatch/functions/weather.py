@@ -133,7 +133,7 @@ def flatten_weather_payload(df: DataFrame, col: str = "payload") -> DataFrame:
 
     temp = pick(h0["temp"], main["temp"])
     humidity = pick(h0["humidity"], main["humidity"])
-    visibility = pick(F.coalesce(h0["visibility"], F.lit(10000.0)),
+    visibility = pick(F.coalesce(F.col("_p.visibility"), h0["visibility"], F.lit(10000.0)),
                       F.coalesce(F.col("_p.visibility"), main["visibility"], F.lit(10000.0)))
     speed = pick(h0["speed"], F.col("_p.wind.speed"))
     gust = pick(h0["gust"], F.col("_p.wind.gust"))
@@ -144,12 +144,16 @@ def flatten_weather_payload(df: DataFrame, col: str = "payload") -> DataFrame:
     out = d.select(
         *[c for c in df.columns if c != col],
         (~empty).alias("parsed"),
-        temp.alias("temperature_c"), humidity.alias("humidity_percent"),
+        temp.alias("temperature_c"), pick(h0["feels_like"], main["feels_like"]).alias("feels_like_c"),
+        humidity.alias("humidity_percent"), pick(h0["pressure"], main["pressure"]).alias("pressure_hpa"),
         visibility.alias("visibility_m"), clouds.alias("cloud_cover_percent"),
         F.when(empty, F.lit(None)).otherwise(mps_to_knots(speed)).alias("wind_speed_kt"),
         F.when(_truthy(gust), gust * K.MPS_TO_KNOTS).alias("wind_gust_kt"),
+        pick(h0["deg"], F.col("_p.wind.deg")).alias("wind_direction_deg"),
         F.when(empty, F.lit(None)).otherwise(F.coalesce(cond_main, F.lit("Unknown")))
         .alias("weather_condition"),
+        F.when(empty, F.lit(None)).otherwise(F.coalesce(wx["description"], F.lit(""))).alias("weather_description"),
+        F.when(~empty, F.col(col)).alias("raw_data"),
         F.when(empty, F.lit(None)).otherwise(severe_weather_si(cond_main, speed, visibility))
         .alias("severe_weather_flag"),
         F.when(empty, F.lit(None)).otherwise(weather_risk_si(visibility, speed, gust, cond_main, temp))

@@ -36,6 +36,10 @@ def accident_weather_json(df: DataFrame) -> Column:
     return F.when(js == "{}", F.lit(None).cast("string")).otherwise(js)
 
 
+#: fixed values: source fields kept as they came
+RAW_DATA_FIELDS = ("ntsb_no", "ev_year", "ev_month", "ev_time", "ev_dow", "apt_name")
+
+
 def normalize_accidents(events: DataFrame) -> DataFrame:
     """C11-C14: accident events -> incident rows."""
     e = events
@@ -57,6 +61,7 @@ def normalize_accidents(events: DataFrame) -> DataFrame:
         T.safe_str(_col_or_null(e, "wx_cond_basic")).alias("weather_conditions"),
         accident_weather_json(e).alias("weather_data"),
         T.safe_str(_col_or_null(e, "ev_type")).alias("event_type"),
+        F.struct(*[_col_or_null(e, c).alias(c) for c in RAW_DATA_FIELDS]).alias("raw_data"),
     )
 
 
@@ -76,11 +81,12 @@ def first_per_key(rows: DataFrame, key: str, order: list[str], value_cols: list[
 def enrich_first_aircraft(incidents: DataFrame, aircraft: DataFrame) -> DataFrame:
     """Left lookup of the first aircraft per event (columns NULL when no match)."""
     first = first_per_key(aircraft, "ev_id", ["line_no", "part_no", "supp_no"],
-                          ["acft_make", "acft_model", "regis_no"])
+                          ["acft_make", "acft_model", "acft_category", "regis_no", "oper_name"])
     return (incidents.join(first, incidents.external_id == first.ev_id, "left")
             .drop("ev_id")
             .withColumnsRenamed({"acft_make": "aircraft_make", "acft_model": "aircraft_model",
-                                 "regis_no": "aircraft_registration"}))
+                                 "acft_category": "aircraft_type", "regis_no": "aircraft_registration",
+                                 "oper_name": "operator"}))
 
 
 def normalize_reports(reports: DataFrame) -> DataFrame:

@@ -184,7 +184,9 @@ FROM orders
 view("raw_aircraft", """
 SELECT 'E' || CAST(l_orderkey AS VARCHAR) AS ev_id, CAST(l_linenumber AS INTEGER) AS line_no,
   CAST(l_partkey AS BIGINT) AS part_no, CAST(l_suppkey AS BIGINT) AS supp_no,
-  p_brand AS acft_make, p_type AS acft_model, 'N' || CAST(l_suppkey AS VARCHAR) AS regis_no
+  p_brand AS acft_make, p_type AS acft_model, 'N' || CAST(l_suppkey AS VARCHAR) AS regis_no,
+  CASE WHEN p_size % 4 = 0 THEN NULL ELSE 'CAT' || CAST(p_size % 4 AS VARCHAR) END AS acft_category,
+  'OPER' || CAST(l_suppkey % 11 AS VARCHAR) AS oper_name
 FROM lineitem JOIN part ON l_partkey = p_partkey
 """)
 

@@ -153,10 +153,15 @@ WITH p AS (
      AND json_extract(payload, '$.data') IS NULL) AS empty
   FROM weather_payloads),
 f AS (
-  SELECT id, empty,
+  SELECT id, empty, payload,
+    CASE WHEN empty THEN NULL WHEN hist THEN {_js('$.data[0].feels_like')} ELSE COALESCE({_js('$.main.feels_like')}, {_js('$.current.feels_like')}) END AS feels,
+    CASE WHEN empty THEN NULL WHEN hist THEN {_js('$.data[0].pressure')} ELSE COALESCE({_js('$.main.pressure')}, {_js('$.current.pressure')}) END AS pressure,
+    CASE WHEN empty THEN NULL WHEN hist THEN {_js('$.data[0].deg')} ELSE {_js('$.wind.deg')} END AS deg,
+    CASE WHEN empty THEN NULL WHEN hist THEN COALESCE(json_extract_string(payload, '$.data[0].weather[0].description'), '')
+         ELSE COALESCE(json_extract_string(payload, '$.weather[0].description'), '') END AS descr,
     CASE WHEN empty THEN NULL WHEN hist THEN {_js('$.data[0].temp')} ELSE COALESCE({_js('$.main.temp')}, {_js('$.current.temp')}) END AS temp,
     CASE WHEN empty THEN NULL WHEN hist THEN {_js('$.data[0].humidity')} ELSE COALESCE({_js('$.main.humidity')}, {_js('$.current.humidity')}) END AS humidity,
-    CASE WHEN empty THEN NULL WHEN hist THEN COALESCE({_js('$.data[0].visibility')}, 10000.0)
+    CASE WHEN empty THEN NULL WHEN hist THEN COALESCE({_js('$.visibility')}, {_js('$.data[0].visibility')}, 10000.0)
          ELSE COALESCE({_js('$.visibility')}, {_js('$.main.visibility')}, {_js('$.current.visibility')}, 10000.0) END AS vis,
     CASE WHEN empty THEN NULL WHEN hist THEN COALESCE({_js('$.data[0].all')}, {_js('$.data[0].clouds')})
          ELSE COALESCE({_js('$.clouds.all')}, {_js('$.main.clouds')}, {_js('$.current.clouds')}) END AS clouds,
@@ -165,7 +170,8 @@ f AS (
     CASE WHEN empty THEN NULL WHEN hist THEN json_extract_string(payload, '$.data[0].weather[0].main')
          ELSE json_extract_string(payload, '$.weather[0].main') END AS cond
   FROM p)
-SELECT id, NOT empty AS parsed, temp AS temperature_c, humidity AS humidity_percent, vis AS visibility_m,
+SELECT id, NOT empty AS parsed, feels AS feels_like_c, pressure AS pressure_hpa, deg AS wind_direction_deg,
+  descr AS weather_description, CASE WHEN NOT empty THEN payload END AS raw_data, temp AS temperature_c, humidity AS humidity_percent, vis AS visibility_m,
   clouds AS cloud_cover_percent,
   CASE WHEN empty THEN NULL WHEN COALESCE(speed <> 0, FALSE) THEN round(speed * 1.94384, 6) ELSE 0.0 END AS wind_speed_kt,
   CASE WHEN COALESCE(gust <> 0, FALSE) THEN round(gust * 1.94384, 6) END AS wind_gust_kt,
@@ -234,16 +240,16 @@ def ntsb_weather_json(spark, sf_dir):
 
 @query("enrich_first_aircraft", ("raw_events", "raw_aircraft"), """
 SELECT e.ev_id AS external_id, f.acft_make AS aircraft_make, f.acft_model AS aircraft_model,
-  f.regis_no AS aircraft_registration
+  f.regis_no AS aircraft_registration, f.acft_category AS aircraft_type, f.oper_name AS operator
 FROM raw_events e LEFT JOIN (
-  SELECT ev_id, acft_make, acft_model, regis_no FROM (
+  SELECT ev_id, acft_make, acft_model, regis_no, acft_category, oper_name FROM (
     SELECT *, row_number() OVER (PARTITION BY ev_id ORDER BY line_no, part_no, supp_no) AS rn FROM raw_aircraft) x
   WHERE rn = 1) f ON e.ev_id = f.ev_id""")
 def enrich_first_aircraft(spark, sf_dir):
     t = _t(spark, sf_dir)
     inc = IN.normalize_accidents(A.raw_events(t))
     return IN.enrich_first_aircraft(inc, A.raw_aircraft(t)).select(
-        "external_id", "aircraft_make", "aircraft_model", "aircraft_registration")
+        "external_id", "aircraft_make", "aircraft_model", "aircraft_registration", "aircraft_type", "operator")
 
 
 @query("ingest_reject_split", ("raw_events",), """

@@ -187,11 +187,13 @@ def raw_events(t: Tables) -> DataFrame:
 
 def raw_aircraft(t: Tables) -> DataFrame:
     li = t.read("lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    p = t.read("part", ["p_partkey", "p_brand", "p_type"])
+    p = t.read("part", ["p_partkey", "p_brand", "p_type", "p_size"])
     return li.join(p, li.l_partkey == p.p_partkey).selectExpr(
         "concat('E', CAST(l_orderkey AS STRING)) AS ev_id", "CAST(l_linenumber AS INT) AS line_no",
         "CAST(l_partkey AS BIGINT) AS part_no", "CAST(l_suppkey AS BIGINT) AS supp_no",
         "p_brand AS acft_make", "p_type AS acft_model", "concat('N', CAST(l_suppkey AS STRING)) AS regis_no",
+        "CASE WHEN p_size % 4 = 0 THEN CAST(NULL AS STRING) ELSE concat('CAT', CAST(p_size % 4 AS STRING)) END AS acft_category",
+        "concat('OPER', CAST(l_suppkey % 11 AS STRING)) AS oper_name",
     )
 
 
