@@ -403,6 +403,16 @@ def top_k(df: DataFrame, score: str, k: int, key: str = "id", ascending: bool =
     return df.orderBy(order, F.asc(key)).limit(k)
 
 
+def riskiest(df: DataFrame, k: int, key: str = "id", seed: int = 42) -> DataFrame:
+    """The k rows to analyse: by operational risk score, else by injury score, else a seeded sample."""
+    from wingwatch.operators.stats import seeded_sample
+
+    for score in ("operational_risk_score", "injury_score"):
+        if score in df.columns:
+            return top_k(df.filter(F.col(score).isNotNull()), score, k, key)
+    return seeded_sample(df, key, k, seed)
+
+
 def trailing_window(df: DataFrame, date_col: str, as_of: str, days: int) -> DataFrame:
     """A2/A3: rows of the last ``days`` days before ``as_of`` (pushed to the scan)."""
     since = F.date_sub(F.lit(as_of).cast("date"), days)

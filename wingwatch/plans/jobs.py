@@ -87,7 +87,7 @@ def daily_etl(spark: SparkSession, tables: Tables, out_root: str, incidents_as_o
 def recommendation_run(spark: SparkSession, tables: Tables, out_root: str, top_n: int = 10) -> DataFrame:
     """The top-n riskiest operations -> rules -> JSON + CSV exports -> summary."""
     ops = ops_features(A.operational_data(tables))
-    top = AN.top_k(ops, "operational_risk_score", top_n)
+    top = AN.riskiest(ops, top_n)
     recs = materialize(RU.recommendations(top, key="id"))
     ordered = RU.sorted_recommendations(recs)  # part files are in this order
     S.export_records(ordered, os.path.join(out_root, "recommendations_json"), "json")

@@ -477,6 +477,13 @@ def top_risk(spark, sf_dir):
                         ("operational_risk_score", "fatigue_risk", "maintenance_risk", "schedule_risk")])
 
 
+@query("top_injury", ("incident_features",), """
+SELECT id, severity, injury_score FROM incident_features WHERE injury_score IS NOT NULL ORDER BY injury_score DESC, id LIMIT 10""")
+def top_injury(spark, sf_dir):
+    """Incidents have no operational score, so the injury score ranks them."""
+    return AN.riskiest(_feat(spark, sf_dir), 10).select("id", "severity", "injury_score")
+
+
 @query("alert_feed", ("ops_features",), """
 SELECT id, date, aircraft_id,
   CASE WHEN COALESCE(crew_fatigue_index > 80, FALSE) THEN 'Fatigue Warning'

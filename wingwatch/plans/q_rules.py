@@ -110,6 +110,35 @@ def recs_json(spark, sf_dir):
     return RU.to_export(_top10_recs(spark, sf_dir)).select("rec_id", "priority", "title", "regulatory_refs")
 
 
+#: rule feature -> (column of the linear contributions, its SQL)
+_TERMS = {"crew_fatigue_index": ("fatigue_term", "crew_fatigue_index * 0.25"),
+          "maintenance_risk": ("maintenance_term", "maintenance_risk * 0.2"),
+          "aircraft_age_years": ("age_term", "aircraft_age_years / 2.0")}
+
+
+def _contribution_sql() -> str:
+    rows = []
+    for r in RULES:
+        col = FEATURE_ALIASES.get(r["feature"], r["feature"])
+        if col in OPS_RULE_COLS:
+            term = _TERMS.get(r["feature"], ("", "0.0"))[1]
+            rows.append(f"SELECT '{r['rule_id']}_' || id AS rec_id, round(COALESCE(CAST({term} AS DOUBLE), 0.0), 6) AS shap_contribution "
+                        f"FROM ops_features WHERE {_cond_sql(f'CAST({col} AS DOUBLE)', r)}")
+    return " UNION ALL ".join(rows)
+
+
+@query("recommendation_contributions", ("ops_features",), _contribution_sql())
+def recommendation_contributions(spark, sf_dir):
+    """D5 with contributions: rules fired by operations carry the linear term of their feature."""
+    from wingwatch.plans.q_stats import linear_contributions
+
+    ops = ops_features(A.operational_data(Tables(spark, sf_dir)))
+    terms = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(c).alias("contribution")) for f, (c, _) in _TERMS.items()])
+    long = linear_contributions(ops).select(F.col("id").alias("record_id"), F.inline(terms))
+    recs = RU.recommendations(ops.select(F.col("id").alias("record_id"), *OPS_RULE_COLS), key="record_id", shap=long)
+    return recs.select("rec_id", F.round("shap_contribution", 6).alias("shap_contribution"))
+
+
 def _api_sql() -> str:
     items = []
     for pos, (rid, feature, test, thr, *_rest) in enumerate(API_RULES):
