@@ -235,22 +235,30 @@ def test_leaks_found_and_clean_left(spark):
         seen = {tuple(w[p:p + 8]) for p in range(len(w) - 7)}
         for item, b in bench:
             wins = [tuple(b[p:p + 8]) for p in range(len(b) - 7)]
-            if sum(x in seen for x in wins) >= 0.5 * len(wins):
+            hits = sum(x in seen for x in wins)
+            if hits >= 0.5 * len(wins) or hits >= 6:
                 want.add((i, item))
     assert want and got == want
 
 
+LONG_ITEM = ("the quick river ran past an old mill where seven small goats often slept beside warm stones until evening came and "
+             "every child in town walked home along narrow paths while distant bells rang above quiet fields of golden wheat")
+
+
 def test_reparameterised_questions(spark):
     item = "If a train with Bob leaves at 12 miles from London and travels 20 days then Bob waits 12 hours more for it."
     docs = [(1, "Some words stand here. If a train with John leaves at 15 km from Paris and travels 30 hours then John waits 15 minutes more for it."),
             (2, "If a train with John leaves at 15 km from Paris and travels 30 hours then John waits 99 minutes more for it."),
             (3, "If a train with Ann leaves at 15 km from Paris and travels 30 hours then Eve waits 15 minutes more for it."),
-            (4, item.lower()), (5, "If a train leaves it waits."), (6, None), (7, "")]
-    bench = [(1, item), (2, None), (3, "too short"), (4, "five words make one window"), (5, "")]
+            (4, item.lower()), (9, "He said: " + " ".join(LONG_ITEM.split()[11:25]) + " and left."),
+            (10, "He said: " + " ".join(LONG_ITEM.split()[11:20]) + " and left."), (5, "If a train leaves it waits."), (6, None), (7, "")]
+    bench = [(1, item), (6, LONG_ITEM), (2, None), (3, "too short"), (4, "five words make one window"), (5, "")]
     got = {(r.doc_id, r.item_id): r for r in decontam.leaks(
         spark.createDataFrame(docs + [(8, "It says five words make one window.")], "doc_id long, text string"),
         spark.createDataFrame(bench, "item_id long, text string")).collect()}
     # 2 and 3 map one value to two; 4 is not capitalised, so its names are plain words
+    # a passage of 14 words of a long item is a leak, one of 9 is not
+    assert (9, 6) in got and not {d for d, i in got if i == 6} - {9}
     assert (1, 1) in got and got[1, 1].n_changed >= 5 and (8, 4) in got
     assert not {2, 3, 5, 6, 7} & {d for d, _ in got}
 

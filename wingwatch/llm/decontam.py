@@ -6,7 +6,7 @@ hash-joined with the windows of the benchmark items, so a question that was re-p
 (other numbers, names or units) still meets its item.  Within one alignment of an item in a
 document each benchmark value must always stand for the same document value; where it does not,
 only the windows without slots count.  A document leaks an item when at least ``COVERAGE`` of the
-item's windows are found.
+item's windows are found, or ``RUN`` of them in one alignment (13 tokens of a longer item).
 
 Only benchmark windows are broadcast, after their count was checked; beyond ``BROADCAST_ROWS``
 the join is left to the planner (a shuffle on the window hash).
@@ -22,7 +22,7 @@ from wingwatch.llm.common import doc_key, fresh, let, saved, text_of
 WINDOW, MIN_WINDOW = 8, 5
 #: fewer plain words than this in a window: its values must match too
 MIN_LITERALS = 4
-COVERAGE = 0.5
+COVERAGE, RUN = 0.5, 6
 BROADCAST_ROWS = 1_000_000
 
 UNITS = ("km", "m", "cm", "mm", "miles", "mile", "feet", "ft", "inches", "kg", "g", "mg", "lb", "lbs", "pounds",
@@ -90,7 +90,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
             .dropDuplicates(["item_id", "ipos", "h"]))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """key, doc_id, item_id, n_windows, n_matched, n_changed per leaked (document, item).
 
     ``n_changed`` counts the item's slot values that the document replaces.  A null or empty text
@@ -118,9 +118,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     found = aligned.select("key", "doc_id", "item_id", "n_windows", counted.alias("ipos"), changed.alias("changed"))
     per = found.groupBy("key", "doc_id", "item_id", "n_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))).cast("long").alias("n_matched"),
-        F.max("changed").cast("long").alias("n_changed"))
+        F.max("changed").cast("long").alias("n_changed"), F.max(F.size("ipos")).alias("aligned"))
     return (per.withColumn("n_windows", F.col("n_windows").cast("long"))
-            .filter(F.col("n_matched") >= coverage * F.col("n_windows")))
+            .filter((F.col("n_matched") >= coverage * F.col("n_windows")) | (F.col("aligned") >= run)).drop("aligned"))
 
 
 def op7_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
