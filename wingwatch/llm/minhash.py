@@ -161,10 +161,11 @@ def _alike(a: str, b: str, similarity: int) -> Column:
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """The (a, b) pairs whose full sets are similar enough."""
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    # written, so that the planner knows the size of the list when it plans the join with the texts
+    asked = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     wanted = reps.select(F.col("rep").alias("doc_id"), "fp1", "fp2").join(asked, "doc_id")
-    # only texts that some pair asks for are read into sets; the ids are the hashed side
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked.hint("shuffle_hash"), "doc_id", "left_semi")
+    # only texts that some pair asks for are read into sets
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
     sets = saved(full_sets(texts, shingle).join(wanted, ["doc_id", "fp1", "fp2"]).dropDuplicates(["doc_id"])
                  .select("doc_id", "shingles"))
     one, two = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
@@ -225,8 +226,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
     across = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp")) & _alike("x", "y", similarity))
               .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
     more = saved(_confirmed(saved(across.join(first, ["a", "b"], "left_anti")), reps, docs, shingle, similarity))
-    if not more.isEmpty():
-        comps = components(links.union(more))
+    # links between components join them; only these few are worked off again
+    of = comps.select(F.col("node").alias("rep"), "comp")
+    ends = [F.coalesce(F.col(f"{x}_.comp"), F.col(x)).alias(x) for x in "ab"]
+    between = (more.join(of.alias("a_"), F.col("a") == F.col("a_.rep"), "left")
+               .join(of.alias("b_"), F.col("b") == F.col("b_.rep"), "left").select(*ends).filter("a <> b"))
+    merged = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    alone = merged.join(of, merged.comp == of.rep, "left_anti").select(F.col("comp").alias("rep"), "comp")
+    comps = (of.union(alone).join(merged, "comp", "left")
+             .select(F.col("rep").alias("node"), F.coalesce("root", "comp").alias("comp")))
 
     grouped = (classes.select("n", "fp1", "fp2", "rep", "class_size").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
                .select("n", "fp1", "fp2", F.coalesce("comp", "rep").alias("comp"), "class_size"))
