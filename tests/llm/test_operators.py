@@ -263,6 +263,20 @@ def test_reparameterised_questions(spark):
     assert not {2, 3, 5, 6, 7} & {d for d, _ in got}
 
 
+def test_one_inconsistent_value_costs_only_its_windows(spark):
+    head, tail = " ".join(LONG_ITEM.split()[:20]), " ".join(LONG_ITEM.split()[20:34])
+    item = f"so Bob took 12 stones and {head} where Bob left 12 stones while {tail} near 7 trees and 9 huts"
+    docs = [(1, item), (2, item.replace("left 12", "left 15")), (3, item.replace("where Bob", "where Tom")),
+            (4, item.replace("7 trees", "7 km trees")), (5, item.replace("9 huts", "8 huts").replace("7 trees", "6 km trees")),
+            (6, "so Tom took 15 stones and then where Eve left 99 stones while")]
+    got = {r.doc_id: r for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                                               spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and got[1].n_matched == got[1].n_windows and got[1].n_changed == 0
+    # eight windows hold the changed place
+    assert got[2].n_matched == got[3].n_matched == got[1].n_windows - 8 and got[2].n_changed == 1
+    assert got[4].n_matched == got[5].n_matched == got[1].n_windows
+
+
 # --- op9
 
 def test_secret_spans(spark):

@@ -4,8 +4,8 @@ Texts become tokens in which numbers, their units and names are typed slots that
 value.  Windows of ``WINDOW`` tokens are hashed with the slots' types in place of their values and
 hash-joined with the windows of the benchmark items, so a question that was re-parameterised
 (other numbers, names or units) still meets its item.  Within one alignment of an item in a
-document each benchmark value must always stand for the same document value; where it does not,
-only the windows without slots count.  A document leaks an item when at least ``COVERAGE`` of the
+document each benchmark value must always stand for the same document value; where one does not,
+its windows count only if all their values are the item's own.  A document leaks an item when at least ``COVERAGE`` of the
 item's windows are found, or ``RUN`` of them in one alignment (13 tokens of a longer item).
 
 Only benchmark windows are broadcast, after their count was checked; beyond ``BROADCAST_ROWS``
@@ -90,6 +90,27 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
             .dropDuplicates(["item_id", "ipos", "h"]))
 
 
+def _mapped(windows: Column) -> Column:
+    """The distinct (benchmark value, document value) pairs of the slots of an alignment."""
+    slotted = F.filter(windows, lambda w: w["bvals"] != "")
+    return F.array_distinct(F.flatten(F.transform(slotted, lambda w: F.arrays_zip(
+        F.split(w["bvals"], " ").alias("b"), F.split(w["dvals"], " ").alias("d")))))
+
+
+def _torn(mapped: Column) -> Column:
+    """Benchmark values that stand for several document values.  The empty unit is no value: a number
+    may gain a unit in one place and not in another."""
+    values = F.filter(F.array_distinct(F.transform(mapped, lambda s: s["b"])), lambda v: v != f"{MARK}u")
+    return F.filter(values, lambda v: F.size(F.filter(mapped, lambda s: s["b"] == v)) > 1)
+
+
+def _counted(windows: Column, torn: Column) -> Column:
+    """Places of the windows that count: those with the item's own values (or no slots), and those
+    with changed values of which none is torn."""
+    held = F.filter(windows, lambda w: (w["bvals"] == w["dvals"]) | ~F.arrays_overlap(F.split(w["bvals"], " "), torn))
+    return F.array_distinct(F.transform(held, lambda w: w["ipos"]))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """key, doc_id, item_id, n_windows, n_matched, n_changed per leaked (document, item).
 
@@ -106,16 +127,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
               .select("key", "doc_id", F.explode(windows).alias("w"))
               .select("key", "doc_id", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"), F.col("w.vals").alias("dvals")))
     met = placed.join(F.broadcast(bench) if small else bench, "h")
-    pairs = F.arrays_zip(F.split("bvals", " ").alias("b"), F.split("dvals", " ").alias("d"))
-    slots = met.select("key", "doc_id", "item_id", "n_windows", (F.col("pos") - F.col("ipos")).alias("off"), "ipos",
-                       (F.col("bvals") == "").alias("plain"), F.explode(pairs).alias("s"))
-    aligned = slots.groupBy("key", "doc_id", "item_id", "n_windows", "off").agg(
-        F.collect_set("ipos").alias("all"), F.collect_set(F.when(F.col("plain"), F.col("ipos"))).alias("plain"),
-        F.collect_set(F.when(~F.col("plain"), F.col("s"))).alias("mapped"))
-    one_to_one = F.size(F.array_distinct(F.transform("mapped", lambda s: s["b"]))) == F.size("mapped")
-    counted = F.when(one_to_one, F.col("all")).otherwise(F.col("plain"))
-    changed = F.when(one_to_one, F.size(F.filter("mapped", lambda s: s["b"] != s["d"]))).otherwise(0)
-    found = aligned.select("key", "doc_id", "item_id", "n_windows", counted.alias("ipos"), changed.alias("changed"))
+    aligned = met.groupBy("key", "doc_id", "item_id", "n_windows", (F.col("pos") - F.col("ipos")).alias("off")).agg(
+        F.collect_set(F.struct("ipos", "bvals", "dvals")).alias("ws"))  # at most n_windows
+    found = (aligned.withColumn("mapped", _mapped(F.col("ws"))).withColumn("torn", _torn(F.col("mapped")))
+             .select("key", "doc_id", "item_id", "n_windows", _counted(F.col("ws"), F.col("torn")).alias("ipos"),
+                     F.size(F.array_distinct(F.transform(F.filter("mapped", lambda s: s["b"] != s["d"]), lambda s: s["b"]))).alias("changed"))
+             .filter(F.size("ipos") > 0))
     per = found.groupBy("key", "doc_id", "item_id", "n_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))).cast("long").alias("n_matched"),
         F.max("changed").cast("long").alias("n_changed"), F.max(F.size("ipos")).alias("aligned"))
