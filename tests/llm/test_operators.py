@@ -277,6 +277,19 @@ def test_one_inconsistent_value_costs_only_its_windows(spark):
     assert got[4].n_matched == got[5].n_matched == got[1].n_windows
 
 
+def test_copies_in_another_case_or_spacing(spark):
+    item = "If a train with Bob Miller leaves at 12 miles from London and travels 20 days then Bob waits 12 hours more for it."
+    german = "Wenn der Zug mit Bob in Berlin um 12 Uhr losfährt und der Bus nach Hamburg am Abend noch steht wartet Anna dort."
+    docs = [(1, item.lower()), (2, item.upper()), (3, item.replace(" ", "\n")), (4, item.replace(" ", "  ")), (5, item.replace(" ", "\u00a0\t")),
+            (6, item.lower().replace("12", "15")), (11, german.lower()), (12, german.upper()), (13, german.replace(" ", "\r\n")),
+            (14, german), (7, item.lower().replace("bob", "x").replace("miller", "y").replace("london", "z").replace("days", "q"))]
+    got = {r.doc_id: r for r in decontam.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame([(1, item), (2, german)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 11, 12, 13, 14}
+    assert all(r.n_matched == r.n_windows and (r.n_changed > 0) == (i == 6) for i, r in got.items())
+
+
 # --- op9
 
 def test_secret_spans(spark):

@@ -3,7 +3,8 @@
 Texts become tokens in which numbers, their units and names are typed slots that remember their
 value.  Windows of ``WINDOW`` tokens are hashed with the slots' types in place of their values and
 hash-joined with the windows of the benchmark items, so a question that was re-parameterised
-(other numbers, names or units) still meets its item.  Within one alignment of an item in a
+(other numbers, names or units) still meets its item.  Windows with names are hashed once more with
+the names as plain words, so a copy meets its item whatever its case.  Within one alignment of an item in a
 document each benchmark value must always stand for the same document value; where one does not,
 its windows count only if all their values are the item's own.  A document leaks an item when at least ``COVERAGE`` of the
 item's windows are found, or ``RUN`` of them in one alignment (13 tokens of a longer item).
@@ -24,14 +25,16 @@ WINDOW, MIN_WINDOW = 8, 5
 MIN_LITERALS = 4
 COVERAGE, RUN = 0.5, 6
 BROADCAST_ROWS = 1_000_000
+MAX_CHARS = 2**31 - 1
 
 UNITS = ("km", "m", "cm", "mm", "miles", "mile", "feet", "ft", "inches", "kg", "g", "mg", "lb", "lbs", "pounds",
          "tons", "l", "ml", "liters", "litres", "gallons", "hours", "hour", "minutes", "seconds", "days", "weeks",
          "months", "years", "dollars", "euros", "cents", "percent", "degrees", "mph", "kmh", "watts", "volts")
 MARK, POINT = "\u0001", "\u0002"
+SPACE = "[\\s\\p{Z}]"
 _NUMBER = (f"(?<![\\p{{L}}\\p{{N}}{POINT}])(\\p{{Nd}}+(?:{POINT}\\p{{Nd}}+)*)"
-           f"(?:(?:\\x20?((?i:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))}))(?![\\p{{L}}\\p{{N}}]))|(?![\\p{{L}}\\p{{N}}]))")
-_NAME = "(?<=[\\p{L}\\p{N},;:]\\x20)(\\p{Lu}\\p{Ll}+)(?![\\p{L}\\p{N}])"
+           f"(?:(?:{SPACE}*((?i:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))}))(?![\\p{{L}}\\p{{N}}]))|(?![\\p{{L}}\\p{{N}}]))")
+_NAME = f"{SPACE}(?<=[\\p{{L}}\\p{{N}},;:]{SPACE}){SPACE}*(\\p{{Lu}}\\p{{Ll}}+)(?![\\p{{L}}\\p{{N}}])"
 
 
 def _is_slot(t: Column) -> Column:
@@ -45,19 +48,24 @@ def tokens(text: Column) -> Column:
     plain = F.when(text.rlike(f"[{MARK}{POINT}]"), F.regexp_replace(text, f"[{MARK}{POINT}]", " ")).otherwise(text)
     points = F.regexp_replace(plain, "[.,](?<=\\p{Nd}[.,])(?=\\p{Nd})", POINT)
     numbers = F.when(plain.rlike("\\p{Nd}"), F.regexp_replace(points, _NUMBER, f" {MARK}n$1 {MARK}u$2 ")).otherwise(plain)
-    named = F.regexp_replace(numbers, _NAME, f"{MARK}p$1")
+    named = F.regexp_replace(numbers, _NAME, f" {MARK}p$1")
     return F.filter(F.split(F.lower(named), f"[^\\p{{L}}\\p{{M}}\\p{{N}}{MARK}{POINT}]+"), lambda t: t != "")
 
 
+def _is_name(t: Column) -> Column:
+    return F.startswith(t, F.lit(f"{MARK}p"))
+
+
 def _windows(toks: Column, size: int) -> Column:
-    """array<struct<pos, h, vals>> of every window of ``size`` tokens."""
+    """array<struct<pos, h, vals>> of every window of ``size`` tokens.  A window that holds names is
+    there twice, the second time with its names as plain words."""
     places = F.sequence(F.lit(1), F.size(toks) - (size - 1))
 
     def plain(t: Column) -> Column:
         return let(F.transform(t, lambda x: F.xxhash64(x)), lambda hs: F.transform(places, lambda i: F.struct(
             i.alias("pos"), F.xxhash64(F.slice(hs, i, size)).alias("h"), F.lit("").alias("vals"))))
 
-    def slotted(t: Column) -> Column:
+    def slotted(t: Column, at: Column) -> Column:
         template = F.transform(t, lambda x: F.xxhash64(F.when(_is_slot(x), F.substring(x, 1, 2)).otherwise(x)))
         values = F.transform(t, lambda x: F.xxhash64(x))
 
@@ -68,10 +76,16 @@ def _windows(toks: Column, size: int) -> Column:
                 .otherwise(F.xxhash64(F.slice(vh, i, size), F.lit("values"))).alias("h"),
                 F.array_join(slots, " ").alias("vals")))
 
-        return let(template, lambda th: let(values, lambda vh: F.transform(places, lambda i: one(i, th, vh))))
+        return let(template, lambda th: let(values, lambda vh: F.transform(at, lambda i: one(i, th, vh))))
+
+    def spelled(t: Column) -> Column:
+        words = F.transform(t, lambda x: F.when(_is_name(x), F.substring(x, 3, MAX_CHARS)).otherwise(x))
+        named = F.filter(places, lambda i: F.exists(F.slice(t, i, size), _is_name))
+        return let(words, lambda w: let(named, lambda at: slotted(w, at)))
 
     return F.when(F.size(toks) < size, F.array().cast("array<struct<pos:int,h:bigint,vals:string>>")).when(
-        F.exists(toks, _is_slot), slotted(toks)).otherwise(plain(toks))
+        F.exists(toks, _is_name), F.concat(slotted(toks, places), spelled(toks))).when(
+        F.exists(toks, _is_slot), slotted(toks, places)).otherwise(plain(toks))
 
 
 def _windows_of(column: str, size: int) -> Column:
