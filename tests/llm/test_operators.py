@@ -290,6 +290,19 @@ def test_copies_in_another_case_or_spacing(spark):
     assert all(r.n_matched == r.n_windows and (r.n_changed > 0) == (i == 6) for i, r in got.items())
 
 
+def test_short_items(spark):
+    bench = [(1, "Who wrote Faust?"), (2, "Berlin lies on the Spree"), (3, "Berlin is a very old town near Potsdam"), (4, "Zyzzyva"),
+             (5, "12 km = 7.5 miles"), (6, "?!")]
+    docs = [(1, "They asked: who wrote FAUST? Nobody knew."), (2, "He asked me Berlin lies on the Spree or not"),
+            (3, "He asked me Munich lies on the Isar or not"), (4, "Yes. Munich lies on the Isar."), (5, "I know that Berlin is a very old town near Potsdam"),
+            (6, "All true. Rome is a very old town near Ostia."), (7, "a zyzzyva is a beetle of 3 mm"), (8, "here 12 km = 7.5 miles"),
+            (9, "here 12 km = 7.6 miles, who wrote it"), (10, "?!"), (11, None), (12, "Who wrote Faust in Weimar")]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                                                         spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    # 3 and 4 leave item 2 only three plain words, so its names must be the same
+    assert got == {(1, 1), (12, 1), (2, 2), (5, 3), (6, 3), (7, 4), (8, 5)}
+
+
 # --- op9
 
 def test_secret_spans(spark):

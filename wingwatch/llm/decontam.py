@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wingwatch.llm.common import doc_key, fresh, let, saved, text_of
 
-WINDOW, MIN_WINDOW = 8, 5
+WINDOW = 8
 #: fewer plain words than this in a window: its values must match too
 MIN_LITERALS = 4
 COVERAGE, RUN = 0.5, 6
@@ -35,20 +35,21 @@ SPACE = "[\\s\\p{Z}]"
 _NUMBER = (f"(?<![\\p{{L}}\\p{{N}}{POINT}])(\\p{{Nd}}+(?:{POINT}\\p{{Nd}}+)*)"
            f"(?:(?:{SPACE}*((?i:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))}))(?![\\p{{L}}\\p{{N}}]))|(?![\\p{{L}}\\p{{N}}]))")
 _NAME = f"{SPACE}(?<=[\\p{{L}}\\p{{N}},;:]{SPACE}){SPACE}*(\\p{{Lu}}\\p{{Ll}}+)(?![\\p{{L}}\\p{{N}}])"
+_ANY_NAME = f"(?<![\\p{{L}}\\p{{N}}{MARK}])(\\p{{Lu}}\\p{{Ll}}+)(?![\\p{{L}}\\p{{N}}])"
 
 
 def _is_slot(t: Column) -> Column:
     return F.startswith(t, F.lit(MARK))
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, name: str = _NAME) -> Column:
     """Lower-cased tokens; a slot is ``MARK``, its type (n number, u unit, p name) and its value.
     A number is always followed by a unit slot, empty where no unit stands there.  A name is a
-    capitalised word inside a sentence."""
+    capitalised word inside a sentence, with ``_ANY_NAME`` any capitalised word."""
     plain = F.when(text.rlike(f"[{MARK}{POINT}]"), F.regexp_replace(text, f"[{MARK}{POINT}]", " ")).otherwise(text)
     points = F.regexp_replace(plain, "[.,](?<=\\p{Nd}[.,])(?=\\p{Nd})", POINT)
     numbers = F.when(plain.rlike("\\p{Nd}"), F.regexp_replace(points, _NUMBER, f" {MARK}n$1 {MARK}u$2 ")).otherwise(plain)
-    named = F.regexp_replace(numbers, _NAME, f" {MARK}p$1")
+    named = F.regexp_replace(numbers, name, f" {MARK}p$1")
     return F.filter(F.split(F.lower(named), f"[^\\p{{L}}\\p{{M}}\\p{{N}}{MARK}{POINT}]+"), lambda t: t != "")
 
 
@@ -56,7 +57,7 @@ def _is_name(t: Column) -> Column:
     return F.startswith(t, F.lit(f"{MARK}p"))
 
 
-def _windows(toks: Column, size: int) -> Column:
+def _windows(toks: Column, size: int | Column) -> Column:
     """array<struct<pos, h, vals>> of every window of ``size`` tokens.  A window that holds names is
     there twice, the second time with its names as plain words."""
     places = F.sequence(F.lit(1), F.size(toks) - (size - 1))
@@ -72,7 +73,7 @@ def _windows(toks: Column, size: int) -> Column:
         def one(i, th, vh):
             return let(F.filter(F.slice(t, i, size), _is_slot), lambda slots: F.struct(
                 i.alias("pos"),
-                F.when(size - F.size(slots) >= MIN_LITERALS, F.xxhash64(F.slice(th, i, size)))
+                F.when((F.size(slots) == 0) | (size - F.size(slots) >= MIN_LITERALS), F.xxhash64(F.slice(th, i, size)))
                 .otherwise(F.xxhash64(F.slice(vh, i, size), F.lit("values"))).alias("h"),
                 F.array_join(slots, " ").alias("vals")))
 
@@ -88,18 +89,20 @@ def _windows(toks: Column, size: int) -> Column:
         F.exists(toks, _is_slot), slotted(toks, places)).otherwise(plain(toks))
 
 
-def _windows_of(column: str, size: int) -> Column:
+def _windows_of(column: str, size: int | Column) -> Column:
     return let(F.col(column), lambda t: _windows(t, size))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, ipos, h, bvals, n_windows, size; items of fewer than ``WINDOW`` tokens are one
-    window, those of fewer than ``MIN_WINDOW`` are too short to be recognised and have none."""
-    toks = benchmark.select("item_id", tokens(text_of()).alias("t"))
-    sized = toks.withColumn("size", F.least(F.size("t"), F.lit(WINDOW))).filter(F.col("size") >= MIN_WINDOW)
-    picked = F.coalesce(*[F.when(F.col("size") == s, _windows_of("t", s))
-                          for s in range(MIN_WINDOW, WINDOW + 1)])
-    return (sized.select("item_id", "size", F.explode(picked).alias("w"), (F.size("t") - F.col("size") + 1).alias("n_windows"))
+    """item_id, ipos, h, bvals, n_windows, size.  Items of up to ``WINDOW`` tokens are one window, and it
+    is there once more with every capitalised word as a name, as the word before a passage would
+    else decide on the type of its first word.  Items without tokens have no windows."""
+    toks = benchmark.select("item_id", tokens(text_of()).alias("t"), tokens(text_of(), _ANY_NAME).alias("any"))
+    size = F.least(F.size("t"), F.lit(WINDOW))
+    sized = toks.withColumn("size", size).withColumn("n_windows", F.size("t") - size + 1).filter("size > 0")
+    picked = F.when(F.col("n_windows") == 1, F.concat(*[_windows_of(c, F.col("size")) for c in ("t", "any")])).otherwise(
+        _windows_of("t", F.col("size")))
+    return (sized.select("item_id", "size", "n_windows", F.explode(picked).alias("w"))
             .select("item_id", "size", "n_windows", F.col("w.pos").alias("ipos"), "w.h", F.col("w.vals").alias("bvals"))
             .dropDuplicates(["item_id", "ipos", "h"]))
 
@@ -133,11 +136,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     rows of a document are one document here.  An empty benchmark gives no rows.
     """
     bench = saved(benchmark_windows(benchmark))
-    sizes = [r["size"] for r in bench.select("size").distinct().collect()]  # at most 4 numbers
+    sizes = bench.groupBy("size").agg(F.min("n_windows").alias("least")).collect()  # at most 8 rows
     small = bench.count() <= BROADCAST_ROWS
     bench = bench.drop("size")
-    windows = F.concat(*[_windows_of("toks", s) for s in sorted(sizes) or [WINDOW]])
-    placed = (docs.select(doc_key().alias("key"), "doc_id", tokens(text_of()).alias("toks"))
+    whole = sorted(r["size"] for r in sizes if r["least"] == 1)
+    windows = F.concat(*[_windows_of("toks", s) for s in sorted(r["size"] for r in sizes) or [WINDOW]],
+                       *[_windows_of("any", s) for s in whole])
+    placed = (docs.select(doc_key().alias("key"), "doc_id", tokens(text_of()).alias("toks"),
+                          *[tokens(text_of(), _ANY_NAME).alias("any")] * bool(whole))
               .select("key", "doc_id", F.explode(windows).alias("w"))
               .select("key", "doc_id", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"), F.col("w.vals").alias("dvals")))
     met = placed.join(F.broadcast(bench) if small else bench, "h")
