@@ -112,6 +112,23 @@ def test_pipeline_stages_decide(spark):
     assert secrets.op9_find_secrets(safe).filter("n_assign + n_access + n_hex > 0").count() == 0
 
 
+def test_doc_ids_with_several_texts(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(100)) for c in "abcdef"}
+    near = {c: t + f" {c}more" for c, t in text.items()}
+    rows = [(1, text["a"]), (1, text["b"]), (0, near["b"]), (5, text["c"]), (5, text["d"]), (6, near["d"]), (7, near["c"]),
+            (8, text["e"]), (8, near["e"]), (8, near["e"]), (9, text["f"]), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, fp1 string").repartition(4)
+    got = {(r.doc_id, r.n_shingles): r for r in minhash.near_duplicates(docs).collect()}
+    assert {(i, n): r.component_id for (i, n), r in got.items()} == {
+        (1, 96): 1, (0, 97): 0, (5, 96): 5, (6, 97): 5, (7, 97): 5, (8, 96): 8, (8, 97): 8, (9, 96): 9, (9, 0): 9} | {(1, 96): got[1, 96].component_id}
+    kept = minhash.first_of_groups(docs)
+    assert kept.columns == docs.columns
+    left = sorted((r.doc_id, r.text or "") for r in kept.collect())
+    eight = [t for i, t in left if i == 8]
+    assert len(eight) == 1 and eight[0] in (text["e"], near["e"])
+    assert [x for x in left if x[0] != 8] == sorted([(0, near["b"]), (1, text["a"]), (5, text["c"]), (5, text["d"]), (9, ""), (9, text["f"])])
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF_CHECK)
     docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")

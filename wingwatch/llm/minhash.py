@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from wingwatch.llm.common import WordHasher, mix64, row_chunks, saved, text_buffer
+from wingwatch.llm.common import WordHasher, fresh, mix64, row_chunks, saved, text_buffer, text_of
 
 BANDS, ROWS = 24, 4
 SKETCH_WORDS = 8  # 512 bits of MinHash samples
@@ -129,8 +130,8 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         run, "doc_id long, n long, fp1 long, fp2 long, bands array<long>, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp1, fp2 and the whole set of every document."""
+def full_sets(docs: DataFrame, shingle: int, key: str = "doc_id") -> DataFrame:
+    """key, fp1, fp2 and the whole set of every document."""
     def run(batches):
         hasher = WordHasher()
         for b in batches:
@@ -140,10 +141,11 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 fp[0, i] = mix64(s).sum(dtype=np.uint64).astype(np.int64) if len(s) else 0
                 fp[1, i] = mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64) if len(s) else 0
                 sets[i] = s.view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp[0]), pa.array(fp[1]), pa.array(sets, pa.list_(pa.int64()))],
-                                             ["doc_id", "fp1", "fp2", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(fp[0]), pa.array(fp[1]), pa.array(sets, pa.list_(pa.int64()))],
+                                             [key, "fp1", "fp2", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp1 long, fp2 long, shingles array<long>")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, fp1 long, fp2 long, shingles array<long>")
 
 
 def _alike(a: str, b: str, similarity: int) -> Column:
@@ -159,16 +161,22 @@ def _alike(a: str, b: str, similarity: int) -> Column:
             & (shingles * (100 + similarity) <= (small + large) * (100 - similarity)))
 
 
+def _doc_id(df: DataFrame, node: str) -> Column:
+    """The doc_id of a representative, which is that doc_id itself where it names one class only."""
+    return F.col(f"{node}.doc_id") if isinstance(df.schema[node].dataType, StructType) else F.col(node)
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """The (a, b) pairs whose full sets are similar enough."""
     # written, so that the planner knows the size of the list when it plans the join with the texts
-    asked = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    wanted = reps.select(F.col("rep").alias("doc_id"), "fp1", "fp2").join(asked, "doc_id")
+    asked = saved(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct())
+    wanted = reps.select("rep", _doc_id(reps, "rep").alias("doc_id"), "fp1", "fp2").join(asked, "rep")
     # only texts that some pair asks for are read into sets
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
-    sets = saved(full_sets(texts, shingle).join(wanted, ["doc_id", "fp1", "fp2"]).dropDuplicates(["doc_id"])
-                 .select("doc_id", "shingles"))
-    one, two = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+             .join(asked.select(_doc_id(asked, "rep").alias("doc_id")), "doc_id", "left_semi"))
+    sets = saved(full_sets(texts, shingle).join(wanted, ["doc_id", "fp1", "fp2"]).dropDuplicates(["rep"])
+                 .select("rep", "shingles"))
+    one, two = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     every = F.size("set_a") + F.size("set_b") - shared
@@ -191,18 +199,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_size for every row of ``docs``.
-
-    A text without words has an empty set and is linked with nothing.  Equal sets share a class
-    whatever the texts.  A row without doc_id belongs to the class of its set but links no others;
-    it is kept where its class has no doc_id at all.  Rows that repeat a doc_id with another text
-    are grouped by their texts.
-    """
+def _verdicts(docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """``near_duplicates`` with fp1 and fp2."""
     sigs = saved(signatures(docs, shingle))
     filled = sigs.filter("n > 0")
     classes = saved(filled.groupBy("n", "fp1", "fp2").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    if not classes.filter("rep IS NOT NULL").groupBy("rep").count().filter("count > 1").isEmpty():
+        # a doc_id with several texts represents several classes: the digest tells them apart
+        classes = classes.withColumn("rep", F.when(F.col("rep").isNotNull(), F.struct(F.col("rep").alias("doc_id"), "fp1", "fp2")))
     reps = classes.filter("rep IS NOT NULL").select(
         "rep", "n", "fp1", "fp2", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS + SET_WORDS)])
     light = reps.drop("bands", "fp1", "fp2")
@@ -239,10 +244,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
     grouped = (classes.select("n", "fp1", "fp2", "rep", "class_size").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
                .select("n", "fp1", "fp2", F.coalesce("comp", "rep").alias("comp"), "class_size"))
     out = sigs.select("doc_id", "n", "fp1", "fp2").join(grouped, ["n", "fp1", "fp2"], "left")
-    comp = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("comp"))
-    return (out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-            .select("doc_id", "n_shingles", "component_id", "kept", "class_size"))
+    comp = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(_doc_id(out, "comp"))
+    own = F.col("doc_id") == F.col("component_id")
+    if isinstance(out.schema["comp"].dataType, StructType):
+        own &= (F.col("n") == 0) | ((F.col("fp1") == F.col("comp.fp1")) & (F.col("fp2") == F.col("comp.fp2")))
+    return (out.withColumn("component_id", comp).withColumn("kept", F.coalesce(own, F.col("component_id").isNull()))
+            .select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept",
+                    F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "fp1", "fp2"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, class_size for every row of ``docs``.
+
+    A text without words has an empty set and is linked with nothing.  Equal sets share a class
+    whatever the texts.  A row without doc_id belongs to the class of its set but links no others;
+    it is kept where its class has no doc_id at all.  Rows that repeat a doc_id with another text
+    are grouped by their texts.
+    """
+    return _verdicts(docs, shingle, similarity).drop("fp1", "fp2")
 
 
 def op2_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -252,13 +271,20 @@ def op2_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates.  A doc_id that is repeated stays
-    once if one of its rows is kept; rows without doc_id stay."""
-    verdict = near_duplicates(docs, shingle, similarity).filter("doc_id IS NOT NULL")
-    ids = saved(verdict.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
+    once for each of its kept sets; rows without doc_id stay."""
+    verdict = _verdicts(docs, shingle, similarity).filter("doc_id IS NOT NULL")
+    sets = saved(verdict.groupBy("doc_id", "fp1", "fp2").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
+    ids = saved(sets.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.sum("rows").alias("rows")).filter("NOT kept OR rows > 1"))
     gone = ids.filter("NOT kept").select("doc_id")
-    repeated = ids.filter("kept AND rows > 1").select("doc_id")
+    repeated = ids.filter("kept").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return left
-    once = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    text_key, fp1, fp2 = (fresh(docs, n) for n in ("text_key", "fp1", "fp2"))
+    rows = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).withColumn(text_key, F.md5(text_of()))
+    prints = (full_sets(rows.select(text_key, text_of().alias("text")).dropDuplicates([text_key]), shingle, text_key)
+              .select(text_key, F.col("fp1").alias(fp1), F.col("fp2").alias(fp2)))
+    stay = sets.filter("kept").select("doc_id", F.col("fp1").alias(fp1), F.col("fp2").alias(fp2))
+    once = (rows.join(prints, text_key).join(stay, ["doc_id", fp1, fp2], "left_semi")
+            .dropDuplicates(["doc_id", fp1, fp2]).select(*docs.columns))
     return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
