@@ -331,6 +331,19 @@ def test_linking_and_redaction(spark):
     assert clean == sorted([(1, "user = alice and then [SECRET] there"), rows[1], rows[2], rows[3], (5, "see https://a.example/x\n[SECRET]"), rows[5]])
 
 
+def test_short_passwords_and_inline_credentials(spark):
+    rows = [(1, "user=admin password=S3cr3t! postgres://db.example"), (2, "password=S3cr3t! alone"), (3, "see postgres://bob:pw@db.example/x now"),
+            (4, "see https://a.example:8080/x@y and http://[::1]:80/a@b"), (5, "redis://:p/w@10.0.0.1:6379"),
+            (6, "login: bob, secret: 'a,b$c', password=abc&x=1;"), (7, "user=bob password=abcdefghijklmn"), (8, "user=bob pass"), (9, "token=ab user=bob")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean == dict(rows) | {1: "user=admin [SECRET] postgres://db.example", 3: "see postgres://[SECRET]@db.example/x now",
+                                  5: "redis://[SECRET]@10.0.0.1:6379", 6: "login: bob, [SECRET]', [SECRET]&x=1;", 7: "user=bob [SECRET]"}
+    found = {r.doc_id: (r.n_assign, r.n_linked, r.spans) for r in secrets.op9_find_secrets(docs).collect()}
+    assert found[1] == (0, 3, "name:0:10,short:11:27,endpoint:28:49") and found[2] == (0, 0, "")
+    assert found[3][:2] == (0, 2) and found[7][:2] == (1, 1)
+
+
 # --- op10
 
 @pytest.mark.parametrize("block", [8 << 20, 3000])

@@ -2,8 +2,8 @@
 
 Every part kind is found by a regular expression, leftmost and non-overlapping.  A match's place is
 the running sum of the lengths of the pieces between matches and of the matches, in code points.
-Strong kinds (``BASE``) are reported as they are.  A weak kind (a random-looking token, a user or
-key name, an endpoint) means little alone: it is reported only where a complementary part lies in
+Strong kinds (``BASE``) are reported as they are.  A weak kind (a random-looking token, a short
+password, user:password in an endpoint, a user or key name, an endpoint) means little alone: it is reported only where a complementary part lies in
 its scope, that is within ``SCOPE`` code points.  The linking is an interval join: parts are put
 into bins of ``BIN`` code points, each weak part's widened interval meets the parts of its bins, and
 a left-semi join keeps the weak part once however many partners it has.
@@ -31,12 +31,21 @@ KINDS = (
              "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9@._-]+)", 1, 3, ()),
     ("endpoint", "(?i:https?|ftp|wss?|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\\x20\\x09-\\x0D\"'<>]+"
                  "|(?<![0-9.])(?:[0-9]{1,3}\\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])", 0, 7, ()),
+    # an assigned value that is too short for "assign" or has other characters
+    ("short", "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([^\\x20\\x09-\\x0D\"'<>]+?)"
+              "(?=[\\x20\\x09-\\x0D\"'<>]|[,;&](?:[\\x20\\x09-\\x0D]|\\z|[A-Za-z_]+[=:])|\\z)", 2, 3, ()),
+    # user:password before the @ of an endpoint; a port is no password
+    ("inline", "(?<=://)[^\\x20\\x09-\\x0D\"'<>/@:\\[]*:(?![0-9]{1,5}(?:[/?#]|\\z))([^\\x20\\x09-\\x0D\"'<>]+)(?=@)", 1, 1, ()),
 )
 BASE = 3  # the first kinds are strong
 #: weak kind -> kinds that complete it
 COMPLEMENTS = {"token": ("access", "name", "endpoint"),
-               "name": ("assign", "hex", "token"),
-               "endpoint": ("assign", "access", "hex", "token")}
+               "name": ("assign", "hex", "token", "short", "inline"),
+               "endpoint": ("assign", "access", "hex", "token", "short", "inline"),
+               "short": ("access", "name", "endpoint"),
+               "inline": ("access", "name", "endpoint")}
+#: weak kinds that are secrets themselves
+HIDDEN = ("token", "short", "inline")
 NAMES = [k[0] for k in KINDS]
 
 
@@ -134,10 +143,10 @@ def op9_find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every strong span, and every linked token, replaced by ``mark``; overlapping
+    """``docs`` with every strong span, and every linked ``HIDDEN`` one, replaced by ``mark``; overlapping
     spans are replaced as one.  n_chars, where the column is there, follows the new text.  Other
     columns and all rows stay; a null text stays null."""
-    cut = linked(saved(parts(docs))).filter(F.col("kind") <= NAMES.index("token"))
+    cut = linked(saved(parts(docs))).filter(F.col("kind").isin([*range(BASE), *map(NAMES.index, HIDDEN)]))
     order = Window.partitionBy("key").orderBy("start", "end")
     earlier = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(earlier.isNull() | (earlier < F.col("start")), 1).otherwise(0)
