@@ -124,3 +124,13 @@ def test_shapley_with_many_features():
             want = sum(weight[len(s)] * (value(row, {*s, f}) - value(row, set(s)))
                        for s in ((), (others[0],), (others[1],), tuple(others)))
             assert got[f] == pytest.approx(want)
+
+
+def test_stratified_split_keeps_null_keys(spark):
+    from wingwatch.operators import stats
+
+    rows = [(i if i % 10 else None, f"c{i % 3}") for i in range(300)] + [(None, "only"), (None, None)]
+    got = stats.stratified_split(spark.createDataFrame(rows, "id long, label string"), "id", "label").collect()
+    assert sorted(map(str, ((r.id, r.label) for r in got))) == sorted(map(str, rows))
+    for label in ("c0", "c1", "c2"):
+        assert [r.split for r in got if r.label == label].count("train") == 80

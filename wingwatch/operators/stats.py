@@ -50,9 +50,10 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42, train_
 
     Rows of a class are ordered by a hash of the key.  Counts per (class, hash bin) show the bin in
     which the class reaches its share; all bins before it train, all after it test, and only the rows
-    of that bin (one in ``SPLIT_BINS``) are ranked, so no class is gathered in a task.
+    of that bin (one in ``SPLIT_BINS``) are ranked, so no class is gathered in a task.  Rows without
+    key have a bin of their own, the first.
     """
-    rows = df.withColumn("_h", split_hash(F.col(key), seed)).withColumn("_bin", F.floor(F.col("_h") / (2147483648 // SPLIT_BINS)))
+    rows = df.withColumn("_h", F.coalesce(split_hash(F.col(key), seed), F.lit(-1))).withColumn("_bin", F.floor(F.col("_h") / (2147483648 // SPLIT_BINS)))
     counts = rows.groupBy(label, "_bin").agg(F.count(F.lit(1)).alias("n"))
     by_bin = Window.partitionBy(label).orderBy("_bin")  # at most SPLIT_BINS rows a class
     upto = counts.withColumn("upto", F.sum("n").over(by_bin)).withColumn(
