@@ -84,3 +84,49 @@ def unigram(text, pieces, unknown):
             if best[e] is None or total > best[e][0]:
                 best[e] = (total, best[s][1] + 1)
     return best[-1]
+
+
+def merkle(rows):
+    """Sorted op11 rows from [(doc_id, source, lang, n_chars, text)], by whole re-hashing."""
+    import zlib
+
+    def H(parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def leaf(values):
+        return H("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values)
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([H(out[-1][i:i + 8]) for i in range(0, len(out[-1]), 8)])
+        return out
+
+    def climb(tree, i, own):
+        siblings = []
+        for nodes in tree[:-1]:
+            a = i - i % 8
+            run = nodes[a:a + 8]
+            siblings += run[:i - a] + run[i - a + 1:]
+            own, i = H(run[:i - a] + [own] + run[i - a + 1:]), i // 8
+        return own, siblings
+
+    first = lambda v: (v is not None, v or 0)
+    trees = {}
+    for r in rows:
+        trees.setdefault(r[2], []).append((first(r[0]), leaf(r), r))
+    langs = sorted(trees, key=lambda v: (v is not None, (v or "").encode()))
+    made = {v: levels([x[1] for x in sorted(trees[v], key=lambda x: x[:2])]) for v in langs}
+    over = levels([made[v][-1][0] for v in langs])
+    out = []
+    for place, v in enumerate(langs):
+        for i, (_, digest, r) in enumerate(sorted(trees[v], key=lambda x: x[:2])):
+            doc_id, text = r[0], r[4]
+            changed = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 0 and text is not None
+            probe = leaf((*r[:4], text.translate(LOWER))) if changed else digest
+            sub, low = climb(made[v], i, digest)
+            root, high = climb(over, place, sub)
+            assert root == over[-1][0] and sub == made[v][-1][0]
+            folded = climb(over, place, climb(made[v], i, probe)[0])[0]
+            out.append((doc_id, digest, sub, root, H(low + high), folded, folded == root))
+    return sorted(out, key=repr)
