@@ -130,3 +130,34 @@ def merkle(rows):
             folded = climb(over, place, climb(made[v], i, probe)[0])[0]
             out.append((doc_id, digest, sub, root, H(low + high), folded, folded == root))
     return sorted(out, key=repr)
+
+
+def divergence(rows, min_docs=3, top=200):
+    """Sorted op13 rows from [(lang, source, text)], in Python's whole numbers."""
+    from collections import Counter
+
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    count, docs, groups = {}, {}, {}
+    for lang, source, text in rows:
+        lang, source = lang or "", source or ""
+        words = Counter(term.findall((text or "").translate(LOWER)))
+        count.setdefault((lang, source), Counter()).update(words)
+        docs.setdefault(lang, Counter()).update(words.keys())
+        groups.setdefault(lang, set()).add(source)
+    out = []
+    for lang, sources in groups.items():
+        kept = sorted(t for t, n in docs[lang].items() if n >= min_docs)
+        whole = sum((count[lang, s] for s in sources), Counter())
+
+        def shares(c):
+            total = sum(c[t] for t in kept) + len(kept)
+            return {t: 1 + 1_000_000_000 * (c[t] + 1) // total for t in kept}
+
+        p, q = {s: shares(count[lang, s]) for s in sources}, shares(whole)
+        cost = lambda x, y: (x - y) * (x - y) // y
+        for s in sources:
+            pairs = [(-sum(cost(p[s][t], p[o][t]) for t in kept), o.encode()) for o in sources if o != s]
+            terms = [(-cost(p[s][t], q[t]), t.encode()) for t in kept if count[lang, s][t] and p[s][t] > q[t]]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(terms)[:top])):
+                out += [(lang, s, part, item.decode(), -value, i + 1) for i, (value, item) in enumerate(found)]
+    return sorted(out)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wingwatch.llm import (
-    chat, decontam, hostrules, langid, merkle, minhash, mixing, quality, secrets, suffix, tokens)
+    chat, decontam, divergence, hostrules, langid, merkle, minhash, mixing, pii, quality, secrets, suffix, tokens)
 from wingwatch.llm.common import table
 
 QUERIES = {
@@ -18,6 +18,8 @@ QUERIES = {
     "op9_find_secrets": lambda spark, d: secrets.op9_find_secrets(table(spark, d, "documents")),
     "op8_mix_sources": lambda spark, d: mixing.op8_mix_sources(table(spark, d, "documents")),
     "op10_remove_repeats": lambda spark, d: suffix.op10_remove_repeats(table(spark, d, "documents")),
+    "op12_find_pii": lambda spark, d: pii.op12_find_pii(table(spark, d, "documents")),
+    "op13_source_divergence": lambda spark, d: divergence.op13_source_divergence(table(spark, d, "documents")),
     "op11_merkle_manifest": lambda spark, d: merkle.op11_merkle_manifest(table(spark, d, "documents")),
 }
 
@@ -25,4 +27,5 @@ ORACLE = {
     "op6_host_rules": hostrules.OP6_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
