@@ -349,7 +349,8 @@ def test_short_passwords_and_inline_credentials(spark):
 @pytest.mark.parametrize("block", [8 << 20, 3000])
 def test_repeats(spark, monkeypatch, block):
     monkeypatch.setattr(suffix, "BLOCK_BYTES", block)
-    monkeypatch.setattr(suffix, "BUCKET_BYTES", block)
+    monkeypatch.setattr(suffix, "HASH_BYTES", block)
+    monkeypatch.setattr(suffix, "SUFFIXES", block // 50)
     rng = random.Random(8)
     passages = ["".join(rng.choice("abcde é") for _ in range(n)) for n in (49, 50, 51, 90, 300)]
     rows = []

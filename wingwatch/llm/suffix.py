@@ -8,18 +8,22 @@ strings have their anchors at equal places, and all strings with one anchor form
 around it.
 
 1. Documents are dealt into blocks; every later step on texts works block by block.
-   A text that equals one of a smaller doc_id goes as a whole and takes no further part.
+   A text that equals one of a smaller doc_id (by length and SHA-256) goes as a whole and takes no
+   further part.
 2. Each block reports its anchors' hashes, once each, as packed bytes by hash range; hashes that
    occur in two blocks, or in two documents of a block, come back to the blocks.  Anchors that
    nobody shares can have no repeated string and drop out.
 3. Stretches at the remaining anchors that are equal within a block collapse to the smallest
    doc_id's (the others are repeats).  Suffixes of the collapsed stretches, read from the anchor on,
-   are dealt to buckets by sampled splitters.
+   are dealt to buckets by sampled splitters: a few coarse ones that every block knows, then those of
+   each coarse range, which are joined to its rows.  Samples grow with the number of buckets.
 4. A bucket sorts its suffixes by multikey quicksort (eight bytes at a time; only runs that are still
-   equal are sorted further).  Equal stretches, and equal strings of ``WIDTH`` bytes within the
-   suffixes that share their leading ``GRAM`` bytes, are compared by their smallest doc_id.
-5. Strings of the first and last such run of each bucket may go on in the neighbouring bucket: their
-   holders are compared across the boundaries by one small aggregation.
+   equal are sorted further), and the bytes before the anchors, read backwards, likewise.  Two
+   strings of ``WIDTH`` bytes with r bytes before their anchors are equal where the sorted suffixes
+   have a common prefix of WIDTH - r bytes and the sorted backward parts one of r bytes, so every r
+   is one pass over pairs of class numbers.  Equal ones are compared by their smallest doc_id.
+5. Strings of the first and last run of suffixes with one leading gram of each bucket may go on in
+   the neighbouring bucket: their holders are compared across the boundaries by one aggregation.
 6. Blocks join the spans found and cut them out.
 
 Hashes only choose candidates; steps 3 to 5 compare the bytes themselves.
@@ -42,8 +46,10 @@ from wingwatch.llm.common import _BYTES, mix64, row_chunks, saved, text_buffer,
 WIDTH, GRAM = 50, 16
 SPAN = WIDTH - GRAM + 1  # grams in a string
 LEFT = WIDTH - GRAM  # most bytes of a stretch before its anchor
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
-SAMPLE = 20_000
+BLOCK_BYTES = 4 << 20  # text of a block
+HASH_BYTES = 48 << 20  # text whose anchors' hashes make one hash bucket
+SUFFIXES = 150_000  # of a bucket
+DRAWN, DRAWN_BLOCKS = 64, 1 / 32  # sample suffixes a bucket; share of the blocks they come from
 BODY = f"S{WIDTH + LEFT}"  # a suffix as it is sorted: the bytes from the anchor on, then those before it
 _LOW32 = np.uint64((1 << 32) - 1)
 
@@ -221,7 +227,7 @@ PACKED = pa.schema([("block", pa.int32()), ("docs", pa.binary()), ("tags", pa.bi
 MARKS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("many", pa.binary())])
 FLAGS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary())])
 COPIES = -1  # bucket of the rows that list a block's copies, as (doc_id, tag) pairs
-PARTS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()),
+PARTS = pa.schema([("bucket", pa.int64()), ("block", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()),
                    ("row", pa.binary()), ("start", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())])
 SPANS = pa.schema([("block", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()), ("start", pa.binary()),
                    ("end", pa.binary()), ("doc", pa.int64()), ("tag", pa.int64()), ("place", pa.int64()), ("string", pa.binary())])
@@ -289,14 +295,6 @@ def _listed(batches):
         yield from _batch(rows, FLAGS).to_batches()
 
 
-def _sampled(batches):
-    """Suffixes of the anchors of some documents, as sorted by step 4."""
-    for b in batches:
-        data, offsets = text_buffer(b.column("text"))
-        row, s, e, anchor, _ = all_stretches(data, offsets)
-        yield pa.RecordBatch.from_arrays([pa.array([_body(data, offsets, row, s, e, anchor)[0].tobytes()], pa.binary())], ["bodies"])
-
-
 def _marks(table: pa.Table, copies: pa.Table, n_buckets: int) -> pa.Table:
     """Step 2, a block's side: its distinct anchor hashes, and which of them two documents share."""
     if not table.num_rows:
@@ -331,36 +329,88 @@ def _flags(key, table: pa.Table) -> pa.Table:
     return _batch(rows, FLAGS)
 
 
-def _collapse(texts: pa.Table, flags: pa.Table, n_hash_buckets: int, splitters: np.ndarray) -> pa.Table:
-    """Step 3.  Rows without a body hold spans that repeat within the block."""
+def _shared(texts: pa.Table, flags: pa.Table, n_hash_buckets: int):
+    """Step 3: (docs, tags, row, first string's start, last string's start, bodies, sizes, repeats, others) of
+    the block's stretches at shared anchors; None where there is none."""
     if not texts.num_rows or not flags.num_rows:
-        return _batch([], PARTS)
-    block = texts.column("block")[0].as_py()
+        return None
     flagged = list(zip(flags.column("bucket").to_pylist(), flags.column("hashes").to_pylist()))
     doc, tag, data, offsets = _without(*_unpack(texts), _copies([x for k, x in flagged if k == COPIES]))
     flagged = [(k, x) for k, x in flagged if k != COPIES]
     if not flagged:
-        return _batch([], PARTS)
+        return None
     row, s, e, anchor, h = all_stretches(data, offsets)
     mark = (_bucket_of(h, n_hash_buckets).astype(np.uint64) << np.uint64(32)) | (h & _LOW32)
+    del h
     wanted = np.concatenate([_unlow(x) | (np.uint64(k) << np.uint64(32)) for k, x in flagged])
     keep = np.flatnonzero(np.isin(mark, wanted))
     row, s, e, anchor = row[keep], s[keep], e[keep], anchor[keep]
     body, sizes = _body(data, offsets, row, s, e, anchor)
-    words = _key_words(body, sizes)
-    again, heads = repeats(words, doc[row])
-    rows = []
+    again, heads = repeats(_key_words(body, sizes), doc[row])
+    return doc, tag, row, s, e, body, sizes, again, heads
+
+
+def _drawn(texts: pa.Table, flags: pa.Table, n_hash_buckets: int, share: float) -> pa.Table:
+    """Some of the suffixes that the block will deal to buckets."""
+    found = _shared(texts, flags, n_hash_buckets)
+    if found is None:
+        return pa.table({"bodies": pa.array([], pa.binary())})
+    body, heads = found[5], found[8]
+    rng = np.random.default_rng(texts.column("block")[0].as_py())
+    return pa.table({"bodies": pa.array([body[heads[rng.random(len(heads)) < share]].tobytes()], pa.binary())})
+
+
+def _dealt(block: int, bucket: np.ndarray, doc, tag, row, s, sizes, body) -> list[tuple]:
+    """Rows of ``PARTS``, one for each bucket; docs and tags once each."""
+    order, rows = np.argsort(bucket, kind="stable"), []
+    edges = np.append(np.flatnonzero(np.diff(bucket[order])) + 1, len(order))
+    a = 0
+    for z in edges:
+        x = order[a:z]
+        if len(x):
+            used, number = np.unique(row[x], return_inverse=True)
+            rows.append((int(bucket[x[0]]), block, _squeeze(doc[used]), _squeeze(tag[used]), _squeeze(number.astype(np.int32)),
+                         _squeeze(s[x]), _squeeze(sizes[x]), _squeeze(body[x])))
+        a = z
+    return rows
+
+
+def _suffix_keys(body: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(body).view(BODY).ravel()
+
+
+def _collapse(texts: pa.Table, flags: pa.Table, n_hash_buckets: int, coarse: np.ndarray) -> pa.Table:
+    """Step 3: collapsed stretches by coarse range.  Rows without a body hold spans that repeat within the block."""
+    found = _shared(texts, flags, n_hash_buckets)
+    if found is None:
+        return _batch([], PARTS)
+    doc, tag, row, s, e, body, sizes, again, heads = found
+    block, rows = texts.column("block")[0].as_py(), []
     if len(again):
-        rows.append((block % (len(splitters) + 1), block, _squeeze(doc[row[again]]), _squeeze(tag[row[again]]), b"", _squeeze(s[again]),
+        rows.append((block % (len(coarse) + 1), block, _squeeze(doc[row[again]]), _squeeze(tag[row[again]]), b"", _squeeze(s[again]),
                      _squeeze(e[again] + WIDTH), None))
-    key = np.ascontiguousarray(body[heads]).view(BODY).ravel()
-    bucket = np.searchsorted(splitters, key, side="right") if len(splitters) else np.zeros(len(heads), np.int64)
-    for k in np.unique(bucket):
-        x = heads[bucket == k]
-        used, number = np.unique(row[x], return_inverse=True)
-        rows.append((int(k), block, _squeeze(doc[used]), _squeeze(tag[used]), _squeeze(number.astype(np.int32)), _squeeze(s[x]),
-                     _squeeze(sizes[x]), _squeeze(body[x])))
-    return _batch(rows, PARTS)
+    at = np.searchsorted(coarse, _suffix_keys(body[heads]), side="right") if len(coarse) else np.zeros(len(heads), np.int64)
+    return _batch(rows + _dealt(block, at, doc, tag, row[heads], s[heads], sizes[heads], body[heads]), PARTS)
+
+
+FINE = 24  # bits of a bucket's number within its coarse range
+
+
+def _refine(batches):
+    """Step 3: rows of a coarse range cut by the range's own splitters."""
+    for b in batches:
+        rows = []
+        for r in b.to_pylist():
+            if r["body"] is None:
+                rows.append((r["bucket"] << FINE, *[r[f.name] for f in PARTS][1:]))
+                continue
+            number = _expand(r["row"], np.int32)
+            body = _expand(r["body"], np.uint8).reshape(-1, WIDTH + LEFT)
+            fine = np.frombuffer(r["splitters"] or b"", BODY)
+            at = np.searchsorted(fine, _suffix_keys(body), side="right") if len(fine) else np.zeros(len(body), np.int64)
+            rows += _dealt(r["block"], (r["bucket"] << FINE) + at, _expand(r["docs"], np.int64), _expand(r["tags"], np.int64), number,
+                           _expand(r["start"], np.int64), _expand(r["sizes"], np.uint8).reshape(-1, 2), body)
+        yield from _batch(rows, PARTS).to_batches()
 
 
 def _sorted_bucket(table: pa.Table) -> pa.Table:
@@ -382,8 +432,8 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
     if not docs:
         return _batch(rows, SPANS)
     doc, tag, start, size, body, block = (np.concatenate(x) for x in (docs, tags, starts, sizes, bodies, blocks))
-    words = _key_words(body, size)
-    order, differs, low = by_class(words, doc)
+    del docs, tags, starts, sizes, bodies, blocks
+    order, differs, low = by_class(_key_words(body, size), doc)
     run = np.cumsum(differs < GRAM // 8) - 1  # suffixes with the same leading gram
     later = doc[order] > low
     again = order[later]
@@ -391,20 +441,21 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
     # the stretches of one run that are left may share some of their strings
     distinct, its_run = order[~later], run[~later]
     edge = (its_run == 0) | (its_run == its_run[-1])
-    mixed = np.bincount(its_run)[its_run] > 1
+    look = np.flatnonzero((np.bincount(its_run)[its_run] > 1) | edge)
     border = []
-    look = np.flatnonzero(mixed | edge)
     if len(look):
-        text, who, offset, h = _strings(body[distinct[look]], size[distinct[look]])
-        rep, hold = _repeated_strings(text, who, offset, h, doc[distinct[look]][who])
-        hit = distinct[look][who[rep]]
-        found.append((hit, start[hit] + offset[rep], start[hit] + offset[rep] + WIDTH))
-        out = hold[edge[look][who[hold]]]
-        holder = distinct[look][who[out]]
-        for at in range(0, len(out), 4096):
-            x = slice(at, at + 4096)
-            string = text[who[out[x]][:, None], offset[out[x]][:, None] + np.arange(WIDTH)[None, :]]
-            border += [(int(block[w]), int(doc[w]), int(tag[w]), int(start[w] + o), r.tobytes()) for w, o, r in zip(holder[x], offset[out[x]], string)]
+        x = distinct[look]
+        repeated = np.zeros((len(x), SPAN), bool)
+        for r, at, first in _equal_strings(body[x], size[x], doc[x]):
+            repeated[at[~first], r] = True
+            out = at[first & edge[look][at]]
+            if len(out):
+                border.append(_held(body[x[out]], size[x[out], 1], r, block[x[out]], doc[x[out]], tag[x[out]], start[x[out]]))
+        # strings with r to q bytes before the anchor are one span
+        edges = np.diff(np.pad(repeated, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (who, r), (_, q) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+        base = start[x[who]] + size[x[who], 1]
+        found.append((x[who], base - (q - 1), base - r + WIDTH))
     who, s, e = (np.concatenate(x) for x in zip(*found))
     by = np.argsort(block[who], kind="stable")
     who, s, e = who[by], s[by], e[by]
@@ -412,50 +463,57 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
     for w, a, b in zip(np.split(who, cuts), np.split(s, cuts), np.split(e, cuts)):
         if len(w):
             rows.append((int(block[w[0]]), _squeeze(doc[w]), _squeeze(tag[w]), _squeeze(a), _squeeze(b), None, None, None, None))
-    rows += [(b, None, None, None, None, d, t, o, r) for b, d, t, o, r in border]
-    return _batch(rows, SPANS)
+    return pa.concat_tables([_batch(rows, SPANS), *border])
+
 
+def _classes(words: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of rows, common prefix in bytes of each row, in that order, with the one before)."""
+    order, _ = multikey_order(words)
+    common = np.zeros(len(order), np.int64)
+    for at in range(1, len(order), 16384):
+        x = order[at:at + 16384]
+        differs = raw[x] != raw[order[at - 1:at - 1 + len(x)]]
+        common[at:at + len(x)] = np.where(differs.any(axis=1), differs.argmax(axis=1), raw.shape[1])
+    return order, common
 
-def _strings(body: np.ndarray, size: np.ndarray):
-    """(stretches in reading order; row, offset and hash of every string of ``WIDTH`` bytes in them)."""
+
+def _equal_strings(body: np.ndarray, size: np.ndarray, doc: np.ndarray):
+    """For every number r of bytes before the anchor: (r, rows that have a string with r such bytes, whether
+    no equal string has a smaller doc)."""
     right, left = size[:, 0].astype(np.int64), size[:, 1].astype(np.int64)
-    count = right + left - WIDTH + 1
-    straight = np.zeros((len(body), WIDTH + LEFT), np.uint8)
-    col = np.arange(WIDTH + LEFT)
+    back = np.zeros((len(body), LEFT), np.uint8)  # the bytes before the anchor, read backwards
+    col = np.arange(LEFT)
     for at in range(0, len(body), 16384):
         x = slice(at, at + 16384)
-        place = np.where(col[None, :] < left[x, None], WIDTH + col[None, :], np.clip(col[None, :] - left[x, None], 0, WIDTH - 1))
-        straight[x] = np.take_along_axis(body[x], place, axis=1)
-    who, offset, hashes = [], [], []
-    for o in range(int(count.max())):
-        rows = np.flatnonzero(count > o)
-        h = np.zeros(len(rows), np.uint64)
-        for i in range(o, o + WIDTH):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + _BYTES[straight[rows, i]]
-        who.append(rows)
-        offset.append(np.full(len(rows), o))
-        hashes.append(mix64(h))
-    return straight, np.concatenate(who), np.concatenate(offset), np.concatenate(hashes)
-
-
-def _repeated_strings(text, who, offset, h, doc) -> tuple[np.ndarray, np.ndarray]:
-    """``repeats`` for strings given by place, sorted by hash; equal hashes are compared by bytes."""
-    order = np.argsort(h, kind="stable")
-    head = np.ones(len(order), bool)
-    head[1:] = h[order][1:] != h[order][:-1]
-    first = np.flatnonzero(head)
-    of = np.cumsum(head) - 1
-    shared = np.flatnonzero(np.diff(np.append(first, len(order)))[of] > 1)
-    col = np.arange(WIDTH)
-    for at in range(0, len(shared), 65536):
-        x = order[shared[at:at + 65536]]
-        y = order[first[of[shared[at:at + 65536]]]]
-        if (text[who[x][:, None], offset[x][:, None] + col] != text[who[y][:, None], offset[y][:, None] + col]).any():
-            # two strings with one hash: sort the bytes instead
-            return repeats(as_words(text[who[:, None], offset[:, None] + col]), doc)
-    low = np.minimum.reduceat(doc[order], first)[of]
-    again = doc[order] > low
-    return order[again], order[~again]
+        inside = col[None, :] < left[x, None]
+        back[x] = np.where(inside, np.take_along_axis(body[x], np.where(inside, WIDTH + left[x, None] - 1 - col[None, :], 0), axis=1), np.uint8(0))
+    ahead = np.ascontiguousarray(body[:, :WIDTH])
+    ahead_order, ahead_common = _classes(as_words(ahead), ahead)
+    back_order, back_common = _classes(as_words(back), back)
+    ahead_class, back_class = np.empty(len(body), np.int64), np.empty(len(body), np.int64)
+    for r in range(SPAN):
+        at = np.flatnonzero((left >= r) & (right >= WIDTH - r))
+        if not len(at):
+            continue
+        ahead_class[ahead_order] = np.cumsum(ahead_common < WIDTH - r)
+        back_class[back_order] = np.cumsum(back_common < r) if r else 0
+        key = ahead_class[at] * (len(body) + 1) + back_class[at]
+        order = np.argsort(key, kind="stable")
+        head = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        low = np.empty(len(at), np.int64)
+        low[order] = np.repeat(np.minimum.reduceat(doc[at][order], head), np.diff(np.append(head, len(order))))
+        yield r, at, doc[at] == low
+
+
+def _held(body, left, r: int, block, doc, tag, start) -> pa.Table:
+    """Rows of ``SPANS`` for holders of strings with r bytes before the anchor."""
+    left = left.astype(np.int64)
+    place = np.hstack([WIDTH + left[:, None] - r + np.arange(r)[None, :], np.broadcast_to(np.arange(WIDTH - r), (len(body), WIDTH - r))])
+    string = np.ascontiguousarray(np.take_along_axis(body, place, axis=1))
+    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(body), [None, pa.py_buffer(string)])
+    none = pa.nulls(len(body), pa.binary())
+    return pa.table([pa.array(block, pa.int32()), none, none, none, none, pa.array(doc), pa.array(tag), pa.array(start + left - r),
+                     fixed.cast(pa.binary())], schema=SPANS)
 
 
 def _cut(texts: pa.Table, spans: pa.Table, with_text: bool) -> pa.Table:
@@ -517,6 +575,43 @@ def _splitters(leading: np.ndarray, n_buckets: int) -> np.ndarray:
     return np.unique(np.array(out, dtype=leading.dtype)) if out else leading[:0]
 
 
+def _cuts(blocks: DataFrame, flags: DataFrame, n_hash: int, n_blocks: int, n_suffixes: int) -> tuple[np.ndarray, DataFrame]:
+    """(coarse splitters; table of the splitters within each coarse range) from samples of about ``DRAWN``
+    suffixes a bucket.  The coarse ones are as many as the square root of the buckets, and so is each
+    range's share of the others."""
+    n_buckets = max(1, math.ceil(n_suffixes / SUFFIXES))
+    n_coarse = math.isqrt(n_buckets - 1) + 1
+    of_blocks = min(1.0, max(DRAWN_BLOCKS, 8 / n_blocks))
+    share = min(1.0, DRAWN * n_buckets / max(1, of_blocks * n_suffixes))
+    picked = lambda df: df.filter(F.pmod(F.xxhash64("block", F.lit(2)), F.lit(1 << 20)) < math.ceil(of_blocks * (1 << 20)))
+    drawn = saved(picked(blocks).groupBy("block").cogroup(picked(flags).groupBy("block"))
+                  .applyInArrow(lambda t, f: _drawn(t, f, n_hash, share), "bodies binary"))
+    every = math.ceil(n_buckets / n_coarse)  # the driver sees about DRAWN suffixes a coarse range
+
+    def thinned(batches):
+        for b in batches:
+            keep = [_suffix_keys(np.frombuffer(x, np.uint8).reshape(-1, WIDTH + LEFT))[::every].tobytes() for x in b.column(0).to_pylist() if x]
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(keep)], pa.binary())], ["bodies"])
+
+    few = b"".join(bytes(r[0]) for r in drawn.mapInArrow(thinned, "bodies binary").collect())
+    coarse = _splitters(np.sort(np.frombuffer(few, BODY)), n_coarse)
+
+    def ranged(batches):
+        for b in batches:
+            keys = np.frombuffer(b"".join(x for x in b.column(0).to_pylist() if x), BODY)
+            at = np.searchsorted(coarse, keys, side="right") if len(coarse) else np.zeros(len(keys), np.int64)
+            used = np.unique(at)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([keys[at == k].tobytes() for k in used], pa.binary())], ["bucket", "bodies"])
+
+    def split(table: pa.Table) -> pa.Table:
+        keys = np.sort(np.frombuffer(b"".join(table.column("bodies").to_pylist()), BODY))
+        cuts = _splitters(keys, max(1, round(len(keys) / DRAWN)))
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "splitters": pa.array([cuts.tobytes()], pa.binary())})
+
+    fine = drawn.mapInArrow(ranged, "bucket long, bodies binary").groupBy("bucket").applyInArrow(split, "bucket long, splitters binary")
+    return coarse, saved(fine)
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, where asked for, the bytes that stay.
 
@@ -528,29 +623,27 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     text = text_of()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
-    n_blocks, n_buckets = max(1, math.ceil(total / BLOCK_BYTES)), max(1, math.ceil(total / BUCKET_BYTES))
+    n_blocks, n_hash = max(1, math.ceil(total / BLOCK_BYTES)), max(1, math.ceil(total / HASH_BYTES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = rows.filter("doc_id IS NOT NULL")
-    # a hash sample of documents with about SAMPLE suffixes, whatever the input
-    share = min(1.0, SAMPLE * (SPAN + 1) / 2 / max(total, 1))
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id", "tag", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    bodies = b"".join(bytes(r["bodies"]) for r in drawn.select("text").mapInArrow(_sampled, "bodies binary").collect())
-    leading = np.sort(np.frombuffer(bodies, BODY))
-    splitters = _splitters(leading, n_buckets)
     known = known.withColumn("block", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(n_blocks)).cast("int"))
     blocks = known.mapInArrow(_pack, _sql(PACKED)).repartition(parts, "block").persist(StorageLevel.DISK_ONLY)
-    # texts that a smaller doc_id has too, by a digest of 128 bits and the length
-    ids = saved(known.select("doc_id", "tag", "block", F.octet_length("text").alias("n"), F.md5("text").alias("digest")).filter(F.col("n") >= WIDTH))
-    least = ids.groupBy("tag", "n", "digest").agg(F.min("doc_id").alias("low"))
-    copies = saved(ids.join(least, ["tag", "n", "digest"]).filter("doc_id > low").select("block", "doc_id", "tag")
+    # texts that a smaller doc_id has too, by SHA-256 and length
+    ids = saved(known.select("doc_id", "tag", "block", F.octet_length("text").alias("n"), F.unhex(F.sha2("text", 256)).alias("digest"))
+                .filter(F.col("n") >= WIDTH))
+    least = ids.groupBy("n", "digest").agg(F.min("doc_id").alias("low"))
+    copies = saved(ids.join(least, ["n", "digest"]).filter("doc_id > low").select("block", "doc_id", "tag")
                    .mapInArrow(_listed, _sql(FLAGS)))
     try:
         marks = (blocks.groupBy("block").cogroup(copies.groupBy("block"))
-                 .applyInArrow(lambda t, c: _marks(t, c, n_buckets), _sql(MARKS)))
-        flags = marks.groupBy("bucket").applyInArrow(lambda k, t: _flags(k, t), _sql(FLAGS)).unionByName(copies)
+                 .applyInArrow(lambda t, c: _marks(t, c, n_hash), _sql(MARKS)))
+        flags = saved(marks.groupBy("bucket").applyInArrow(lambda k, t: _flags(k, t), _sql(FLAGS)).unionByName(copies))
+        shared = flags.filter(F.col("bucket") != COPIES).agg(F.sum(F.octet_length("hashes"))).first()[0] or 0  # one number
+        coarse, fine = _cuts(blocks, flags, n_hash, n_blocks, shared // 4)
         stretched = (blocks.groupBy("block").cogroup(flags.groupBy("block"))
-                     .applyInArrow(lambda t, f: _collapse(t, f, n_buckets, splitters), _sql(PARTS)))
-        found = saved(stretched.groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t), _sql(SPANS)))
+                     .applyInArrow(lambda t, f: _collapse(t, f, n_hash, coarse), _sql(PARTS)))
+        cut = stretched.join(fine, "bucket", "left").mapInArrow(_refine, _sql(PARTS))
+        found = saved(cut.groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t), _sql(SPANS)))
         held = found.filter("string IS NOT NULL")
         least = held.groupBy("string").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
         across = (held.join(least, "string").filter("doc > low").select("block", "doc", "tag", "place")
