@@ -47,11 +47,12 @@ WIDTH, GRAM = 50, 16
 SPAN = WIDTH - GRAM + 1  # grams in a string
 LEFT = WIDTH - GRAM  # most bytes of a stretch before its anchor
 BLOCK_BYTES = 4 << 20  # text of a block
-HASH_BYTES = 48 << 20  # text whose anchors' hashes make one hash bucket
+HASH_BYTES = 24 << 20  # text whose anchors' hashes make one hash bucket
 SUFFIXES = 150_000  # of a bucket
 DRAWN, DRAWN_BLOCKS = 64, 1 / 32  # sample suffixes a bucket; share of the blocks they come from
 BODY = f"S{WIDTH + LEFT}"  # a suffix as it is sorted: the bytes from the anchor on, then those before it
 _LOW32 = np.uint64((1 << 32) - 1)
+_AGAIN = np.uint64(0x9E3779B97F4A7C15)
 
 
 # --- anchors -------------------------------------------------------------------------------
@@ -93,7 +94,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray):
     last = np.append(first[1:], len(place)) - 1 if len(first) else first
     row = np.searchsorted(offsets, place[first], side="right") - 1
     base = offsets[row]
-    return [row, place[first] - base, place[last] - base, at[first] - base, h[at[first]]]
+    # the least of many hashes is small: mixed again, they fill their range evenly
+    return [row, place[first] - base, place[last] - base, at[first] - base, mix64(h[at[first]] ^ _AGAIN)]
 
 
 def all_stretches(data: np.ndarray, offsets: np.ndarray, segment: int = 1 << 20):
