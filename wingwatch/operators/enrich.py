@@ -1,46 +1,66 @@
 """Dimension enrichment and keyed updates.
 
-The aircraft types (24 fixed values) are matched inside one projection (D3).  Airports (D2) and
+The aircraft types (24 fixed values) are matched by two look-ups a row (D3).  Airports (D2) and
 the keyed update (D7) are joins that AQE plans: broadcast while a side is small, sort-merge with
 skew splitting beyond.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wingwatch.functions import constants as K
 from wingwatch.operators.analytics import mean6
 
 
+def airport_index(airports: DataFrame) -> DataFrame:
+    """(key, found): for every upper-cased code, and every K code without its K, the airports it may mean
+    (code -> coordinates).  One row a key."""
+    coords = airports.filter(F.col("icao_code").isNotNull()).groupBy("icao_code").agg(F.min(F.struct("latitude", "longitude")).alias("c"))
+    code = F.col("icao_code")
+    keys = F.array_distinct(F.array(F.upper(code), F.when(code.startswith("K"), F.upper(F.substring(code, 2, 1 << 30))).otherwise(F.upper(code))))
+    return (coords.select(F.explode(keys).alias("key"), F.struct(code, "c").alias("entry"))
+            .groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list("entry"))).alias("found")))
+
+
 def airport_coords(incidents: DataFrame, airports: DataFrame) -> DataFrame:
     """Fill coordinates of backlog incidents (code present, a coordinate
     missing) from the airport table, trying ``code``, ``'K' + code`` and
     ``upper(code)`` in that order; a match overwrites both coordinates.
 
-    Three left joins of the backlog against the deduplicated airport table; AQE broadcasts it while
-    it is small and splits hot codes where it is not.
+    All three codes have one upper-cased key apart from the K, so the backlog is joined once, with an index
+    of the airports by that key; AQE broadcasts the index while it is small and splits hot codes
+    where it is not.
     """
-    ap = (airports.groupBy("icao_code")
-          .agg(F.min(F.struct("latitude", "longitude")).alias("c"))
-          .select("icao_code", F.col("c.latitude").alias("ap_lat"), F.col("c.longitude").alias("ap_lon")))
     code = F.col("airport_code")
     backlog = incidents.filter(code.isNotNull() & (F.col("latitude").isNull() | F.col("longitude").isNull()))
+    joined = (backlog.select("id", "airport_code", "latitude", "longitude")
+              .join(airport_index(airports), F.upper(code) == F.col("key"), "left"))
     cands = [code, F.concat(F.lit("K"), code), F.upper(code)]
-    out = backlog
-    for i, cand in enumerate(cands):
-        a = ap.select(F.col("icao_code").alias(f"k{i}"), F.col("ap_lat").alias(f"lat{i}"),
-                      F.col("ap_lon").alias(f"lon{i}"))
-        out = out.join(a, cand == F.col(f"k{i}"), "left")
-    matched = F.coalesce(*[F.col(f"k{i}") for i in range(3)])
-    pick = lambda name: (F.when(F.col("k0").isNotNull(), F.col(f"{name}0"))
-                         .when(F.col("k1").isNotNull(), F.col(f"{name}1"))
-                         .when(F.col("k2").isNotNull(), F.col(f"{name}2")))
-    return out.select(
+    hits = [F.try_element_at("found", c) for c in cands]
+    matched = F.coalesce(*[F.when(h.isNotNull(), c) for h, c in zip(hits, cands)])
+    taken = F.coalesce(*hits)
+    return joined.select(
         "id", "airport_code", matched.alias("matched_code"),
-        F.when(matched.isNotNull(), pick("lat")).otherwise(F.col("latitude")).alias("latitude"),
-        F.when(matched.isNotNull(), pick("lon")).otherwise(F.col("longitude")).alias("longitude"))
+        *[F.when(matched.isNotNull(), taken[c]).otherwise(F.col(c)).alias(c) for c in ("latitude", "longitude")])
+
+
+def _needles(values: list[str], longest: int) -> dict[str, int]:
+    """Every substring of up to ``longest`` characters -> bit mask of the values that contain it."""
+    index: dict[str, int] = {}
+    for i, value in enumerate(values):
+        for size in range(1, longest + 1):
+            for at in range(len(value) - size + 1):
+                needle = value[at:at + size]
+                index[needle] = index.get(needle, 0) | 1 << i
+    return index
+
+
+def _mask(needle: Column, index: dict[str, int], n: int, legacy_empty_match: bool) -> Column:
+    pairs = [F.lit(x) for needle_mask in index.items() for x in needle_mask]
+    found = F.coalesce(F.try_element_at(F.create_map(*pairs), needle), F.lit(0))
+    return F.when(needle == "", F.lit((1 << n) - 1)).otherwise(found) if legacy_empty_match else found
 
 
 def aircraft_matches(incidents: DataFrame, types: list[tuple] = K.AIRCRAFT_TYPES, make_chars: int = 4,
@@ -50,27 +70,29 @@ def aircraft_matches(incidents: DataFrame, types: list[tuple] = K.AIRCRAFT_TYPES
     A type matches when its make contains the first ``make_chars`` characters of the incident make,
     or its model contains the first ``model_chars`` of the incident model (upper-cased, literal).
     An empty needle (missing model) matches nothing unless ``legacy_empty_match`` (the reference's
-    ``contains('')`` matches every row).  The fixed types are a literal array, filtered inside one
-    projection: no join and no shuffle of the incidents.
+    ``contains('')`` matches every row).
+
+    The fixed types (at most 62) are indexed by all their substrings of that length: a row looks up the bit
+    masks of the types that hold its two needles.  No join, no shuffle, no loop over the types.
     """
-    literal = F.array(*[F.struct(F.lit(t[0].upper()).alias("make"), F.lit(t[1].upper()).alias("model"),
-                                 F.lit(t[2]).alias("category"), F.lit(float(t[7])).alias("risk_factor"))
-                        for t in types])
+    makes, models = ([t[i].upper() for t in types] for i in (0, 1))
     n_make = F.substring(F.upper("aircraft_make"), 1, make_chars)
     n_model = F.substring(F.upper(F.coalesce("aircraft_model", F.lit(""))), 1, model_chars)
-
-    def matches(d):
-        by_make, by_model = d["make"].contains(n_make), d["model"].contains(n_model)
-        if legacy_empty_match:
-            return by_make | by_model
-        return ((n_make != "") & by_make) | ((n_model != "") & by_model)
-
-    inc = incidents.filter(F.col("aircraft_make").isNotNull()).select("id", F.filter(literal, matches).alias("m"))
-    first = F.get("m", 0)
+    masks = [_mask(n, _needles(v, c), len(types), legacy_empty_match).cast("long")
+             for n, v, c in ((n_make, makes, make_chars), (n_model, models, model_chars))]
+    inc = (incidents.filter(F.col("aircraft_make").isNotNull()).select("id", masks[0].alias("by_make"), masks[1].alias("by_model"))
+           .select("id", F.col("by_make").bitwiseOR(F.col("by_model")).alias("m")))
+    m = F.col("m")
+    worst = None  # the largest risk factor among the matched types
+    for risk in sorted({float(t[7]) for t in types}, reverse=True):
+        held = m.bitwiseAND(F.lit(sum(1 << i for i, t in enumerate(types) if float(t[7]) == risk)).cast("long")) != 0
+        worst = F.when(held, F.lit(risk)) if worst is None else worst.when(held, F.lit(risk))
+    first = F.bit_count(m.bitwiseAND(-m) - 1)  # place of the lowest bit
+    pick = lambda values: F.when(m != 0, F.get(F.array(*[F.lit(v) for v in values]), first))
     return inc.select(
-        "id", (F.size("m") > 0).alias("matched"), F.size("m").cast("bigint").alias("match_count"),
-        F.array_max(F.transform("m", lambda d: d["risk_factor"] * 100.0)).alias("max_base_risk"),
-        first["category"].alias("first_category"), first["risk_factor"].alias("first_risk_factor"))
+        "id", (m != 0).alias("matched"), F.bit_count(m).cast("bigint").alias("match_count"),
+        (worst * 100.0).alias("max_base_risk"),
+        pick([t[2] for t in types]).alias("first_category"), pick([float(t[7]) for t in types]).alias("first_risk_factor"))
 
 
 def aircraft_category(matches: DataFrame) -> DataFrame:

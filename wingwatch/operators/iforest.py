@@ -1,13 +1,15 @@
 """Isolation forest (Liu, Ting & Zhou 2008) as Spark stages.
 
 Training never looks at more than a bounded sample per tree:
-* one hash per row draws a uniform pool of about 8 * T * psi rows; a row of
-  the pool is a candidate for tree t when ``pmod(xxhash64(key, t), P) < 2 * psi``
-  (a narrow ``filter(sequence(0, T-1))`` + ``explode``), so every tree sees
-  about 2 * psi candidates whatever N is;
-* ``groupBy(tree).applyInPandas`` keeps the psi lowest hashes (sampling
-  without replacement) and grows one isolation tree per group to height
-  ceil(log2 psi) with seeded random splits;
+* one hash per row, taken as a point in [0, 1), decides by itself which tree, if any, the row is
+  a candidate of: tree t owns an interval as wide as 2 * psi / N, so most rows of a large table
+  belong to no tree and stop there, and every tree sees about 2 * psi rows whatever N is.  Where
+  the trees' intervals do not fit side by side (N < 2 * T * psi) they are laid out in several
+  turns, each with a hash of its own;
+* the psi lowest points of each tree are its sample (without replacement).  This bottom-k merges:
+  every task keeps psi rows a tree before the shuffle (a row-number limit), and
+  ``groupBy(tree).applyInPandas`` grows one isolation tree from them to height ceil(log2 psi)
+  with seeded random splits;
 * the node table (trees x < 2 * psi nodes, bounded by the parameters) is
   collected and broadcast; a ``mapInPandas`` stage computes the mean path
   length of every row with the c(n) leaf correction.
@@ -23,7 +25,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wingwatch.session import materialize
@@ -72,22 +74,34 @@ def _grow(X: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size int"
 
 
+def draws(df: DataFrame, key: str, n: int, psi: int, n_trees: int = 100, seed: int = 42) -> DataFrame:
+    """``df`` with ``tree`` and ``point`` for the rows that trees draw: the ``psi`` lowest points of each tree.
+
+    One row is drawn at most once by a tree, and by one tree a turn; with n >= 2 * n_trees * psi there
+    is one turn and one hash a row.  Rows that repeat a key share its point; the limit keeps psi of them.
+    """
+    width = min(1.0, 2.0 * psi / max(n, 1))  # of a tree's interval
+    a_turn = max(1, min(n_trees, int(1.0 / width)))
+    turns = math.ceil(n_trees / a_turn)
+    rows = df.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))) if turns > 1 else F.lit(0))
+    point = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.col("_turn")), F.lit(1 << 52)) / float(1 << 52)
+    tree = (F.col("_turn") * a_turn + F.floor(F.col("point") / width)).cast("int")
+    rows = (rows.withColumn("point", point).filter(F.col("point") < width * a_turn)
+            .withColumn("tree", tree).filter(F.col("tree") < n_trees).drop("_turn"))
+    lowest = Window.partitionBy("tree").orderBy("point", key)
+    return rows.withColumn("_place", F.row_number().over(lowest)).filter(F.col("_place") <= psi).drop("_place")
+
+
 def fit(df: DataFrame, features: list[str], key: str, n_trees: int = 100, max_samples: int = 256,
         seed: int = 42) -> dict:
     """Grow the forest; returns the broadcastable model (node arrays + psi)."""
     n = df.count()
     psi = int(min(max_samples, n))
     limit = int(math.ceil(math.log2(max(psi, 2))))
-    # every tree draws its candidates (about 2 x psi rows) from the whole table by a hash of its own
-    h = lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(max(n, 1)))
-    cand = (df.select(
-                key, *features,
-                F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                                   lambda t: h(t) < 2 * psi)).alias("tree"))
-            .withColumn("h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed))))
+    cand = draws(df.select(key, *features), key, n, psi, n_trees, seed)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", key]).head(psi)
+        pdf = pdf.sort_values(["point", key])
         tree = int(pdf["tree"].iloc[0])
         rng = np.random.default_rng([seed, tree])
         rows = _grow(pdf[features].to_numpy(dtype=float), rng, limit)

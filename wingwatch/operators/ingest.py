@@ -61,10 +61,15 @@ def normalize_accidents(events: DataFrame) -> DataFrame:
         T.safe_str(_col_or_null(e, "wx_cond_basic")).alias("weather_conditions"),
         accident_weather_json(e).alias("weather_data"),
         T.safe_str(_col_or_null(e, "ev_type")).alias("event_type"),
-        F.struct(*[_col_or_null(e, c).alias(c) for c in RAW_DATA_FIELDS]).alias("raw_data"),
+        F.to_json(F.struct(*[_col_or_null(e, c).alias(c) for c in RAW_DATA_FIELDS]), {"ignoreNullFields": "false"}).alias("raw_data"),
     )
 
 
+def scan_aircraft(aircraft: DataFrame, limit: int | None = None) -> DataFrame:
+    """The raw aircraft table; with ``limit`` the first rows in file order (event, line, part, supplier)."""
+    return aircraft if limit is None else aircraft.orderBy("ev_id", "line_no", "part_no", "supp_no").limit(limit)
+
+
 def first_per_key(rows: DataFrame, key: str, order: list[str], value_cols: list[str]) -> DataFrame:
     """the first row per key by ``order`` (file order stand-in).
 
@@ -79,9 +84,12 @@ def first_per_key(rows: DataFrame, key: str, order: list[str], value_cols: list[
 
 
 def enrich_first_aircraft(incidents: DataFrame, aircraft: DataFrame) -> DataFrame:
-    """Left lookup of the first aircraft per event (columns NULL when no match)."""
-    first = first_per_key(aircraft, "ev_id", ["line_no", "part_no", "supp_no"],
-                          ["acft_make", "acft_model", "acft_category", "regis_no", "oper_name"])
+    """Left lookup of the first aircraft per event (columns NULL when no match, or when the
+    aircraft table does not have them)."""
+    order = ["line_no", "part_no", "supp_no"]
+    values = ["acft_make", "acft_model", "acft_category", "regis_no", "oper_name"]
+    present = aircraft.select("ev_id", *order, *[_col_or_null(aircraft, c).alias(c) for c in values])
+    first = first_per_key(present, "ev_id", order, values)
     return (incidents.join(first, incidents.external_id == first.ev_id, "left")
             .drop("ev_id")
             .withColumnsRenamed({"acft_make": "aircraft_make", "acft_model": "aircraft_model",
@@ -89,8 +97,12 @@ def enrich_first_aircraft(incidents: DataFrame, aircraft: DataFrame) -> DataFram
                                  "oper_name": "operator"}))
 
 
-def normalize_reports(reports: DataFrame) -> DataFrame:
-    """Voluntary reports -> 30-column-style incident rows."""
+def normalize_reports(reports: DataFrame, loaded_at: str = "2024-01-01 00:00:00") -> DataFrame:
+    """Voluntary reports -> whole incident rows.
+
+    ``id`` is a digest of source and external id, so loading a report twice gives the same row;
+    ``loaded_at`` is the load's time (created_at, updated_at).  Fields that a report cannot have are NULL.
+    """
     r = reports
     parsed = T.parse_multi_date(_col_or_null(r, "date_raw"))
     synopsis = T.safe_str(_col_or_null(r, "synopsis"), 2000)
@@ -98,25 +110,36 @@ def normalize_reports(reports: DataFrame) -> DataFrame:
     anomaly = _col_or_null(r, "anomaly")
     acn = _col_or_null(r, "acn")
     state = T.safe_str(_col_or_null(r, "state_reference"))
-    return r.select(
+    external_id = F.when(acn.isNotNull(), T.safe_str(acn)).otherwise(
+        F.concat(F.lit("ASRS-"), F.abs(F.xxhash64(*[F.col(c) for c in r.columns])).cast("string")))
+    none = lambda name, kind="string": F.lit(None).cast(kind).alias(name)
+    loaded = F.lit(loaded_at).cast("timestamp_ntz")
+    return r.withColumn("_external_id", external_id).select(
+        F.md5(F.concat(F.lit("ASRS|"), F.col("_external_id"))).alias("id"),
         F.lit("ASRS").alias("source"),
-        F.when(acn.isNotNull(), T.safe_str(acn))
-         .otherwise(F.concat(F.lit("ASRS-"), F.abs(F.xxhash64(*[F.col(c) for c in r.columns])).cast("string")))
-         .alias("external_id"),
+        F.col("_external_id").alias("external_id"),
         F.coalesce(parsed, F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")).alias("incident_date"),
+        none("report_date", "timestamp_ntz"),
         F.coalesce(state, F.lit("USA")).alias("location"),
+        none("airport_code"),
         F.lit("USA").alias("country"),
+        none("latitude", "double"), none("longitude", "double"), none("aircraft_type"),
         T.safe_str(_col_or_null(r, "make_model")).alias("aircraft_make"),
+        none("aircraft_model"), none("aircraft_registration"),
         T.safe_str(_col_or_null(r, "operator")).alias("operator"),
         (T.keyword_phase(F.col("flight_phase")) if "flight_phase" in r.columns
          else F.lit("UNKNOWN")).alias("phase_of_flight"),
+        none("flight_type"),
         T.keyword_severity(_col_or_null(r, "result"), anomaly).alias("severity"),
         *[F.lit(0).alias(c) for c in ("injuries_fatal", "injuries_serious", "injuries_minor",
                                       "injuries_uninjured")],
         F.lit("None").alias("aircraft_damage"),
         F.coalesce(synopsis, narrative).alias("probable_cause"),
+        none("contributing_factors"),
         F.coalesce(F.substring(T.safe_str(anomaly), 1, 100), F.lit("Near Miss")).alias("event_type"),
         T.safe_str(_col_or_null(r, "flight_conditions")).alias("weather_conditions"),
+        none("weather_data"), none("raw_data"),
+        loaded.alias("created_at"), loaded.alias("updated_at"),
     )
 
 

@@ -6,8 +6,8 @@ range narrowing, for any number of columns at once and in the same way for any n
 
 1. one aggregate counts the finite values and the infinities of every column and takes minimum,
    maximum and approximate percentiles (mergeable sketches), which bracket each needed rank;
-2. one pass buckets the rows of every open bracket of every column into ``buckets`` bins
-   (``groupBy(bracket, bin)`` with count/min/max, a partial aggregate, so the shuffle is at most
+2. one aggregate counts the rows below each open bracket, and one pass buckets the rows inside them
+   into ``buckets`` bins (``groupBy(bracket, bin)`` with count/min/max, a partial aggregate, so the shuffle is at most
    brackets x bins rows); the bracket shrinks to the bin that holds the rank, until that bin holds a
    single value.
 
@@ -20,6 +20,7 @@ the neighbouring order statistics (numpy and pandas defaults).
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,22 +45,17 @@ def order_statistics(df: DataFrame, open_: dict[tuple, set[int]], cols: list[str
     result: dict[str, dict[int, float]] = {c: {} for c in cols}
     while open_:
         keys = list(open_)
-        parts = []
-        for j, (i, a, b) in enumerate(keys):
-            x = F.col(f"c{i}")
-            below = F.struct(F.lit(j).alias("j"), F.lit(-1.0).alias("bin"), F.lit(None).cast("double").alias("x"))
-            inside = F.struct(F.lit(j).alias("j"), _bins(x, a, b, buckets).alias("bin"), x.alias("x"))
-            parts.append(F.when(x < a, below).when(x <= b, inside))
-        hist = (df.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("k"))
-                .groupBy("k.j", F.col("k.x").isNull().alias("under"), "k.bin")
-                .agg(F.count(F.lit(1)).alias("c"), F.min("k.x").alias("mn"), F.max("k.x").alias("mx")).collect())
-        under = {j: 0 for j in range(len(keys))}
+        # rows below a bracket are only counted; rows inside one are few and go on to the bins
+        below = df.agg(*[F.count_if(F.col(f"c{i}") < a).alias(f"b{j}") for j, (i, a, _) in enumerate(keys)]).first()
+        under = {j: below[f"b{j}"] for j in range(len(keys))}
+        within = [F.col(f"c{i}").between(a, b) for i, a, b in keys]
+        parts = [F.when(w, F.struct(F.lit(j).alias("j"), _bins(F.col(f"c{i}"), a, b, buckets).alias("bin"), F.col(f"c{i}").alias("x")))
+                 for j, (w, (i, a, b)) in enumerate(zip(within, keys))]
+        hist = (df.filter(reduce(lambda x, y: x | y, within)).select(F.explode(F.array(*parts)).alias("k")).filter("k IS NOT NULL")
+                .groupBy("k.j", "k.bin").agg(F.count(F.lit(1)).alias("c"), F.min("k.x").alias("mn"), F.max("k.x").alias("mx")).collect())
         bins: dict[int, list] = {j: [] for j in range(len(keys))}
         for r in hist:
-            if r["under"]:
-                under[r["j"]] += r["c"]
-            else:
-                bins[r["j"]].append((r["mn"], r["mx"], r["c"]))
+            bins[r["j"]].append((r["mn"], r["mx"], r["c"]))
         left: dict[tuple, set[int]] = {}
         for j, key in enumerate(keys):
             for rank in open_[key]:

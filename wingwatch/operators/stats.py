@@ -6,12 +6,14 @@ on deterministic inputs and reused unchanged on model output.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wingwatch.operators import quantiles as Q
 from wingwatch.operators.analytics import mean6
+from wingwatch.session import materialize
 
 R6 = 6
 
@@ -230,6 +232,41 @@ def percentile_bucket(df: DataFrame, score: str, key: str, **kw) -> DataFrame:
     return df.select(key, score, F.size(F.filter(arr, lambda g: g <= F.col(score))).alias("percentile_bucket"))
 
 
+def exact_percent_rank(df: DataFrame, score: str, key: str) -> DataFrame:
+    """Percent rank (rank - 1) / (rows - 1) of each row, ties equal, as ``percent_rank()`` over the whole table.
+
+    Equal scores are counted first.  The distinct ones are range-partitioned and sorted, each partition
+    adds up its counts in order, and the partitions' sums (one row each) give the offsets; no task
+    sees more than a partition.  A single row has rank 0; NULL and NaN scores have no rank.
+    """
+    spark = df.sparkSession
+    kind = df.schema[score].dataType.simpleString()
+    ranked = F.col(score).isNotNull() & (~F.isnan(score) if kind in ("double", "float") else F.lit(True))
+    counts = df.filter(ranked).groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.repartitionByRange(parts, "_s").sortWithinPartitions("_s").withColumn("_part", F.spark_partition_id())
+
+    def running(batches):
+        total = 0
+        for b in batches:
+            n = b.column("_n").to_numpy()
+            before = total + n.cumsum() - n
+            total += int(n.sum())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.int64())], [*b.schema.names, "_before"])
+
+    placed = materialize(dealt.mapInArrow(running, f"_s {kind}, _n long, _part int, _before long"))
+    sums = sorted((r["_part"], r["here"]) for r in placed.groupBy("_part").agg(F.sum("_n").alias("here")).collect())  # a row a partition
+    total = sum(n for _, n in sums)
+    offsets, before = [], 0
+    for part, n in sums:
+        offsets.append((part, before))
+        before += n
+    places = spark.createDataFrame(offsets, "_part int, _offset long")
+    ranks = placed.join(F.broadcast(places), "_part").select(
+        "_s", ((F.col("_offset") + F.col("_before")) / float(max(total - 1, 1))).alias("percent_rank"))
+    return df.select(key, score).join(ranks, F.col(score) == F.col("_s"), "left").select(key, score, "percent_rank")
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """N rows by a seeded, portable hash of the key: the same rows on every run, partitioning
     and engine (``sample()`` is not stable under repartitioning)."""

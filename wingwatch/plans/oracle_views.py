@@ -177,7 +177,28 @@ SELECT 'E' || CAST(o_orderkey AS VARCHAR) AS ev_id,
   {_pick(A.RAW_PHASE_CODES, 'o_orderkey % 7')} AS phase_flt_spec,
   CASE WHEN o_orderkey % 19 = 0 THEN 'x' WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_custkey % 4 AS VARCHAR) END AS inj_tot_f,
   CAST(CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey % 41 END AS DOUBLE) AS wind_vel_kts,
-  CAST(CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_custkey % 11 END AS DOUBLE) AS vis_sm
+  CAST(CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_custkey % 11 END AS DOUBLE) AS vis_sm,
+  CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_custkey % 9 AS VARCHAR) END AS inj_tot_s,
+  CASE WHEN o_orderkey % 23 = 0 THEN '2.5' ELSE CAST(o_custkey % 3 AS VARCHAR) END AS inj_tot_m,
+  CAST(o_custkey % 180 AS VARCHAR) AS inj_tot_n,
+  CASE WHEN o_orderkey % 16 = 0 THEN '' ELSE CAST(o_custkey % 361 - 180 AS VARCHAR) END AS dec_longitude,
+  CASE WHEN o_orderkey % 12 = 0 THEN NULL ELSE 'AP' || CAST(o_custkey % 50 AS VARCHAR) END AS ev_nr_apt_id,
+  CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'C' || CAST(o_custkey % 5 AS VARCHAR) END AS ev_country,
+  CASE WHEN o_orderkey % 14 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'VMC' ELSE 'IMC' END AS wx_cond_basic,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'ACC' END AS ev_type,
+  CAST(CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE o_custkey % 100 END AS INTEGER) AS wx_temp,
+  CAST(CASE WHEN o_orderkey % 8 = 1 THEN NULL ELSE o_custkey % 70 END AS INTEGER) AS wx_dew_pt,
+  CAST(CASE WHEN o_orderkey % 8 = 2 THEN NULL ELSE o_custkey % 360 END AS INTEGER) AS wind_dir_deg,
+  CAST(CASE WHEN o_orderkey % 4 < 3 THEN NULL ELSE o_custkey % 60 END AS INTEGER) AS gust_kts,
+  CAST(CASE WHEN o_orderkey % 8 = 3 THEN NULL ELSE o_custkey % 40 END AS DOUBLE) AS altimeter,
+  CASE WHEN o_orderkey % 3 = 1 THEN NULL ELSE 'BKN "low"' END AS sky_cond_ceil,
+  CAST(CASE WHEN o_orderkey % 3 = 1 THEN NULL ELSE o_custkey % 30 * 100 END AS INTEGER) AS sky_ceil_ht,
+  CASE WHEN o_orderkey % 6 < 3 THEN NULL ELSE 'DAYL' END AS light_cond,
+  'NTSB' || CAST(o_orderkey AS VARCHAR) AS ntsb_no,
+  CAST(month(o_orderdate) AS INTEGER) AS ev_month,
+  CASE WHEN o_orderkey % 7 = 3 THEN NULL ELSE CAST(o_custkey % 2400 AS INTEGER) END AS ev_time,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'Mo' ELSE 'Su' END AS ev_dow,
+  CASE WHEN o_orderkey % 5 = 1 THEN NULL ELSE 'Field ' || CAST(o_custkey % 20 AS VARCHAR) END AS apt_name
 FROM orders
 """)
 
@@ -199,7 +220,9 @@ SELECT CAST(o_orderkey AS BIGINT) AS acn,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'Synopsis of report ' || CAST(o_orderkey AS VARCHAR) END AS synopsis,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE repeat('Narrative ' || o_orderpriority || ' ', CAST(1 + o_orderkey % 400 AS INTEGER)) END AS narrative,
   'S' || CAST(o_custkey % 7 AS VARCHAR) AS state_reference,
-  o_orderstatus AS flight_conditions
+  o_orderstatus AS flight_conditions,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'MAKE' || CAST(o_custkey % 12 AS VARCHAR) END AS make_model,
+  CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'Operator ' || CAST(o_custkey % 8 AS VARCHAR) END AS operator
 FROM orders
 """)
 

@@ -204,10 +204,26 @@ def weather_json_flatten(spark, sf_dir):
 
 # ---- C11-C14 accident events ------------------------------------------------------
 
-_NTSB_SQL = """
-SELECT ev_id AS external_id, TRY_CAST(ev_date AS TIMESTAMP) AS incident_date,
-  NULLIF(concat_ws(', ', ev_city, ev_state), '') AS location,
-  TRY_CAST(trim(dec_latitude) AS DOUBLE) AS latitude,
+def _int_sql(c: str) -> str:
+    return (f"CAST(COALESCE(CASE WHEN regexp_full_match(trim({c}), '[+-]?[0-9]+') THEN TRY_CAST(trim({c}) AS BIGINT) END, 0) AS INTEGER)")
+
+
+def _json_field(name: str, value: str, text: bool) -> str:
+    told = f"to_json({value})::VARCHAR" if text else f"CAST({value} AS VARCHAR)"
+    return f"CASE WHEN {value} IS NOT NULL THEN '\"{name}\":' || {told} END"
+
+
+_TEXT_WEATHER = {"sky_cond_ceil", "light_cond"}
+_WEATHER_JSON_SQL = ("CASE WHEN COALESCE(" + ", ".join(f"CAST({src} AS VARCHAR)" for src, _ in IN.ACCIDENT_WEATHER_FIELDS) + ") IS NOT NULL "
+                     "THEN '{' || concat_ws(',', " + ", ".join(_json_field(dst, src, src in _TEXT_WEATHER) for src, dst in IN.ACCIDENT_WEATHER_FIELDS)
+                     + ") || '}' END")
+_RAW_JSON_SQL = "CAST(json_object(" + ", ".join(f"'{c}', {c}" for c in IN.RAW_DATA_FIELDS) + ") AS VARCHAR)"
+
+_NTSB_SQL = f"""
+SELECT 'NTSB' AS source, ev_id AS external_id, TRY_CAST(ev_date AS TIMESTAMP) AS incident_date,
+  NULLIF(concat_ws(', ', ev_city, ev_state), '') AS location, ev_nr_apt_id AS airport_code,
+  COALESCE(ev_country, 'USA') AS country,
+  TRY_CAST(trim(dec_latitude) AS DOUBLE) AS latitude, TRY_CAST(trim(dec_longitude) AS DOUBLE) AS longitude,
   CASE phase_flt_spec WHEN 'TAXI' THEN 'TAXI' WHEN 'TKOF' THEN 'TAKEOFF' WHEN 'CLIMB' THEN 'CLIMB'
     WHEN 'CRUISE' THEN 'CRUISE' WHEN 'DESCEND' THEN 'DESCENT' WHEN 'DESCENT' THEN 'DESCENT'
     WHEN 'APPR' THEN 'APPROACH' WHEN 'APPROACH' THEN 'APPROACH' WHEN 'LDG' THEN 'LANDING'
@@ -215,27 +231,33 @@ SELECT ev_id AS external_id, TRY_CAST(ev_date AS TIMESTAMP) AS incident_date,
     WHEN 'OTHER' THEN 'UNKNOWN' ELSE 'UNKNOWN' END AS phase_of_flight,
   CASE ev_highest_injury WHEN 'FATL' THEN 'FATAL' WHEN 'SERS' THEN 'SERIOUS' WHEN 'MINR' THEN 'MINOR'
     WHEN 'NONE' THEN 'NONE' ELSE 'NONE' END AS severity,
-  CAST(COALESCE(CASE WHEN regexp_full_match(trim(inj_tot_f), '[+-]?[0-9]+') THEN TRY_CAST(trim(inj_tot_f) AS BIGINT) END, 0) AS INTEGER) AS injuries_fatal,
-  'USA' AS country
+  {_int_sql('inj_tot_f')} AS injuries_fatal, {_int_sql('inj_tot_s')} AS injuries_serious,
+  {_int_sql('inj_tot_m')} AS injuries_minor, {_int_sql('inj_tot_n')} AS injuries_uninjured,
+  wx_cond_basic AS weather_conditions, {_WEATHER_JSON_SQL} AS weather_data, ev_type AS event_type, {_RAW_JSON_SQL} AS raw_data
 FROM raw_events"""
 
 
 @query("ntsb_normalize", ("raw_events",), _NTSB_SQL)
 def ntsb_normalize(spark, sf_dir):
-    n = IN.normalize_accidents(A.raw_events(_t(spark, sf_dir)))
-    return n.select("external_id", "incident_date", "location", "latitude", "phase_of_flight",
-                    "severity", "injuries_fatal", "country")
-
-
-@query("ntsb_weather_json", ("raw_events",), """
-SELECT ev_id AS external_id,
-  CASE WHEN wind_vel_kts IS NULL AND vis_sm IS NULL THEN NULL ELSE
-    '{' || concat_ws(',', CASE WHEN wind_vel_kts IS NOT NULL THEN '"wind_speed_kt":' || CAST(wind_vel_kts AS VARCHAR) END,
-                          CASE WHEN vis_sm IS NOT NULL THEN '"visibility_sm":' || CAST(vis_sm AS VARCHAR) END) || '}'
-  END AS weather_data
-FROM raw_events""")
+    """C11-C14: whole incident rows, weather and raw payloads included."""
+    return IN.normalize_accidents(A.raw_events(_t(spark, sf_dir)))
+
+
+@query("ntsb_weather_json", ("raw_events",), f"SELECT external_id, weather_data, raw_data FROM ({_NTSB_SQL}) x")
 def ntsb_weather_json(spark, sf_dir):
-    return IN.normalize_accidents(A.raw_events(_t(spark, sf_dir))).select("external_id", "weather_data")
+    return IN.normalize_accidents(A.raw_events(_t(spark, sf_dir))).select("external_id", "weather_data", "raw_data")
+
+
+@query("scan_aircraft", ("raw_aircraft",), "SELECT * FROM raw_aircraft")
+def scan_aircraft(spark, sf_dir):
+    """The whole raw aircraft table."""
+    return IN.scan_aircraft(A.raw_aircraft(_t(spark, sf_dir)))
+
+
+@query("scan_aircraft_top", ("raw_aircraft",), "SELECT * FROM raw_aircraft ORDER BY ev_id, line_no, part_no, supp_no LIMIT 100")
+def scan_aircraft_top(spark, sf_dir):
+    """A6 with TOP n: the first 100 rows in file order."""
+    return IN.scan_aircraft(A.raw_aircraft(_t(spark, sf_dir)), 100)
 
 
 @query("enrich_first_aircraft", ("raw_events", "raw_aircraft"), """
@@ -292,33 +314,46 @@ def parse_dates(spark, sf_dir):
     return r.select("acn", "date_raw", T.parse_multi_date(F.col("date_raw")).alias("parsed_date"))
 
 
-_REPORT_SQL = f"""
-SELECT CAST(acn AS VARCHAR) AS external_id,
-  COALESCE({_DATE_SQL}, TIMESTAMP '2020-01-01 00:00:00') AS incident_date,
-  COALESCE(NULLIF(substring(state_reference, 1, 255), ''), 'USA') AS location,
-  {_PHASE_SQL} AS phase_of_flight, {_SEV_SQL} AS severity,
+def _report_sql(make: str = "NULL", operator: str = "NULL") -> str:
+    null = lambda name, kind="VARCHAR": f"CAST(NULL AS {kind}) AS {name}"
+    return f"""
+SELECT md5('ASRS|' || CAST(acn AS VARCHAR)) AS id, 'ASRS' AS source, CAST(acn AS VARCHAR) AS external_id,
+  COALESCE({_DATE_SQL}, TIMESTAMP '2020-01-01 00:00:00') AS incident_date, {null('report_date', 'TIMESTAMP')},
+  COALESCE(NULLIF(substring(state_reference, 1, 255), ''), 'USA') AS location, {null('airport_code')}, 'USA' AS country,
+  {null('latitude', 'DOUBLE')}, {null('longitude', 'DOUBLE')}, {null('aircraft_type')}, CAST({make} AS VARCHAR) AS aircraft_make,
+  {null('aircraft_model')}, {null('aircraft_registration')}, CAST({operator} AS VARCHAR) AS operator,
+  {_PHASE_SQL} AS phase_of_flight, {null('flight_type')}, {_SEV_SQL} AS severity,
+  0 AS injuries_fatal, 0 AS injuries_serious, 0 AS injuries_minor, 0 AS injuries_uninjured, 'None' AS aircraft_damage,
   COALESCE(NULLIF(substring(synopsis, 1, 2000), ''), NULLIF(substring(narrative, 1, 5000), '')) AS probable_cause,
+  {null('contributing_factors')},
   COALESCE(substring(NULLIF(substring(anomaly, 1, 255), ''), 1, 100), 'Near Miss') AS event_type,
-  NULLIF(substring(flight_conditions, 1, 255), '') AS weather_conditions
+  NULLIF(substring(flight_conditions, 1, 255), '') AS weather_conditions, {null('weather_data')}, {null('raw_data')},
+  TIMESTAMP '2024-01-01 00:00:00' AS created_at, TIMESTAMP '2024-01-01 00:00:00' AS updated_at
 FROM raw_reports"""
-_REPORT_COLUMNS = ["external_id", "incident_date", "location", "phase_of_flight", "severity", "probable_cause",
-                   "event_type", "weather_conditions"]
+
+
+_REPORT_SQL = _report_sql("make_model", "operator")
 
 
 @query("asrs_normalize", ("raw_reports",), _REPORT_SQL)
 def asrs_normalize(spark, sf_dir):
-    return IN.normalize_reports(A.raw_reports(_t(spark, sf_dir))).select(*_REPORT_COLUMNS)
+    """Whole incident rows of the reports."""
+    return IN.normalize_reports(A.raw_reports(_t(spark, sf_dir)))
+
+
+_UNION_COLUMNS = ["source", "external_id", "incident_date", "location", "airport_code", "country", "latitude", "longitude",
+                  "phase_of_flight", "severity", "injuries_fatal", "injuries_serious", "injuries_minor", "injuries_uninjured",
+                  "weather_conditions", "weather_data", "event_type", "raw_data"]
 
 
 @query("union_sources", ("raw_events", "raw_reports"), f"""
-SELECT source, external_id, severity FROM (
-  SELECT 'NTSB' AS source, ev_id AS external_id, CASE ev_highest_injury WHEN 'FATL' THEN 'FATAL' WHEN 'SERS' THEN 'SERIOUS'
-    WHEN 'MINR' THEN 'MINOR' ELSE 'NONE' END AS severity FROM raw_events
-  UNION ALL SELECT 'ASRS', CAST(acn AS VARCHAR), {_SEV_SQL} FROM raw_reports)""")
+SELECT {', '.join(_UNION_COLUMNS)}, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS probable_cause FROM ({_NTSB_SQL}) a
+UNION ALL SELECT {', '.join(_UNION_COLUMNS)}, id, probable_cause FROM ({_REPORT_SQL}) b""")
 def union_sources(spark, sf_dir):
+    """H1: all columns that either source fills."""
     t = _t(spark, sf_dir)
     u = IN.union_sources(IN.normalize_accidents(A.raw_events(t)), IN.normalize_reports(A.raw_reports(t)))
-    return u.select("source", "external_id", "severity")
+    return u.select(*_UNION_COLUMNS, "id", "probable_cause")
 
 
 @query("scan_tsv_reports", ("raw_reports",), _REPORT_SQL)
@@ -329,13 +364,14 @@ def scan_tsv_reports(spark, sf_dir):
     vendor = {"acn": "ACN", "date_raw": "Time / Date", "result": "Events / Result",
               "anomaly": "Events / Anomaly", "flight_phase": "Aircraft 1 / Flight Phase",
               "synopsis": "Report 1 / Synopsis", "narrative": "Report 1 / Narrative",
-              "state_reference": "Place / State Reference",
+              "state_reference": "Place / State Reference", "make_model": "Aircraft 1 / Make Model Name",
+              "operator": "Aircraft 1 / Aircraft Operator",
               "flight_conditions": "Environment / Flight Conditions"}
     r = A.raw_reports(_t(spark, sf_dir))
     r.select(*[F.col(k).alias(v) for k, v in vendor.items()]).write.mode("overwrite").option(
         "sep", "\t").option("header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(path)
     raw, _ = IN.read_delimited(spark, path)
-    return IN.normalize_reports(IN.resolve_report_columns(raw)).select(*_REPORT_COLUMNS)
+    return IN.normalize_reports(IN.resolve_report_columns(raw))
 
 
 @query("scan_narratives", ("raw_reports",),

@@ -208,6 +208,12 @@ def percent_rank(spark, sf_dir):
     return ST.percentile_bucket(A.scored(_t(spark, sf_dir)), "anomaly_score", "id")
 
 
+@query("percent_rank_exact", ("scored",), "SELECT id, anomaly_score, percent_rank() OVER (ORDER BY anomaly_score) AS percent_rank FROM scored")
+def percent_rank_exact(spark, sf_dir):
+    """Exact percent rank of every row, ties equal."""
+    return ST.exact_percent_rank(A.scored(_t(spark, sf_dir)), "anomaly_score", "id")
+
+
 @query("seeded_sample", ("ops_features",),
        "SELECT id, date, operational_risk_score FROM ops_features ORDER BY md5('42|' || id), id LIMIT 1000")
 def seeded_sample(spark, sf_dir):

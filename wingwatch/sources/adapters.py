@@ -182,6 +182,27 @@ def raw_events(t: Tables) -> DataFrame:
         f"ELSE CAST({cu} % 4 AS STRING) END AS inj_tot_f",
         f"CAST(CASE WHEN {k} % 4 = 0 THEN NULL ELSE {cu} % 41 END AS DOUBLE) AS wind_vel_kts",
         f"CAST(CASE WHEN {k} % 8 = 0 THEN NULL ELSE {cu} % 11 END AS DOUBLE) AS vis_sm",
+        f"CASE WHEN {k} % 9 = 0 THEN CAST(NULL AS STRING) ELSE CAST({cu} % 9 AS STRING) END AS inj_tot_s",
+        f"CASE WHEN {k} % 23 = 0 THEN '2.5' ELSE CAST({cu} % 3 AS STRING) END AS inj_tot_m",
+        f"CAST({cu} % 180 AS STRING) AS inj_tot_n",
+        f"CASE WHEN {k} % 16 = 0 THEN '' ELSE CAST({cu} % 361 - 180 AS STRING) END AS dec_longitude",
+        f"CASE WHEN {k} % 12 = 0 THEN CAST(NULL AS STRING) ELSE concat('AP', CAST({cu} % 50 AS STRING)) END AS ev_nr_apt_id",
+        f"CASE WHEN {k} % 10 = 0 THEN CAST(NULL AS STRING) ELSE concat('C', CAST({cu} % 5 AS STRING)) END AS ev_country",
+        f"CASE WHEN {k} % 14 = 0 THEN CAST(NULL AS STRING) WHEN {k} % 2 = 0 THEN 'VMC' ELSE 'IMC' END AS wx_cond_basic",
+        f"CASE WHEN {k} % 13 = 0 THEN CAST(NULL AS STRING) ELSE 'ACC' END AS ev_type",
+        f"CAST(CASE WHEN {k} % 4 = 1 THEN NULL ELSE {cu} % 100 END AS INT) AS wx_temp",
+        f"CAST(CASE WHEN {k} % 8 = 1 THEN NULL ELSE {cu} % 70 END AS INT) AS wx_dew_pt",
+        f"CAST(CASE WHEN {k} % 8 = 2 THEN NULL ELSE {cu} % 360 END AS INT) AS wind_dir_deg",
+        f"CAST(CASE WHEN {k} % 4 < 3 THEN NULL ELSE {cu} % 60 END AS INT) AS gust_kts",
+        f"CAST(CASE WHEN {k} % 8 = 3 THEN NULL ELSE {cu} % 40 END AS DOUBLE) AS altimeter",
+        f"CASE WHEN {k} % 3 = 1 THEN CAST(NULL AS STRING) ELSE 'BKN \"low\"' END AS sky_cond_ceil",
+        f"CAST(CASE WHEN {k} % 3 = 1 THEN NULL ELSE {cu} % 30 * 100 END AS INT) AS sky_ceil_ht",
+        f"CASE WHEN {k} % 6 < 3 THEN CAST(NULL AS STRING) ELSE 'DAYL' END AS light_cond",
+        f"concat('NTSB', CAST({k} AS STRING)) AS ntsb_no",
+        "CAST(month(o_orderdate) AS INT) AS ev_month",
+        f"CASE WHEN {k} % 7 = 3 THEN CAST(NULL AS INT) ELSE CAST({cu} % 2400 AS INT) END AS ev_time",
+        f"CASE WHEN {k} % 2 = 0 THEN 'Mo' ELSE 'Su' END AS ev_dow",
+        f"CASE WHEN {k} % 5 = 1 THEN CAST(NULL AS STRING) ELSE concat('Field ', CAST({cu} % 20 AS STRING)) END AS apt_name",
     )
 
 
@@ -212,6 +233,8 @@ def raw_reports(t: Tables) -> DataFrame:
         f"ELSE repeat(concat('Narrative ', o_orderpriority, ' '), CAST(1 + {k} % 400 AS INT)) END AS narrative",
         f"concat('S', CAST({cu} % 7 AS STRING)) AS state_reference",
         "o_orderstatus AS flight_conditions",
+        f"CASE WHEN {k} % 4 = 0 THEN CAST(NULL AS STRING) ELSE concat('MAKE', CAST({cu} % 12 AS STRING)) END AS make_model",
+        f"CASE WHEN {k} % 6 = 0 THEN CAST(NULL AS STRING) ELSE concat('Operator ', CAST({cu} % 8 AS STRING)) END AS operator",
     )
 
 

@@ -8,21 +8,32 @@ replaces the partitions it produced.
 
 from __future__ import annotations
 
+import json
 import os
+from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from wingwatch.operators import setops as SO
-from wingwatch.session import delete_path, path_exists
+from wingwatch.session import delete_path, list_names, path_exists
 
 MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
 
 
 def write_table(df: DataFrame, path: str, if_exists: str = "append",
                 partition_by: list[str] | None = None) -> None:
-    """Append / replace / fail, as a Parquet table at ``path``."""
+    """Append / replace / fail, as a Parquet table at ``path``.
+
+    Rows of a partitioned table are first brought together by partition (REBALANCE), so that a task
+    writes few partitions and a partition has as many files as its size asks for: adaptive execution
+    merges small ones and splits large ones, as a hot year, over several tasks.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(MODES[if_exists])
     if partition_by:
         w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
@@ -62,31 +73,159 @@ def list_feature_sets(spark: SparkSession, root: str) -> DataFrame:
     return df.groupBy("feature_set_name", "run_date").agg(F.count(F.lit(1)).alias("records"))
 
 
+# ---- H3: keyed upsert with a key table and a redo log -------------------------
+
+#: folders of the key table; a batch reads those that its keys hash to
+KEY_BUCKETS = 32
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
+@dataclass(frozen=True)
+class Rollup:
+    """An aggregate that an upsert keeps current: old rows of updated keys are taken out, new ones added.
+
+    ``group`` and ``sums`` map names to columns of the table; sums are whole numbers or decimals, so that
+    taking out is exact.  ``rows`` counts the rows of a group; a group without rows goes.
+    """
+
+    path: str
+    group: dict[str, Column]
+    sums: dict[str, Column]
+    partition_col: str
+
+
+def key_path(path: str) -> str:
+    return f"{path}.keys"
+
+
+def redo_path(path: str) -> str:
+    return f"{path}.redo"
+
+
+def _folders(spark: SparkSession, path: str) -> dict[str | None, str]:
+    """Partition value as text -> name of its folder, by listing (names are escaped on disk)."""
+    found: dict[str | None, str] = {}
+    for name in list_names(spark, path) if path_exists(spark, path) else ():
+        if "=" in name:
+            value = name.split("=", 1)[1]
+            found[None if value == NULL_FOLDER else unquote(value)] = name
+    return found
+
+
+def _same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+
+
+def _key_rows(rows: DataFrame, keys: list[str], partition_col: str) -> DataFrame:
+    """Rows of the key table: the keys, the text of the partition value (empty and NULL share a folder), the bucket."""
+    text = F.col(partition_col).cast("string")
+    return rows.select(*[F.col(k).alias(k) for k in keys], F.when(text != "", text).alias("_part"),
+                       F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int").alias("_bucket"))
+
+
+def _read_folders(spark: SparkSession, path: str, schema: StructType, names: list[str]) -> DataFrame:
+    if not names:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*[os.path.join(path, n) for n in sorted(names)])
+
+
+def _stage(df: DataFrame, folder: str, partition_by: list[str]) -> None:
+    write_table(df, folder, "replace", partition_by)
+
+
 def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], order: list[str],
-                 partition_col: str, staging_dir: str) -> None:
-    """H3: latest row per key, rewriting only the partitions involved: those the updates go to and
-    those that hold an older copy of an updated key (a key may have moved).  Partitions that this
-    empties are removed; a NULL partition value is a partition like any other.
+                 partition_col: str, staging_dir: str, rollups: tuple[Rollup, ...] = ()) -> int:
+    """H3: latest row per key; returns the number of data files that it read.
+
+    A side table beside ``path`` says which partition holds each key.  The batch is joined with the
+    side table's buckets that its keys hash to, so only partitions that hold an updated key, or take
+    one, are read and rewritten; a key may move, and partitions that this empties are removed.  NULL is
+    a key and a partition value like any other.
 
-    The merged rows are materialised to ``staging_dir`` before the overwrite, so the job never reads
-    and overwrites the same files in one plan; repeating it gives the same table.
+    All results are staged first, then a redo log is written, then they are put in place.  A run that
+    stops before the log changed nothing; one that stops after it is finished by the next call.  So
+    repeating a call, or going on after a crash at any step, gives the same tables.
     """
-    if not path_exists(spark, path):
-        write_table(SO.dedup_by_key(updates, keys, order, latest=True), path, "replace", [partition_col])
+    finish_upsert(spark, path)
+    stage = lambda name: os.path.join(staging_dir, name)
+    SO.dedup_by_key(updates, keys, order, latest=True).write.mode("overwrite").parquet(stage("batch"))
+    batch = spark.read.schema(updates.schema).parquet(stage("batch"))
+    batch_keys = _key_rows(batch, keys, partition_col)
+    folders = _folders(spark, path)
+    names: set[str] = set()
+    key_schema = batch_keys.schema
+    held = spark.createDataFrame([], key_schema)
+    if folders:
+        if not path_exists(spark, os.path.join(key_path(path), "_SUCCESS")):  # a table from before the key table
+            _stage(_key_rows(spark.read.schema(updates.schema).parquet(path), keys, partition_col), key_path(path), ["_bucket"])
+        buckets = {str(r[0]) for r in batch_keys.select("_bucket").distinct().collect()}  # at most KEY_BUCKETS
+        known = _folders(spark, key_path(path))
+        held = _read_folders(spark, key_path(path), key_schema, [known[b] for b in buckets if b in known])
+        old = held.join(batch_keys, _same_key(held, batch_keys, keys), "left_semi").select("_part")
+        touched = old.union(batch_keys.select("_part")).distinct().collect()  # one row a partition
+        names = {folders[r[0]] for r in touched if r[0] in folders}
+    current = _read_folders(spark, path, updates.schema, list(names))
+    merged = SO.upsert(current, batch, keys, order)
+    _stage(merged, stage("rows"), [partition_col])
+    staged = spark.read.schema(merged.schema).parquet(stage("rows"))
+    placed = _key_rows(staged.join(batch_keys, _same_key(staged, batch_keys, keys), "left_semi"), keys, partition_col)
+    _stage(held.join(batch_keys, _same_key(held, batch_keys, keys), "left_anti").unionByName(placed), stage("keys"), ["_bucket"])
+    steps = [[stage("rows"), path, partition_col], [stage("keys"), key_path(path), "_bucket"]]
+    dropped = [os.path.join(path, n) for n in sorted(names - set(_folders(spark, stage("rows")).values()))]
+    for i, rollup in enumerate(rollups):
+        target, gone = _stage_rollup(spark, rollup, current, staged, batch_keys, keys, stage(f"rollup-{i}"))
+        steps.append([stage(f"rollup-{i}"), target, rollup.partition_col])
+        dropped += gone
+    log = json.dumps({"steps": steps, "drop": dropped, "staging": staging_dir})
+    spark.createDataFrame([(log,)], "value string").coalesce(1).write.mode("overwrite").text(redo_path(path))
+    n_files = len(current.inputFiles()) if names else 0
+    finish_upsert(spark, path)
+    return n_files
+
+
+def _stage_rollup(spark: SparkSession, rollup: Rollup, current: DataFrame, staged: DataFrame, batch_keys: DataFrame,
+                  keys: list[str], folder: str) -> tuple[str, list[str]]:
+    """Stages the new state of the rollup's partitions that the batch changes; (path, folders that go)."""
+    def signed(rows: DataFrame, sign: int) -> DataFrame:
+        hit = rows.join(batch_keys, _same_key(rows, batch_keys, keys), "left_semi")
+        return hit.select(*[c.alias(k) for k, c in rollup.group.items()], F.lit(sign).cast("long").alias("rows"),
+                          *[(c * sign).alias(k) for k, c in rollup.sums.items()])
+
+    measures = ["rows", *rollup.sums]
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*rollup.group).agg(*[F.sum(m).cast(change.schema[m].dataType).alias(m) for m in measures])
+
+    change = signed(current, -1).unionByName(signed(staged, 1))
+    change = summed(change)
+    text = F.col(rollup.partition_col).cast("string")
+    parts = [r[0] for r in change.select(F.when(text != "", text)).distinct().collect()]  # one row a partition
+    known = _folders(spark, rollup.path)
+    names = [known[p] for p in parts if p in known]
+    state = summed(_read_folders(spark, rollup.path, change.schema, names).unionByName(change)).filter("rows <> 0")
+    _stage(state, folder, [rollup.partition_col])
+    return rollup.path, [os.path.join(rollup.path, n) for n in sorted(set(names) - set(_folders(spark, folder).values()))]
+
+
+def finish_upsert(spark: SparkSession, path: str) -> None:
+    """Puts what the redo log names in place; does nothing without a whole log.  Every step overwrites
+    whole partitions or removes folders, so it can be repeated."""
+    if not path_exists(spark, os.path.join(redo_path(path), "_SUCCESS")):
         return
-    current = spark.read.schema(updates.schema).parquet(path)
-    moved = current.join(updates.select(*keys).distinct(), keys, "left_semi").select(partition_col)
-    touched = updates.select(partition_col).union(moved).distinct().withColumnRenamed(partition_col, "_touched")
-    here = F.col(partition_col).eqNullSafe(F.col("_touched"))
-    merged = SO.upsert(current.join(touched, here, "left_semi"), updates, keys, order)
-    merged.write.mode("overwrite").parquet(staging_dir)
-    staged = spark.read.schema(merged.schema).parquet(staging_dir)
-    # one row per partition that lost its last row
-    empty = [r[0] for r in touched.join(staged.select(partition_col).distinct(), here, "left_anti").collect()]
-    write_table(staged, path, "replace", [partition_col])
-    for value in empty:
-        name = "__HIVE_DEFAULT_PARTITION__" if value is None else value
-        delete_path(spark, os.path.join(path, f"{partition_col}={name}"))
+    log = json.loads(spark.read.text(redo_path(path)).first()[0])
+    for staged, target, column in log["steps"]:
+        if _folders(spark, staged):  # something to put in place
+            write_table(spark.read.option("basePath", staged).schema(_stored_schema(spark, staged, column)).parquet(staged), target, "replace", [column])
+    for folder in log["drop"]:
+        delete_path(spark, folder)
+    delete_path(spark, redo_path(path))
+    delete_path(spark, log["staging"])
+
+
+def _stored_schema(spark: SparkSession, folder: str, column: str) -> StructType:
+    """Schema of a staged table with its partition column as text, as the folders spell it."""
+    inferred = spark.read.option("basePath", folder).parquet(folder).schema
+    return StructType([StructField(f.name, StringType()) if f.name == column else f for f in inferred])
 
 
 def export_records(df: DataFrame, path: str, fmt: str = "json") -> None:
