@@ -9,6 +9,11 @@ document each benchmark value must always stand for the same document value; whe
 its windows count only if all their values are the item's own.  A document leaks an item when at least ``COVERAGE`` of the
 item's windows are found, or ``RUN`` of them in one alignment (13 tokens of a longer item).
 
+Most documents hold no window of the benchmark.  A window of ``WINDOW`` tokens covers a piece of ``PIECE``
+tokens that begins at a multiple of ``STRIDE`` in the document, so a document's windows are only built
+if one of these pieces, slots as their types, is among the pieces of the benchmark.  The test is a
+Bloom filter inside the row: it lets some documents through in vain and none is missed.
+
 Only benchmark windows are broadcast, after their count was checked; beyond ``BROADCAST_ROWS``
 the join is left to the planner (a shuffle on the window hash).
 """
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 from wingwatch.llm.common import doc_key, fresh, let, saved, text_of
 
 WINDOW = 8
+PIECE, STRIDE = 4, 5  # PIECE + STRIDE - 1 <= WINDOW
+FILTER_BITS = (12, 23)  # least and most bits, as powers of two
 #: fewer plain words than this in a window: its values must match too
 MIN_LITERALS = 4
 COVERAGE, RUN = 0.5, 6
@@ -89,6 +96,60 @@ def _windows(toks: Column, size: int | Column) -> Column:
         F.exists(toks, _is_slot), slotted(toks, places)).otherwise(plain(toks))
 
 
+def _template(toks: Column, spelled: bool) -> Column:
+    """Tokens with slots as their types; ``spelled`` takes names as plain words."""
+    typed = lambda x: F.when(_is_slot(x), F.substring(x, 1, 2)).otherwise(x)
+    if not spelled:
+        return F.transform(toks, typed)
+    return F.transform(toks, lambda x: F.when(_is_name(x), F.substring(x, 3, MAX_CHARS)).otherwise(typed(x)))
+
+
+def _pieces(template: Column, stride: int) -> Column:
+    """Hashes of the pieces of ``PIECE`` tokens at every ``stride``-th place."""
+    def hashed(t: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(t) - (PIECE - 1), F.lit(stride))
+        return F.when(F.size(t) < PIECE, F.array().cast("array<bigint>")).otherwise(
+            F.transform(places, lambda i: F.xxhash64(F.slice(t, i, PIECE))))
+
+    return let(template, hashed)
+
+
+def piece_filter(benchmark: DataFrame):
+    """Test whether a document's tokens may hold a window of the benchmark.
+
+    The filter is a literal array of 64-bit words with two bits a piece; about 32 bits a piece, within
+    ``FILTER_BITS``.  Beyond the largest size more documents pass; the result is the same.
+    """
+    toks = benchmark.select(F.explode(F.array(tokens(text_of()), tokens(text_of(), _ANY_NAME))).alias("t"))
+    every = toks.select(F.explode(F.concat(_pieces(_template(F.col("t"), False), 1), _pieces(_template(F.col("t"), True), 1))).alias("h")).distinct()
+    low, high = FILTER_BITS
+    size = 1 << min(max((32 * max(every.count(), 1) - 1).bit_length(), low), high)
+
+    def bits(h: Column) -> list[Column]:
+        return [h.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(size - 1))]
+
+    marked = every.select(F.explode(F.array(*bits(F.col("h")))).alias("b"))
+    words = (marked.groupBy(F.shiftright("b", 6).cast("int").alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("m")).collect())  # at most size / 64 rows
+    filled = [0] * (size // 64)
+    for r in words:
+        filled[r["w"]] = r["m"]
+    literal = F.split(F.lit(",".join(map(str, filled))), ",").cast("array<bigint>")  # folded once, when the query is planned
+
+    def held(h: Column) -> Column:
+        tests = [F.getbit(F.get(literal, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1 for b in bits(h)]
+        return tests[0] & tests[1]
+
+    def suspicious(t: Column) -> Column:
+        any_of = lambda template: F.exists(_pieces(template, STRIDE), held)
+        return F.when(F.exists(t, _is_slot), any_of(_template(t, False)) | any_of(_template(t, True))).otherwise(any_of(t))
+
+    return suspicious
+
+
+_NO_WINDOWS = "array<struct<pos:int,h:bigint,vals:string>>"
+
+
 def _windows_of(column: str, size: int | Column) -> Column:
     return let(F.col(column), lambda t: _windows(t, size))
 
@@ -140,8 +201,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     small = bench.count() <= BROADCAST_ROWS
     bench = bench.drop("size")
     whole = sorted(r["size"] for r in sizes if r["least"] == 1)
-    windows = F.concat(*[_windows_of("toks", s) for s in sorted(r["size"] for r in sizes) or [WINDOW]],
-                       *[_windows_of("any", s) for s in whole])
+    suspicious = piece_filter(benchmark)
+    long = let(F.col("toks"), lambda t: F.when(suspicious(t), _windows(t, WINDOW)).otherwise(F.array().cast(_NO_WINDOWS)))
+    short = sorted(r["size"] for r in sizes if r["size"] < WINDOW)
+    windows = F.concat(long, *[_windows_of("toks", s) for s in short], *[_windows_of("any", s) for s in whole])
     placed = (docs.select(doc_key().alias("key"), "doc_id", tokens(text_of()).alias("toks"),
                           *[tokens(text_of(), _ANY_NAME).alias("any")] * bool(whole))
               .select("key", "doc_id", F.explode(windows).alias("w"))
@@ -168,5 +231,5 @@ def op7_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that leak an item."""
     mine, leak = fresh(docs, "doc_key"), fresh(docs, "leak_key")
-    bad = leaks(docs, benchmark).select(F.col("key").alias(leak)).distinct()
+    bad = saved(leaks(docs, benchmark).select(F.col("key").alias(leak)).distinct())  # its size is known before the join
     return docs.withColumn(mine, doc_key()).join(bad, F.col(mine) == F.col(leak), "left_anti").select(*docs.columns)

@@ -154,7 +154,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                .withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
                .groupBy("key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")))
     key, cut_key, listed = (fresh(docs, n) for n in ("scan_key", "cut_key", "cuts"))
-    per = islands.groupBy(F.col("key").alias(cut_key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(listed))
+    per = saved(islands.groupBy(F.col("key").alias(cut_key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(listed)))
     text, cuts = F.col("text"), F.col(listed)
     kept = F.transform(cuts, lambda s, i: F.substring(
         text, F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0)).cast("int") + 1,
