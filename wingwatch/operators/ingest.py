@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from wingwatch.session import materialize
 from wingwatch.functions import text as T
+from wingwatch.sources.delimited import read_delimited  # noqa: F401
 
 ACCIDENT_WEATHER_FIELDS = [
     ("wx_temp", "temperature_f"), ("wx_dew_pt", "dew_point_f"),
@@ -185,28 +185,6 @@ REPORT_HEADERS = {
 }
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = "\t",
-                   encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of a delimited file with a header row, all columns as text.
-
-    Quoted fields may hold separators, quotes ("" inside) and line breaks.  A line that does not fit
-    the header goes to ``rejects`` (its text in ``_corrupt_record``), it does not vanish.  The first
-    encoding that leaves no replacement character is used, else the last one.
-    """
-    for i, encoding in enumerate(encodings):
-        reader = (spark.read.option("sep", sep).option("header", True).option("encoding", encoding)
-                  .option("multiLine", True).option("quote", '"').option("escape", '"'))
-        header = reader.csv(path).columns
-        schema = StructType([StructField(c, StringType()) for c in header] + [StructField("_corrupt_record", StringType())])
-        # landed once: rows and rejects are then read from the same parse
-        every = materialize(reader.schema(schema).option("mode", "PERMISSIVE").option(
-            "columnNameOfCorruptRecord", "_corrupt_record").csv(path))
-        if i == len(encodings) - 1 or every.filter(F.concat_ws("", *[F.col(f"`{c}`") for c in header]).contains("\ufffd")).isEmpty():
-            break
-    bad = F.col("_corrupt_record").isNotNull()
-    return every.filter(~bad).drop("_corrupt_record"), every.filter(bad).select("_corrupt_record")
-
-
 def resolve_report_columns(raw: DataFrame) -> DataFrame:
     """B8 applied: rename matched headers to canonical names, drop the rest."""
     picks = []

@@ -2,8 +2,7 @@
 
 Training data is median-imputed (exact distributed medians), split by a
 hash of the record key, and fitted with distributed tree learners.  Scoring
-is ``PipelineModel.transform`` (risk, severity) or a broadcast-tree map
-(isolation forest), so batch scoring is a narrow stage over any number of
+is ``PipelineModel.transform`` (risk) or a broadcast-tree map (severity, isolation forest), so batch scoring is a narrow stage over any number of
 rows.
 """
 
@@ -11,16 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from wingwatch.functions import constants as K
 from wingwatch.functions import risk as R
+from wingwatch.operators import boosting as BO
 from wingwatch.operators import iforest as IF
 from wingwatch.operators import stats as ST
 
@@ -98,34 +96,29 @@ def score_risk(model, df: DataFrame, key: str) -> DataFrame:
                     F.lit(0.85).alias("confidence"), F.lit("v1.0").alias("model_version"))
 
 
-def fit_severity_model(train: DataFrame, features: list[str], label: str, max_iter: int = 100,
-                       max_depth: int = 8, weight_col: str | None = "weight", seed: int = 42):
-    """I5 + I6: 4-class boosted trees as one-vs-rest GBT with balanced weights."""
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=max_depth,
-                        seed=seed)
-    if weight_col:
-        gbt = gbt.setWeightCol(weight_col)
-    ovr = OneVsRest(classifier=gbt, featuresCol="features", labelCol=label, parallelism=4)
-    if weight_col:
-        ovr = ovr.setWeightCol(weight_col)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features",
-                                            handleInvalid="keep"), ovr])
-    return pipe.fit(train)
+def fit_severity_model(train: DataFrame, features: list[str], label: str, max_iter: int = 30,
+                       max_depth: int = 6, rate: float = 0.3, weight_col: str | None = "weight", seed: int = 42) -> dict:
+    """I5 + I6: one softmax-boosted model of the four classes with balanced weights."""
+    return BO.fit(train, features, label, len(SEVERITY_LABELS), weight_col, rounds=max_iter, depth=max_depth, rate=rate, seed=seed)
 
 
-def score_severity(model, df: DataFrame, key: str, n_classes: int = 4) -> DataFrame:
-    """Class, probability map (per-class margins -> logistic -> normalised)
-    and confidence = max probability."""
-    p = model.transform(df)
-    raw = vector_to_array("rawPrediction")
-    probs = F.transform(raw, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-    total = F.aggregate(probs, F.lit(0.0), lambda a, x: a + x)
-    norm = F.transform(probs, lambda x: x / total)
-    labels = F.array(*[F.lit(s) for s in SEVERITY_LABELS[:n_classes]])
-    return p.select(key, F.col("prediction").cast("int").alias("severity_code"), norm.alias("_p")).select(
-        key, "severity_code", F.element_at(labels, F.col("severity_code") + 1).alias("predicted_severity"),
-        F.map_from_arrays(labels, F.transform("_p", lambda x: F.round(x, 4))).alias("probabilities"),
-        F.round(F.array_max("_p"), 4).alias("confidence"))
+def unfit_reason(features: list[str]) -> Column:
+    """Why a row cannot be scored: the first feature that is missing or not a number; NULL where it can."""
+    bad = [F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit(f"missing_{c}")) for c in features]
+    return F.coalesce(*bad, F.lit(None).cast("string"))
+
+
+def score_severity(model: dict, df: DataFrame, key: str) -> DataFrame:
+    """Class, probability map and confidence = largest probability.  A row with an unfit feature is rejected: its
+    class, probabilities and confidence are NULL and ``reject_reason`` names the feature."""
+    scored = BO.predict(df.withColumn("reject_reason", unfit_reason(model["features"])), model, key, ("reject_reason",))
+    labels = F.array(*[F.lit(s) for s in SEVERITY_LABELS])
+    fit = F.col("reject_reason").isNull()
+    return scored.select(
+        key, F.when(fit, F.col("class")).alias("severity_code"),
+        F.when(fit, F.element_at(labels, F.col("class") + 1)).alias("predicted_severity"),
+        F.when(fit, F.map_from_arrays(labels, F.transform("probabilities", lambda x: F.round(x, 4)))).alias("probabilities"),
+        F.when(fit, F.round(F.array_max("probabilities"), 4)).alias("confidence"), "reject_reason")
 
 
 def fit_anomaly_model(train: DataFrame, features: list[str], key: str, n_trees: int = 100,
