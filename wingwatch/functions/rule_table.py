@@ -132,6 +132,40 @@ API_RULES = [
      "HIGH", 20.0, "$", "Safety Risk Management"),
 ]
 
+# FIXED VALUES: the rest of each API item, in the order of API_RULES:
+# id -> (description, implementation time, regulatory references, action steps, KPIs)
+API_DETAILS = {
+    "WEATHER_SEVERE_001": (
+        "Weather conditions exceed safe operating limits. Consider delaying operations.", "Immediate",
+        ["14 CFR 91.103", "ICAO Annex 3"],
+        ["Monitor weather updates every 30 minutes", "Brief crew on alternate airports",
+         "Calculate additional fuel for diversions", "Notify passengers of potential delay"],
+        ["On-time departure rate", "Weather-related incidents"]),
+    "WEATHER_MODERATE_001": (
+        "Elevated weather risk detected. Implement enhanced monitoring.", "1-2 hours", ["14 CFR 91.103"],
+        ["Review latest METAR/TAF", "Confirm alternate airport fuel loaded", "Brief crew on weather conditions"],
+        ["Weather briefing completion rate"]),
+    "FATIGUE_HIGH_001": (
+        "Crew fatigue levels are dangerously high. Immediate action required.", "Immediate",
+        ["14 CFR 117", "EASA ORO.FTL"],
+        ["Verify actual rest hours", "Consider crew replacement", "Delay departure for minimum rest", "Document fatigue report"],
+        ["Fatigue-related incidents", "FDP utilization rate"]),
+    "MAINTENANCE_OVERDUE_001": (
+        "Aircraft has overdue maintenance items. Ground aircraft until resolved.", "Immediate",
+        ["14 CFR 43.3", "14 CFR 91.409"],
+        ["Ground aircraft immediately", "Review overdue items with maintenance", "Complete required maintenance", "Document MEL/CDL items"],
+        ["Maintenance completion rate", "AOG hours"]),
+    "LOW_VIS_001": (
+        "Visibility below standard minimums. Implement LVO procedures.", "Immediate",
+        ["14 CFR 91.175", "ICAO Annex 6"],
+        ["Verify crew is LVO certified", "Confirm aircraft CAT II/III equipped", "Check RVR requirements", "Coordinate with ATC"],
+        ["Low visibility go-around rate", "LVO training currency"]),
+    "TURNAROUND_001": (
+        "Turnaround time below minimum. Risk of incomplete checks.", "Immediate", ["Company SOP"],
+        ["Prioritize critical safety checks", "Use quick-turn checklist", "Verify fuel, weight, balance complete"],
+        ["Turnaround incident rate", "Ground damage rate"]),
+}
+
 # Feature-name aliases applied before rule matching (trap T8, deliberate fix):
 # the rules name ``*_mins`` while operational tables carry ``*_minutes``.
 FEATURE_ALIASES = {"turnaround_time_mins": "turnaround_time_minutes",

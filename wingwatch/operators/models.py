@@ -59,6 +59,12 @@ def prepare(df: DataFrame, key: str, features: list[str], target: str | None = N
     return ST.median_impute(df, features)
 
 
+def labelled(df: DataFrame, key: str, features: list[str], target: str) -> DataFrame:
+    """(key, target, features) of the rows whose target is known, as doubles."""
+    return df.filter(F.col(target).isNotNull()).select(
+        key, F.col(target).cast("double").alias("target"), *[F.col(c).cast("double").alias(c) for c in features])
+
+
 MAX_TRAIN_ROWS = 2_000_000
 
 

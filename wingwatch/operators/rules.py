@@ -15,7 +15,7 @@ from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType,
                                StringType, StructField, StructType)
 
 from wingwatch.functions import constants as K
-from wingwatch.functions.rule_table import API_RULES, FEATURE_ALIASES, RULES
+from wingwatch.functions.rule_table import API_DETAILS, API_RULES, FEATURE_ALIASES, RULES
 
 RULE_SCHEMA = StructType([
     StructField("rule_order", IntegerType()), StructField("rule_id", StringType()),
@@ -152,3 +152,17 @@ def api_recommendations(df: DataFrame, key: str = "id", use_aliases: bool = True
         F.transform("items", lambda x: x["id"]).alias("recommendation_ids"),
         F.least(F.aggregate("items", F.lit(0.0), lambda acc, x: acc + x["reduction"]),
                 F.lit(K.MAX_TOTAL_REDUCTION)).alias("total_risk_reduction"))
+
+
+API_ITEM_SCHEMA = ("recommendation_id string, title string, description string, priority string, risk_reduction_percent double, cost_level string, "
+                   "implementation_time string, sms_pillar string, regulatory_refs array<string>, action_steps array<string>, kpis array<string>")
+
+
+def api_recommendation_items(df: DataFrame, key: str = "id", use_aliases: bool = True) -> DataFrame:
+    """D6 in full: one row per (record, item) in the order served, with all fields of the item."""
+    details = [(rid, title, API_DETAILS[rid][0], prio, red, cost, API_DETAILS[rid][1], pillar, *API_DETAILS[rid][2:])
+               for rid, _, _, _, title, prio, red, cost, pillar in API_RULES]
+    dim = df.sparkSession.createDataFrame(details, API_ITEM_SCHEMA)  # six fixed items
+    fired = api_recommendations(df, key, use_aliases).select("record_id", F.posexplode("recommendation_ids").alias("pos", "recommendation_id"))
+    return (fired.join(F.broadcast(dim), "recommendation_id")
+            .select("record_id", (F.col("pos") + 1).alias("position"), *dim.columns))

@@ -303,8 +303,9 @@ FROM (
 """, ("operational_data",))
 
 
-def with_views(*names: str) -> str:
-    """``WITH`` clause holding the named views and their dependencies, in order."""
+def with_views(*names: str, only: dict[str, str] | None = None) -> str:
+    """``WITH`` clause holding the named views and their dependencies, in order; ``only`` restricts views
+    to the rows that a condition names."""
     ordered: list[str] = []
 
     def add(n: str) -> None:
@@ -315,7 +316,8 @@ def with_views(*names: str) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in ordered) + "\n"
+    held = lambda n: f"SELECT * FROM ({VIEWS[n]}) v WHERE {only[n]}" if only and n in only else VIEWS[n]
+    return "WITH " + ",\n".join(f"{n} AS ({held(n)})" for n in ordered) + "\n"
 
 view("incident_wx", """
 SELECT f.*,

@@ -441,6 +441,22 @@ def incident_page(spark, sf_dir):
                             limit=50, offset=10)
 
 
+@query("incident_page_after", ("incidents",), """
+SELECT p.*, t.total FROM (
+  SELECT id, source, CAST(incident_date AS DATE) AS date, severity, location,
+    CASE WHEN aircraft_make IS NOT NULL THEN aircraft_make || ' ' || COALESCE(aircraft_model, 'None')
+         ELSE 'Unknown' END AS aircraft,
+    substring(probable_cause, 1, 200) AS cause
+  FROM incidents WHERE severity = 'MINOR' AND (incident_date < TIMESTAMP '1997-03-01 00:00:00'
+    OR (incident_date = TIMESTAMP '1997-03-01 00:00:00' AND id > 100))
+  ORDER BY incident_date DESC, id LIMIT 50) p,
+  (SELECT count(*) AS total FROM incidents WHERE severity = 'MINOR') t
+""")
+def incident_page_after(spark, sf_dir):
+    """B3/G2 by key: the page behind the last row seen."""
+    return AN.incident_page(A.incidents(_t(spark, sf_dir), geo=True), severity="MINOR", limit=50, after=("1997-03-01 00:00:00", 100))
+
+
 @query("enrichment_backlog", ("incidents",), """
 SELECT count_if(latitude IS NOT NULL AND longitude IS NOT NULL AND weather_data IS NULL) AS weather_fetch_backlog,
   count_if(weather_data IS NULL) AS weather_generate_backlog,

@@ -72,6 +72,16 @@ def weather_risk_si(spark, sf_dir):
                                             F.col("temperature_c")).alias("weather_risk_score"))
 
 
+@query("latitude_temperature", ("incidents",), """
+SELECT id, round(CASE WHEN COALESCE(latitude <> 0, FALSE) THEN t - (abs(latitude) - 40) / 50.0 * 5.0 ELSE t END, 6) AS temperature_c
+FROM (SELECT id, latitude, CAST(20 - 2 * abs(COALESCE(month(incident_date), 6) - 7) AS DOUBLE) AS t FROM incidents) x""")
+def latitude_temperature(spark, sf_dir):
+    """A seasonal temperature (warmest in July; June where the date is unknown) corrected for latitude, per incident."""
+    season = (20 - 2 * F.abs(F.coalesce(F.month("incident_date"), F.lit(6)) - 7)).cast("double")
+    inc = A.incidents(_t(spark, sf_dir))
+    return inc.select("id", F.round(W.latitude_temperature(season, F.col("latitude")), 6).alias("temperature_c"))
+
+
 @query("weather_risk_kt", ("weather_conditions",),
        f"SELECT id, round({_KT}, 6) AS wind_speed_kt, CAST({_KT_RISK} AS DOUBLE) AS weather_risk_score "
        "FROM weather_conditions")

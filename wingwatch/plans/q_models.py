@@ -209,6 +209,16 @@ def feature_select(spark, sf_dir):
     return out
 
 
+@query("train_frame", ("incident_features",), """
+SELECT id, CAST(injuries_serious AS DOUBLE) AS target, CAST(total_injuries AS DOUBLE) AS total_injuries, CAST(injury_rate AS DOUBLE) AS injury_rate,
+  CAST(severity_code AS DOUBLE) AS severity_code, CAST(has_coordinates AS DOUBLE) AS has_coordinates
+FROM incident_features WHERE injuries_serious IS NOT NULL""")
+def train_frame(spark, sf_dir):
+    """Rows with a target (serious injuries, NULL where unknown), features as doubles."""
+    inc, _ = _frames(spark, sf_dir)
+    return M.labelled(inc, "id", ["total_injuries", "injury_rate", "severity_code", "has_coordinates"], "injuries_serious")
+
+
 @query("example_predictions")
 def example_predictions(spark, sf_dir):
     """A seeded sample of held-out rows, actual vs predicted."""

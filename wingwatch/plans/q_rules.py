@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wingwatch.functions import constants as K
 from wingwatch.functions.incident import incident_features
 from wingwatch.functions.ops import ops_features
-from wingwatch.functions.rule_table import API_RULES, FEATURE_ALIASES, RULES
+from wingwatch.functions.rule_table import API_DETAILS, API_RULES, FEATURE_ALIASES, RULES
 from wingwatch.operators import analytics as AN
 from wingwatch.operators import rules as RU
 from wingwatch.plans.catalog import query
@@ -51,6 +51,14 @@ def _cond_sql(v: str, r: dict) -> str:
     return " AND ".join(parts)
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _list(values: list[str]) -> str:
+    return "CAST(to_json([" + ", ".join(map(_text, values)) + "]) AS VARCHAR)"
+
+
 def _recs_sql(source: str) -> str:
     branches = []
     for i, r in enumerate(RULES):
@@ -65,7 +73,8 @@ def _recs_sql(source: str) -> str:
             f"CAST({r['risk_reduction']} AS DOUBLE) AS risk_reduction_percent, '{r['cost']}' AS cost_level, "
             f"'{r['sms_pillar']}' AS sms_pillar, CAST(0.0 AS DOUBLE) AS shap_contribution, "
             f"{v} AS trigger_value, CAST({thr} AS DOUBLE) AS trigger_threshold, "
-            f"CAST(to_json({[x for x in r['regulations']]}) AS VARCHAR) AS regulatory_refs "
+            f"{_text(r['description'])} AS description, {_text(r['time'])} AS implementation_time, "
+            f"{_list(r['regulations'])} AS regulatory_refs, {_list(r['actions'])} AS action_steps, {_list(r['kpis'])} AS kpis "
             f"FROM {source} WHERE {_cond_sql(v, r)}")
     return "\nUNION ALL ".join(branches)
 
@@ -103,11 +112,30 @@ def recommendation_summary(spark, sf_dir):
     return RU.recommendation_summary(_top10_recs(spark, sf_dir))
 
 
+_RECORD_JSON = """'{' || concat_ws(',', '"rec_id":' || to_json(rec_id)::VARCHAR, '"title":' || to_json(title)::VARCHAR,
+  '"description":' || to_json(description)::VARCHAR, '"priority":' || to_json(priority)::VARCHAR,
+  '"risk_reduction_percent":' || CAST(risk_reduction_percent AS VARCHAR), '"cost_level":' || to_json(cost_level)::VARCHAR,
+  '"implementation_time":' || to_json(implementation_time)::VARCHAR, '"sms_pillar":' || to_json(sms_pillar)::VARCHAR,
+  '"regulatory_refs":' || regulatory_refs, '"shap_contribution":' || CAST(shap_contribution AS VARCHAR),
+  '"trigger_value":' || CAST(trigger_value AS VARCHAR), '"trigger_threshold":' || CAST(trigger_threshold AS VARCHAR),
+  '"action_steps":' || action_steps, '"kpis":' || kpis) || '}'"""
+
+
 @query("recs_json", ("ops_features", "incident_wx"), f"""WITH {_RECORDS_SQL}, {_TOP10_SQL}
-SELECT rec_id, priority, title, regulatory_refs FROM recs""")
+SELECT rec_id, priority, title, regulatory_refs, action_steps, kpis, {_RECORD_JSON} AS json FROM recs""")
 def recs_json(spark, sf_dir):
-    """Export rows of the top-10 run (list fields as JSON text)."""
-    return RU.to_export(_top10_recs(spark, sf_dir)).select("rec_id", "priority", "title", "regulatory_refs")
+    """Whole export rows of the top-10 run (list fields as JSON text, and the JSON record)."""
+    return RU.to_export(_top10_recs(spark, sf_dir))
+
+
+@query("recommendations_ordered", ("ops_features", "incident_wx"), f"""WITH {_RECORDS_SQL}, {_TOP10_SQL}
+SELECT CAST(row_number() OVER (ORDER BY priority_rank, rule_order, record_id) AS INTEGER) AS position, rec_id, priority FROM recs""")
+def recommendations_ordered(spark, sf_dir):
+    """The top-10 run's recommendations in served order, numbered by the order they come in."""
+    ordered = RU.sorted_recommendations(_top10_recs(spark, sf_dir))
+    # at most 13 rules x 10 records: one list in that order
+    listed = ordered.agg(F.array_sort(F.collect_list(F.struct("priority_rank", "rule_order", "record_id", "rec_id", "priority"))).alias("r"))
+    return listed.select(F.posexplode("r").alias("pos", "x")).select((F.col("pos") + 1).alias("position"), "x.rec_id", "x.priority")
 
 
 #: rule feature -> (column of the linear contributions, its SQL)
@@ -162,3 +190,32 @@ def recommendations_api(spark, sf_dir):
     r = RU.api_recommendations(rule_records(spark, sf_dir), key="record_id")
     return r.select("record_id", F.col("total_recommendations").cast("int").alias("total_recommendations"),
                     F.array_join("recommendation_ids", "|").alias("recommendation_ids"), "total_risk_reduction")
+
+
+def _api_items_sql() -> str:
+    fired, out = [], []
+    severe = None
+    for pos, (rid, feature, test, thr, title, prio, red, cost, pillar) in enumerate(API_RULES):
+        v = f"CAST({FEATURE_ALIASES.get(feature, feature)} AS DOUBLE)"
+        cond = f"COALESCE({v} <> 0 AND {v} {dict(gt='>', lt='<', eq1='=')[test]} {thr}, FALSE)"
+        if rid == "WEATHER_SEVERE_001":
+            severe = cond
+        elif rid == "WEATHER_MODERATE_001":
+            cond = f"(NOT {severe} AND {cond})"
+        text, time, refs, steps, kpis = API_DETAILS[rid]
+        fired.append((K.PRIORITY_ORDER[prio], pos, cond, f"'{rid}' AS recommendation_id, {_text(title)} AS title, {_text(text)} AS description, "
+                      f"'{prio}' AS priority, CAST({red} AS DOUBLE) AS risk_reduction_percent, '{cost}' AS cost_level, '{time}' AS implementation_time, "
+                      f"'{pillar}' AS sms_pillar, {_list(refs)} AS regulatory_refs, {_list(steps)} AS action_steps, {_list(kpis)} AS kpis"))
+    before = []
+    for _, _, cond, fields in sorted(fired, key=lambda x: x[:2]):
+        place = " + ".join([f"CAST({c} AS INTEGER)" for c in before] + ["1"])
+        out.append(f"SELECT record_id, {place} AS position, {fields} FROM records WHERE {cond}")
+        before.append(cond)
+    return "\nUNION ALL ".join(out)
+
+
+@query("recommendations_api_items", ("ops_features", "incident_wx"), f"WITH {_RECORDS_SQL}\n{_api_items_sql()}")
+def recommendations_api_items(spark, sf_dir):
+    """Whole items, in the order served."""
+    items = RU.api_recommendation_items(rule_records(spark, sf_dir), key="record_id")
+    return items.withColumns({c: F.to_json(c) for c in ("regulatory_refs", "action_steps", "kpis")})
