@@ -11,7 +11,7 @@ import corpus_pipeline  # noqa: E402
 from conftest import SF_CHECK, SF_SMALL  # noqa: E402
 
 import brute  # noqa: E402
-from wingwatch.llm import chat, decontam, hostrules, langid, minhash, mixing, quality, secrets, suffix, tokens  # noqa: E402
+from wingwatch.llm import chat, decontam, hostrules, langid, merkle, minhash, mixing, pii, quality, secrets, suffix, tokens  # noqa: E402
 
 CLASH = ["size", "copies", "copy", "c0", "q_text", "score", "key", "n", "bucket", "target", "leak_key", "scan_key", "cuts", "host", "w_"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
@@ -44,6 +44,8 @@ OPS = {
     "op8": lambda s, d, e: mixing.op8_mix_sources(d),
     "op9": lambda s, d, e: secrets.op9_find_secrets(d),
     "op10": lambda s, d, e: suffix.op10_remove_repeats(d),
+    "op11": lambda s, d, e: merkle.op11_merkle_manifest(d),
+    "op12": lambda s, d, e: pii.op12_find_pii(d),
 }
 
 
@@ -86,6 +88,23 @@ def test_empty_conversations(spark):
     assert [r.conv_id for r in chat.op5_format_chat(none).collect()] == [-1]
 
 
+def test_conversations_with_repeated_rows_long_texts_and_clashing_names(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", LONG), (2, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", None)]
+    more = "place long, segments string, in_order string, loss string, n_turns string, valid string"
+    wide = spark.createDataFrame([(*r, 7, *"zzzzz") for r in rows], "conv_id long, turn long, role string, text string, " + more)
+    got = {r.conv_id: r for r in chat.op5_format_chat(wide).collect()}
+    assert got[1].n_turns == 2 and got[1].loss_chars == len(LONG) and got[2].n_turns == 3 and got[2].loss_chars == 0
+    assert got[-1].n_turns == 2 and len(got) == 3
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    """All links of the table, two-word shingles, against comparing every pair."""
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    truth = brute.near_groups([(r.doc_id, r.text) for r in docs.collect()], 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.op2_near_duplicates(docs).collect()}
+    assert got == truth
+
+
 @pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_on_edge_rows(spark, stage, tmp_path):
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")

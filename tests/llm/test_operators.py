@@ -344,6 +344,19 @@ def test_short_passwords_and_inline_credentials(spark):
     assert found[3][:2] == (0, 2) and found[7][:2] == (1, 1)
 
 
+# --- op7: the piece filter loses nothing
+
+def test_piece_filter_loses_nothing(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs, bench = table(spark, SF_CHECK, "documents"), table(spark, SF_CHECK, "benchmark")
+    with_filter = sorted(map(tuple, decontam.op7_decontaminate(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "FILTER_BITS", (6, 6))  # a full filter lets everything through
+    full = sorted(map(tuple, decontam.op7_decontaminate(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "piece_filter", lambda b: lambda t: F.lit(True))
+    assert with_filter == full == sorted(map(tuple, decontam.op7_decontaminate(docs, bench).collect())) and with_filter
+
+
 # --- op10
 
 @pytest.mark.parametrize("block", [8 << 20, 3000])

@@ -224,7 +224,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
 
 
 def op7_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per (document, benchmark item it leaks); documents without a row are clean."""
+    """One row per (document, benchmark item it leaks); documents without a row are clean.  A very long text
+    is tested piece by piece; its windows, where it has any, are one array in its row's task."""
     return leaks(docs, benchmark).select("doc_id", "item_id", "n_windows", "n_matched", "n_changed")
 
 

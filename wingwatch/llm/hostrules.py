@@ -101,7 +101,8 @@ def op6_host_rules(docs: DataFrame) -> DataFrame:
     host_failed for every row of ``docs``.
 
     A null or empty text has no words and fails.  All documents without a source form one host.
-    Repeated rows are kept apart; each counts for its host.
+    Repeated rows are kept apart; each counts for its host.  A rate equal to the limit fails the host.
+    A very long text costs its row's task time and memory in proportion to its words.
     """
     figures = saved(base_figures(
         docs.select("doc_id", "text", F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("host")),

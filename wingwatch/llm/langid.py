@@ -172,6 +172,7 @@ def op1_identify_language(docs: DataFrame) -> DataFrame:
 
     A null text, an empty one or one without a letter is ``und`` with score 0.  Without any
     training rows every text is ``und``; with one language every text with a letter is that one.
-    Repeated rows get equal results.
+    Of languages with equal losses the first in order of name wins.  Repeated rows get equal results.
+    A very long text is one row of one Arrow batch; its features take memory in proportion to it.
     """
     return identify(docs.withColumn("held_out", held_out()), fit(docs), ["doc_id", "held_out"])

@@ -265,13 +265,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
 
 
 def op2_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Groups by distinct 2-word shingles at a similarity of 0.8 or more."""
+    """Groups by distinct 2-word shingles at a similarity of 0.8 or more.  A very long text is hashed in
+    segments; its full set is one row where it has a candidate."""
     return near_duplicates(docs, shingle=2, similarity=80)
 
 
 def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates.  A doc_id that is repeated stays
-    once for each of its kept sets; rows without doc_id stay."""
+    once for each of its kept sets, with the row that is least by digest of its text and then by its
+    values; rows without doc_id stay."""
     verdict = _verdicts(docs, shingle, similarity).filter("doc_id IS NOT NULL")
     sets = saved(verdict.groupBy("doc_id", "fp1", "fp2").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
     ids = saved(sets.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.sum("rows").alias("rows")).filter("NOT kept OR rows > 1"))
@@ -285,6 +287,7 @@ def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
     prints = (full_sets(rows.select(text_key, text_of().alias("text")).dropDuplicates([text_key]), shingle, text_key)
               .select(text_key, F.col("fp1").alias(fp1), F.col("fp2").alias(fp2)))
     stay = sets.filter("kept").select("doc_id", F.col("fp1").alias(fp1), F.col("fp2").alias(fp2))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     once = (rows.join(prints, text_key).join(stay, ["doc_id", fp1, fp2], "left_semi")
-            .dropDuplicates(["doc_id", fp1, fp2]).select(*docs.columns))
+            .groupBy("doc_id", fp1, fp2).agg(F.min_by(row, F.struct(text_key, F.to_json(row))).alias(text_key)).select(f"{text_key}.*"))
     return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

@@ -107,7 +107,8 @@ def emit(docs: DataFrame, **how) -> DataFrame:
 
 
 def op8_mix_sources(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and copies) for every row of ``docs``."""
+    """doc_id, size, source_size, target, taken (and copies) for every row of ``docs``.  A very long text is
+    only counted."""
     out = mix(docs, ["doc_id"])
     return out.select("doc_id", "size", "source_size", "target",
                       (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -196,7 +196,7 @@ def scored(docs: DataFrame, model, carry: list[str]) -> DataFrame:
 def op3_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.  Without labelled rows every
     score is 0.5; with one label value only, all scores stand near it.  Repeated rows get equal
-    scores."""
+    scores; a score of exactly ``THRESHOLD`` is a 1.  A very long text is read once by its row's task."""
     out = scored(docs.withColumn("held_out", held_out()), fit(docs, labels), ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

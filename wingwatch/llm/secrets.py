@@ -119,7 +119,8 @@ def op9_find_secrets(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no spans (base_sha256 is then that of the empty string).  Spans are
     ``kind:start:end`` in code points, end exclusive, ordered by start, then kind.  Repeated rows
-    each get their result; a row with null doc_id is scanned like any other.
+    each get their result; a row with null doc_id is scanned like any other.  The parts of a very long text
+    are rows of their own, linked within bins of ``BIN`` code points.
     """
     spans = linked(saved(parts(docs)))
     entry = F.struct(F.col("start"), F.col("kind"), F.col("end"))
