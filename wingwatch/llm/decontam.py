@@ -27,7 +27,7 @@ from wingwatch.llm.common import doc_key, fresh, let, saved, text_of
 
 WINDOW = 8
 PIECE, STRIDE = 4, 5  # PIECE + STRIDE - 1 <= WINDOW
-FILTER_BITS = (12, 23)  # least and most bits, as powers of two
+FILTER_BITS = (12, 20)  # least and most bits, as powers of two
 #: fewer plain words than this in a window: its values must match too
 MIN_LITERALS = 4
 COVERAGE, RUN = 0.5, 6
@@ -136,13 +136,16 @@ def piece_filter(benchmark: DataFrame):
         filled[r["w"]] = r["m"]
     literal = F.split(F.lit(",".join(map(str, filled))), ",").cast("array<bigint>")  # folded once, when the query is planned
 
-    def held(h: Column) -> Column:
-        tests = [F.getbit(F.get(literal, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1 for b in bits(h)]
+    def held(h: Column, filter_: Column) -> Column:
+        tests = [F.getbit(F.get(filter_, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1 for b in bits(h)]
         return tests[0] & tests[1]
 
     def suspicious(t: Column) -> Column:
-        any_of = lambda template: F.exists(_pieces(template, STRIDE), held)
-        return F.when(F.exists(t, _is_slot), any_of(_template(t, False)) | any_of(_template(t, True))).otherwise(any_of(t))
+        def tested(filter_: Column) -> Column:
+            any_of = lambda template: F.exists(_pieces(template, STRIDE), lambda h: held(h, filter_))
+            return F.when(F.exists(t, _is_slot), any_of(_template(t, False)) | any_of(_template(t, True))).otherwise(any_of(t))
+
+        return let(literal, tested)  # the words stand in the plan once
 
     return suspicious
 
