@@ -168,6 +168,7 @@ def _histograms(trees: list[dict], columns: list[np.ndarray], level: list[np.nda
 def best_cuts(hist: DataFrame, ridge: float) -> DataFrame:
     """The best cut of each (class, node): rows with bin <= ``bin`` go left."""
     unit = float(2 ** SCALE)
+    hist = hist.repartition("k", "node")  # every step below groups by these, so rows move once
     summed = hist.groupBy("k", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "ghn"])
     along = Window.partitionBy("k", "node", "feature").orderBy("bin")
     whole = Window.partitionBy("k", "node", "feature")

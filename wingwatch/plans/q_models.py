@@ -20,7 +20,7 @@ from wingwatch.sources.tables import Tables
 
 # model parameters (the reference's, see SURVEY I2/I5/I9; the softmax model takes fewer, larger steps)
 RISK_PARAMS = dict(max_iter=100, max_depth=6, step=0.1, subsample=0.8, col_sample="0.8", seed=42)
-SEVERITY_PARAMS = dict(max_iter=30, max_depth=6, rate=0.3, seed=42)
+SEVERITY_PARAMS = dict(max_iter=8, max_depth=4, rate=0.5, seed=42)
 ANOMALY_PARAMS = dict(n_trees=100, max_samples=256, seed=42)
 WHAT_IF_SCENARIOS = [{"severity_code": 0}, {"total_injuries": 0, "injury_rate": 0.0},
                      {"is_weekend": 0, "has_coordinates": 1}]
@@ -157,7 +157,7 @@ def risk_boost_scores(spark, sf_dir):
     key = ("risk-boost", _version(spark, sf_dir))
     if key not in _CACHE:
         train = M.training_sample(b["data"].filter("split = 'train'"), "id")
-        _CACHE[key] = M.BO.fit(train, b["features"], "injury_score", rounds=30, depth=6, rate=0.3, row_share=0.8, column_share=0.8)
+        _CACHE[key] = M.BO.fit(train, b["features"], "injury_score", rounds=8, depth=4, rate=0.5, row_share=0.8, column_share=0.8)
     test = b["data"].filter("split = 'test'")
     return M.BO.predict(test, _CACHE[key], "id", ("injury_score",)).withColumnRenamed("injury_score", "actual")
 
