@@ -142,12 +142,30 @@ def score_risk(spark, sf_dir):
 
 @query("score_severity")
 def score_severity(spark, sf_dir):
-    """Batch severity scoring of every incident."""
+    """Batch severity scoring of every incident (NULLs imputed with training medians); rows that the
+    model cannot take are rejected."""
     b = severity_bundle(spark, sf_dir)
     inc, _ = _frames(spark, sf_dir)
-    rows = inc.select("id", *[F.col(c).cast("double") for c in b["features"]]).na.fill(
-        {k: v for k, v in b["medians"].items() if v is not None})
-    return M.score_severity(b["model"], rows, "id")
+    return M.score_severity_batch(b["model"], inc, "id", b["features"], b["medians"])
+
+
+#: the features that the severity model resolves on the incident table, in its order
+SEVERITY_BATCH = ["injuries_fatal", "injuries_serious", "injuries_minor", "injuries_uninjured", "latitude", "longitude", "year",
+                  "month", "day_of_week", "day_of_year", "quarter", "is_weekend", "is_holiday_season", "is_serious", "phase_risk",
+                  "total_injuries", "total_people", "injury_rate", "has_coordinates", "is_us", "weather_risk"]
+
+
+@query("severity_batch_rejects", ("incident_features",), """
+SELECT id, status, unfit FROM (
+  SELECT id, unfit, CASE WHEN unfit = '' THEN 'accepted' ELSE 'rejected' END AS status FROM (
+    SELECT id, concat_ws(',', """ + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in SEVERITY_BATCH) + """) AS unfit
+    FROM incident_features) x) y""")
+def severity_batch_rejects(spark, sf_dir):
+    """Which incidents the severity model takes as they come, without imputing, and what the others lack."""
+    inc, ops = _frames(spark, sf_dir)
+    batch = M.batch_features(inc, "id", M.model_feature_sets(inc, ops)["severity"])
+    return batch.select("id", F.when(F.size("unfit") == 0, "accepted").otherwise("rejected").alias("status"),
+                        F.array_join("unfit", ",").alias("unfit"))
 
 
 @query("score_anomaly")
