@@ -366,10 +366,14 @@ def union_sources(spark, sf_dir):
     return u.select(*_UNION_COLUMNS, "id", "probable_cause")
 
 
+REPORTS_A_FILE = 50_000
+
+
 @query("scan_tsv_reports", ("raw_reports",), _REPORT_SQL)
 def scan_tsv_reports(spark, sf_dir):
-    """A9 + B8: land the reports as a TSV with vendor headers in the shared
-    folder, scan it back with header resolution and normalise."""
+    """A9 + B8: land the reports as TSV files with vendor headers in the shared folder, scan them
+    back with header resolution and normalise.  The files are compressed, and of a bounded number of
+    reports each, as a compressed file is read by one task."""
     path = os.path.join(checkpoint_dir(spark), f"reports-{uuid.uuid4().hex}.tsv")
     vendor = {"acn": "ACN", "date_raw": "Time / Date", "result": "Events / Result",
               "anomaly": "Events / Anomaly", "flight_phase": "Aircraft 1 / Flight Phase",
@@ -379,7 +383,8 @@ def scan_tsv_reports(spark, sf_dir):
               "flight_conditions": "Environment / Flight Conditions"}
     r = A.raw_reports(_t(spark, sf_dir))
     r.select(*[F.col(k).alias(v) for k, v in vendor.items()]).write.mode("overwrite").option(
-        "sep", "\t").option("header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(path)
+        "sep", "\t").option("header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).option(
+        "compression", "gzip").option("maxRecordsPerFile", REPORTS_A_FILE).csv(path)
     raw, _ = IN.read_delimited(spark, path)
     return IN.normalize_reports(IN.resolve_report_columns(raw))
 

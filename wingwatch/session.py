@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -71,6 +72,14 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def keep(df):
+    """``df`` written once to the shared checkpoint folder as a compressed table, and read from there: for wide or
+    long frames, which ``materialize`` would hold in full size."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"kept-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` is there, asked of the file system it names (local, HDFS, object store)."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

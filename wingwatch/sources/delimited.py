@@ -8,8 +8,10 @@ whether it begins inside a quoted field.  The file is read as lines by splits:
 2. chaining these rows along the file gives the true state at the start of each split, and which split
    opened the record that is still open there;
 3. each split joins its lines into whole records.  The parts of a record that crosses a border are
-   brought together by the split that opened it, one group a record;
-4. records are parsed by Spark's CSV expression.  One that does not fit the header is a reject.
+   brought together by the split that opened it, one group a record; they alone are kept between the
+   steps, and only looked for where step 2 found such records;
+4. records are parsed by Spark's CSV expression.  One that does not fit the header is a reject.  The parsed
+   rows are written once, as a compressed table.
 
 The encoding is decided by the first pass as well: the first one in which no line is broken.
 """
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from wingwatch.session import materialize
+from wingwatch.session import keep, materialize
 
 QUOTE = b'"'
 CORRUPT = "_corrupt_record"
@@ -98,11 +100,13 @@ def _scan(sep: bytes):
     return run
 
 
-def _chain(rows: list) -> dict[tuple[str, int], tuple[bool, int]]:
-    """Step 2: (file, split) -> (starts inside a quoted field, split that opened the record)."""
+def _chain(rows: list) -> tuple[dict[tuple[str, int], tuple[bool, int]], bool]:
+    """Step 2: (file, split) -> (starts inside a quoted field, split that opened the record); whether any split
+    ends inside a quoted field."""
     known: dict[tuple[str, int], tuple[bool, int]] = {}
-    file, inside, opener = None, False, 0
-    for r in sorted(rows, key=lambda r: (r["file"], r["start"], r["piece"])):
+    ordered = sorted(rows, key=lambda r: (r["file"], r["start"], r["piece"]))
+    file, inside, opener, crossing = None, False, 0, False
+    for r, after in zip(ordered, [*ordered[1:], None]):
         if r["file"] != file:
             file, inside, opener = r["file"], False, 0
         if (r["file"], r["start"]) not in known:
@@ -111,7 +115,8 @@ def _chain(rows: list) -> dict[tuple[str, int], tuple[bool, int]]:
         if ends and (not inside or r["closes"]):
             opener = r["start"]
         inside = ends
-    return known
+        crossing |= inside and (after is None or (after["file"], after["start"]) != (r["file"], r["start"]))
+    return known, crossing
 
 
 def _records(known: dict, sep: bytes):
@@ -162,22 +167,52 @@ def _records(known: dict, sep: bytes):
     return run
 
 
-def records(spark: SparkSession, path: str, sep: str = "\t", encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> tuple[DataFrame, str]:
-    """(whole records as text without the header of each file, encoding)."""
+_CUT = "file string, opener long, start long, seq long, part boolean, first boolean, record binary"
+
+
+def _cut(spark: SparkSession, path: str, sep: str, encodings: tuple[str, ...]) -> tuple[DataFrame, str, bytes]:
+    """(whole records as text without the header of each file, encoding, header record of the first file)."""
     s = sep.encode()
     lines = _lines(spark, path)
     scanned = lines.mapInArrow(_scan(s), "file string, start long, piece long, from_out boolean, from_in boolean, closes boolean, broken long").collect()
     broken = sum(r["broken"] for r in scanned)
     encoding = next((e for e in encodings if e.upper().replace("-", "") != "UTF8" or not broken), encodings[-1])
-    cut = lines.drop("utf8").mapInArrow(_records(_chain(scanned), s), (
-        "file string, opener long, start long, seq long, part boolean, first boolean, record binary"))
-    cut = materialize(cut)
-    joined = (cut.filter("part").groupBy("file", "opener").agg(F.array_sort(F.collect_list(F.struct("start", "seq", "record", "first"))).alias("p"))
-              .select(F.get("p", F.lit(0))["first"].alias("first"),
-                      F.decode(F.aggregate("p", F.lit(None).cast("binary"), lambda a, x: F.coalesce(F.concat(a, F.lit(bytearray(b"\n")), x["record"]), x["record"])),
-                               encoding).alias("record")))
-    whole = cut.filter("NOT part").select("first", F.decode("record", encoding).alias("record"))
-    return whole.unionByName(joined).filter("NOT first").select("record"), encoding
+    known, crossing = _chain(scanned)
+    cut = lines.drop("utf8").mapInArrow(_records(known, s), _CUT)
+    found = cut.filter("NOT part AND NOT first").select(F.decode("record", encoding).alias("record"))
+    if crossing:
+        # the records that cross a border: at most one a split
+        parts = materialize(cut.filter("part"))
+        joined = (parts.groupBy("file", "opener").agg(F.array_sort(F.collect_list(F.struct("start", "seq", "record", "first"))).alias("p"))
+                  .select(F.get("p", F.lit(0))["first"].alias("first"),
+                          F.decode(F.aggregate("p", F.lit(None).cast("binary"), lambda a, x: F.coalesce(F.concat(a, F.lit(bytearray(b"\n")), x["record"]), x["record"])),
+                                   encoding).alias("record")))
+        found = found.unionByName(joined.filter("NOT first").select("record"))
+    files = sorted({r["file"] for r in scanned})
+    return found, encoding, next((h for h in (_header(lines, s, f) for f in files) if h), b"")
+
+
+def _header(lines: DataFrame, sep: bytes, file: str) -> bytes:
+    """First record of a file, from as many of its lines as that takes; empty if it has none."""
+    of_file, n = lines.filter(F.col("file") == file).select("line"), 16
+    while True:
+        head = [bytes(r[0]) for r in of_file.head(n)]
+        held, inside = [], False
+        for line in head:
+            if not held and not line:  # empty lines are no records
+                continue
+            held.append(line)
+            inside = ends_inside(line, inside, sep)
+            if not inside:
+                return b"\n".join(held)
+        if len(head) < n:
+            return b"\n".join(held)
+        n *= 8
+
+
+def records(spark: SparkSession, path: str, sep: str = "\t", encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> tuple[DataFrame, str]:
+    """(whole records as text without the header of each file, encoding)."""
+    return _cut(spark, path, sep, encodings)[:2]
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = "\t",
@@ -187,14 +222,15 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "\t",
     Quoted fields may hold separators, quotes ("" inside) and line breaks, which come out as one line feed.  A record
     that does not fit the header goes to ``rejects`` (its text in ``_corrupt_record``), it does not vanish.  The first
     encoding that leaves no broken line is used, else the last one.  A file is read by as many tasks as it has splits.
+    Between the files and the result only the parsed rows are kept, once and compressed.
     """
-    found, encoding = records(spark, path, sep, encodings)
-    header = (spark.read.option("sep", sep).option("header", True).option("encoding", encoding).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').csv(path).columns)
+    found, encoding, first = _cut(spark, path, sep, encodings)
+    header = (spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"')
+              .csv(spark.sparkContext.parallelize([first.decode(encoding, "replace")], 1)).columns)
     schema = StructType([StructField(c, StringType()) for c in header] + [StructField(CORRUPT, StringType())])
     options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = F.from_csv(F.col("record"), F.lit(_ddl(schema)), options)
-    every = materialize(found.select(parsed.alias("r")).select("r.*"))
+    every = keep(found.select(parsed.alias("r")).select("r.*"))
     bad = F.col(CORRUPT).isNotNull()
     return every.filter(~bad).drop(CORRUPT), every.filter(bad).select(CORRUPT)
 
