@@ -1,6 +1,6 @@
 """Dimension enrichment and keyed updates.
 
-The aircraft types (24 fixed values) are matched by two look-ups a row (D3).  Airports (D2) and
+The aircraft types (24 fixed values) are matched by two hashed look-ups a row (D3).  Airports (D2) and
 the keyed update (D7) are joins that AQE plans: broadcast while a side is small, sort-merge with
 skew splitting beyond.
 """
@@ -57,10 +57,13 @@ def _needles(values: list[str], longest: int) -> dict[str, int]:
     return index
 
 
-def _mask(needle: Column, index: dict[str, int], n: int, legacy_empty_match: bool) -> Column:
-    pairs = [F.lit(x) for needle_mask in index.items() for x in needle_mask]
-    found = F.coalesce(F.try_element_at(F.create_map(*pairs), needle), F.lit(0))
-    return F.when(needle == "", F.lit((1 << n) - 1)).otherwise(found) if legacy_empty_match else found
+def _with_mask(df: DataFrame, needle: str, index: dict[str, int], n: int, legacy_empty_match: bool, name: str) -> DataFrame:
+    """``df`` with the mask of the column ``needle``, looked up by a hash join with the index."""
+    rows = df.sparkSession.createDataFrame(list(index.items()), f"_{needle} string, _mask long")
+    found = F.coalesce(F.col("_mask"), F.lit(0).cast("long"))
+    mask = F.when(F.col(needle) == "", F.lit((1 << n) - 1).cast("long")).otherwise(found) if legacy_empty_match else found
+    return (df.join(F.broadcast(rows), F.col(needle) == F.col(f"_{needle}"), "left")
+            .withColumn(name, mask).drop(f"_{needle}", "_mask"))
 
 
 def aircraft_matches(incidents: DataFrame, types: list[tuple] = K.AIRCRAFT_TYPES, make_chars: int = 4,
@@ -73,15 +76,16 @@ def aircraft_matches(incidents: DataFrame, types: list[tuple] = K.AIRCRAFT_TYPES
     ``contains('')`` matches every row).
 
     The fixed types (at most 62) are indexed by all their substrings of that length: a row looks up the bit
-    masks of the types that hold its two needles.  No join, no shuffle, no loop over the types.
+    masks of the types that hold its two needles, by a join with each index (a few hundred rows, broadcast and
+    hashed).  No shuffle, no loop over the types or over the index.
     """
-    makes, models = ([t[i].upper() for t in types] for i in (0, 1))
-    n_make = F.substring(F.upper("aircraft_make"), 1, make_chars)
-    n_model = F.substring(F.upper(F.coalesce("aircraft_model", F.lit(""))), 1, model_chars)
-    masks = [_mask(n, _needles(v, c), len(types), legacy_empty_match).cast("long")
-             for n, v, c in ((n_make, makes, make_chars), (n_model, models, model_chars))]
-    inc = (incidents.filter(F.col("aircraft_make").isNotNull()).select("id", masks[0].alias("by_make"), masks[1].alias("by_model"))
-           .select("id", F.col("by_make").bitwiseOR(F.col("by_model")).alias("m")))
+    inc = incidents.filter(F.col("aircraft_make").isNotNull()).select(
+        "id", F.substring(F.upper("aircraft_make"), 1, make_chars).alias("by_make"),
+        F.substring(F.upper(F.coalesce("aircraft_model", F.lit(""))), 1, model_chars).alias("by_model"))
+    for i, (needle, chars) in enumerate((("by_make", make_chars), ("by_model", model_chars))):
+        index = _needles([t[i].upper() for t in types], chars)
+        inc = _with_mask(inc, needle, index, len(types), legacy_empty_match, f"_{i}")
+    inc = inc.select("id", F.col("_0").bitwiseOR(F.col("_1")).alias("m"))
     m = F.col("m")
     worst = None  # the largest risk factor among the matched types
     for risk in sorted({float(t[7]) for t in types}, reverse=True):
