@@ -19,20 +19,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from wingwatch.operators import setops as SO
-from wingwatch.session import delete_path, list_names, path_exists
+from wingwatch.session import delete_path, list_names, materialize, path_exists
 
 MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
 
 
 def write_table(df: DataFrame, path: str, if_exists: str = "append",
-                partition_by: list[str] | None = None) -> None:
+                partition_by: list[str] | None = None, rebalance: bool = True) -> None:
     """Append / replace / fail, as a Parquet table at ``path``.
 
     Rows of a partitioned table are first brought together by partition (REBALANCE), so that a task
     writes few partitions and a partition has as many files as its size asks for: adaptive execution
-    merges small ones and splits large ones, as a hot year, over several tasks.
+    merges small ones and splits large ones, as a hot year, over several tasks.  Without ``rebalance`` they are
+    written as they come, for rows that already lie by partition.
     """
-    if partition_by:
+    if partition_by and rebalance:
         df = df.hint("rebalance", *partition_by)
     w = df.write.mode(MODES[if_exists])
     if partition_by:
@@ -154,9 +155,9 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[
     folders = _folders(spark, path)
     names: set[str] = set()
     key_schema = batch_keys.schema
-    held = spark.createDataFrame([], key_schema)
+    keyed = path_exists(spark, os.path.join(key_path(path), "_SUCCESS"))
     if folders:
-        if not path_exists(spark, os.path.join(key_path(path), "_SUCCESS")):  # a table from before the key table
+        if not keyed:  # a table from before the key table
             _stage(_key_rows(spark.read.schema(updates.schema).parquet(path), keys, partition_col), key_path(path), ["_bucket"])
         buckets = {str(r[0]) for r in batch_keys.select("_bucket").distinct().collect()}  # at most KEY_BUCKETS
         known = _folders(spark, key_path(path))
@@ -165,15 +166,25 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[
         touched = old.union(batch_keys.select("_part")).distinct().collect()  # one row a partition
         names = {folders[r[0]] for r in touched if r[0] in folders}
     current = _read_folders(spark, path, updates.schema, list(names))
-    merged = SO.upsert(current, batch, keys, order)
+    if not names:
+        merged = batch
+    elif keyed:
+        merged = _latest(current, batch, keys, order)
+    else:  # its keys may repeat
+        merged = SO.upsert(current, batch, keys, order)
     _stage(merged, stage("rows"), [partition_col])
     staged = spark.read.schema(merged.schema).parquet(stage("rows"))
-    placed = _key_rows(staged.join(batch_keys, _same_key(staged, batch_keys, keys), "left_semi"), keys, partition_col)
-    _stage(held.join(batch_keys, _same_key(held, batch_keys, keys), "left_anti").unionByName(placed), stage("keys"), ["_bucket"])
+    if names:
+        placed = _key_rows(staged.join(batch_keys, _same_key(staged, batch_keys, keys), "left_semi"), keys, partition_col)
+    else:
+        placed = batch_keys
+    if folders:
+        placed = held.join(batch_keys, _same_key(held, batch_keys, keys), "left_anti").unionByName(placed)
+    _stage(placed, stage("keys"), ["_bucket"])
     steps = [[stage("rows"), path, partition_col], [stage("keys"), key_path(path), "_bucket"]]
     dropped = [os.path.join(path, n) for n in sorted(names - set(_folders(spark, stage("rows")).values()))]
     for i, rollup in enumerate(rollups):
-        target, gone = _stage_rollup(spark, rollup, current, staged, batch_keys, keys, stage(f"rollup-{i}"))
+        target, gone = _stage_rollup(spark, rollup, current if names else None, staged, batch_keys, keys, stage(f"rollup-{i}"))
         steps.append([stage(f"rollup-{i}"), target, rollup.partition_col])
         dropped += gone
     log = json.dumps({"steps": steps, "drop": dropped, "staging": staging_dir})
@@ -183,21 +194,39 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[
     return n_files
 
 
-def _stage_rollup(spark: SparkSession, rollup: Rollup, current: DataFrame, staged: DataFrame, batch_keys: DataFrame,
+def _latest(current: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Latest row per key of two frames that each hold a key once; the batch wins a tie.  Each side is joined with the
+    keys and the order of the other, so its rows are neither packed nor aggregated."""
+    def newer(rows: DataFrame, other: DataFrame, wins_tie: bool) -> DataFrame:
+        names = [f"_k{i}" for i in range(len(keys))]
+        o = other.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.struct(*order).alias("_other"))
+        same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(o[n]) for k, n in zip(keys, names)])
+        own, theirs = F.struct(*order), F.col("_other")
+        return (rows.join(o, same, "left").filter(theirs.isNull() | (own >= theirs if wins_tie else own > theirs))
+                .drop(*names, "_other"))
+
+    return newer(current, batch, False).unionByName(newer(batch, current, True))
+
+
+def _stage_rollup(spark: SparkSession, rollup: Rollup, current: DataFrame | None, staged: DataFrame, batch_keys: DataFrame,
                   keys: list[str], folder: str) -> tuple[str, list[str]]:
-    """Stages the new state of the rollup's partitions that the batch changes; (path, folders that go)."""
+    """Stages the new state of the rollup's partitions that the batch changes; (path, folders that go).  ``current``
+    is None where all staged rows are new."""
     def signed(rows: DataFrame, sign: int) -> DataFrame:
-        hit = rows.join(batch_keys, _same_key(rows, batch_keys, keys), "left_semi")
+        hit = rows if current is None else rows.join(batch_keys, _same_key(rows, batch_keys, keys), "left_semi")
         return hit.select(*[c.alias(k) for k, c in rollup.group.items()], F.lit(sign).cast("long").alias("rows"),
                           *[(c * sign).alias(k) for k, c in rollup.sums.items()])
 
     measures = ["rows", *rollup.sums]
 
     def summed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*rollup.group).agg(*[F.sum(m).cast(change.schema[m].dataType).alias(m) for m in measures])
+        return rows.groupBy(*rollup.group).agg(*[F.sum(m).cast(kinds[m].dataType).alias(m) for m in measures])
 
-    change = signed(current, -1).unionByName(signed(staged, 1))
-    change = summed(change)
+    change = signed(staged, 1)
+    kinds = change.schema
+    if current is not None:
+        change = signed(current, -1).unionByName(change)
+    change = materialize(summed(change))  # a few rows a day
     text = F.col(rollup.partition_col).cast("string")
     parts = [r[0] for r in change.select(F.when(text != "", text)).distinct().collect()]  # one row a partition
     known = _folders(spark, rollup.path)
@@ -215,7 +244,7 @@ def finish_upsert(spark: SparkSession, path: str) -> None:
     log = json.loads(spark.read.text(redo_path(path)).first()[0])
     for staged, target, column in log["steps"]:
         if _folders(spark, staged):  # something to put in place
-            write_table(spark.read.option("basePath", staged).schema(_stored_schema(spark, staged, column)).parquet(staged), target, "replace", [column])
+            write_table(spark.read.option("basePath", staged).schema(_stored_schema(spark, staged, column)).parquet(staged), target, "replace", [column], rebalance=False)
     for folder in log["drop"]:
         delete_path(spark, folder)
     delete_path(spark, redo_path(path))

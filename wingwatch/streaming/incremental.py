@@ -30,7 +30,6 @@ from pyspark.sql.types import StructType
 
 from wingwatch.functions import weather as W
 from wingwatch.functions.incident import incident_features
-from wingwatch.operators import setops as SO
 from wingwatch.sources import sinks as S
 
 
@@ -41,8 +40,7 @@ def incremental_features(spark: SparkSession, landing: str, schema: StructType,
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
         feats = incident_features(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        feats = SO.dedup_by_key(feats, ["id"], ["batch_id"], latest=True)
-        # only the year partitions this batch touches are rewritten
+        # a repeated id is reduced to one row there; only the year partitions this batch touches are rewritten
         S.upsert_table(spark, table, feats, ["id"], ["batch_id"], "year",
                        os.path.join(state_root, f"staging-{batch_id}"), rollups)
 
