@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from wingwatch.operators import setops as SO
-from wingwatch.session import delete_path, list_names, materialize, path_exists
+from wingwatch.session import delete_path, list_names, materialize, path_exists, touch
 
 MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
 
@@ -78,6 +78,8 @@ def list_feature_sets(spark: SparkSession, root: str) -> DataFrame:
 
 #: folders of the key table; a batch reads those that its keys hash to
 KEY_BUCKETS = 32
+#: file that says that the key table is whole (a write of some partitions leaves no _SUCCESS)
+KEYED = "_KEYED"
 NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -155,7 +157,7 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[
     folders = _folders(spark, path)
     names: set[str] = set()
     key_schema = batch_keys.schema
-    keyed = path_exists(spark, os.path.join(key_path(path), "_SUCCESS"))
+    keyed = path_exists(spark, os.path.join(key_path(path), KEYED))
     if folders:
         if not keyed:  # a table from before the key table
             _stage(_key_rows(spark.read.schema(updates.schema).parquet(path), keys, partition_col), key_path(path), ["_bucket"])
@@ -247,6 +249,7 @@ def finish_upsert(spark: SparkSession, path: str) -> None:
             write_table(spark.read.option("basePath", staged).schema(_stored_schema(spark, staged, column)).parquet(staged), target, "replace", [column], rebalance=False)
     for folder in log["drop"]:
         delete_path(spark, folder)
+    touch(spark, os.path.join(key_path(path), KEYED))
     delete_path(spark, redo_path(path))
     delete_path(spark, log["staging"])
 
