@@ -11,7 +11,7 @@ Training never looks at more than a bounded sample per tree:
   ``groupBy(tree).applyInPandas`` grows one isolation tree from them to height ceil(log2 psi)
   with seeded random splits;
 * the node table (trees x < 2 * psi nodes, bounded by the parameters) is
-  collected and broadcast; a ``mapInPandas`` stage computes the mean path
+  collected and broadcast; a ``mapInArrow`` stage computes the mean path
   length of every row with the c(n) leaf correction.
 
 Scores follow scikit-learn's conventions: ``score = -2^(-E[h] / c(psi))``,
@@ -25,10 +25,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wingwatch.session import materialize
+from wingwatch.session import keep
 
 from wingwatch.operators import quantiles as Q
 
@@ -125,40 +126,80 @@ def fit(df: DataFrame, features: list[str], key: str, n_trees: int = 100, max_sa
 
 
 PATH_ROWS = 4096
+#: inner nodes of the trees that are looked up together; their tables take at most the square of it in bits
+GROUP_NODES = 16_384
 
 
-def _walk_arrays(tree: dict) -> tuple:
-    """A tree for walking: feature, threshold, child by (node, below the threshold), path length at each leaf, height.
+def _tree_masks(tree: dict, cuts: list) -> tuple:
+    """A tree for looking up: ([(feature, words of leaf bits by place among the feature's cuts)], path length by leaf bit).
 
-    A leaf is its own child, so all rows take as many steps as the tree is high, without a look at who has arrived.
+    Leaves are numbered from left to right, so the leaves under a node are a run.  At each place of a feature the bits of
+    the leaves stay that its splits let through; the bits that stay for all features are those of one leaf.
     """
-    n = len(tree["feat"])
-    at, depth = np.arange(n), np.zeros(n)
-    leaf = tree["feat"] < 0
-    for i in np.flatnonzero(~leaf):  # a child comes after its parent
-        depth[tree["left"][i]] = depth[tree["right"][i]] = depth[i] + 1
-    child = np.stack([np.where(leaf, at, tree["right"]), np.where(leaf, at, tree["left"])], axis=1).ravel()
-    return (np.maximum(tree["feat"], 0), tree["thr"], child, depth + c_factor(tree["size"]), int(depth.max()))
-
-
-def path_lengths(model: dict, X: np.ndarray) -> np.ndarray:
-    """Mean path length of each row; rows go through the trees in pieces that stay in the processor's cache."""
-    walks = [_walk_arrays(t) for t in model["trees"]]
+    feat, left, right, leaf = tree["feat"], tree["left"], tree["right"], tree["feat"] < 0
+    first, under, depth = np.cumsum(leaf) - leaf, leaf.astype(np.int64), np.zeros(len(feat))
+    inner = np.flatnonzero(~leaf)
+    for i in inner:  # a child comes after its parent, the left subtree before the right
+        depth[left[i]] = depth[right[i]] = depth[i] + 1
+    for i in inner[::-1]:
+        under[i] = under[left[i]] + under[right[i]]
+    n, words = int(leaf.sum()), -(-int(leaf.sum()) // 64)
+    masks = []
+    for f in np.unique(feat[inner]):
+        stays = np.zeros((len(cuts[f]) + 1, 64 * words), dtype=bool)
+        stays[:, :n] = True
+        for i in np.flatnonzero(feat == f):
+            place = int(np.searchsorted(cuts[f], tree["thr"][i])) + 1
+            stays[:place, first[right[i]]:first[right[i]] + under[right[i]]] = False
+            stays[place:, first[left[i]]:first[left[i]] + under[left[i]]] = False
+        masks.append((int(f), np.packbits(stays, axis=1, bitorder="little").view("<u8")))
+    return masks, (depth + c_factor(tree["size"]))[leaf]
+
+
+def path_tables(model: dict, n_features: int) -> list:
+    """[(sorted cuts per feature, trees)] for ``path_lengths``, the trees in groups."""
+    groups: list[list] = [[]]
+    nodes = 0
+    for t in model["trees"]:
+        nodes += len(t["feat"]) // 2
+        if nodes > GROUP_NODES and groups[-1]:
+            groups.append([])
+            nodes = len(t["feat"]) // 2
+        groups[-1].append(t)
+    out = []
+    for trees in groups:
+        cuts = [np.unique(np.concatenate([t["thr"][t["feat"] == f] for t in trees])) for f in range(n_features)]
+        out.append((cuts, [_tree_masks(t, cuts) for t in trees]))
+    return out
+
+
+def path_lengths(model: dict, X: np.ndarray, tables: list | None = None) -> np.ndarray:
+    """Mean path length of each row.  A row's place among the cuts of each feature is found once for a group of trees;
+    each tree then takes one look-up a feature, in pieces of rows that stay in the processor's cache."""
+    tables = path_tables(model, X.shape[1]) if tables is None else tables
     total = np.zeros(X.shape[0])
     for a in range(0, X.shape[0], PATH_ROWS):
-        x = np.ascontiguousarray(X[a:a + PATH_ROWS])
-        base, flat = np.arange(len(x)) * x.shape[1], x.ravel()
-        for feat, thr, child, length, height in walks:
-            at = np.zeros(len(x), dtype=np.int64)
-            for _ in range(height):
-                below = flat.take(base + feat.take(at)) < thr.take(at)
-                at = child.take(2 * at + below)
-            total[a:a + PATH_ROWS] += length.take(at)
+        x = X[a:a + PATH_ROWS]
+        for cuts, trees in tables:
+            # below a cut goes left, the rest right, missing values too
+            place = [np.searchsorted(c, x[:, f], side="right") for f, c in enumerate(cuts)]
+            for masks, length in trees:
+                if not masks:
+                    total[a:a + PATH_ROWS] += length[0]
+                    continue
+                stays = masks[0][1].take(place[masks[0][0]], axis=0)
+                for f, words in masks[1:]:
+                    np.bitwise_and(stays, words.take(place[f], axis=0), out=stays)
+                bit, at = stays[:, 0], 0
+                for w in range(1, stays.shape[1]):
+                    bit, at = bit | stays[:, w], at + 64 * w * (stays[:, w] != 0)
+                # the exponent of a power of two as a double
+                total[a:a + PATH_ROWS] += length.take((bit.astype(np.float64).view(np.int64) >> 52) - 1023 + at)
     return total / len(model["trees"])
 
 
 def score_samples(df: DataFrame, model: dict, key: str) -> DataFrame:
-    """``score = -2^(-E[h]/c(psi))`` per row via ``mapInPandas``."""
+    """``score = -2^(-E[h]/c(psi))`` per row via ``mapInArrow``."""
     feats = model["features"]
     mb = df.sparkSession.sparkContext.broadcast(model)
     key_type = df.schema[key].dataType.simpleString()
@@ -166,20 +207,21 @@ def score_samples(df: DataFrame, model: dict, key: str) -> DataFrame:
 
     def run(it):
         m = mb.value
-        for pdf in it:
-            X = pdf[feats].to_numpy(dtype=float)
-            out = pdf[[key]].copy()
-            out["score"] = -np.power(2.0, -path_lengths(m, X) / denom)
-            yield out
+        if "tables" not in m:
+            m["tables"] = path_tables(m, len(feats))  # once a worker
+        for batch in it:
+            X = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(feats))]).astype(float, copy=False)
+            score = -np.power(2.0, -path_lengths(m, X, m["tables"]) / denom)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=[key, "score"])
 
-    return df.select(key, *feats).mapInPandas(run, f"{key} {key_type}, score double")
+    return df.select(key, *feats).mapInArrow(run, f"{key} {key_type}, score double")
 
 
 def detect(df: DataFrame, model: dict, key: str, contamination: float = 0.05) -> DataFrame:
     """Decision score and anomaly flag with the contamination offset."""
     # written once to the shared checkpoint folder: the quantile passes and the
     # final projection read it instead of re-running the Python scorer
-    scored = materialize(score_samples(df, model, key))
+    scored = keep(score_samples(df, model, key))
     offset = Q.exact_quantiles(scored, "score", [contamination])[contamination]
     return scored.select(key, F.col("score").alias("score_sample"),
                          (F.col("score") - F.lit(offset)).alias("anomaly_score"),

@@ -58,13 +58,14 @@ def prepare(df: DataFrame, key: str, features: list[str], target: str | None = N
     """B6 + E20: drop rows with a NULL target, cast features to double and
     fill NULLs with exact medians.
 
-    The rows are written once, spread over the tasks, before the passes for the medians: these and the fit would
-    otherwise read the sources, and join them, again and again."""
+    The rows are written once, before the passes for the medians: these and the fit would otherwise read the sources,
+    and join them, again and again.  Small row groups let them be read in as many tasks as there are cores, so they
+    are not shuffled for it."""
     if target is not None:
         df = df.filter(F.col(target).isNotNull())
     cols = [key] + ([target] if target else [])
     df = df.select(*cols, *[F.col(c).cast("double").alias(c) for c in features])
-    return ST.median_impute(keep(spread(df, key, df.count())), features)
+    return ST.median_impute(keep(df, group_mb=4), features)
 
 
 def labelled(df: DataFrame, key: str, features: list[str], target: str) -> DataFrame:

@@ -4,125 +4,134 @@
 percentile that is the whole column in one task.  Here each needed order statistic is found by
 range narrowing, for any number of columns at once and in the same way for any number of rows:
 
-1. one aggregate counts the finite values and the infinities of every column and takes minimum,
-   maximum and approximate percentiles (mergeable sketches), which bracket each needed rank;
-2. one pass buckets the rows of every open bracket of every column into ``buckets`` bins
-   (``groupBy(bracket, bin)`` with count/min/max, a partial aggregate, so the shuffle is at most
-   brackets x bins rows); the bracket shrinks to the bin that holds the rank, until that bin holds a
-   single value.
-
-The brackets of step 1 hold about two in ``ACCURACY`` of the values, so step 2 usually takes one or
-two passes.  A bracket too narrow to be divided is grouped by its values instead.  NULL and NaN are
-left out; infinities rank below and above all finite values.  Quantiles interpolate linearly between
-the neighbouring order statistics (numpy and pandas defaults).
+1. doubles are read as integers of the same order, and one pass counts every column's values in
+   ``buckets`` ranges of these integers, with the lowest and highest value of each range;
+2. the range that holds a needed rank becomes its bracket, from the lowest to the highest value in
+   it, and is counted in ``buckets`` ranges in turn, until a range holds a single value.
+
+A task counts its rows in arrays (``mapInArrow``), so a pass shuffles at most tasks x brackets x
+``buckets`` rows.  Every pass divides a bracket by ``buckets``: six passes settle any doubles, and
+small integers or measurements with few digits need two or three.  NULL and NaN are left out;
+infinities rank below and above all finite values.  Quantiles interpolate linearly between the
+neighbouring order statistics (numpy and pandas defaults).
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ACCURACY = 5000
-
-
-def _bins(x, a: float, b: float, buckets: int):
-    """Bin of ``x`` within [a, b]: equal widths, or the value itself where they vanish."""
-    width = (b - a) / buckets
-    if width <= 0 or not math.isfinite(width) or a + width == a or b - width == b:
-        return x
-    return F.least(F.floor((x - F.lit(a)) / F.lit(width)), F.lit(buckets - 1)).cast("double")
-
-
-def order_statistics(df: DataFrame, open_: dict[tuple, set[int]], cols: list[str],
-                     buckets: int = 4096) -> dict[str, dict[int, float]]:
-    """Exact k-th smallest finite values (0-based ranks) of the columns c0, c1, ... of ``df``.
-
-    ``open_``: (column number, low, high) -> ranks whose values lie in [low, high].
+COUNTS = "j int, bin long, c long, mn double, mx double"
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles (no NaN, no negative zero) as unsigned integers of the same order."""
+    bits = np.ascontiguousarray(x, dtype=np.float64).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    x = column.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return x[~np.isnan(x)] + 0.0  # makes a negative zero a zero
+
+
+def _counter(brackets: list[tuple], buckets: int):
+    """The map stage of a pass: per bracket (column, low, high) the rows below it (bin -1) and in each of its bins."""
+    def run(batches):
+        ranges = []
+        for i, low, high in brackets:
+            a, b = (int(_ordered(np.array([v + 0.0]))[0]) for v in (low, high))
+            shift = 0
+            while (b - a) >> shift >= buckets:
+                shift += 1
+            bins = ((b - a) >> shift) + 1
+            ranges.append((i, np.uint64(a), np.uint64(b), np.uint64(shift), np.zeros(bins, np.int64),
+                           np.full(bins, np.inf), np.full(bins, -np.inf)))
+        under = np.zeros(len(ranges), np.int64)
+        for batch in batches:
+            columns = {}
+            for j, (i, a, b, shift, c, mn, mx) in enumerate(ranges):
+                if i not in columns:
+                    x = _numbers(batch.column(i))
+                    columns[i] = x, _ordered(x)
+                x, k = columns[i]
+                under[j] += np.count_nonzero(k < a)
+                inside = np.flatnonzero((k >= a) & (k <= b))
+                if len(inside):
+                    at, x = ((k[inside] - a) >> shift).astype(np.intp), x[inside]
+                    c += np.bincount(at, minlength=len(c))
+                    np.minimum.at(mn, at, x)
+                    np.maximum.at(mx, at, x)
+        for j, (_, _, _, _, c, mn, mx) in enumerate(ranges):
+            full = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(full) + 1, j, np.int32)), pa.array(np.append(full, -1)), pa.array(np.append(c[full], under[j])),
+                 pa.array(np.append(mn[full], 0.0)), pa.array(np.append(mx[full], 0.0))], names=["j", "bin", "c", "mn", "mx"])
+    return run
+
+
+def _pass(values: DataFrame, brackets: list[tuple], buckets: int) -> list[tuple[int, list]]:
+    """(rows below, [(lowest, highest, rows) of each bin that has rows, ascending]) per bracket."""
+    rows = (values.mapInArrow(_counter(brackets, buckets), COUNTS).groupBy("j", "bin")
+            .agg(F.sum("c").alias("c"), F.min("mn").alias("mn"), F.max("mx").alias("mx")).collect())
+    under = [0] * len(brackets)
+    bins: list[list] = [[] for _ in brackets]
+    for r in rows:
+        if r["bin"] < 0:
+            under[r["j"]] = r["c"]
+        else:
+            bins[r["j"]].append((r["mn"], r["mx"], r["c"]))
+    return [(u, sorted(b)) for u, b in zip(under, bins)]
+
+
+def order_statistics(values: DataFrame, open_: dict[tuple, set[int]], passed: list[tuple[int, list]], n_cols: int,
+                     buckets: int) -> list[dict[int, float]]:
+    """Exact k-th smallest values (0-based ranks) per column of ``values``.
+
+    ``open_``: (column number, low, high) -> ranks whose values lie in [low, high]; ``passed``: the pass over these brackets.
     """
-    result: dict[str, dict[int, float]] = {c: {} for c in cols}
+    result: list[dict[int, float]] = [{} for _ in range(n_cols)]
     while open_:
-        keys = list(open_)
-        parts = []
-        for j, (i, a, b) in enumerate(keys):
-            x = F.col(f"c{i}")
-            below = F.struct(F.lit(j).alias("j"), F.lit(-1.0).alias("bin"), F.lit(None).cast("double").alias("x"))
-            inside = F.struct(F.lit(j).alias("j"), _bins(x, a, b, buckets).alias("bin"), x.alias("x"))
-            parts.append(F.when(x < a, below).when(x <= b, inside))
-        hist = (df.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("k"))
-                .groupBy("k.j", F.col("k.x").isNull().alias("under"), "k.bin")
-                .agg(F.count(F.lit(1)).alias("c"), F.min("k.x").alias("mn"), F.max("k.x").alias("mx")).collect())
-        under = {j: 0 for j in range(len(keys))}
-        bins: dict[int, list] = {j: [] for j in range(len(keys))}
-        for r in hist:
-            if r["under"]:
-                under[r["j"]] += r["c"]
-            else:
-                bins[r["j"]].append((r["mn"], r["mx"], r["c"]))
         left: dict[tuple, set[int]] = {}
-        for j, key in enumerate(keys):
-            for rank in open_[key]:
-                at = under[j]
-                for mn, mx, c in sorted(bins[j]):
+        for ((i, _, _), ranks), (under, bins) in zip(open_.items(), passed):
+            for rank in ranks:
+                at = under
+                for mn, mx, c in bins:
                     if rank < at + c:
                         if mn == mx:
-                            result[cols[key[0]]][rank] = mn
+                            result[i][rank] = mn
                         else:
-                            left.setdefault((key[0], mn, mx), set()).add(rank)
+                            left.setdefault((i, mn, mx), set()).add(rank)
                         break
                     at += c
         open_ = left
+        passed = _pass(values, list(open_), buckets) if open_ else []
     return result
 
 
-def multi_quantiles(df: DataFrame, probs_by_col: dict[str, list[float]], accuracy: int = ACCURACY, **kw) -> dict[str, dict]:
-    """Linear-interpolated quantiles of several columns (NULL and NaN left out)."""
+def multi_quantiles(df: DataFrame, probs_by_col: dict[str, list[float]], accuracy: int | None = None,
+                    buckets: int = 4096) -> dict[str, dict]:
+    """Linear-interpolated quantiles of several columns (NULL and NaN left out).
+
+    ``accuracy`` was that of a sketch that came before the counts; nothing depends on it.
+    """
     cols = list(probs_by_col)
-    values = df.select(*[F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"c{i}") for i, c in enumerate(cols)])
-    inf = float("inf")
-    aggs, slack = [], 2.0 / accuracy
-    for i, c in enumerate(cols):
-        x = F.col(f"c{i}")
-        finite = F.when((x > -inf) & (x < inf), x)
-        ends = sorted({min(max(p + d, 0.0), 1.0) for p in probs_by_col[c] for d in (-slack, slack)} | {0.0, 1.0})
-        aggs += [F.count(finite).alias(f"n{i}"), F.count_if(x == -inf).alias(f"low{i}"), F.count_if(x == inf).alias(f"high{i}"),
-                 F.min(finite).alias(f"mn{i}"), F.max(finite).alias(f"mx{i}"),
-                 F.percentile_approx(finite, F.array(*[F.lit(e) for e in ends]), F.lit(accuracy)).alias(f"q{i}")]
-    st = values.agg(*aggs).first()
-    finite_rows = values.select(*[F.when((F.col(f"c{i}") > -inf) & (F.col(f"c{i}") < inf), F.col(f"c{i}")).alias(f"c{i}")
-                                  for i in range(len(cols))])
-    open_: dict[tuple, set[int]] = {}
-    ranks: dict[str, dict[float, float]] = {}
-    for i, c in enumerate(cols):
-        n, low, high = st[f"n{i}"], st[f"low{i}"], st[f"high{i}"]
-        total = n + low + high
-        ranks[c] = {p: p * (total - 1) for p in probs_by_col[c]} if total else {}
-        if not n:
-            continue
-        marks = [st[f"mn{i}"], *st[f"q{i}"], st[f"mx{i}"]]
-        ends = sorted({min(max(p + d, 0.0), 1.0) for p in probs_by_col[c] for d in (-slack, slack)} | {0.0, 1.0})
-        for h in ranks[c].values():
-            for rank in {math.floor(h) - low, math.ceil(h) - low}:
-                if 0 <= rank < n:
-                    share = rank / n
-                    # the sketch's rank error is at most n / accuracy, half the slack
-                    below = [m for e, m in zip(ends, marks[1:-1]) if e + slack / 2 <= share - 1.0 / n]
-                    above = [m for e, m in zip(ends, marks[1:-1]) if e - slack / 2 >= share + 1.0 / n]
-                    key = (i, max([marks[0], *below]), min([marks[-1], *above]))
-                    open_.setdefault(key, set()).add(rank)
-    exact = order_statistics(finite_rows, open_, cols, **kw)
+    values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    whole = [(i, -math.inf, math.inf) for i in range(len(cols))]
+    passed = _pass(values, whole, buckets) if cols else []
+    total = [sum(c for _, _, c in bins) for _, bins in passed]
+    at = [{p: p * (n - 1) for p in probs_by_col[c]} if n else {} for c, n in zip(cols, total)]
+    exact = order_statistics(values, {key: {r for h in at[key[0]].values() for r in (math.floor(h), math.ceil(h))} for key in whole},
+                             passed, len(cols), buckets)
     out: dict[str, dict] = {}
     for i, c in enumerate(cols):
-        n, low = st[f"n{i}"], st[f"low{i}"]
-
-        def value(rank: int) -> float:
-            rank -= low
-            return -inf if rank < 0 else inf if rank >= n else exact[c][rank]
-
         out[c] = {p: None for p in probs_by_col[c]}
-        for p, h in ranks[c].items():
-            lo, hi = value(math.floor(h)), value(math.ceil(h))
+        for p, h in at[i].items():
+            lo, hi = exact[i][math.floor(h)], exact[i][math.ceil(h)]
             out[c][p] = lo if lo == hi else lo + (hi - lo) * (h - math.floor(h))
     return out
 

@@ -18,10 +18,13 @@ patterns of o with M <= depth, whatever the number of features; rows only look t
 
 from __future__ import annotations
 
+import itertools
+import math
 import os
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,30 +167,64 @@ def predict_frame(df: DataFrame, ens: dict, feature_cols: list[str], key: str,
         _batches(ens_b, feature_cols, key, fn), f"{key} {key_type}, {out_col} double")
 
 
+#: Arrow batches that are solved together, and cells whose values a worker remembers
+BATCHES_A_GROUP = 32
+KNOWN_CELLS = 50_000
+
+
+def cell_ids(ens: dict, X: np.ndarray) -> np.ndarray:
+    """The cell of each row: its places among the thresholds of each feature, as one number (as bytes where that is too
+    small).  Rows of a cell take the same way through every tree."""
+    if "cuts" not in ens:
+        ens["cuts"] = [np.unique(np.concatenate([t["thr"][t["feat"] == f] for t in ens["trees"]])) for f in range(X.shape[1])]
+    # "at most" goes left; missing values go right everywhere
+    places = [np.searchsorted(cuts, X[:, f], side="left") for f, cuts in enumerate(ens["cuts"])]
+    if math.prod(len(cuts) + 1 for cuts in ens["cuts"]) >= 1 << 62:
+        return np.column_stack(places).astype(">i4").view(f"V{4 * len(places)}").ravel()
+    ids = np.zeros(len(X), dtype=np.int64)
+    for place, cuts in zip(places, ens["cuts"]):
+        ids = ids * (len(cuts) + 1) + place
+    return ids
+
+
+def solved(ens: dict, X: np.ndarray) -> np.ndarray:
+    """Shapley values and prediction (last column) of each row.  A cell is solved once and remembered in ``ens``."""
+    if "tables" not in ens:
+        ens["tables"] = leaf_tables(ens)
+    cells, first, inverse = np.unique(cell_ids(ens, X), return_index=True, return_inverse=True)
+    cells = cells.tolist()
+    known, values = ens.get("known", ({}, np.zeros((0, X.shape[1] + 1))))
+    if len(known) + len(cells) > KNOWN_CELLS:
+        known, values = {}, values[:0]
+    new = [i for i, c in enumerate(cells) if c not in known]
+    if new:
+        x = X[first[new]]
+        known |= {cells[i]: len(values) + k for k, i in enumerate(new)}
+        values = np.vstack([values, np.column_stack([shap_arrays(ens, x, ens["tables"])[0], predict_arrays(ens, x)])])
+    ens["known"] = known, values
+    return values[np.array([known[c] for c in cells], dtype=np.int64)][inverse.reshape(-1)]
+
+
 def shap_frame(df: DataFrame, ens: dict, feature_cols: list[str], key: str) -> DataFrame:
     """Per-row Shapley values ``shap_<feature>``, base value and prediction."""
     ens_b = df.sparkSession.sparkContext.broadcast(ens)
     key_type = df.schema[key].dataType.simpleString()
-    names = [f"shap_{c}" for c in feature_cols]
+    names = [key, *[f"shap_{c}" for c in feature_cols], "base_value", "prediction"]
 
-    def fn(ens, keys, X):
-        # identical feature vectors share their Shapley values: solve each
-        # distinct vector of the batch once, then scatter back
-        uniq, inverse = np.unique(X, axis=0, return_inverse=True)
-        if "tables" not in ens:
-            ens["tables"] = leaf_tables(ens)  # once a task
-        phi_u, base = shap_arrays(ens, uniq, ens["tables"])
-        phi = phi_u[inverse.reshape(-1)]
-        out = keys.copy()
-        for i, nm in enumerate(names):
-            out[nm] = phi[:, i]
-        out["base_value"] = base
-        out["prediction"] = predict_arrays(ens, uniq)[inverse.reshape(-1)]
-        return out
-
-    schema = ", ".join([f"{key} {key_type}"] + [f"{nm} double" for nm in names]
-                       + ["base_value double", "prediction double"])
-    return df.select(key, *feature_cols).mapInPandas(_batches(ens_b, feature_cols, key, fn), schema)
+    def run(it):
+        ens = ens_b.value
+        while group := list(itertools.islice(it, BATCHES_A_GROUP)):
+            rows = pa.Table.from_batches(group)
+            if not rows.num_rows:
+                continue
+            X = np.column_stack([rows.column(i + 1).to_numpy() for i in range(len(feature_cols))]).astype(float, copy=False)
+            values = solved(ens, X)
+            base = np.full(len(X), ens["tables"][1])
+            yield from pa.table([rows.column(0), *[pa.array(values[:, i]) for i in range(len(feature_cols))], pa.array(base),
+                                 pa.array(values[:, -1])], names=names).to_batches()
+
+    schema = ", ".join([f"{key} {key_type}"] + [f"{nm} double" for nm in names[1:]])
+    return df.select(key, *feature_cols).mapInArrow(run, schema)
 
 
 def what_if_frame(df: DataFrame, ens: dict, feature_cols: list[str], key: str,

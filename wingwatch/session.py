@@ -72,11 +72,15 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-def keep(df):
+def keep(df, group_mb: int | None = None):
     """``df`` written once to the shared checkpoint folder as a compressed table, and read from there: for wide or
-    long frames, which ``materialize`` would hold in full size."""
+    long frames, which ``materialize`` would hold in full size.  A file is read in tasks of whole row groups, of
+    ``group_mb`` each."""
     path = os.path.join(checkpoint_dir(df.sparkSession), f"kept-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    w = df.write.option("compression", "zstd")
+    if group_mb:
+        w = w.option("parquet.block.size", group_mb << 20)
+    w.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
