@@ -4,7 +4,7 @@ A fitted ``pyspark.ml`` tree ensemble is saved to the shared checkpoint
 folder; its node table (``data/``: treeID, nodeData{id, prediction, rawCount,
 leftChild, rightChild, split}) is read back as a DataFrame.  The node table's
 size is bounded by the model parameters (trees x 2^(depth+1) nodes), not by
-the data, so it is collected and broadcast to a ``mapInPandas`` stage that
+the data, so it is collected and broadcast to a ``mapInPandas`` or ``mapInArrow`` stage that
 walks every tree for a whole Arrow batch at once.
 
 Shapley values use the path-dependent expectation of Lundberg et al. (2020), leaf by leaf.  The path to
