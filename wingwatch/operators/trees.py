@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from wingwatch.session import checkpoint_dir
 
 
-def ensemble_arrays(spark: SparkSession, model, n_features: int) -> dict:
-    """Node arrays per tree plus tree weights for a GBT/RF model."""
+def ensemble_arrays(spark: SparkSession, model, n_features: int, cuts: list[np.ndarray] | None = None) -> dict:
+    """Node arrays per tree plus tree weights for a GBT/RF model.  ``cuts``: those of each feature if the model learned from the
+    places among them; thresholds are then cuts."""
     path = os.path.join(checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
     model.write().overwrite().save(path)
     nodes = (spark.read.parquet(os.path.join(path, "data"))
@@ -60,7 +61,7 @@ def ensemble_arrays(spark: SparkSession, model, n_features: int) -> dict:
             cover[i] = max(float(r["rawCount"]), 1e-12)
             if r["leftChild"] >= 0:
                 feat[i] = r["feature"]
-                thr[i] = r["thr"][0]
+                thr[i] = r["thr"][0] if cuts is None else cuts[feat[i]][int(r["thr"][0])]
                 left[i] = r["leftChild"]
                 right[i] = r["rightChild"]
         trees.append(dict(feat=feat, thr=thr, left=left, right=right, value=value, cover=cover))

@@ -50,8 +50,8 @@ def risk_bundle(spark, sf_dir, **params):
         feats = M.model_feature_sets(inc, ops)["risk"]
         data, med = M.prepare(inc, "id", feats, "injury_score")
         data = ST.hash_split(data, "id")
-        model = M.fit_risk_model(M.training_sample(data.filter("split = 'train'"), "id"), feats, "injury_score", **p)
-        ens = TR.ensemble_arrays(spark, model.stages[-1], len(feats))
+        model = M.fit_risk_model(M.training_rows(data.filter("split = 'train'"), "id"), feats, "injury_score", **p)
+        ens = TR.ensemble_arrays(spark, model.stages[-1], len(feats), M.risk_cuts(model, feats))
         _CACHE[key] = dict(model=model, features=feats, data=data, medians=med, ens=ens)
     return _CACHE[key]
 
